@@ -51,27 +51,34 @@ def latest_lookup(records: DataFrame, features: DataFrame, key: str = "sensor_id
 
 
 def asof_lookup(records: DataFrame, features: DataFrame, key: str, rec_time: str,
-                feat_time: str, feat_cols: list[str], rec_order: str = "id") -> DataFrame:
+                feat_time: str, feat_cols: list[str], rec_order: str = "id",
+                feat_order: str | None = None, bucket_unit: str = "hour") -> DataFrame:
     """As-of join: each record gets the newest feature row with feat_time <= rec_time.
 
-    Expressed as one union + one window (a single shuffle by key, one sort): feature rows
-    sort before records at equal time, and ``last(..., ignorenulls)`` carries the newest
-    feature struct forward. Records with no earlier feature row are dropped.
+    Records and feature rows are unioned and ordered by (time, side, order key) with
+    feature rows first at equal time; the newest feature struct is carried forward by the
+    skew-safe bucketed scan (no range join, no whole-key task). Records with no earlier
+    feature row are dropped.
     """
+    from gaugeflow.operators.scan import carry
+
     rec_cols = records.columns
+    feat_struct = features.select(F.struct(*feat_cols).alias("s")).schema["s"].dataType
+    rec_struct = records.select(F.struct(*rec_cols).alias("s")).schema["s"].dataType
+    order_type = records.schema[rec_order].dataType
     rec = records.select(
         F.col(key), F.col(rec_time).alias("_t"), F.lit(1).alias("_side"),
-        F.col(rec_order).alias("_o"),
+        F.col(rec_order).cast(order_type).alias("_o"),
         F.struct(*[F.col(c) for c in rec_cols]).alias("_rec"),
-        F.lit(None).cast(features.select(F.struct(*feat_cols).alias("s")).schema["s"].dataType).alias("_feat"))
+        F.lit(None).cast(feat_struct).alias("_feat"))
     feat = features.select(
         F.col(key), F.col(feat_time).alias("_t"), F.lit(0).alias("_side"),
-        F.lit(None).cast(rec.schema["_o"].dataType).alias("_o"),
-        F.lit(None).cast(rec.schema["_rec"].dataType).alias("_rec"),
+        (F.col(feat_order).cast(order_type) if feat_order else F.lit(None).cast(order_type)).alias("_o"),
+        F.lit(None).cast(rec_struct).alias("_rec"),
         F.struct(*feat_cols).alias("_feat"))
-    w = (Window.partitionBy(key).orderBy("_t", "_side", "_o")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = rec.unionByName(feat).withColumn("_cur", F.last("_feat", ignorenulls=True).over(w))
+    both = rec.unionByName(feat)
+    both = carry(both, key, ["_t", "_side", "_o"], F.col("_feat"), "_cur",
+                 F.date_trunc(bucket_unit, F.col("_t")))
     out = both.where((F.col("_side") == 1) & F.col("_cur").isNotNull())
     return out.select(*[F.col(f"_rec.{c}").alias(c) for c in rec_cols],
                       *[F.col(f"_cur.{c}").alias(f"f_{c}") for c in feat_cols])

@@ -43,7 +43,7 @@ def range_rule_columns(value: Column, lo: Column, hi: Column) -> dict[str, Colum
 
 
 def silver_range(readings: DataFrame, dimension: DataFrame, dim_rows: int | None = None,
-                 processed_ts: Column | None = None) -> DataFrame:
+                 processed_ts: Column | None = None, passthrough: tuple[str, ...] = ()) -> DataFrame:
     """Range-rule Silver table (one row per reading).
 
     Output: id, sensor_id, sensor_type, cleaned_value, original_value, is_valid,
@@ -68,6 +68,7 @@ def silver_range(readings: DataFrame, dimension: DataFrame, dim_rows: int | None
                  metadata.alias("metadata")).alias("enriched_data"),
         F.col("timestamp").alias("event_timestamp"),
         (processed_ts if processed_ts is not None else F.current_timestamp()).alias("processed_timestamp"),
+        *[F.col(c) for c in passthrough],
     )
 
 

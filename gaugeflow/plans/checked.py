@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeflow import fixed
+from gaugeflow.functions import scalar as X
+from gaugeflow.operators import bronze as brz
 from gaugeflow.operators import features as feat
+from gaugeflow.operators import joins as J
+from gaugeflow.operators import quality as Q
 from gaugeflow.operators import silver as silv
+from gaugeflow.operators import training as TR
+from gaugeflow.operators import windowed as WF
+from gaugeflow.plans import serving as SV
 from gaugeflow.plans import sqlparts as S
 from gaugeflow.session import utc
-from gaugeflow.sources.adapters import event_readings
-from gaugeflow.sources.tables import sensor_dimension
+from gaugeflow.sources.adapters import event_readings, lineitem_readings
+from gaugeflow.sources.tables import sensor_dimension, table, type_ranges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,10 +34,15 @@ ORACLES: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            utc(spark)
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
-        return fn
+        return run
     return deco
 
 
@@ -79,3 +91,425 @@ def q_silver_range(spark, sf_dir):
           + f"SELECT {S.rounded_select(SNAPSHOT_COLS, SNAPSHOT_DOUBLES)} FROM snap")
 def q_features_snapshot(spark, sf_dir):
     return round_doubles(feat.snapshot_features(events_silver(spark, sf_dir)).select(*SNAPSHOT_COLS))
+
+
+def _ntz(c):
+    return F.col(c).cast("timestamp_ntz") if isinstance(c, str) else c.cast("timestamp_ntz")
+
+
+def _long(c: str):
+    return F.col(c).cast("long").alias(c)
+
+
+def rule_anomalies(silver: DataFrame) -> DataFrame:
+    """Anomaly-table stand-in with known values: the extreme rule's verdict as the flag."""
+    score = F.col("quality_score") - F.lit(1.0)
+    return silver.select("id", "sensor_id", F.col("event_timestamp").alias("timestamp"),
+                         (~F.col("is_valid")).alias("is_anomaly"), score.alias("anomaly_score"),
+                         X.confidence(score).alias("confidence"))
+
+
+# ---------------------------------------------------------------- Silver (sentinel rules)
+SENTINEL_SQL = _with(S.READINGS_SQL) + """SELECT id, sensor_id, sensor_type, value, unit,
+  event_timestamp AS "timestamp", location, 'iot_sensors' AS source,
+  coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) AS is_valid,
+  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN value ELSE 0.0 END AS cleaned_value,
+  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN 1.0 ELSE 0.0 END AS quality_score
+FROM readings"""
+
+
+@register("silver_sentinel", SENTINEL_SQL)
+def q_silver_sentinel(spark, sf_dir):
+    bronze = silv.add_ingestion_metadata(event_readings(spark, sf_dir).drop("metadata"))
+    s = silv.silver_sentinel(bronze)
+    return s.select("id", "sensor_id", "sensor_type", "value", "unit", "timestamp", "location", "source",
+                    "is_valid", "cleaned_value", "quality_score")
+
+
+# ---------------------------------------------------------------- Bronze envelope round trip
+@register("bronze_envelope_roundtrip", _with(S.READINGS_SQL) + """SELECT id // 10 AS batch_id,
+  row_number() OVER (PARTITION BY id // 10 ORDER BY id) - 1 AS pos,
+  count(*) OVER (PARTITION BY id // 10) AS batch_size,
+  id, sensor_id, sensor_type, value, unit, event_timestamp, location, meta_k
+FROM readings""")
+def q_bronze_roundtrip(spark, sf_dir):
+    r = event_readings(spark, sf_dir)
+    env = brz.nest_batches(r, F.floor(F.col("id") / 10))
+    env = env.withColumn("batch_size", F.size("sensor_readings").cast("long"))
+    flat = env.select("batch_id", "batch_size", F.posexplode("sensor_readings").alias("pos", "r"))
+    return flat.select(F.col("batch_id").cast("long").alias("batch_id"), F.col("pos").cast("long").alias("pos"),
+                       "batch_size", "r.id", "r.sensor_id", "r.sensor_type", "r.value", "r.unit",
+                       F.col("r.timestamp").alias("event_timestamp"), "r.location",
+                       F.col("r.metadata")["k"].alias("meta_k"))
+
+
+# ---------------------------------------------------------------- union of batches
+@register("batch_union", """WITH u AS (
+  SELECT event_type AS sensor_type, 'u' AS unit, CAST(value AS DOUBLE) AS value FROM events
+  UNION ALL SELECT 'lineitem' AS sensor_type, 'units' AS unit, l_quantity AS value FROM lineitem)
+SELECT sensor_type, unit, count(*) AS readings, round(sum(value), 6) AS total_value,
+       min(value) AS min_value, max(value) AS max_value FROM u GROUP BY sensor_type, unit""")
+def q_batch_union(spark, sf_dir):
+    cols = ["sensor_type", "unit", "value"]
+    u = event_readings(spark, sf_dir).select(*cols).unionByName(lineitem_readings(spark, sf_dir).select(*cols))
+    return u.groupBy("sensor_type", "unit").agg(
+        F.count(F.lit(1)).alias("readings"), F.round(F.sum("value"), 6).alias("total_value"),
+        F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+
+
+@register("distinct_sensors", _with(S.READINGS_SQL) + "SELECT DISTINCT sensor_id FROM readings")
+def q_distinct_sensors(spark, sf_dir):
+    return event_readings(spark, sf_dir).select("sensor_id").distinct()
+
+
+@register("valid_only", _with(S.silver_sql())
+          + "SELECT id, sensor_id, cleaned_value, quality_score FROM silver WHERE is_valid")
+def q_valid_only(spark, sf_dir):
+    return silv.valid_only(events_silver(spark, sf_dir)).select("id", "sensor_id", "cleaned_value", "quality_score")
+
+
+# ---------------------------------------------------------------- read queries
+RECENT_SENSOR = "click_3"
+
+
+@register("recent_readings", _with(S.silver_sql()) + f"""SELECT id, sensor_id, cleaned_value, quality_score,
+  is_valid, event_timestamp FROM silver WHERE sensor_id = '{RECENT_SENSOR}'
+  ORDER BY event_timestamp DESC, id DESC LIMIT 50""")
+def q_recent_readings(spark, sf_dir):
+    r = SV.recent_readings(events_silver(spark, sf_dir), RECENT_SENSOR, 50)
+    return r.select("id", "sensor_id", "cleaned_value", "quality_score", "is_valid", "event_timestamp")
+
+
+@register("recent_readings_per_sensor", _with(S.silver_sql()) + """SELECT id, sensor_id, cleaned_value,
+  event_timestamp, row_number() OVER (PARTITION BY sensor_id ORDER BY event_timestamp DESC, id DESC) AS position
+FROM silver QUALIFY position <= 10""")
+def q_recent_per_sensor(spark, sf_dir):
+    r = SV.recent_per_sensor(events_silver(spark, sf_dir), 10)
+    return r.select("id", "sensor_id", "cleaned_value", "event_timestamp", _long("position"))
+
+
+@register("sensor_card", _with(S.silver_sql()) + """SELECT sensor_id,
+  printf('%.3f %s', cleaned_value, unit) AS latest_value,
+  printf('%.1f%%', quality_score * 100) AS quality,
+  CASE WHEN is_valid THEN 'Valid' ELSE 'Invalid' END AS status,
+  cleaned_value IS DISTINCT FROM original_value AS was_corrected,
+  count(*) OVER (PARTITION BY sensor_id) AS record_count
+FROM silver QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY event_timestamp DESC, id DESC) = 1""")
+def q_sensor_card(spark, sf_dir):
+    return SV.sensor_card(events_silver(spark, sf_dir))
+
+
+@register("list_sensors", _with(S.silver_sql()) + """SELECT s.sensor_id, s.readings, s.last_seen, d.type,
+  d.location, d.unit, d.lo AS range_min, d.hi AS range_max
+FROM (SELECT sensor_id, count(*) AS readings, max(event_timestamp) AS last_seen FROM silver GROUP BY sensor_id) s
+LEFT JOIN dim d USING (sensor_id)""")
+def q_list_sensors(spark, sf_dir):
+    dim, n = sensor_dimension(spark)
+    return SV.list_sensors(events_silver(spark, sf_dir), dim, n)
+
+
+@register("dashboard_stats", _with(S.silver_sql(), S.snapshot_sql()) + """SELECT
+  (SELECT count(DISTINCT id // 10) FROM readings) AS total_ingested,
+  (SELECT count(*) FROM readings) AS total_readings,
+  (SELECT count(*) FROM silver) AS total_processed,
+  (SELECT count(*) FROM snap) AS total_features,
+  (SELECT count(*) FILTER (WHERE NOT is_valid) FROM silver) AS total_anomalies,
+  (SELECT count(DISTINCT sensor_id) FROM silver) AS active_sensors,
+  'healthy' AS pipeline_health""")
+def q_dashboard_stats(spark, sf_dir):
+    s = events_silver(spark, sf_dir)
+    env = brz.nest_batches(event_readings(spark, sf_dir), F.floor(F.col("id") / 10))
+    return SV.dashboard_stats(env, s, feat.snapshot_features(s), rule_anomalies(s), model_ready=True)
+
+
+# ---------------------------------------------------------------- per-row history features
+HIST_COLS = (["sensor_id", "event_timestamp", "id", "pos", "value"] + [f"lag_{k}" for k in fixed.LAGS]
+             + [f"rolling_{s}_{w}" for w in fixed.ROLLING_WINDOWS for s in ("mean", "std", "max", "min")]
+             + ["last_change"])
+HIST_DOUBLES = set(HIST_COLS) - {"sensor_id", "event_timestamp", "id", "pos"}
+
+
+def events_history(spark, sf_dir):
+    h = feat.history_features(events_silver(spark, sf_dir))
+    return h.withColumn("pos", F.col("pos").cast("long"))
+
+
+@register("features_history", _with(S.silver_sql(), S.history_sql())
+          + f"SELECT {S.rounded_select(HIST_COLS, HIST_DOUBLES)} FROM hist")
+def q_features_history(spark, sf_dir):
+    return round_doubles(events_history(spark, sf_dir).select(*HIST_COLS))
+
+
+@register("latest_features", _with(S.silver_sql(), S.history_sql())
+          + f"""SELECT {S.rounded_select(HIST_COLS, HIST_DOUBLES)} FROM hist
+QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY event_timestamp DESC, id DESC) = 1""")
+def q_latest_features(spark, sf_dir):
+    return round_doubles(SV.latest_features(events_history(spark, sf_dir)).select(*HIST_COLS))
+
+
+LOOKUP_OUT = ["id", "sensor_id", "is_valid", "f_event_timestamp", "f_id", "f_value", "f_rolling_mean_5",
+              "f_rolling_std_20"]
+
+
+@register("score_lookup", _with(S.silver_sql(), S.history_sql()) + """, latest AS (
+  SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY event_timestamp DESC, id DESC) = 1)
+SELECT s.id, s.sensor_id, s.is_valid, l.event_timestamp AS f_event_timestamp, l.id AS f_id,
+  round(l.value, 6) AS f_value, round(l.rolling_mean_5, 6) AS f_rolling_mean_5,
+  round(l.rolling_std_20, 6) AS f_rolling_std_20
+FROM silver s JOIN latest l USING (sensor_id)""")
+def q_score_lookup(spark, sf_dir):
+    s = events_silver(spark, sf_dir).select("id", "sensor_id", "is_valid")
+    h = events_history(spark, sf_dir).select("sensor_id", "event_timestamp", "id", "value",
+                                             "rolling_mean_5", "rolling_std_20")
+    out = J.latest_lookup(s, h, order_cols=("event_timestamp", "id"))
+    return round_doubles(out.select(*LOOKUP_OUT))
+
+
+@register("score_lookup_asof", _with(S.silver_sql(), S.history_sql()) + """
+SELECT s.id, s.sensor_id, s.is_valid, h.event_timestamp AS f_event_timestamp, h.id AS f_id,
+  round(h.value, 6) AS f_value, round(h.rolling_mean_5, 6) AS f_rolling_mean_5,
+  round(h.rolling_std_20, 6) AS f_rolling_std_20
+FROM silver s ASOF JOIN hist h ON s.sensor_id = h.sensor_id AND s.event_timestamp >= h.event_timestamp""")
+def q_score_lookup_asof(spark, sf_dir):
+    s = events_silver(spark, sf_dir).select("id", "sensor_id", "is_valid", "event_timestamp")
+    h = events_history(spark, sf_dir)
+    out = J.asof_lookup(s, h, "sensor_id", "event_timestamp", "event_timestamp",
+                        ["event_timestamp", "id", "value", "rolling_mean_5", "rolling_std_20"],
+                        rec_order="id", feat_order="id")
+    return round_doubles(out.select(*LOOKUP_OUT))
+
+
+@register("confidence", _with(S.silver_sql()) + """SELECT id, sensor_id, quality_score - 0.5 AS score,
+  least(1.0, greatest(0.0, (abs(quality_score - 0.5) + 0.5) / 1.5)) AS confidence FROM silver""")
+def q_confidence(spark, sf_dir):
+    s = events_silver(spark, sf_dir).withColumn("score", F.col("quality_score") - F.lit(0.5))
+    return s.select("id", "sensor_id", "score", X.confidence("score").alias("confidence"))
+
+
+# ---------------------------------------------------------------- expanding prefixes / training matrix
+NAMES = fixed.feature_names()
+EXP_COLS = ["sensor_id", "event_timestamp", "id", "n"] + NAMES
+
+
+def events_expanding(spark, sf_dir):
+    e = feat.expanding_features(events_silver(spark, sf_dir))
+    return e.withColumn("n", F.col("n").cast("long"))
+
+
+@register("features_expanding", _with(S.silver_sql(), S.expanding_sql())
+          + f"SELECT {S.rounded_select(EXP_COLS, set(NAMES))} FROM expd")
+def q_features_expanding(spark, sf_dir):
+    return round_doubles(events_expanding(spark, sf_dir).select(*EXP_COLS))
+
+
+def _matrix_sql() -> str:
+    filled = ", ".join(f'{S.nan_to_num_sql(c)} AS "{c}"' for c in NAMES)
+    return f"mat AS (SELECT sensor_id, event_timestamp, id, n, {filled} FROM expd)"
+
+
+@register("training_matrix", _with(S.silver_sql(), S.expanding_sql(), _matrix_sql())
+          + f"SELECT {S.rounded_select(EXP_COLS, set(NAMES))} FROM mat")
+def q_training_matrix(spark, sf_dir):
+    m = TR.training_matrix(events_silver(spark, sf_dir))
+    return round_doubles(m.withColumn("n", F.col("n").cast("long")).select(*EXP_COLS))
+
+
+def _std_sql() -> str:
+    cols = ", ".join(f'("{c}" - avg("{c}") OVER ()) / coalesce(nullif(stddev_pop("{c}") OVER (), 0), 1) AS "{c}"'
+                     for c in NAMES)
+    return f"stdz AS (SELECT sensor_id, event_timestamp, id, n, {cols} FROM mat)"
+
+
+@register("standardized", _with(S.silver_sql(), S.expanding_sql(), _matrix_sql(), _std_sql())
+          + f"SELECT {S.rounded_select(EXP_COLS, set(NAMES))} FROM stdz")
+def q_standardized(spark, sf_dir):
+    m = TR.training_matrix(events_silver(spark, sf_dir)).withColumn("n", F.col("n").cast("long"))
+    return round_doubles(TR.standardize_columns(m, NAMES).select(*EXP_COLS))
+
+
+@register("threshold_percentile", _with(S.silver_sql(), S.expanding_sql(), _matrix_sql()) + """SELECT
+  0.1 AS contamination, round(quantile_cont(change_rate, 0.1), 6) AS threshold,
+  round(quantile_cont(change_rate, 0.5), 6) AS median FROM mat""")
+def q_threshold_percentile(spark, sf_dir):
+    m = TR.training_matrix(events_silver(spark, sf_dir))
+    q10, q50 = TR.exact_quantiles(m, "change_rate", [fixed.CONTAMINATION, 0.5])
+    return spark.createDataFrame([(fixed.CONTAMINATION, round(q10, 6), round(q50, 6))],
+                                 "contamination DOUBLE, threshold DOUBLE, median DOUBLE")
+
+
+# ---------------------------------------------------------------- sliding event-time windows
+WIN_COLS = ["sensor_id", "timestamp"] + [f"{s}_5min" for s in ("mean", "std", "min", "max", "count", "range")]
+
+
+@register("sliding_window_features", _with(S.silver_sql(), S.sliding_sql("silver", 5, "minute", "5min"))
+          + f"SELECT {S.rounded_select(WIN_COLS, set(WIN_COLS) - {'sensor_id', 'timestamp', 'count_5min'})} FROM slid")
+def q_sliding(spark, sf_dir):
+    w = WF.window_aggregate(events_silver(spark, sf_dir))
+    return round_doubles(w.withColumn("timestamp", _ntz("timestamp")).select(*WIN_COLS))
+
+
+WIDE_COLS = ["sensor_id", "timestamp"] + [f"{s}_6h" for s in ("mean", "std", "min", "max", "count", "range")]
+
+
+@register("sliding_window_features_wide", _with(S.silver_sql(), S.sliding_sql("silver", 6, "hour", "6h"))
+          + f"SELECT {S.rounded_select(WIDE_COLS, set(WIDE_COLS) - {'sensor_id', 'timestamp', 'count_6h'})} FROM slid")
+def q_sliding_wide(spark, sf_dir):
+    w = WF.window_aggregate(events_silver(spark, sf_dir), duration="6 hours", slide="1 hour", suffix="6h")
+    return round_doubles(w.withColumn("timestamp", _ntz("timestamp")).select(*WIDE_COLS))
+
+
+# ---------------------------------------------------------------- anomaly-table queries (rule-flagged)
+@register("alerts", _with(S.silver_sql(), S.ANOMS_SQL) + """SELECT id, sensor_id, "timestamp", anomaly_score,
+  printf('ANOMALY DETECTED - Sensor: %s, Score: %.3f', sensor_id, anomaly_score) AS message
+FROM anoms WHERE is_anomaly""")
+def q_alerts(spark, sf_dir):
+    a = SV.alerts(rule_anomalies(events_silver(spark, sf_dir)))
+    return a.select("id", "sensor_id", "timestamp", "anomaly_score", "message")
+
+
+@register("recent_anomalies", _with(S.silver_sql(), S.ANOMS_SQL) + """SELECT id, sensor_id, "timestamp",
+  anomaly_score, confidence FROM anoms WHERE is_anomaly ORDER BY "timestamp" DESC, id DESC LIMIT 20""")
+def q_recent_anomalies(spark, sf_dir):
+    a = SV.recent_anomalies(rule_anomalies(events_silver(spark, sf_dir)), 20)
+    return a.select("id", "sensor_id", "timestamp", "anomaly_score", "confidence")
+
+
+@register("anomaly_history", _with(S.silver_sql(), S.ANOMS_SQL) + """SELECT sensor_id,
+  date_trunc('day', "timestamp") AS period, count(*) AS predictions,
+  count(*) FILTER (WHERE is_anomaly) AS anomalies,
+  round(count(*) FILTER (WHERE is_anomaly) / count(*), 6) AS anomaly_rate
+FROM anoms GROUP BY sensor_id, date_trunc('day', "timestamp")""")
+def q_anomaly_history(spark, sf_dir):
+    h = Q.anomaly_history(rule_anomalies(events_silver(spark, sf_dir)))
+    return round_doubles(h.withColumn("period", _ntz("period")))
+
+
+@register("confusion", _with(S.silver_sql()) + """, lab AS (
+  SELECT s.sensor_type, NOT s.is_valid AS predicted,
+         (s.cleaned_value < d.lo OR s.cleaned_value > d.hi) AS actual
+  FROM silver s JOIN dim d USING (sensor_id))
+SELECT sensor_type, count(*) FILTER (WHERE predicted AND actual) AS tp,
+  count(*) FILTER (WHERE predicted AND NOT actual) AS fp,
+  count(*) FILTER (WHERE NOT predicted AND actual) AS fn,
+  count(*) FILTER (WHERE NOT predicted AND NOT actual) AS tn,
+  round(CASE WHEN count(*) FILTER (WHERE predicted) > 0
+    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE predicted) END, 6) AS "precision",
+  round(CASE WHEN count(*) FILTER (WHERE actual) > 0
+    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE actual) END, 6) AS recall
+FROM lab GROUP BY sensor_type""")
+def q_confusion(spark, sf_dir):
+    s = events_silver(spark, sf_dir)
+    r = type_ranges(spark)
+    lab = s.join(F.broadcast(r), s.sensor_type == r.type, "inner").select(
+        "sensor_type", (~F.col("is_valid")).alias("predicted"),
+        ((F.col("cleaned_value") < F.col("range_min")) | (F.col("cleaned_value") > F.col("range_max"))).alias("actual"))
+    return round_doubles(Q.confusion(lab, "predicted", "actual", by=["sensor_type"]))
+
+
+# ---------------------------------------------------------------- README-declared operators
+def _gappy(spark, sf_dir):
+    s = events_silver(spark, sf_dir)
+    return s.select("id", "sensor_id", "event_timestamp",
+                    F.when(F.col("is_valid"), F.col("cleaned_value")).alias("value"))
+
+
+GAPPY_SQL = "gappy AS (SELECT id, sensor_id, event_timestamp, CASE WHEN is_valid THEN cleaned_value END AS value FROM silver)"
+
+
+@register("forward_fill", _with(S.silver_sql(), GAPPY_SQL) + """SELECT id, sensor_id, event_timestamp, value,
+  last_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY event_timestamp, id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled_value FROM gappy""")
+def q_forward_fill(spark, sf_dir):
+    return Q.forward_fill(_gappy(spark, sf_dir)).select("id", "sensor_id", "event_timestamp", "value", "filled_value")
+
+
+@register("interpolate", _with(S.silver_sql(), GAPPY_SQL) + """, pts AS (
+  SELECT *, epoch_us(event_timestamp) / 1e6 AS t,
+    last_value(CASE WHEN value IS NOT NULL THEN epoch_us(event_timestamp) / 1e6 END IGNORE NULLS)
+      OVER (PARTITION BY sensor_id ORDER BY event_timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pt,
+    last_value(value IGNORE NULLS)
+      OVER (PARTITION BY sensor_id ORDER BY event_timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
+    first_value(CASE WHEN value IS NOT NULL THEN epoch_us(event_timestamp) / 1e6 END IGNORE NULLS)
+      OVER (PARTITION BY sensor_id ORDER BY event_timestamp, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nt,
+    first_value(value IGNORE NULLS)
+      OVER (PARTITION BY sensor_id ORDER BY event_timestamp, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv
+  FROM gappy)
+SELECT id, sensor_id, event_timestamp, value,
+  round(CASE WHEN value IS NOT NULL THEN value WHEN nt - pt = 0 THEN pv
+        ELSE pv + (nv - pv) * (t - pt) / (nt - pt) END, 6) AS interpolated_value
+FROM pts""")
+def q_interpolate(spark, sf_dir):
+    out = Q.interpolate(_gappy(spark, sf_dir))
+    return round_doubles(out.select("id", "sensor_id", "event_timestamp", "value", "interpolated_value"))
+
+
+@register("clip_outliers", _with(S.silver_sql()) + """SELECT s.id, s.sensor_id, s.cleaned_value,
+  CASE WHEN d.lo IS NULL THEN s.cleaned_value
+       ELSE least(greatest(s.cleaned_value, d.lo * 0.5), d.hi * 1.5) END AS clipped_value
+FROM silver s LEFT JOIN dim d USING (sensor_id)""")
+def q_clip_outliers(spark, sf_dir):
+    dim, n = sensor_dimension(spark)
+    d = dim.select("sensor_id", F.col("normal_range.min").alias("range_min"),
+                   F.col("normal_range.max").alias("range_max"))
+    s = J.lookup_join(events_silver(spark, sf_dir), d, "sensor_id", "left", dim_rows=n)
+    return Q.clip_to_range(s).select("id", "sensor_id", "cleaned_value", "clipped_value")
+
+
+@register("sensor_correlation", _with(S.silver_sql()) + """, ps AS (
+  SELECT sensor_id, sensor_type, date_trunc('hour', event_timestamp) AS bucket, avg(cleaned_value) AS x
+  FROM silver WHERE is_valid GROUP BY ALL),
+pg AS (SELECT sensor_type, date_trunc('hour', event_timestamp) AS bucket, avg(cleaned_value) AS y
+  FROM silver WHERE is_valid GROUP BY ALL)
+SELECT sensor_id, sensor_type, round(corr(x, y), 6) AS corr_to_group, count(*) AS points
+FROM ps JOIN pg USING (sensor_type, bucket) GROUP BY sensor_id, sensor_type HAVING count(*) >= 3""")
+def q_sensor_correlation(spark, sf_dir):
+    s = silv.valid_only(events_silver(spark, sf_dir))
+    return round_doubles(Q.correlation_to_group(s))
+
+
+@register("ingest_rate", """SELECT date_trunc('hour', ts) AS interval_start, count(*) AS readings
+FROM events GROUP BY 1""")
+def q_ingest_rate(spark, sf_dir):
+    r = WF.tumbling_counts(event_readings(spark, sf_dir), "timestamp", "1 hour")
+    return r.select(_ntz("interval_start").alias("interval_start"), "readings")
+
+
+@register("latency_percentiles", """WITH lat AS (
+  SELECT (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 3.6e9 AS latency_hours
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT count(*) AS pairs, round(quantile_cont(latency_hours, 0.5), 6) AS p50_hours,
+  round(quantile_cont(latency_hours, 0.95), 6) AS p95_hours FROM lat""")
+def q_latency(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    lat = li.join(od, li.l_orderkey == od.o_orderkey).select(
+        ((F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+          - F.unix_micros(F.col("o_orderdate").cast("timestamp"))) / F.lit(3.6e9)).alias("latency_hours"))
+    lat = lat.checkpoint(eager=True)  # reused by the count and both quantiles
+    n = lat.count()
+    p50, p95 = TR.exact_quantiles(lat, "latency_hours", [0.5, 0.95])
+    return spark.createDataFrame([(n, None if p50 is None else round(p50, 6), None if p95 is None else round(p95, 6))],
+                                 "pairs BIGINT, p50_hours DOUBLE, p95_hours DOUBLE")
+
+
+@register("retention", _with(S.READINGS_SQL) + """SELECT id, sensor_id, event_timestamp FROM readings
+WHERE event_timestamp >= (SELECT max(event_timestamp) FROM readings) - INTERVAL 7 DAY""")
+def q_retention(spark, sf_dir):
+    r = event_readings(spark, sf_dir).withColumnRenamed("timestamp", "event_timestamp")
+    return Q.retain_recent(r, "event_timestamp", 7).select("id", "sensor_id", "event_timestamp")
+
+
+CUSTOM_WINDOWS, CUSTOM_LAGS, CUSTOM_HISTORY = (3, 7, 15), (1, 4), 30
+CUSTOM_COLS = ["sensor_id", "n", "mean", "std", "min", "max", "range", "skewness", "kurtosis",
+               *[f"lag_{k}" for k in CUSTOM_LAGS],
+               *[f"rolling_{s}_{w}" for w in CUSTOM_WINDOWS for s in ("mean", "std", "max", "min")],
+               "trend_slope", "last_change", "change_rate"]
+
+
+@register("features_custom_windows",
+          _with(S.silver_sql(), S.snapshot_sql(max_history=CUSTOM_HISTORY, windows=CUSTOM_WINDOWS, lags=CUSTOM_LAGS))
+          + f"SELECT {S.rounded_select(CUSTOM_COLS, set(CUSTOM_COLS) - {'sensor_id', 'n'})} FROM snap")
+def q_features_custom(spark, sf_dir):
+    f = feat.snapshot_features(events_silver(spark, sf_dir), max_history=CUSTOM_HISTORY,
+                               windows=CUSTOM_WINDOWS, lags=CUSTOM_LAGS)
+    return round_doubles(f.select(*CUSTOM_COLS))

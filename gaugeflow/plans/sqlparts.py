@@ -14,13 +14,15 @@ def _d(x: float) -> str:
 
 
 def dim_values_sql() -> str:
-    ref = ", ".join(f"('{s}', {_d(lo)}, {_d(hi)})" for s, _t, _l, lo, hi, _u in fixed.REFERENCE_SENSORS)
+    ref = ", ".join(f"('{s}', '{t}', '{loc}', '{u}', {_d(lo)}, {_d(hi)})"
+                    for s, t, loc, lo, hi, u in fixed.REFERENCE_SENSORS)
     types = ", ".join(f"('{t}', {_d(lo)}, {_d(hi)})" for t, lo, hi in fixed.EVENT_TYPE_RANGES)
     return (
         "dim AS (\n"
-        f"  SELECT t.type || '_' || CAST(z.range AS VARCHAR) AS sensor_id, t.lo, t.hi\n"
+        "  SELECT t.type || '_' || CAST(z.range AS VARCHAR) AS sensor_id, t.type AS type,\n"
+        "         'zone_' || CAST(z.range AS VARCHAR) AS location, 'u' AS unit, t.lo, t.hi\n"
         f"  FROM (VALUES {types}) t(type, lo, hi), range({fixed.EVENT_ZONES}) z\n"
-        f"  UNION ALL SELECT * FROM (VALUES {ref}) r(sensor_id, lo, hi))"
+        f"  UNION ALL SELECT * FROM (VALUES {ref}) r(sensor_id, type, location, unit, lo, hi))"
     )
 
 
@@ -45,7 +47,7 @@ flags AS (
     coalesce(NOT isnan(r.value) AND (r.value < d.lo * {_d(fixed.EXTREME_LOW)}
                                      OR r.value > d.hi * {_d(fixed.EXTREME_HIGH)}), false) AS r_xtr,
     coalesce(NOT isnan(r.value) AND abs(r.value) > {_d(fixed.MAGNITUDE_LIMIT)}, false) AS r_mag
-  FROM readings r LEFT JOIN dim d USING (sensor_id)),
+  FROM readings r LEFT JOIN (SELECT sensor_id, lo, hi FROM dim) d USING (sensor_id)),
 q1 AS (SELECT *, CASE WHEN r_ext THEN {_d(1.0)} * {_d(fixed.EXTENDED_FACTOR)} ELSE {_d(1.0)} END AS q1 FROM flags),
 q2 AS (SELECT *, CASE WHEN r_xtr THEN q1 * {_d(fixed.EXTREME_FACTOR)} ELSE q1 END AS q2 FROM q1),
 silver AS (
@@ -92,3 +94,82 @@ def rounded_select(cols: list[str], doubles: set[str], places: int = 6) -> str:
         q = f'"{c}"'
         out.append(f"round({q}, {places}) AS {q}" if c in doubles else q)
     return ", ".join(out)
+
+
+def over(partition: str, order: str, frame: str = "") -> str:
+    return f"OVER (PARTITION BY {partition} ORDER BY {order} {frame})"
+
+
+def history_sql(source: str = "silver", valid_only: bool = True, windows=fixed.ROLLING_WINDOWS,
+                lags=fixed.LAGS, order: str = "event_timestamp, id") -> str:
+    """CTE hist: per-row lags, rolling stats (gated on position >= w), last_change."""
+    where = "WHERE is_valid" if valid_only else ""
+    o = over("sensor_id", order)
+    cols = [f"lag(v, {k}) {o} AS lag_{k}" for k in lags]
+    for w in windows:
+        fr = over("sensor_id", order, f"ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW")
+        for fn, nm in (("avg", "mean"), ("stddev_pop", "std"), ("max", "max"), ("min", "min")):
+            cols.append(f"CASE WHEN pos >= {w} THEN {fn}(v) {fr} END AS rolling_{nm}_{w}")
+    cols.append(f"v - lag(v, 1) {o} AS last_change")
+    return f"""hbase AS (
+  SELECT sensor_id, event_timestamp, id, cleaned_value AS v, row_number() {o} AS pos
+  FROM {source} {where}),
+hist AS (
+  SELECT sensor_id, event_timestamp, id, pos, v AS value,
+    {(','+chr(10)+'    ').join(cols)}
+  FROM hbase)"""
+
+
+def expanding_sql(source: str = "silver", windows=fixed.ROLLING_WINDOWS, lags=fixed.LAGS,
+                  order: str = "event_timestamp, id", min_prefix: int = fixed.MIN_ROWS_FEATURES + 1,
+                  min_rows: int = fixed.MIN_ROWS_TRAIN_SENSOR) -> str:
+    """CTE expd: one feature vector per prefix (all rows kept, invalid included)."""
+    o = over("sensor_id", order)
+    g = over("sensor_id", order, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    cols = [f"avg(v) {g} AS \"mean\"", f"stddev_pop(v) {g} AS std", f"min(v) {g} AS \"min\"",
+            f"max(v) {g} AS \"max\"", f"max(v) {g} - min(v) {g} AS \"range\"",
+            f"coalesce(skewness(v) {g}, 0.0) AS skewness", f"coalesce(kurtosis(v) {g}, 0.0) AS kurtosis"]
+    cols += [f"lag(v, {k}) {o} AS lag_{k}" for k in lags]
+    for w in windows:
+        fr = over("sensor_id", order, f"ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW")
+        for fn, nm in (("avg", "mean"), ("stddev_pop", "std"), ("max", "max"), ("min", "min")):
+            cols.append(f"CASE WHEN pos >= {w} THEN {fn}(v) {fr} END AS rolling_{nm}_{w}")
+    cols += [f"CASE WHEN pos >= {fixed.MIN_ROWS_TREND} THEN regr_slope(v, CAST(pos AS DOUBLE)) {g} END AS trend_slope",
+             f"v - lag(v, 1) {o} AS last_change",
+             f"(v - first_value(v) {g}) / pos AS change_rate"]
+    return f"""ebase AS (
+  SELECT sensor_id, event_timestamp, id, cleaned_value AS v, row_number() {o} AS pos,
+         count(*) OVER (PARTITION BY sensor_id) AS len
+  FROM {source}),
+expd_all AS (
+  SELECT sensor_id, event_timestamp, id, pos AS n,
+    {(','+chr(10)+'    ').join(cols)}
+  FROM ebase WHERE len >= {min_rows}),
+expd AS (SELECT * FROM expd_all WHERE n >= {min_prefix})"""
+
+
+def nan_to_num_sql(c: str) -> str:
+    q = f'"{c}"'
+    return (f"CASE WHEN {q} IS NULL OR isnan({q}) THEN 0.0 WHEN {q} = 'inf'::DOUBLE THEN {fixed.DOUBLE_MAX!r} "
+            f"WHEN {q} = '-inf'::DOUBLE THEN -{fixed.DOUBLE_MAX!r} ELSE {q} END")
+
+
+def sliding_sql(source: str, duration_units: int, unit: str, suffix: str) -> str:
+    """CTE slid: sliding windows of duration_units x 1 unit, slide 1 unit."""
+    to_fn = {"minute": "to_minutes", "hour": "to_hours"}[unit]
+    return f"""wexp AS (
+  SELECT s.sensor_id, s.cleaned_value AS v,
+         time_bucket(INTERVAL 1 {unit.upper()}, s.event_timestamp) - {to_fn}(CAST(k.range AS INTEGER)) AS wstart
+  FROM {source} s, range({duration_units}) k WHERE s.is_valid),
+slid AS (
+  SELECT sensor_id, avg(v) AS mean_{suffix}, stddev_samp(v) AS std_{suffix}, min(v) AS min_{suffix},
+         max(v) AS max_{suffix}, count(v) AS count_{suffix}, max(v) - min(v) AS range_{suffix},
+         wstart AS "timestamp"
+  FROM wexp GROUP BY sensor_id, wstart)"""
+
+
+ANOMS_SQL = """anoms AS (
+  SELECT id, sensor_id, event_timestamp AS "timestamp", NOT is_valid AS is_anomaly,
+         quality_score - 1.0 AS anomaly_score,
+         least(1.0, greatest(0.0, (abs(quality_score - 1.0) + 0.5) / 1.5)) AS confidence
+  FROM silver)"""
