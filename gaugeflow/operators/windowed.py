@@ -12,7 +12,7 @@ def window_aggregate(silver: DataFrame, time_col: str = "event_timestamp",
                      duration: str = fixed.WINDOW_DURATION, slide: str = fixed.WINDOW_SLIDE,
                      value_col: str = "cleaned_value", key: str = "sensor_id",
                      suffix: str = "5min", valid_only: bool = True,
-                     watermark: str | None = None) -> DataFrame:
+                     watermark: str | None = None, extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """mean, sample std, min, max, count, range per (sensor, sliding window); the window
     start becomes ``timestamp``.
 
@@ -23,7 +23,8 @@ def window_aggregate(silver: DataFrame, time_col: str = "event_timestamp",
     if watermark:
         df = df.withWatermark(time_col, watermark)
     v = F.col(value_col)
-    g = df.groupBy(F.col(key), F.window(F.col(time_col), duration, slide)).agg(
+    g = df.groupBy(F.col(key), *[F.col(c) for c in extra_keys],
+                   F.window(F.col(time_col), duration, slide)).agg(
         F.avg(v).alias(f"mean_{suffix}"),
         F.stddev_samp(v).alias(f"std_{suffix}"),
         F.min(v).alias(f"min_{suffix}"),

@@ -17,6 +17,8 @@ from gaugeflow import fixed
 from gaugeflow.functions import scalar as X
 from gaugeflow.operators import bronze as brz
 from gaugeflow.operators import features as feat
+from gaugeflow.operators import iforest as IF
+from gaugeflow.operators import kmeans as KM
 from gaugeflow.operators import joins as J
 from gaugeflow.operators import quality as Q
 from gaugeflow.operators import silver as silv
@@ -513,3 +515,61 @@ def q_features_custom(spark, sf_dir):
     f = feat.snapshot_features(events_silver(spark, sf_dir), max_history=CUSTOM_HISTORY,
                                windows=CUSTOM_WINDOWS, lags=CUSTOM_LAGS)
     return round_doubles(f.select(*CUSTOM_COLS))
+
+
+# ---------------------------------------------------------------- detectors
+def forest_predictions(spark, sf_dir):
+    """Train on expanding prefixes of all Silver rows, score each sensor's latest snapshot,
+    one prediction per Silver record (records of sensors without complete features drop)."""
+    silver = events_silver(spark, sf_dir)
+    model = IF.train(spark, TR.training_matrix(silver))
+    if model is None:
+        return None, None
+    scored = IF.predict(spark, feat.snapshot_features(silver), model)
+    preds = J.latest_lookup(silver.select("id", "sensor_id", "event_timestamp"),
+                            scored.select("sensor_id", F.lit(0).alias("timestamp"), F.lit(0).alias("id"),
+                                          "is_anomaly", "anomaly_score", "confidence", "model_version"))
+    return model, preds.select("id", "sensor_id", F.col("event_timestamp").alias("timestamp"),
+                               F.col("f_is_anomaly").alias("is_anomaly"),
+                               F.col("f_anomaly_score").alias("anomaly_score"),
+                               F.col("f_confidence").alias("confidence"),
+                               F.col("f_model_version").alias("model_version"))
+
+
+@register("iforest_scores")
+def q_iforest_scores(spark, sf_dir):
+    _model, preds = forest_predictions(spark, sf_dir)
+    return preds
+
+
+@register("kmeans_anomalies")
+def q_kmeans(spark, sf_dir):
+    w = WF.window_aggregate(events_silver(spark, sf_dir))
+    model = KM.fit(w)
+    out = KM.predict(w, model, detection_ts=F.col("timestamp"))
+    return out.select("sensor_id", _ntz("timestamp").alias("timestamp"), "cluster", "is_anomaly",
+                      "anomaly_score", *fixed.KMEANS_COLUMNS)
+
+
+CENTROID_SQL = _with(S.silver_sql(), S.sliding_sql("silver", 6, "hour", "6h")) + """, f AS (
+  SELECT s.*, coalesce(std_6h, 0.0) AS std0, t.sensor_type
+  FROM slid s JOIN (SELECT DISTINCT sensor_id, sensor_type FROM silver) t USING (sensor_id)),
+c AS (SELECT sensor_type AS label, avg(mean_6h) AS cm, avg(std0) AS cs, avg(range_6h) AS cr,
+             avg(CAST(count_6h AS DOUBLE)) AS cc FROM f GROUP BY sensor_type),
+d AS (SELECT f.sensor_id, f."timestamp", c.label,
+        sqrt((mean_6h - cm) * (mean_6h - cm) + (std0 - cs) * (std0 - cs)
+             + (range_6h - cr) * (range_6h - cr) + (count_6h - cc) * (count_6h - cc)) AS distance
+      FROM f, c)
+SELECT sensor_id, "timestamp", label AS nearest, round(distance, 6) AS distance FROM d
+QUALIFY row_number() OVER (PARTITION BY sensor_id, "timestamp" ORDER BY distance, label) = 1"""
+
+
+@register("centroid_distance", CENTROID_SQL)
+def q_centroid_distance(spark, sf_dir):
+    w = WF.window_aggregate(events_silver(spark, sf_dir), duration="6 hours", slide="1 hour",
+                            suffix="6h", extra_keys=("sensor_type",))
+    cols = ["mean_6h", "std_6h", "range_6h", "count_6h"]
+    w = KM.prepare(w, cols)
+    centers = w.groupBy("sensor_type").agg(*[F.avg(c).alias(c) for c in cols])
+    out = KM.nearest_center(w, cols, centers, "sensor_type")
+    return round_doubles(out.select("sensor_id", _ntz("timestamp").alias("timestamp"), "nearest", "distance"))
