@@ -26,7 +26,8 @@ from gaugeflow.operators import training as TR
 from gaugeflow.operators import windowed as WF
 from gaugeflow.plans import serving as SV
 from gaugeflow.plans import sqlparts as S
-from gaugeflow.session import utc
+from gaugeflow.session import scratch_path, utc
+from gaugeflow.streaming import pipeline as SP
 from gaugeflow.sources.adapters import event_readings, lineitem_readings
 from gaugeflow.sources.tables import sensor_dimension, table, type_ranges
 
@@ -573,3 +574,82 @@ def q_centroid_distance(spark, sf_dir):
     centers = w.groupBy("sensor_type").agg(*[F.avg(c).alias(c) for c in cols])
     out = KM.nearest_center(w, cols, centers, "sensor_type")
     return round_doubles(out.select("sensor_id", _ntz("timestamp").alias("timestamp"), "nearest", "distance"))
+
+
+# ---------------------------------------------------------------- streaming (availableNow replays)
+STREAM_OUT = ["sensor_id", "sensor_type", "value", "unit", "timestamp", "location", "source",
+              "is_valid", "cleaned_value", "quality_score"]
+
+
+def _replayed(spark, sf_dir, name: str) -> SP.PipelinePaths:
+    paths = SP.PipelinePaths.under(scratch_path(spark, name))
+    SP.write_replay(event_readings(spark, sf_dir), paths.input_path)
+    return paths
+
+
+@register("stream_silver", _with(S.READINGS_SQL) + """SELECT sensor_id, sensor_type, value, unit,
+  event_timestamp AS "timestamp", location, 'iot_sensors' AS source,
+  coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) AS is_valid,
+  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN value ELSE 0.0 END AS cleaned_value,
+  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN 1.0 ELSE 0.0 END AS quality_score
+FROM readings""")
+def q_stream_silver(spark, sf_dir):
+    paths = _replayed(spark, sf_dir, "stream_silver")
+    SP.ingest_to_bronze(spark, paths).awaitTermination()
+    SP.process_to_silver(spark, paths).awaitTermination()
+    out = spark.read.parquet(paths.silver_path)
+    return out.select(*[_ntz(c).alias(c) if c == "timestamp" else F.col(c) for c in STREAM_OUT])
+
+
+STREAM_WIN_SQL = _with(S.READINGS_SQL) + """, silver AS (
+  SELECT sensor_id, value AS cleaned_value, event_timestamp,
+         coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) AS is_valid FROM readings),
+""" + S.sliding_sql("silver", 5, "minute", "5min") + f"""
+SELECT {S.rounded_select(WIN_COLS, set(WIN_COLS) - {'sensor_id', 'timestamp', 'count_5min'})} FROM slid
+WHERE "timestamp" + INTERVAL 5 MINUTE <= (SELECT max(event_timestamp) FROM readings) - INTERVAL 10 MINUTE"""
+
+
+@register("stream_window_features", STREAM_WIN_SQL)
+def q_stream_window_features(spark, sf_dir):
+    paths = _replayed(spark, sf_dir, "stream_windows")
+    SP.ingest_to_bronze(spark, paths).awaitTermination()
+    SP.process_to_silver(spark, paths).awaitTermination()
+    SP.generate_features(spark, paths).awaitTermination()
+    out = spark.read.parquet(paths.features_path)
+    return round_doubles(out.withColumn("timestamp", _ntz("timestamp")).select(*WIN_COLS))
+
+
+@register("stream_kmeans")
+def q_stream_kmeans(spark, sf_dir):
+    paths = _replayed(spark, sf_dir, "stream_kmeans")
+    SP.run_pipeline(spark, paths)
+    out = spark.read.parquet(paths.anomalies_path)
+    return out.select("sensor_id", _ntz("timestamp").alias("timestamp"), "cluster", "is_anomaly",
+                      "anomaly_score", *fixed.KMEANS_COLUMNS)
+
+
+@register("stream_pipeline")
+def q_stream_pipeline(spark, sf_dir):
+    paths = _replayed(spark, sf_dir, "stream_pipeline")
+    stats = SP.run_pipeline(spark, paths)
+    rows = [(k, v["batches"], v["rows"], v["dropped_by_watermark"]) for k, v in stats.items()]
+    tables = {"bronze": paths.bronze_path, "silver": paths.silver_path,
+              "features": paths.features_path, "anomalies": paths.anomalies_path}
+    counts = None
+    for stage, path in tables.items():
+        c = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("table_rows")).withColumn("stage", F.lit(stage))
+        counts = c if counts is None else counts.unionByName(c)
+    prog = spark.createDataFrame(rows, "stage STRING, batches INT, input_rows BIGINT, dropped_by_watermark BIGINT")
+    return prog.join(counts, "stage")
+
+
+@register("micro_batch")
+def q_micro_batch(spark, sf_dir):
+    root = scratch_path(spark, "micro_batch")
+    replay = f"{root}/replay"
+    r = event_readings(spark, sf_dir)
+    r.repartitionByRange(8, "timestamp").write.parquet(replay)
+    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 2).parquet(replay)
+    dim, n = sensor_dimension(spark)
+    SP.process_batches(spark, stream, dim, n, root).awaitTermination()
+    return spark.read.parquet(f"{root}/features").select("batch_id", "sensor_id", "n", *NAMES)
