@@ -78,7 +78,7 @@ def bag_rows(df: DataFrame, key_cols: list[str], n_rows: int, n_trees: int, psi:
 def _grower(names: list[str], psi: int, seed: int):
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key, pdf):
         tree = int(key[0])
         pdf = pdf.sort_values(["_h", "_rk"], kind="mergesort").head(psi)
         X = pdf[names].to_numpy(dtype=float)

@@ -653,3 +653,43 @@ def q_micro_batch(spark, sf_dir):
     dim, n = sensor_dimension(spark)
     SP.process_batches(spark, stream, dim, n, root).awaitTermination()
     return spark.read.parquet(f"{root}/features").select("batch_id", "sensor_id", "n", *NAMES)
+
+
+# ---------------------------------------------------------------- lineitem series (timing scale)
+LI_ORDER = ("event_timestamp", "ord1", "ord2", "cleaned_value", "id")
+
+
+def lineitem_silver(spark, sf_dir):
+    dim, n = sensor_dimension(spark)
+    return silv.silver_range(lineitem_readings(spark, sf_dir), dim, dim_rows=n,
+                             processed_ts=F.col("timestamp"), passthrough=("ord1", "ord2"))
+
+
+@register("features_snapshot_lineitem",
+          _with(S.silver_sql(S.LINEITEM_READINGS_SQL),
+                S.snapshot_sql(order_desc="event_timestamp DESC, ord1 DESC, ord2 DESC, cleaned_value DESC"))
+          + f"SELECT {S.rounded_select(SNAPSHOT_COLS, SNAPSHOT_DOUBLES)} FROM snap")
+def q_features_snapshot_lineitem(spark, sf_dir):
+    f = feat.snapshot_features(lineitem_silver(spark, sf_dir), order_cols=LI_ORDER)
+    return round_doubles(f.select(*SNAPSHOT_COLS))
+
+
+LI_EXP_COLS = ["sensor_id", "event_timestamp", "ord1", "ord2", "n"] + NAMES
+
+
+@register("features_expanding_lineitem",
+          _with(S.silver_sql(S.LINEITEM_READINGS_SQL),
+                S.expanding_sql(order="event_timestamp, ord1, ord2, v",
+                                keep="event_timestamp, ord1, ord2"))
+          + f"SELECT {S.rounded_select(LI_EXP_COLS, set(NAMES))} FROM expd")
+def q_features_expanding_lineitem(spark, sf_dir):
+    e = feat.expanding_features(lineitem_silver(spark, sf_dir), order_cols=LI_ORDER)
+    return round_doubles(e.withColumn("n", F.col("n").cast("long")).select(*LI_EXP_COLS))
+
+
+@register("sliding_window_features_lineitem",
+          _with(S.silver_sql(S.LINEITEM_READINGS_SQL), S.sliding_sql("silver", 6, "hour", "6h"))
+          + f"SELECT {S.rounded_select(WIDE_COLS, set(WIDE_COLS) - {'sensor_id', 'timestamp', 'count_6h'})} FROM slid")
+def q_sliding_lineitem(spark, sf_dir):
+    w = WF.window_aggregate(lineitem_silver(spark, sf_dir), duration="6 hours", slide="1 hour", suffix="6h")
+    return round_doubles(w.withColumn("timestamp", _ntz("timestamp")).select(*WIDE_COLS))

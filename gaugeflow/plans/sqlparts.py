@@ -36,9 +36,18 @@ READINGS_SQL = f"""readings AS (
   FROM events)"""
 
 
-def silver_sql() -> str:
+LINEITEM_READINGS_SQL = """readings AS (
+  SELECT 'supp_' || CAST(l_suppkey AS VARCHAR) AS sensor_id, 'lineitem' AS sensor_type,
+         l_quantity AS value, 'units' AS unit, l_shipdate AS event_timestamp, l_returnflag AS location,
+         CAST(l_orderkey AS VARCHAR) AS meta_k, l_orderkey AS ord1, l_linenumber AS ord2,
+         CAST(0 AS BIGINT) AS id
+  FROM lineitem)"""
+
+
+def silver_sql(readings_sql: str = READINGS_SQL) -> str:
     """CTEs readings, dim, flags, silver (range rules)."""
-    return f"""{READINGS_SQL},
+    extra = ", ord1, ord2" if "ord1" in readings_sql else ""
+    return f"""{readings_sql},
 {dim_values_sql()},
 flags AS (
   SELECT r.*,
@@ -54,12 +63,13 @@ silver AS (
   SELECT id, sensor_id, sensor_type, value AS cleaned_value, value AS original_value,
          NOT r_xtr AS is_valid,
          CASE WHEN r_mag THEN q2 * {_d(fixed.MAGNITUDE_FACTOR)} ELSE q2 END AS quality_score,
-         location, unit, meta_k, event_timestamp
+         location, unit, meta_k, event_timestamp{extra}
   FROM q2)"""
 
 
 def snapshot_sql(source: str = "silver", max_history: int = fixed.MAX_HISTORY,
-                 valid_only: bool = True, windows=fixed.ROLLING_WINDOWS, lags=fixed.LAGS) -> str:
+                 valid_only: bool = True, windows=fixed.ROLLING_WINDOWS, lags=fixed.LAGS,
+                 order_desc: str = "event_timestamp DESC, id DESC") -> str:
     """CTEs ranked, capped, snap: the 30 snapshot features per sensor (unrounded)."""
     where = "WHERE is_valid" if valid_only else ""
     lag_cols = ",\n    ".join(f"max(CASE WHEN rn = {k + 1} THEN v END) AS lag_{k}" for k in lags)
@@ -73,7 +83,7 @@ def snapshot_sql(source: str = "silver", max_history: int = fixed.MAX_HISTORY,
     cap = f"WHERE rn <= {max_history}" if max_history else ""
     return f"""ranked AS (
   SELECT sensor_id, cleaned_value AS v,
-         row_number() OVER (PARTITION BY sensor_id ORDER BY event_timestamp DESC, id DESC) AS rn
+         row_number() OVER (PARTITION BY sensor_id ORDER BY {order_desc}) AS rn
   FROM {source} {where}),
 capped AS (SELECT * FROM ranked {cap}),
 snap AS (
@@ -122,7 +132,7 @@ hist AS (
 
 def expanding_sql(source: str = "silver", windows=fixed.ROLLING_WINDOWS, lags=fixed.LAGS,
                   order: str = "event_timestamp, id", min_prefix: int = fixed.MIN_ROWS_FEATURES + 1,
-                  min_rows: int = fixed.MIN_ROWS_TRAIN_SENSOR) -> str:
+                  min_rows: int = fixed.MIN_ROWS_TRAIN_SENSOR, keep: str = "event_timestamp, id") -> str:
     """CTE expd: one feature vector per prefix (all rows kept, invalid included)."""
     o = over("sensor_id", order)
     g = over("sensor_id", order, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
@@ -138,11 +148,11 @@ def expanding_sql(source: str = "silver", windows=fixed.ROLLING_WINDOWS, lags=fi
              f"v - lag(v, 1) {o} AS last_change",
              f"(v - first_value(v) {g}) / pos AS change_rate"]
     return f"""ebase AS (
-  SELECT sensor_id, event_timestamp, id, cleaned_value AS v, row_number() {o} AS pos,
+  SELECT sensor_id, {keep}, v, row_number() {o} AS pos,
          count(*) OVER (PARTITION BY sensor_id) AS len
-  FROM {source}),
+  FROM (SELECT *, cleaned_value AS v FROM {source})),
 expd_all AS (
-  SELECT sensor_id, event_timestamp, id, pos AS n,
+  SELECT sensor_id, {keep}, pos AS n,
     {(','+chr(10)+'    ').join(cols)}
   FROM ebase WHERE len >= {min_rows}),
 expd AS (SELECT * FROM expd_all WHERE n >= {min_prefix})"""
