@@ -20,6 +20,19 @@ from pyspark.sql import functions as F
 from gaugeflow import fixed
 from gaugeflow.functions.scalar import sample_kurtosis, sample_skewness
 
+# Above this many rows in one sensor, per-sensor windows switch to the blocked plan
+# (bounded pieces per task). Checked with one partial aggregation over the series.
+SINGLE_TASK_ROWS = 2_000_000
+
+
+def _use_blocked(df: DataFrame, key: str, method: str) -> bool:
+    if method == "blocked":
+        return True
+    if method == "window":
+        return False
+    from gaugeflow.operators.blocked import max_rows_per_key
+    return max_rows_per_key(df, key) > SINGLE_TASK_ROWS
+
 
 def _series(silver: DataFrame, value_col: str, valid_only: bool) -> DataFrame:
     df = silver.where(F.col("is_valid")) if valid_only and "is_valid" in silver.columns else silver
@@ -89,10 +102,19 @@ def snapshot_features(silver: DataFrame, max_history: int | None = fixed.MAX_HIS
 def history_features(silver: DataFrame, valid_only: bool = True,
                      order_cols: tuple[str, ...] = ("event_timestamp", "id"),
                      value_col: str = "cleaned_value", key: str = "sensor_id",
-                     windows=tuple(fixed.ROLLING_WINDOWS), lags=tuple(fixed.LAGS)) -> DataFrame:
+                     windows=tuple(fixed.ROLLING_WINDOWS), lags=tuple(fixed.LAGS),
+                     method: str = "auto", block_rows: int | None = None) -> DataFrame:
     """Per-row lags, rolling mean/std/max/min over the last w rows (present once w rows
-    exist), last_change and position in the series."""
+    exist), last_change and position in the series.
+
+    ``method``: "window" (one window per sensor), "blocked" (bounded pieces, see
+    ``blocked``), or "auto" (blocked when some sensor exceeds SINGLE_TASK_ROWS)."""
     df = _series(silver, value_col, valid_only)
+    if _use_blocked(df, key, method):
+        from gaugeflow.operators import blocked as B
+        return B.history_features_blocked(df.select(key, *order_cols, "v"), key, list(order_cols),
+                                          order_cols[0], windows, lags,
+                                          block_rows=block_rows or B.BLOCK_ROWS)
     order = [F.col(c) for c in order_cols]
     w = Window.partitionBy(key).orderBy(*order)
     pos = F.row_number().over(w)
@@ -117,15 +139,23 @@ def expanding_features(series: DataFrame, min_prefix: int = fixed.MIN_ROWS_FEATU
                        value_col: str = "cleaned_value", key: str = "sensor_id",
                        windows=tuple(fixed.ROLLING_WINDOWS), lags=tuple(fixed.LAGS),
                        trend_min: int = fixed.MIN_ROWS_TREND,
-                       valid_only: bool = False) -> DataFrame:
+                       valid_only: bool = False, method: str = "auto",
+                       block_rows: int | None = None) -> DataFrame:
     """One feature vector per prefix (length >= ``min_prefix``) of each sensor's series,
     for sensors with at least ``min_sensor_rows`` rows.
 
     All features are window aggregates over ``rowsBetween(unboundedPreceding, 0)``
     (incremental running frames) or ``rowsBetween(-(w-1), 0)``: one shuffle by sensor
-    and one sort, instead of recomputing each prefix.
+    and one sort, instead of recomputing each prefix. When a sensor is too large for one
+    task (``method="auto"`` checks) the blocked plan computes the same columns from
+    bounded (sensor, block) pieces.
     """
     df = _series(series, value_col, valid_only)
+    if _use_blocked(df, key, method):
+        from gaugeflow.operators import blocked as B
+        return B.expanding_features_blocked(
+            df.select(key, *order_cols, "v"), key, list(order_cols), order_cols[0], min_prefix,
+            min_sensor_rows, windows, lags, trend_min, block_rows=block_rows or B.BLOCK_ROWS)
     order = [F.col(c) for c in order_cols]
     w = Window.partitionBy(key).orderBy(*order)
     grow = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +27,14 @@ from gaugeflow import fixed
 from gaugeflow.functions.scalar import confidence
 from gaugeflow.operators.training import apply_scaler, exact_quantiles, fit_scaler
 
+# The Arrow functions below run in Python workers; ship this module's code with them so
+# executors need no installed copy of the package (works with any driver working dir).
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - very old cloudpickle
+    pass
+
 EULER_GAMMA = 0.5772156649015329
 
 NODE_SCHEMA = T.StructType([
@@ -185,13 +194,12 @@ def train(spark: SparkSession, matrix: DataFrame, names: list[str] | None = None
     """Scaler + forest + offset from a training matrix; None with too few vectors.
 
     The matrix feeds four passes (count, scaler, bagging, training scores), so it is
-    materialised once with a reliable checkpoint in the session's shared checkpoint folder.
+    materialised once as a Parquet table in the session's shared checkpoint folder.
     """
     names = names or fixed.feature_names()
     if cut_lineage:
-        from gaugeflow.session import ensure_shared_dir
-        ensure_shared_dir(spark)
-        matrix = matrix.select(*key_cols, *names).checkpoint(eager=True)
+        from gaugeflow.session import materialize
+        matrix = materialize(matrix.select(*key_cols, *names), "forest-train")
     n_rows = matrix.count()
     if n_rows < min_vectors:
         return None
@@ -201,7 +209,7 @@ def train(spark: SparkSession, matrix: DataFrame, names: list[str] | None = None
     model = ForestModel(names, scaler, nodes, min(psi, n_rows), n_trees,
                         contamination=contamination, version=version, trained_rows=n_rows)
     scores = score_samples(spark, scaled, model)
-    model.offset = exact_quantiles(scores, "score_samples", [contamination])[0]
+    model.offset = exact_quantiles(scores, "score_samples", [contamination], n=n_rows)[0]
     return model
 
 

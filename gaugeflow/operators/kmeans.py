@@ -39,14 +39,23 @@ def prepare(features: DataFrame, columns: list[str] = fixed.KMEANS_COLUMNS,
 
 
 def fit(features: DataFrame, columns: list[str] = fixed.KMEANS_COLUMNS, k: int = fixed.KMEANS_K,
-        seed: int = fixed.FOREST_SEED, handle_invalid: str = "error") -> ClusterModel:
-    df = prepare(features, columns)
+        seed: int = fixed.FOREST_SEED, handle_invalid: str = "error",
+        materialize_input: bool = True) -> ClusterModel:
+    """Fit on the feature table. K-means makes ~20 passes over its input, so the (pruned)
+    input is first written once as a Parquet table in the shared checkpoint folder and
+    cached: iterations re-read compact columns instead of recomputing the window plan."""
+    df = prepare(features, columns).select(*columns)
+    if materialize_input:
+        from gaugeflow.session import materialize
+        df = materialize(df, "kmeans-train").persist()
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=columns, outputCol="features", handleInvalid=handle_invalid),
         StandardScaler(inputCol="features", outputCol="scaled_features"),
         KMeans(featuresCol="scaled_features", k=k, predictionCol="cluster", seed=seed),
     ])
     model = pipe.fit(df)
+    if materialize_input:
+        df.unpersist()
     summary = model.stages[-1].summary
     sizes = summary.clusterSizes  # computed during fit, k numbers
     normal = max(range(len(sizes)), key=lambda i: (sizes[i], -i))

@@ -47,7 +47,7 @@ def standardize_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return apply_scaler(df, fit_scaler(df, names))
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], n: int | None = None) -> list[float | None]:
     """Exact quantiles with linear interpolation (numpy 'linear', SQL percentile_cont).
 
     Small inputs: Spark's exact ``percentile``. Large inputs: a distributed selection —
@@ -57,7 +57,8 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float | No
     """
     x = F.col(col)
     base = df.select(x.cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    n = base.count()
+    if n is None:
+        n = base.count()  # callers that know the (non-NULL) row count skip this pass
     if n == 0:
         return [None for _ in qs]
     if n <= EXACT_DIRECT_LIMIT:

@@ -305,6 +305,21 @@ def q_features_expanding(spark, sf_dir):
     return round_doubles(events_expanding(spark, sf_dir).select(*EXP_COLS))
 
 
+# The skew-proof plan, forced on with small blocks so every sensor spans several blocks.
+@register("features_expanding_blocked", _with(S.silver_sql(), S.expanding_sql())
+          + f"SELECT {S.rounded_select(EXP_COLS, set(NAMES))} FROM expd")
+def q_features_expanding_blocked(spark, sf_dir):
+    e = feat.expanding_features(events_silver(spark, sf_dir), method="blocked", block_rows=64)
+    return round_doubles(e.withColumn("n", F.col("n").cast("long")).select(*EXP_COLS))
+
+
+@register("features_history_blocked", _with(S.silver_sql(), S.history_sql())
+          + f"SELECT {S.rounded_select(HIST_COLS, HIST_DOUBLES)} FROM hist")
+def q_features_history_blocked(spark, sf_dir):
+    h = feat.history_features(events_silver(spark, sf_dir), method="blocked", block_rows=64)
+    return round_doubles(h.withColumn("pos", F.col("pos").cast("long")).select(*HIST_COLS))
+
+
 def _matrix_sql() -> str:
     filled = ", ".join(f'{S.nan_to_num_sql(c)} AS "{c}"' for c in NAMES)
     return f"mat AS (SELECT sensor_id, event_timestamp, id, n, {filled} FROM expd)"

@@ -66,3 +66,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def utc(spark: SparkSession) -> None:
     """Pin the session time zone; all event times are UTC wall clock."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads files instead of recomputing the plan)
+    and gives later passes a columnar, pushdown-capable scan. Never machine-local on a
+    cluster: the folder is the one the session names in ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
