@@ -72,7 +72,8 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
     """Same output as ``features.expanding_features`` (series has key, order_cols, v)."""
     stats = series.groupBy(key).agg(F.count(F.lit(1)).alias("_len"), F.avg("v").alias("_K"))
     stats = stats.where(F.col("_len") >= min_sensor_rows)
-    df = series.join(stats, key, "inner")          # one row per sensor on the small side
+    from gaugeflow.operators.joins import lookup_join
+    df = lookup_join(series, stats, key, "inner")  # one row per sensor: broadcast if bounded
     df = global_positions(df, key, order_cols, time_col, bucket_unit)
     halo = max(max(windows) - 1, max(lags))
     df = _with_halo(df, block_rows, halo)

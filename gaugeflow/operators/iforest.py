@@ -1,9 +1,10 @@
 """Isolation Forest on Spark (Liu, Ting & Zhou, ICDM 2008).
 
-* Bagging in SQL: each row joins tree t when a seeded 64-bit hash of (row key, t) falls
-  under an inclusion rate of about 1.5 * psi / N; a second, differently salted hash orders
-  each tree's candidates and the first psi are kept (sampling without replacement,
-  deterministic, independent of partitioning). No n x T explosion, no driver sampling.
+* Bagging in SQL: one seeded 64-bit hash per row keeps a candidate pool of about
+  T * 1.5 psi rows; a pool row joins tree t when a hash of (row key, t) falls under the
+  per-tree rate; a third, differently salted hash orders each tree's candidates and the
+  first psi are kept (sampling without replacement, deterministic, independent of
+  partitioning). No n x T explosion, no driver-side sampling.
 * Growing: ``groupBy(tree).applyInPandas`` — each task grows one tree from <= psi rows.
 * Model: a node table of at most T * (2 psi - 1) rows (51,100 for 100 trees of 256), the
   only thing collected and broadcast: its size is bounded by the parameters, not the data.
@@ -72,11 +73,20 @@ class ForestModel:
 
 def bag_rows(df: DataFrame, key_cols: list[str], n_rows: int, n_trees: int, psi: int,
              seed: int) -> DataFrame:
-    """(tree, row) pairs: about 1.5 psi candidates per tree by hash, first psi by a second hash."""
-    rk = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
+    """(tree, row) pairs: about 1.5 psi candidates per tree by hash, first psi by a second hash.
+
+    A single hash first keeps a candidate pool of about T * (1.5 psi + 32) rows (one
+    codegen'd hash per row, the only full-data work); the per-tree draws then run on the
+    pool only. Each tree's sample is still a uniform sample of all rows."""
     modulus = 10 ** 15  # fine enough for a per-row rate of psi / N at any realistic N
-    rate = min(modulus, int(math.ceil(modulus * min(1.0, 1.5 * psi / max(n_rows, 1) + 32.0 / max(n_rows, 1)))))
+    p = min(1.0, (1.5 * psi + 32.0) / max(n_rows, 1))
+    pool = min(1.0, n_trees * p)
+    rk = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
     with_key = df.withColumn("_rk", rk)
+    if pool < 1.0:
+        keep = int(math.ceil(modulus * pool))
+        with_key = with_key.where(F.pmod(F.xxhash64(F.col("_rk"), F.lit(seed + 1)), F.lit(modulus)) < F.lit(keep))
+    rate = min(modulus, int(math.ceil(modulus * min(1.0, p / pool))))
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                      lambda t: F.pmod(F.xxhash64(F.col("_rk"), t, F.lit(seed)), F.lit(modulus)) < F.lit(rate))
     ex = with_key.withColumn("tree", F.explode(trees))
