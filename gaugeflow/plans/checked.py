@@ -28,7 +28,8 @@ from gaugeflow.plans import serving as SV
 from gaugeflow.plans import sqlparts as S
 from gaugeflow.session import scratch_path, utc
 from gaugeflow.streaming import pipeline as SP
-from gaugeflow.sources.adapters import event_readings, lineitem_readings
+from gaugeflow.sources.adapters import (event_readings, events_sensor_filter, lineitem_readings,
+                                        readings_from_events)
 from gaugeflow.sources.tables import sensor_dimension, table, type_ranges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,7 +180,10 @@ RECENT_SENSOR = "click_3"
   is_valid, event_timestamp FROM silver WHERE sensor_id = '{RECENT_SENSOR}'
   ORDER BY event_timestamp DESC, id DESC LIMIT 50""")
 def q_recent_readings(spark, sf_dir):
-    r = SV.recent_readings(events_silver(spark, sf_dir), RECENT_SENSOR, 50)
+    dim, n = sensor_dimension(spark)
+    events = table(spark, sf_dir, "events").where(events_sensor_filter(RECENT_SENSOR))
+    silver = silv.silver_range(readings_from_events(events), dim, dim_rows=n, processed_ts=F.col("timestamp"))
+    r = SV.recent_readings(silver, RECENT_SENSOR, 50)
     return r.select("id", "sensor_id", "cleaned_value", "quality_score", "is_valid", "event_timestamp")
 
 

@@ -57,3 +57,16 @@ def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings_from_lineitem(table(spark, sf_dir, "lineitem"))
+
+
+def events_sensor_filter(sensor_id: str):
+    """Predicate on the raw ``events`` columns equivalent to ``sensor_id = <id>``.
+
+    ``sensor_id`` is derived (type || '_' || zone), so a filter on it cannot reach the
+    Parquet reader; this form can: ``event_type = <type>`` is pushed into the scan
+    (row-group pruning), the zone test runs right after it."""
+    etype, _, zone = sensor_id.rpartition("_")
+    if not etype or not zone.isdigit():
+        return F.lit(False)
+    zone_of = (F.col("user_id") % fixed.EVENT_ZONES).cast("string")  # same expression as the adapter
+    return (F.col("event_type") == F.lit(etype)) & (zone_of == F.lit(zone))

@@ -35,6 +35,25 @@ def dimension_rows(include_reference: bool = True, include_events: bool = True)
     return rows
 
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v)
+    if isinstance(v, tuple):
+        return "(" + ", ".join(_sql_literal(x) for x in v) + ")"
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def values_df(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A small configuration table as an inline VALUES relation (LocalTableScan: no Python
+    round trip, size known to the optimizer)."""
+    body = ", ".join("(" + ", ".join(_sql_literal(x) for x in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
+
+
 def sensor_dimension(spark: SparkSession, include_reference: bool = True,
                      include_events: bool = True) -> tuple[DataFrame, int]:
     """The sensor dimension and its row count (a configuration table of fixed size).
@@ -42,12 +61,15 @@ def sensor_dimension(spark: SparkSession, include_reference: bool = True,
     The count is returned so joins can decide on broadcast with a proven bound.
     """
     rows = dimension_rows(include_reference, include_events)
-    return spark.createDataFrame(rows, DIMENSION_SCHEMA), len(rows)
+    flat = [(s, t, loc, u, lo, hi) for s, t, loc, u, (lo, hi) in rows]
+    df = values_df(spark, flat, ["sensor_id", "type", "location", "unit", "range_min", "range_max"])
+    df = df.select("sensor_id", "type", "location", "unit",
+                   F.struct(F.col("range_min").alias("min"), F.col("range_max").alias("max")).alias("normal_range"))
+    return df, len(rows)
 
 
 def type_ranges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        fixed.EVENT_TYPE_RANGES, "type STRING, range_min DOUBLE, range_max DOUBLE")
+    return values_df(spark, fixed.EVENT_TYPE_RANGES, ["type", "range_min", "range_max"])
 
 
 def readings_schema(with_metadata: bool = True) -> T.StructType:
