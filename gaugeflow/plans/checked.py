@@ -664,14 +664,19 @@ def q_stream_pipeline(spark, sf_dir):
 
 @register("micro_batch")
 def q_micro_batch(spark, sf_dir):
+    """Replay the readings as 4 micro-batches through the foreachBatch service form with a
+    forest trained on the full Silver table; returns one prediction per scored record."""
     root = scratch_path(spark, "micro_batch")
     replay = f"{root}/replay"
     r = event_readings(spark, sf_dir)
     r.repartitionByRange(8, "timestamp").write.parquet(replay)
+    model = IF.train(spark, TR.training_matrix(events_silver(spark, sf_dir)))
     stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 2).parquet(replay)
     dim, n = sensor_dimension(spark)
-    SP.process_batches(spark, stream, dim, n, root).awaitTermination()
-    return spark.read.parquet(f"{root}/features").select("batch_id", "sensor_id", "n", *NAMES)
+    SP.process_batches(spark, stream, dim, n, root,
+                       scorer=lambda f: IF.predict(spark, f, model)).awaitTermination()
+    return spark.read.parquet(f"{root}/anomalies").select(
+        "batch_id", "id", "sensor_id", "timestamp", "is_anomaly", "anomaly_score", "confidence", "model_version")
 
 
 # ---------------------------------------------------------------- lineitem series (timing scale)

@@ -160,10 +160,15 @@ def run_pipeline(spark: SparkSession, paths: PipelinePaths, trigger: dict | None
 
 # ---------------------------------------------------------------- micro-batch service form
 def process_batches(spark: SparkSession, readings_stream: DataFrame, dimension: DataFrame,
-                    dim_rows: int, root: str, scorer=None, trigger: dict | None = None):
-    """foreachBatch pipeline: Silver (range rules) -> features of touched sensors -> scores.
-
-    ``scorer(features_df) -> predictions_df`` is optional (e.g. a trained forest)."""
+                    dim_rows: int, root: str, scorer=None, trigger: dict | None = None,
+                    lookback_batches: int | None = None):
+    """foreachBatch pipeline: Silver (range rules) -> features of touched sensors -> one
+    prediction per Silver record of the batch.
+
+    ``scorer(features_df) -> per-sensor predictions`` is optional (e.g. a trained forest);
+    each record of the batch gets its sensor's prediction (records of sensors without a
+    scorable feature row get none). ``lookback_batches`` bounds the Silver history read per
+    batch (partition pruning on ``batch_id``); None reads the whole history."""
     silver_path, features_path, anomalies_path = (f"{root}/silver", f"{root}/features", f"{root}/anomalies")
 
     def _write(df: DataFrame, path: str, epoch: int) -> None:
@@ -175,11 +180,18 @@ def process_batches(spark: SparkSession, readings_stream: DataFrame, dimension:
         _write(silver, silver_path, epoch)
         touched = batch.select("sensor_id").distinct()
         history = spark.read.parquet(silver_path).where(F.col("batch_id") <= epoch)
+        if lookback_batches is not None:
+            history = history.where(F.col("batch_id") > epoch - lookback_batches)
         history = history.join(touched, "sensor_id", "left_semi")
         snap = feat.snapshot_features(history).withColumn("timestamp", F.current_timestamp())
         _write(snap, features_path, epoch)
         if scorer is not None:
-            preds = scorer(spark.read.parquet(features_path).where(F.col("batch_id") == epoch).drop("batch_id"))
+            feats = spark.read.parquet(features_path).where(F.col("batch_id") == epoch).drop("batch_id")
+            per_sensor = scorer(feats).select("sensor_id", "is_anomaly", "anomaly_score", "confidence",
+                                              "model_version")
+            records = spark.read.parquet(silver_path).where(F.col("batch_id") == epoch)
+            preds = records.select("id", "sensor_id", F.col("event_timestamp").alias("timestamp")).join(
+                per_sensor, "sensor_id", "inner")
             _write(preds, anomalies_path, epoch)
 
     w = (readings_stream.writeStream.foreachBatch(handle)
