@@ -76,7 +76,8 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], n: int | None = No
             stats = base.agg(F.count_if(F.col("x") < lo).alias("below"),
                              F.count_if((F.col("x") >= lo) & (F.col("x") <= hi)).alias("inside")).first()
             below, inside = stats["below"], stats["inside"]
-            if below <= lo_rank and lo_rank + 1 < below + inside or (qlo == 0.0 and qhi == 1.0):
+            need = min(lo_rank + 1, n - 1)  # both order statistics must lie in the bracket
+            if below <= lo_rank and need < below + inside or (qlo == 0.0 and qhi == 1.0):
                 break
             width *= 4
         pair = (base.where((F.col("x") >= lo) & (F.col("x") <= hi)).orderBy("x")
