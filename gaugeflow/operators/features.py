@@ -50,12 +50,22 @@ def snapshot_features(silver: DataFrame, max_history: int | None = fixed.MAX_HIS
     The ranking window is ``row_number() <= max_history`` which Spark plans as a
     WindowGroupLimit on both sides of the shuffle: each map task keeps at most
     ``max_history`` rows per sensor, so a hot sensor never lands whole in one task.
+    ``max_history=None`` uses the whole history, ranked from skew-proof positions.
     """
     df = _series(silver, value_col, valid_only)
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order_cols])
-    ranked = df.select(key, "v", F.row_number().over(w).alias("rn"))
     if max_history:
+        w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order_cols])
+        ranked = df.select(key, "v", F.row_number().over(w).alias("rn"))
         ranked = ranked.where(F.col("rn") <= max_history)
+    else:
+        # Whole history: rank from skew-proof global positions (bounded pieces), then the
+        # aggregation below is partial (map-side), so no task holds a whole sensor.
+        from gaugeflow.operators.blocked import global_positions
+        from gaugeflow.operators.joins import lookup_join
+        pos = global_positions(df.select(key, *order_cols, "v"), key, list(order_cols), order_cols[0])
+        counts = pos.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        ranked = lookup_join(pos, counts, key, "inner").select(
+            key, "v", (F.col("_n") - F.col("pos") + 1).alias("rn"))
     v, rn = F.col("v"), F.col("rn")
     aggs = [
         F.count("v").alias("n"),

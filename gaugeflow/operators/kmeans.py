@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from gaugeflow import fixed
 
 
+MAX_CENTERS = 10_000  # centres become plan literals: a proven bound on what is shipped
+
+
 @dataclass
 class ClusterModel:
     pipeline: PipelineModel
@@ -87,7 +90,9 @@ def nearest_center(df: DataFrame, columns: list[str], centers: DataFrame, label_
     """Assign each row to its nearest centre of a small, size-bounded centre table
     (label + the same columns) and return the distance. Centres are collected (k rows) and
     become literals; ties go to the first label in sorted order."""
-    rows = centers.orderBy(label_col).collect()
+    rows = centers.orderBy(label_col).limit(MAX_CENTERS + 1).collect()
+    if len(rows) > MAX_CENTERS:
+        raise ValueError(f"more than {MAX_CENTERS} centres; use a model, not literals")
     labels = [r[label_col] for r in rows]
     vecs = [[float(r[c]) for c in columns] for r in rows]
     x = F.array(*[F.col(c).cast("double") for c in columns])

@@ -43,7 +43,11 @@ def ensure_shared_dir(spark: SparkSession) -> str:
     Only when the session has none (local tests, the smoke driver) a fresh folder is
     created and registered; on a cluster the configured shared folder is always used.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: use the configured folder or a fresh one
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        return current or tempfile.mkdtemp(prefix="gaugeflow-ckpt-")
     current = sc.getCheckpointDir()
     if not current:
         current = sc.getConf().get("spark.checkpoint.dir", None)
