@@ -43,14 +43,17 @@ def global_positions(df: DataFrame, key: str, order_cols: list[str], time_col: s
 
 
 def _with_halo(df: DataFrame, block_rows: int, halo: int) -> DataFrame:
-    """Assign blocks and append halo copies of each block's last ``halo`` rows to the next."""
+    """Assign blocks; each of a block's last ``halo`` rows also goes to the next block as a
+    halo copy. One pass (``explode`` of one or two block ids), no second scan of the input."""
     if halo > block_rows:
         raise ValueError("block_rows must be at least the halo")
     blk = F.floor((F.col("pos") - 1) / F.lit(block_rows)).cast("long")
-    base = df.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
     tail = ((F.col("pos") - 1) % F.lit(block_rows)) >= F.lit(block_rows - halo)
-    copies = base.where(tail).withColumn("_blk", F.col("_blk") + 1).withColumn("_halo", F.lit(True))
-    return base.unionByName(copies) if halo > 0 else base
+    own = F.struct(blk.alias("b"), F.lit(False).alias("h"))
+    copy = F.struct((blk + 1).alias("b"), F.lit(True).alias("h"))
+    targets = F.when(tail & F.lit(halo > 0), F.array(own, copy)).otherwise(F.array(own))
+    out = df.withColumn("_t", F.explode(targets))
+    return out.withColumn("_blk", F.col("_t.b")).withColumn("_halo", F.col("_t.h")).drop("_t")
 
 
 def _rolling_cols(w_blk: Window, windows, lags, pos: Column) -> list[Column]:
@@ -68,7 +71,8 @@ def _rolling_cols(w_blk: Window, windows, lags, pos: Column) -> list[Column]:
 def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str], time_col: str,
                                min_prefix: int, min_sensor_rows: int, windows, lags,
                                trend_min: int, block_rows: int = BLOCK_ROWS,
-                               bucket_unit: str = POSITION_BUCKET) -> DataFrame:
+                               bucket_unit: str = POSITION_BUCKET,
+                               materialize_blocks: bool = True) -> DataFrame:
     """Same output as ``features.expanding_features`` (series has key, order_cols, v)."""
     stats = series.groupBy(key).agg(F.count(F.lit(1)).alias("_len"), F.avg("v").alias("_K"))
     stats = stats.where(F.col("_len") >= min_sensor_rows)
@@ -77,6 +81,11 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
     df = global_positions(df, key, order_cols, time_col, bucket_unit)
     halo = max(max(windows) - 1, max(lags))
     df = _with_halo(df, block_rows, halo)
+    if materialize_blocks:
+        # Both the block windows and the block totals read this table: write it once
+        # (shared checkpoint folder) instead of re-deriving positions twice; cuts lineage.
+        from gaugeflow.session import materialize
+        df = materialize(df, "expanding-blocks")
     y = F.col("v") - F.col("_K")
     own = ~F.col("_halo")
     w_blk = Window.partitionBy(key, "_blk").orderBy("pos")

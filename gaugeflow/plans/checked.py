@@ -717,3 +717,35 @@ def q_features_expanding_lineitem(spark, sf_dir):
 def q_sliding_lineitem(spark, sf_dir):
     w = WF.window_aggregate(lineitem_silver(spark, sf_dir), duration="6 hours", slide="1 hour", suffix="6h")
     return round_doubles(w.withColumn("timestamp", _ntz("timestamp")).select(*WIDE_COLS))
+
+
+# ---------------------------------------------------------------- hot keys: a third of all rows per key
+HOT_BLOCK_ROWS = 4096
+
+
+def lineitem_by_flag_silver(spark, sf_dir):
+    """lineitem keyed by return flag: three sensors, each holding a third of all rows."""
+    dim, n = sensor_dimension(spark)
+    r = lineitem_readings(spark, sf_dir).withColumn("sensor_id", F.concat(F.lit("flag_"), F.col("location")))
+    return silv.silver_range(r, dim, dim_rows=n, processed_ts=F.col("timestamp"), passthrough=("ord1", "ord2"))
+
+
+@register("features_expanding_hot",
+          _with(S.silver_sql(S.lineitem_readings_sql("'flag_' || l_returnflag")),
+                S.expanding_sql(order="event_timestamp, ord1, ord2, v", keep="event_timestamp, ord1, ord2"))
+          + f"SELECT {S.rounded_select(LI_EXP_COLS, set(NAMES))} FROM expd")
+def q_features_expanding_hot(spark, sf_dir):
+    """Expanding prefixes where each key holds a third of the table, on the blocked plan:
+    every task sees one (key, block) piece of at most HOT_BLOCK_ROWS rows plus a halo."""
+    e = feat.expanding_features(lineitem_by_flag_silver(spark, sf_dir), order_cols=LI_ORDER,
+                                method="blocked", block_rows=HOT_BLOCK_ROWS)
+    return round_doubles(e.withColumn("n", F.col("n").cast("long")).select(*LI_EXP_COLS))
+
+
+@register("features_snapshot_hot",
+          _with(S.silver_sql(S.lineitem_readings_sql("'flag_' || l_returnflag")),
+                S.snapshot_sql(order_desc="event_timestamp DESC, ord1 DESC, ord2 DESC, cleaned_value DESC"))
+          + f"SELECT {S.rounded_select(SNAPSHOT_COLS, SNAPSHOT_DOUBLES)} FROM snap")
+def q_features_snapshot_hot(spark, sf_dir):
+    f = feat.snapshot_features(lineitem_by_flag_silver(spark, sf_dir), order_cols=LI_ORDER)
+    return round_doubles(f.select(*SNAPSHOT_COLS))

@@ -36,14 +36,18 @@ READINGS_SQL = f"""readings AS (
   FROM events)"""
 
 
-LINEITEM_READINGS_SQL = """readings AS (
-  SELECT 'supp_' || CAST(l_suppkey AS VARCHAR) AS sensor_id, 'lineitem' AS sensor_type,
+def lineitem_readings_sql(sensor_expr: str = "'supp_' || CAST(l_suppkey AS VARCHAR)") -> str:
+    return f"""readings AS (
+  SELECT {sensor_expr} AS sensor_id, 'lineitem' AS sensor_type,
          l_quantity AS value, 'units' AS unit, l_shipdate AS event_timestamp, l_returnflag AS location,
          CAST(l_orderkey AS VARCHAR) AS meta_k, l_orderkey AS ord1, l_linenumber AS ord2,
          CAST(0 AS BIGINT) AS id
   FROM lineitem)"""
 
 
+LINEITEM_READINGS_SQL = lineitem_readings_sql()
+
+
 def silver_sql(readings_sql: str = READINGS_SQL) -> str:
     """CTEs readings, dim, flags, silver (range rules)."""
     extra = ", ord1, ord2" if "ord1" in readings_sql else ""
