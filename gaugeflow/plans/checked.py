@@ -720,7 +720,7 @@ def q_sliding_lineitem(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- hot keys: a third of all rows per key
-HOT_BLOCK_ROWS = 4096
+HOT_BLOCK_ROWS = 16384
 
 
 def lineitem_by_flag_silver(spark, sf_dir):

@@ -30,6 +30,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("GAUGEFLOW_DRIVER_MEMORY", "16g"))
         .config("spark.sql.streaming.schemaInference", "false")
+        # window state off the JVM heap (many sensors x open windows at scale)
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

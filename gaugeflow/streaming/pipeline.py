@@ -77,9 +77,11 @@ def ingest_to_bronze(spark: SparkSession, paths: PipelinePaths, trigger: dict |
 
 
 def process_to_silver(spark: SparkSession, paths: PipelinePaths, trigger: dict | None = None):
+    """Sentinel-rule Silver, partitioned by event date: retention drops whole partitions and
+    look-back reads prune to the dates they need."""
     bronze = spark.readStream.schema(BRONZE_FLAT).parquet(paths.bronze_path)
-    silver = silv.silver_sentinel(bronze)
-    w = (silver.writeStream.format("parquet").outputMode("append")
+    silver = silv.silver_sentinel(bronze).withColumn("event_date", F.to_date("timestamp"))
+    w = (silver.writeStream.format("parquet").outputMode("append").partitionBy("event_date")
          .option("checkpointLocation", f"{paths.silver_path}/_checkpoints"))
     return _trigger(w, trigger).start(paths.silver_path)
 
@@ -89,6 +91,7 @@ SILVER_FLAT = T.StructType(BRONZE_FLAT.fields + [
     T.StructField("cleaned_value", T.DoubleType(), True),
     T.StructField("quality_score", T.DoubleType(), True),
     T.StructField("processed_timestamp", T.TimestampType(), True),
+    T.StructField("event_date", T.DateType(), True),
 ])
 
 
