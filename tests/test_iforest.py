@@ -49,3 +49,21 @@ def test_model_round_trip(spark, tmp_path):
 def test_small_training_set_gates(spark):
     m, names = _matrix(spark, n=40)
     assert IF.train(spark, m, names=names) is None     # needs more than 50 vectors
+
+
+def test_contamination_parameter_sets_flagged_share(spark):
+    m, names = _matrix(spark, n=1500, seed=3)
+    model = IF.train(spark, m, names=names, n_trees=40, contamination=0.25)
+    share = IF.predict(spark, m, model).toPandas().is_anomaly.mean()
+    assert 0.22 <= share <= 0.28
+
+
+def test_retrain_writes_new_version_and_load_picks_newest(spark, tmp_path):
+    m, names = _matrix(spark, n=300)
+    root = str(tmp_path / "models")
+    IF.save(spark, IF.train(spark, m, names=names, n_trees=5, version="v1"), root)
+    IF.save(spark, IF.train(spark, m, names=names, n_trees=7, version="v2"), root)
+    assert IF.list_versions(spark, root) == ["v1", "v2"]
+    latest = IF.load(spark, root)
+    assert latest.version == "v2" and latest.n_trees == 7
+    assert IF.load(spark, root, version="v1").n_trees == 5
