@@ -117,8 +117,8 @@ def rule_anomalies(silver: DataFrame) -> DataFrame:
 SENTINEL_SQL = _with(S.READINGS_SQL) + """SELECT id, sensor_id, sensor_type, value, unit,
   event_timestamp AS "timestamp", location, 'iot_sensors' AS source,
   coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) AS is_valid,
-  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN value ELSE 0.0 END AS cleaned_value,
-  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN 1.0 ELSE 0.0 END AS quality_score
+  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN value ELSE CAST(0.0 AS DOUBLE) END AS cleaned_value,
+  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS quality_score
 FROM readings"""
 
 
@@ -350,7 +350,7 @@ def q_standardized(spark, sf_dir):
 
 
 @register("threshold_percentile", _with(S.silver_sql(), S.expanding_sql(), _matrix_sql()) + """SELECT
-  0.1 AS contamination, round(quantile_cont(change_rate, 0.1), 6) AS threshold,
+  CAST(0.1 AS DOUBLE) AS contamination, round(quantile_cont(change_rate, 0.1), 6) AS threshold,
   round(quantile_cont(change_rate, 0.5), 6) AS median FROM mat""")
 def q_threshold_percentile(spark, sf_dir):
     m = TR.training_matrix(events_silver(spark, sf_dir))
@@ -609,8 +609,8 @@ def _replayed(spark, sf_dir, name: str) -> SP.PipelinePaths:
 @register("stream_silver", _with(S.READINGS_SQL) + """SELECT sensor_id, sensor_type, value, unit,
   event_timestamp AS "timestamp", location, 'iot_sensors' AS source,
   coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) AS is_valid,
-  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN value ELSE 0.0 END AS cleaned_value,
-  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN 1.0 ELSE 0.0 END AS quality_score
+  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN value ELSE CAST(0.0 AS DOUBLE) END AS cleaned_value,
+  CASE WHEN coalesce(value IS NOT NULL AND value > -999.0 AND value < 999.0, false) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS quality_score
 FROM readings""")
 def q_stream_silver(spark, sf_dir):
     paths = _replayed(spark, sf_dir, "stream_silver")
