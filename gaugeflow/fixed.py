@@ -7,7 +7,7 @@ from __future__ import annotations
 
 # --- Fixed values: sensor dimension of the original service -------------------------
 # (sensor_id, type, location, normal_range min, normal_range max, unit)
-REFERENCE_SENSORS = [
+SERVICE_SENSORS = [
     ("TEMP_001", "temperature", "Factory_Floor_A", 18.0, 25.0, "°C"),
     ("TEMP_002", "temperature", "Factory_Floor_B", 20.0, 28.0, "°C"),
     ("PRESS_001", "pressure", "Pipeline_1", 95.0, 105.0, "PSI"),

@@ -15,7 +15,7 @@ def _d(x: float) -> str:
 
 def dim_values_sql() -> str:
     ref = ", ".join(f"('{s}', '{t}', '{loc}', '{u}', {_d(lo)}, {_d(hi)})"
-                    for s, t, loc, lo, hi, u in fixed.REFERENCE_SENSORS)
+                    for s, t, loc, lo, hi, u in fixed.SERVICE_SENSORS)
     types = ", ".join(f"('{t}', {_d(lo)}, {_d(hi)})" for t, lo, hi in fixed.EVENT_TYPE_RANGES)
     return (
         "dim AS (\n"

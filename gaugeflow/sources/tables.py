@@ -24,10 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def dimension_rows(include_reference: bool = True, include_events: bool = True) -> list[tuple]:
+def dimension_rows(include_service: bool = True, include_events: bool = True) -> list[tuple]:
     rows = []
-    if include_reference:
-        rows += [(s, t, loc, unit, (lo, hi)) for s, t, loc, lo, hi, unit in fixed.REFERENCE_SENSORS]
+    if include_service:
+        rows += [(s, t, loc, unit, (lo, hi)) for s, t, loc, lo, hi, unit in fixed.SERVICE_SENSORS]
     if include_events:
         for etype, lo, hi in fixed.EVENT_TYPE_RANGES:
             for z in range(fixed.EVENT_ZONES):
@@ -54,13 +54,13 @@ def values_df(spark: SparkSession, rows: list[tuple], columns: list[str]) -> Dat
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
 
 
-def sensor_dimension(spark: SparkSession, include_reference: bool = True,
+def sensor_dimension(spark: SparkSession, include_service: bool = True,
                      include_events: bool = True) -> tuple[DataFrame, int]:
     """The sensor dimension and its row count (a configuration table of fixed size).
 
     The count is returned so joins can decide on broadcast with a proven bound.
     """
-    rows = dimension_rows(include_reference, include_events)
+    rows = dimension_rows(include_service, include_events)
     flat = [(s, t, loc, u, lo, hi) for s, t, loc, u, (lo, hi) in rows]
     df = values_df(spark, flat, ["sensor_id", "type", "location", "unit", "range_min", "range_max"])
     df = df.select("sensor_id", "type", "location", "unit",
