@@ -4,7 +4,8 @@
 a third of the data that task holds a third of the data. Here every window is partitioned
 by (sensor, piece) with bounded pieces:
 
-1. Positions: pieces are (sensor, time bucket); a row's 1-based position in its sensor's
+1. Positions: pieces are (sensor, time bucket), or count-balanced range pieces when a
+   bucket is hot (``scan.with_pieces`` checks); a row's 1-based position in its sensor's
    series is the row number inside its piece plus the sizes of the earlier pieces (a
    running sum over the small piece table).
 2. Blocks: fixed-size position blocks of ``block_rows``; each block also receives the last
@@ -30,16 +31,21 @@ POSITION_BUCKET = "hour"
 
 
 def global_positions(df: DataFrame, key: str, order_cols: list[str], time_col: str,
-                     bucket_unit: str = POSITION_BUCKET) -> DataFrame:
-    """Add ``pos``: 1-based position of each row in its key's series (by ``order_cols``)."""
+                     bucket_unit: str = POSITION_BUCKET, pieces: str = "auto") -> DataFrame:
+    """Add ``pos``: 1-based position of each row in its key's series (by ``order_cols``).
+
+    Rows are ranked inside bounded, ordered pieces (``scan.with_pieces``: time slots, or
+    count-balanced range pieces when a slot is hot); a piece's offset is the running sum
+    of the sizes of the key's earlier pieces, over the small piece table."""
+    from gaugeflow.operators.scan import PIECE, with_pieces
     order = [F.col(c) for c in order_cols]
-    pieces = df.withColumn("_piece", F.date_trunc(bucket_unit, F.col(time_col)))
-    pieces = pieces.withColumn("_lp", F.row_number().over(Window.partitionBy(key, "_piece").orderBy(*order)))
-    sizes = pieces.groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_sz"))
-    before = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(key, "_piece", F.coalesce(F.sum("_sz").over(before), F.lit(0)).alias("_off"))
-    out = pieces.join(offsets, [key, "_piece"], "inner")
-    return out.withColumn("pos", (F.col("_off") + F.col("_lp")).cast("long")).drop("_piece", "_lp", "_off")
+    cut = with_pieces(df, key, order_cols, F.date_trunc(bucket_unit, F.col(time_col)), pieces)
+    ranked = cut.withColumn("_lp", F.row_number().over(Window.partitionBy(key, PIECE).orderBy(*order)))
+    sizes = cut.groupBy(key, PIECE).agg(F.count(F.lit(1)).alias("_sz"))
+    before = Window.partitionBy(key).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(key, PIECE, F.coalesce(F.sum("_sz").over(before), F.lit(0)).alias("_off"))
+    out = ranked.join(offsets, [key, PIECE], "inner")
+    return out.withColumn("pos", (F.col("_off") + F.col("_lp")).cast("long")).drop(PIECE, "_lp", "_off")
 
 
 def _with_halo(df: DataFrame, block_rows: int, halo: int) -> DataFrame:
@@ -72,13 +78,13 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
                                min_prefix: int, min_sensor_rows: int, windows, lags,
                                trend_min: int, block_rows: int = BLOCK_ROWS,
                                bucket_unit: str = POSITION_BUCKET,
-                               materialize_blocks: bool = True) -> DataFrame:
+                               materialize_blocks: bool = True, pieces: str = "auto") -> DataFrame:
     """Same output as ``features.expanding_features`` (series has key, order_cols, v)."""
     stats = series.groupBy(key).agg(F.count(F.lit(1)).alias("_len"), F.avg("v").alias("_K"))
     stats = stats.where(F.col("_len") >= min_sensor_rows)
     from gaugeflow.operators.joins import lookup_join
     df = lookup_join(series, stats, key, "inner")  # one row per sensor: broadcast if bounded
-    df = global_positions(df, key, order_cols, time_col, bucket_unit)
+    df = global_positions(df, key, order_cols, time_col, bucket_unit, pieces)
     halo = max(max(windows) - 1, max(lags))
     df = _with_halo(df, block_rows, halo)
     if materialize_blocks:
@@ -147,9 +153,9 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
 
 def history_features_blocked(series: DataFrame, key: str, order_cols: list[str], time_col: str,
                              windows, lags, block_rows: int = BLOCK_ROWS,
-                             bucket_unit: str = POSITION_BUCKET) -> DataFrame:
+                             bucket_unit: str = POSITION_BUCKET, pieces: str = "auto") -> DataFrame:
     """Same output as ``features.history_features`` (series has key, order_cols, v)."""
-    df = global_positions(series, key, order_cols, time_col, bucket_unit)
+    df = global_positions(series, key, order_cols, time_col, bucket_unit, pieces)
     halo = max(max(windows) - 1, max(lags))
     df = _with_halo(df, block_rows, halo)
     w_blk = Window.partitionBy(key, "_blk").orderBy("pos")

@@ -44,7 +44,7 @@ def snapshot_features(silver: DataFrame, max_history: int | None = fixed.MAX_HIS
                       order_cols: tuple[str, ...] = ("event_timestamp", "id"),
                       value_col: str = "cleaned_value", key: str = "sensor_id",
                       windows=tuple(fixed.ROLLING_WINDOWS), lags=tuple(fixed.LAGS),
-                      trend_min: int = fixed.MIN_ROWS_TREND) -> DataFrame:
+                      trend_min: int = fixed.MIN_ROWS_TREND, pieces: str = "auto") -> DataFrame:
     """Wide feature row per sensor: key, n, and the 30 features (NULL = not computable).
 
     The ranking window is ``row_number() <= max_history`` which Spark plans as a
@@ -62,7 +62,8 @@ def snapshot_features(silver: DataFrame, max_history: int | None = fixed.MAX_HIS
         # aggregation below is partial (map-side), so no task holds a whole sensor.
         from gaugeflow.operators.blocked import global_positions
         from gaugeflow.operators.joins import lookup_join
-        pos = global_positions(df.select(key, *order_cols, "v"), key, list(order_cols), order_cols[0])
+        pos = global_positions(df.select(key, *order_cols, "v"), key, list(order_cols), order_cols[0],
+                               pieces=pieces)
         counts = pos.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
         ranked = lookup_join(pos, counts, key, "inner").select(
             key, "v", (F.col("_n") - F.col("pos") + 1).alias("rn"))
@@ -113,18 +114,20 @@ def history_features(silver: DataFrame, valid_only: bool = True,
                      order_cols: tuple[str, ...] = ("event_timestamp", "id"),
                      value_col: str = "cleaned_value", key: str = "sensor_id",
                      windows=tuple(fixed.ROLLING_WINDOWS), lags=tuple(fixed.LAGS),
-                     method: str = "auto", block_rows: int | None = None) -> DataFrame:
+                     method: str = "auto", block_rows: int | None = None,
+                     pieces: str = "auto") -> DataFrame:
     """Per-row lags, rolling mean/std/max/min over the last w rows (present once w rows
     exist), last_change and position in the series.
 
     ``method``: "window" (one window per sensor), "blocked" (bounded pieces, see
-    ``blocked``), or "auto" (blocked when some sensor exceeds SINGLE_TASK_ROWS)."""
+    ``blocked``), or "auto" (blocked when some sensor exceeds SINGLE_TASK_ROWS);
+    ``pieces``: how the blocked plan cuts a series for positions (``scan.with_pieces``)."""
     df = _series(silver, value_col, valid_only)
     if _use_blocked(df, key, method):
         from gaugeflow.operators import blocked as B
         return B.history_features_blocked(df.select(key, *order_cols, "v"), key, list(order_cols),
                                           order_cols[0], windows, lags,
-                                          block_rows=block_rows or B.BLOCK_ROWS)
+                                          block_rows=block_rows or B.BLOCK_ROWS, pieces=pieces)
     order = [F.col(c) for c in order_cols]
     w = Window.partitionBy(key).orderBy(*order)
     pos = F.row_number().over(w)
@@ -150,7 +153,7 @@ def expanding_features(series: DataFrame, min_prefix: int = fixed.MIN_ROWS_FEATU
                        windows=tuple(fixed.ROLLING_WINDOWS), lags=tuple(fixed.LAGS),
                        trend_min: int = fixed.MIN_ROWS_TREND,
                        valid_only: bool = False, method: str = "auto",
-                       block_rows: int | None = None) -> DataFrame:
+                       block_rows: int | None = None, pieces: str = "auto") -> DataFrame:
     """One feature vector per prefix (length >= ``min_prefix``) of each sensor's series,
     for sensors with at least ``min_sensor_rows`` rows.
 
@@ -165,7 +168,8 @@ def expanding_features(series: DataFrame, min_prefix: int = fixed.MIN_ROWS_FEATU
         from gaugeflow.operators import blocked as B
         return B.expanding_features_blocked(
             df.select(key, *order_cols, "v"), key, list(order_cols), order_cols[0], min_prefix,
-            min_sensor_rows, windows, lags, trend_min, block_rows=block_rows or B.BLOCK_ROWS)
+            min_sensor_rows, windows, lags, trend_min, block_rows=block_rows or B.BLOCK_ROWS,
+            pieces=pieces)
     order = [F.col(c) for c in order_cols]
     w = Window.partitionBy(key).orderBy(*order)
     grow = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

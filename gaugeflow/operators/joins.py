@@ -52,15 +52,16 @@ def latest_lookup(records: DataFrame, features: DataFrame, key: str = "sensor_id
 
 def asof_lookup(records: DataFrame, features: DataFrame, key: str, rec_time: str,
                 feat_time: str, feat_cols: list[str], rec_order: str = "id",
-                feat_order: str | None = None, bucket_unit: str = "hour") -> DataFrame:
+                feat_order: str | None = None, bucket_unit: str = "hour",
+                pieces: str = "auto") -> DataFrame:
     """As-of join: each record gets the newest feature row with feat_time <= rec_time.
 
     Records and feature rows are unioned and ordered by (time, side, order key) with
     feature rows first at equal time; the newest feature struct is carried forward by the
-    skew-safe bucketed scan (no range join, no whole-key task). Records with no earlier
-    feature row are dropped.
+    skew-safe scan over ordered pieces (no range join, no whole-key task; ``pieces`` as in
+    ``scan.with_pieces``). Records with no earlier feature row are dropped.
     """
-    from gaugeflow.operators.scan import carry
+    from gaugeflow.operators.scan import PIECE, carry, with_pieces
 
     rec_cols = records.columns
     feat_struct = features.select(F.struct(*feat_cols).alias("s")).schema["s"].dataType
@@ -77,8 +78,9 @@ def asof_lookup(records: DataFrame, features: DataFrame, key: str, rec_time: str
         F.lit(None).cast(rec_struct).alias("_rec"),
         F.struct(*feat_cols).alias("_feat"))
     both = rec.unionByName(feat)
-    both = carry(both, key, ["_t", "_side", "_o"], F.col("_feat"), "_cur",
-                 F.date_trunc(bucket_unit, F.col("_t")))
+    order = ["_t", "_side", "_o"]
+    both = with_pieces(both, key, order, F.date_trunc(bucket_unit, F.col("_t")), pieces)
+    both = carry(both, key, order, F.col("_feat"), "_cur", PIECE)
     out = both.where((F.col("_side") == 1) & F.col("_cur").isNotNull())
     return out.select(*[F.col(f"_rec.{c}").alias(c) for c in rec_cols],
                       *[F.col(f"_cur.{c}").alias(f"f_{c}") for c in feat_cols])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.operators.scan import carry, time_bucket
+from gaugeflow.operators.scan import PIECE, carry, time_bucket, with_pieces
 
 
 def _epoch_seconds(c: Column) -> Column:
@@ -16,25 +16,28 @@ def _epoch_seconds(c: Column) -> Column:
 def forward_fill(series: DataFrame, key: str = "sensor_id", time_col: str = "event_timestamp",
                  order_cols: tuple[str, ...] = ("event_timestamp", "id"),
                  value_col: str = "value", out_col: str = "filled_value",
-                 bucket_unit: str = "hour") -> DataFrame:
-    """Each NULL value replaced by the last non-NULL value of its key (leading NULLs stay)."""
-    return carry(series, key, list(order_cols), F.col(value_col), out_col,
-                 time_bucket(time_col, bucket_unit))
+                 bucket_unit: str = "hour", pieces: str = "auto") -> DataFrame:
+    """Each NULL value replaced by the last non-NULL value of its key (leading NULLs stay).
+
+    ``pieces``: how a key's series is cut for the scan (``scan.with_pieces``)."""
+    df = with_pieces(series, key, list(order_cols), time_bucket(time_col, bucket_unit), pieces)
+    return carry(df, key, list(order_cols), F.col(value_col), out_col, PIECE).drop(PIECE)
 
 
 def interpolate(series: DataFrame, key: str = "sensor_id", time_col: str = "event_timestamp",
                 order_cols: tuple[str, ...] = ("event_timestamp", "id"),
                 value_col: str = "value", out_col: str = "interpolated_value",
-                bucket_unit: str = "hour") -> DataFrame:
+                bucket_unit: str = "hour", pieces: str = "auto") -> DataFrame:
     """Linear interpolation in time between the nearest non-NULL neighbours of a NULL.
 
-    Gaps at either end of a series stay NULL; a known value is kept as is.
+    Gaps at either end of a series stay NULL; a known value is kept as is. Both scans
+    share one piece assignment (``scan.with_pieces``).
     """
     point = F.when(F.col(value_col).isNotNull(),
                    F.struct(_epoch_seconds(F.col(time_col)).alias("t"), F.col(value_col).alias("v")))
-    bucket = time_bucket(time_col, bucket_unit)
-    df = carry(series, key, list(order_cols), point, "_prev", bucket)
-    df = carry(df, key, list(order_cols), point, "_next", bucket, backward=True)
+    df = with_pieces(series, key, list(order_cols), time_bucket(time_col, bucket_unit), pieces)
+    df = carry(df, key, list(order_cols), point, "_prev", PIECE)
+    df = carry(df, key, list(order_cols), point, "_next", PIECE, backward=True).drop(PIECE)
     t = _epoch_seconds(F.col(time_col))
     p, n = F.col("_prev"), F.col("_next")
     span = n["t"] - p["t"]

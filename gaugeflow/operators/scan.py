@@ -2,38 +2,93 @@
 
 A plain ``Window.partitionBy(key)`` puts a whole key in one task; with one sensor
 holding a third of all rows that task holds a third of the data. Instead each key is
-cut into (key, bucket) pieces, where the bucket is a coarse time slot:
+cut into ordered pieces (``with_pieces``):
+
+* cheap case: a coarse time slot per row (one grouped count checks that no
+  (key, slot) piece exceeds ``PIECE_ROWS``);
+* hot case (one key *and* one time slot hold a large share of the rows, e.g. a burst):
+  count-balanced pieces from ``repartitionByRange(key, order...)``, whose bounds Spark
+  samples over the whole (key, order) sequence, so a hot key is spread over many
+  partitions. The piece id is written with the rows (shared checkpoint folder), so
+  every later pass sees one fixed assignment, also after a lost executor.
+
+A scan then runs in four steps:
 
 1. inside each piece, a running ``last(..., ignorenulls)`` window (pieces spread over
    many tasks);
 2. per piece, its last non-NULL payload (a grouped ``max_by``: partial aggregation);
 3. over the small piece table, the carry-in from earlier pieces of the same key
-   (a window over #buckets rows per key, not #rows);
-4. an equi-join back on (key, bucket), co-partitioned with step 1.
+   (a window over #pieces rows per key, not #rows);
+4. an equi-join back on (key, piece).
 
 Backward scans (first non-NULL at or after) are the mirror image.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET = "hour"
+PIECE = "_piece"
+# Largest piece one task should sort; above it (after the check) pieces are cut by count.
+PIECE_ROWS = 4_000_000
 
 
 def time_bucket(ts_col: str, unit: str = DEFAULT_BUCKET) -> Column:
     return F.date_trunc(unit, F.col(ts_col))
 
 
+def piece_sizes(df: DataFrame, keys: list[str], bucket: Column) -> tuple[int, int]:
+    """(total rows, rows of the largest (key, bucket) piece): one partial aggregation."""
+    per = df.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    r = per.agg(F.sum("_c").alias("n"), F.max("_c").alias("m")).first()
+    return int(r["n"] or 0), int(r["m"] or 0)
+
+
+def with_pieces(df: DataFrame, key: str | list[str], order_cols: list[str], bucket: Column,
+                method: str = "auto", max_piece_rows: int = PIECE_ROWS,
+                n_rows: int | None = None) -> DataFrame:
+    """Add ``_piece``: ordered, contiguous pieces of every key's series.
+
+    ``method``: "time" (the ``bucket`` column), "rows" (count-balanced range pieces), or
+    "auto" (time unless the largest time piece exceeds ``max_piece_rows``). Pieces of one
+    key are ordered like the series (piece values increase with ``order_cols``)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    if method == "auto":
+        n_rows, biggest = piece_sizes(df, keys, bucket)
+        method = "time" if biggest <= max_piece_rows else "rows"
+    if method == "time":
+        return df.withColumn(PIECE, bucket)
+    if method != "rows":
+        raise ValueError(f"unknown piece method {method!r}")
+    spark = df.sparkSession
+    if n_rows is None:
+        n_rows = df.count()
+    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = max(base, math.ceil(2 * n_rows / max(max_piece_rows, 1)))
+    ranged = df.repartitionByRange(parts, *[F.col(c) for c in keys + list(order_cols)])
+    ranged = ranged.withColumn(PIECE, F.spark_partition_id().cast("long"))
+    from gaugeflow.session import materialize
+    return materialize(ranged, "pieces")
+
+
 def carry(df: DataFrame, key: str | list[str], order_cols: list[str], payload: Column,
-          out_col: str, bucket: Column, backward: bool = False) -> DataFrame:
+          out_col: str, bucket: Column | str, backward: bool = False) -> DataFrame:
     """Add ``out_col``: the nearest non-NULL ``payload`` at or before (``backward``: at or
-    after) each row in ``order_cols`` order within ``key``."""
+    after) each row in ``order_cols`` order within ``key``.
+
+    ``bucket``: the name of a piece column already on ``df`` (see ``with_pieces``; it is
+    kept), or a column expression used directly as the piece (e.g. a time bucket)."""
     keys = [key] if isinstance(key, str) else list(key)
     order = [F.col(c).desc() if backward else F.col(c) for c in order_cols]
-    b = "_bucket"
-    base = df.withColumn(b, bucket).withColumn("_payload", payload)
+    if isinstance(bucket, str):
+        b, base = bucket, df
+    else:
+        b, base = "_bucket", df.withColumn("_bucket", bucket)
+    base = base.withColumn("_payload", payload)
     local_w = (Window.partitionBy(*keys, b).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     base = base.withColumn("_local", F.last("_payload", ignorenulls=True).over(local_w))
@@ -44,5 +99,6 @@ def carry(df: DataFrame, key: str | list[str], order_cols: list[str], payload: C
                .rowsBetween(Window.unboundedPreceding, -1))
     pieces = pieces.select(*keys, b, F.last("_edge", ignorenulls=True).over(piece_w).alias("_carry_in"))
     joined = base.join(pieces, [*keys, b], "left")
-    return (joined.withColumn(out_col, F.coalesce(F.col("_local"), F.col("_carry_in")))
-            .drop(b, "_payload", "_local", "_carry_in"))
+    out = (joined.withColumn(out_col, F.coalesce(F.col("_local"), F.col("_carry_in")))
+           .drop("_payload", "_local", "_carry_in"))
+    return out if isinstance(bucket, str) else out.drop(b)

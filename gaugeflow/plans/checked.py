@@ -286,6 +286,17 @@ def q_score_lookup_asof(spark, sf_dir):
     return round_doubles(out.select(*LOOKUP_OUT))
 
 
+@register("score_lookup_asof_count_pieces", ORACLES["score_lookup_asof"])
+def q_score_lookup_asof_count_pieces(spark, sf_dir):
+    """``score_lookup_asof`` on count-balanced range pieces."""
+    s = events_silver(spark, sf_dir).select("id", "sensor_id", "is_valid", "event_timestamp")
+    h = events_history(spark, sf_dir)
+    out = J.asof_lookup(s, h, "sensor_id", "event_timestamp", "event_timestamp",
+                        ["event_timestamp", "id", "value", "rolling_mean_5", "rolling_std_20"],
+                        rec_order="id", feat_order="id", pieces="rows")
+    return round_doubles(out.select(*LOOKUP_OUT))
+
+
 @register("confidence", _with(S.silver_sql()) + """SELECT id, sensor_id, quality_score - 0.5 AS score,
   least(1.0, greatest(0.0, (abs(quality_score - 0.5) + 0.5) / 1.5)) AS confidence FROM silver""")
 def q_confidence(spark, sf_dir):
@@ -465,6 +476,14 @@ def q_interpolate(spark, sf_dir):
     return round_doubles(out.select("id", "sensor_id", "event_timestamp", "value", "interpolated_value"))
 
 
+@register("interpolate_count_pieces", ORACLES["interpolate"])
+def q_interpolate_count_pieces(spark, sf_dir):
+    """``interpolate`` with every series cut into count-balanced range pieces (the plan a
+    hot sensor-hour switches to), checked against the same whole-table oracle."""
+    out = Q.interpolate(_gappy(spark, sf_dir), pieces="rows")
+    return round_doubles(out.select("id", "sensor_id", "event_timestamp", "value", "interpolated_value"))
+
+
 @register("clip_outliers", _with(S.silver_sql()) + """SELECT s.id, s.sensor_id, s.cleaned_value,
   CASE WHEN d.lo IS NULL THEN s.cleaned_value
        ELSE least(greatest(s.cleaned_value, d.lo * 0.5), d.hi * 1.5) END AS clipped_value
