@@ -698,6 +698,24 @@ def q_micro_batch(spark, sf_dir):
         "batch_id", "id", "sensor_id", "timestamp", "is_anomaly", "anomaly_score", "confidence", "model_version")
 
 
+@register("micro_batch_stateful")
+def q_micro_batch_stateful(spark, sf_dir):
+    """``micro_batch`` on bounded per-sensor state (applyInPandasWithState keeps the newest
+    100 valid rows of each sensor) instead of re-reading the Silver history every batch."""
+    root = scratch_path(spark, "micro_batch_stateful")
+    replay = f"{root}/replay"
+    r = event_readings(spark, sf_dir)
+    r.repartitionByRange(8, "timestamp").write.parquet(replay)
+    model = IF.train(spark, TR.training_matrix(events_silver(spark, sf_dir)))
+    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 2).parquet(replay)
+    dim, n = sensor_dimension(spark)
+    for q in SP.process_batches_stateful(spark, stream, dim, n, root,
+                                         scorer=lambda f: IF.predict(spark, f, model)):
+        q.awaitTermination()
+    return spark.read.parquet(f"{root}/anomalies").select(
+        "batch_id", "id", "sensor_id", "timestamp", "is_anomaly", "anomaly_score", "confidence", "model_version")
+
+
 # ---------------------------------------------------------------- lineitem series (timing scale)
 LI_ORDER = ("event_timestamp", "ord1", "ord2", "cleaned_value", "id")
 

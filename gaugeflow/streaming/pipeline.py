@@ -200,3 +200,111 @@ def process_batches(spark: SparkSession, readings_stream: DataFrame, dimension:
     w = (readings_stream.writeStream.foreachBatch(handle)
          .option("checkpointLocation", f"{root}/_checkpoints"))
     return _trigger(w, trigger).start()
+
+
+# ---------------------------------------------------------------- stateful micro-batch form
+# Output of the per-sensor state step: kind 0 = one of the sensor's newest valid rows after
+# this batch, kind 1 = a record of this batch (to receive its sensor's prediction).
+RECENT_ROWS = T.StructType([
+    T.StructField("sensor_id", T.StringType()),
+    T.StructField("kind", T.IntegerType()),
+    T.StructField("ts_us", T.LongType()),
+    T.StructField("id", T.LongType()),
+    T.StructField("cleaned_value", T.DoubleType()),
+])
+RECENT_STATE = T.StructType([
+    T.StructField("ts_us", T.ArrayType(T.LongType())),
+    T.StructField("ids", T.ArrayType(T.LongType())),
+    T.StructField("vals", T.ArrayType(T.DoubleType())),
+])
+
+
+def _keep_recent(max_history: int):
+    """State per sensor: its newest ``max_history`` valid rows by (time, id), folded chunk
+    by chunk, so a hot sensor's batch never sits whole in memory."""
+    import numpy as np
+    import pandas as pd
+
+    def fn(key, pdfs, state):
+        sid = key[0]
+        if state.exists:
+            ts, ids, vals = state.get
+            cur = pd.DataFrame({"ts_us": np.asarray(ts, dtype="int64"), "id": np.asarray(ids, dtype="int64"),
+                                "cleaned_value": np.asarray(vals, dtype="float64")})
+        else:
+            cur = pd.DataFrame({"ts_us": np.empty(0, "int64"), "id": np.empty(0, "int64"),
+                                "cleaned_value": np.empty(0, "float64")})
+        for pdf in pdfs:
+            # a record carries no value here (0.0 keeps the column non-null for Arrow)
+            yield pd.DataFrame({"sensor_id": sid, "kind": 1, "ts_us": pdf["ts_us"].to_numpy(),
+                                "id": pdf["id"].to_numpy(), "cleaned_value": 0.0})
+            ok = pdf.loc[pdf["is_valid"].fillna(False).astype(bool), ["ts_us", "id", "cleaned_value"]]
+            if len(ok):
+                both = pd.concat([cur, ok], ignore_index=True)
+                cur = both.sort_values(["ts_us", "id"], ascending=False, kind="mergesort").head(max_history)
+        state.update((cur["ts_us"].tolist(), cur["id"].tolist(), cur["cleaned_value"].tolist()))
+        if len(cur):
+            yield pd.DataFrame({"sensor_id": sid, "kind": 0, "ts_us": cur["ts_us"].to_numpy(),
+                                "id": cur["id"].to_numpy(), "cleaned_value": cur["cleaned_value"].to_numpy()})
+
+    return fn
+
+
+def recent_rows_stream(silver_stream: DataFrame, max_history: int = fixed.MAX_HISTORY) -> DataFrame:
+    """Streaming ``applyInPandasWithState`` keyed by sensor: after each micro-batch, the
+    newest ``max_history`` valid rows of every sensor the batch touched (kind 0) and the
+    batch's records (kind 1). State is bounded by ``max_history`` rows per sensor (state
+    store, checkpointed), so a batch costs O(batch + touched sensors x max_history) however
+    long the history is."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    rows = silver_stream.select(
+        "sensor_id", F.unix_micros(F.col("event_timestamp").cast("timestamp")).alias("ts_us"),
+        F.col("id").cast("long").alias("id"), "cleaned_value", "is_valid")
+    return rows.groupBy("sensor_id").applyInPandasWithState(
+        _keep_recent(max_history), RECENT_ROWS, RECENT_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def process_batches_stateful(spark: SparkSession, readings_stream: DataFrame, dimension: DataFrame,
+                             dim_rows: int, root: str, scorer=None, trigger: dict | None = None,
+                             max_history: int = fixed.MAX_HISTORY):
+    """Micro-batch service form on bounded state (same outputs as ``process_batches``).
+
+    Two queries on one source: Silver into an exactly-once, date-partitioned file sink,
+    and the state step whose output ``foreachBatch`` turns into snapshot features of the
+    touched sensors (the same SQL definition as batch) and one prediction per record.
+    Every output lands in a ``batch_id=<epoch>`` partition with dynamic overwrite, so a
+    replayed epoch replaces its own output. Returns (silver query, features query)."""
+    silver_path, recent_path = f"{root}/silver", f"{root}/recent"
+    features_path, anomalies_path = f"{root}/features", f"{root}/anomalies"
+    silver = silv.silver_range(readings_stream, dimension, dim_rows=dim_rows)
+    ts_type = silver.schema["event_timestamp"].dataType
+    q_silver = _trigger(
+        silver.withColumn("event_date", F.to_date("event_timestamp")).writeStream.format("parquet")
+        .outputMode("append").partitionBy("event_date")
+        .option("checkpointLocation", f"{root}/_checkpoints/silver"), trigger).start(silver_path)
+
+    def _write(df: DataFrame, path: str, epoch: int) -> None:
+        (df.withColumn("batch_id", F.lit(epoch).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        # the state step's output is written once; both uses below read that table
+        _write(batch, recent_path, epoch)
+        out = spark.read.parquet(recent_path).where(F.col("batch_id") == epoch)
+        when = F.timestamp_micros(F.col("ts_us")).cast(ts_type)
+        window = out.where(F.col("kind") == 0).select(
+            "sensor_id", when.alias("event_timestamp"), "id", "cleaned_value", F.lit(True).alias("is_valid"))
+        snap = feat.snapshot_features(window, max_history=max_history).withColumn(
+            "timestamp", F.current_timestamp())
+        _write(snap, features_path, epoch)
+        if scorer is not None:
+            feats = spark.read.parquet(features_path).where(F.col("batch_id") == epoch).drop("batch_id")
+            per_sensor = scorer(feats).select("sensor_id", "is_anomaly", "anomaly_score", "confidence",
+                                              "model_version")
+            records = out.where(F.col("kind") == 1).select("id", "sensor_id", when.alias("timestamp"))
+            _write(records.join(per_sensor, "sensor_id", "inner"), anomalies_path, epoch)
+
+    q_feat = _trigger(
+        recent_rows_stream(silver, max_history).writeStream.outputMode("update").foreachBatch(handle)
+        .option("checkpointLocation", f"{root}/_checkpoints/features"), trigger).start()
+    return q_silver, q_feat
