@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.operators.scan import PIECE, carry, time_bucket, with_pieces
+from gaugeflow.operators.scan import PIECE, carry, carry_many, time_bucket, with_pieces
 
 
 def _epoch_seconds(c: Column) -> Column:
@@ -31,13 +31,13 @@ def interpolate(series: DataFrame, key: str = "sensor_id", time_col: str = "even
     """Linear interpolation in time between the nearest non-NULL neighbours of a NULL.
 
     Gaps at either end of a series stay NULL; a known value is kept as is. Both scans
-    share one piece assignment (``scan.with_pieces``).
+    share one piece assignment (``scan.with_pieces``) and one pass (``scan.carry_many``).
     """
     point = F.when(F.col(value_col).isNotNull(),
                    F.struct(_epoch_seconds(F.col(time_col)).alias("t"), F.col(value_col).alias("v")))
     df = with_pieces(series, key, list(order_cols), time_bucket(time_col, bucket_unit), pieces)
-    df = carry(df, key, list(order_cols), point, "_prev", PIECE)
-    df = carry(df, key, list(order_cols), point, "_next", PIECE, backward=True).drop(PIECE)
+    df = carry_many(df, key, list(order_cols), PIECE,
+                    [(point, "_prev", False), (point, "_next", True)]).drop(PIECE)
     t = _epoch_seconds(F.col(time_col))
     p, n = F.col("_prev"), F.col("_next")
     span = n["t"] - p["t"]

@@ -82,23 +82,37 @@ def carry(df: DataFrame, key: str | list[str], order_cols: list[str], payload: C
 
     ``bucket``: the name of a piece column already on ``df`` (see ``with_pieces``; it is
     kept), or a column expression used directly as the piece (e.g. a time bucket)."""
+    return carry_many(df, key, order_cols, bucket, [(payload, out_col, backward)])
+
+
+def carry_many(df: DataFrame, key: str | list[str], order_cols: list[str], bucket: Column | str,
+               scans: list[tuple[Column, str, bool]]) -> DataFrame:
+    """Several scans ``(payload, out_col, backward)`` over the same pieces in one pass: one
+    exchange by (key, piece) for all running windows, one grouped aggregation for the piece
+    edges, one window over the small piece table, one join back."""
     keys = [key] if isinstance(key, str) else list(key)
-    order = [F.col(c).desc() if backward else F.col(c) for c in order_cols]
     if isinstance(bucket, str):
         b, base = bucket, df
     else:
         b, base = "_bucket", df.withColumn("_bucket", bucket)
-    base = base.withColumn("_payload", payload)
-    local_w = (Window.partitionBy(*keys, b).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    base = base.withColumn("_local", F.last("_payload", ignorenulls=True).over(local_w))
-    rank = F.when(F.col("_payload").isNotNull(), F.struct(*[F.col(c) for c in order_cols]))
-    pick = F.min_by if backward else F.max_by
-    pieces = base.groupBy(*keys, b).agg(pick(F.col("_payload"), rank).alias("_edge"))
-    piece_w = (Window.partitionBy(*keys).orderBy(F.col(b).desc() if backward else F.col(b))
-               .rowsBetween(Window.unboundedPreceding, -1))
-    pieces = pieces.select(*keys, b, F.last("_edge", ignorenulls=True).over(piece_w).alias("_carry_in"))
-    joined = base.join(pieces, [*keys, b], "left")
-    out = (joined.withColumn(out_col, F.coalesce(F.col("_local"), F.col("_carry_in")))
-           .drop("_payload", "_local", "_carry_in"))
+    base = base.select("*", *[p.alias(f"_p{i}") for i, (p, _, _) in enumerate(scans)])
+    up = [F.col(c) for c in order_cols]
+    down = [F.col(c).desc() for c in order_cols]
+    local, edges, carried = [], [], []
+    rank = F.struct(*up)
+    for i, (_, _, backward) in enumerate(scans):
+        w = (Window.partitionBy(*keys, b).orderBy(*(down if backward else up))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        local.append(F.last(f"_p{i}", ignorenulls=True).over(w).alias(f"_l{i}"))
+        pick = F.min_by if backward else F.max_by
+        edges.append(pick(F.col(f"_p{i}"), F.when(F.col(f"_p{i}").isNotNull(), rank)).alias(f"_e{i}"))
+        pw = (Window.partitionBy(*keys).orderBy(F.col(b).desc() if backward else F.col(b))
+              .rowsBetween(Window.unboundedPreceding, -1))
+        carried.append(F.last(f"_e{i}", ignorenulls=True).over(pw).alias(f"_c{i}"))
+    with_local = base.select("*", *local)
+    pieces = base.groupBy(*keys, b).agg(*edges).select(*keys, b, *carried)
+    joined = with_local.join(pieces, [*keys, b], "left")
+    tmp = [f"_{x}{i}" for i in range(len(scans)) for x in "plc"]
+    out = joined.select("*", *[F.coalesce(F.col(f"_l{i}"), F.col(f"_c{i}")).alias(name)
+                              for i, (_, name, _) in enumerate(scans)]).drop(*tmp)
     return out if isinstance(bucket, str) else out.drop(b)
