@@ -50,8 +50,24 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Added before rounding on both sides (Spark and the oracle SQL).
+TIE_NUDGE = 1e-9
+
+
+def r6(c, places: int = 6):
+    """Round for comparison, the same way on both sides: ``round(x + 1e-9, places)``.
+
+    Exact ties at the next decimal are common here (two-decimal inputs averaged over
+    n = 2^a 5^b rows), and at a tie the last bit of accumulation noise would decide the
+    direction, differently per engine (Spark rounds the shortest decimal form, DuckDB the
+    binary value). The nudge moves every tie clearly above the boundary; other values
+    keep the straddle odds of plain rounding. Same form as ``sqlparts.r6``."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c + F.lit(TIE_NUDGE), places)
+
+
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), places).alias(f.name)
+    return df.select(*[r6(f.name, places).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 
@@ -151,13 +167,13 @@ def q_bronze_roundtrip(spark, sf_dir):
 @register("batch_union", """WITH u AS (
   SELECT event_type AS sensor_type, 'u' AS unit, CAST(value AS DOUBLE) AS value FROM events
   UNION ALL SELECT 'lineitem' AS sensor_type, 'units' AS unit, l_quantity AS value FROM lineitem)
-SELECT sensor_type, unit, count(*) AS readings, round(sum(value), 6) AS total_value,
+SELECT sensor_type, unit, count(*) AS readings, round((sum(value)) + 1e-9, 6) AS total_value,
        min(value) AS min_value, max(value) AS max_value FROM u GROUP BY sensor_type, unit""")
 def q_batch_union(spark, sf_dir):
     cols = ["sensor_type", "unit", "value"]
     u = event_readings(spark, sf_dir).select(*cols).unionByName(lineitem_readings(spark, sf_dir).select(*cols))
     return u.groupBy("sensor_type", "unit").agg(
-        F.count(F.lit(1)).alias("readings"), F.round(F.sum("value"), 6).alias("total_value"),
+        F.count(F.lit(1)).alias("readings"), r6(F.sum("value")).alias("total_value"),
         F.min("value").alias("min_value"), F.max("value").alias("max_value"))
 
 
@@ -261,8 +277,8 @@ LOOKUP_OUT = ["id", "sensor_id", "is_valid", "f_event_timestamp", "f_id", "f_val
 @register("score_lookup", _with(S.silver_sql(), S.history_sql()) + """, latest AS (
   SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY event_timestamp DESC, id DESC) = 1)
 SELECT s.id, s.sensor_id, s.is_valid, l.event_timestamp AS f_event_timestamp, l.id AS f_id,
-  round(l.value, 6) AS f_value, round(l.rolling_mean_5, 6) AS f_rolling_mean_5,
-  round(l.rolling_std_20, 6) AS f_rolling_std_20
+  round((l.value) + 1e-9, 6) AS f_value, round((l.rolling_mean_5) + 1e-9, 6) AS f_rolling_mean_5,
+  round((l.rolling_std_20) + 1e-9, 6) AS f_rolling_std_20
 FROM silver s JOIN latest l USING (sensor_id)""")
 def q_score_lookup(spark, sf_dir):
     s = events_silver(spark, sf_dir).select("id", "sensor_id", "is_valid")
@@ -274,8 +290,8 @@ def q_score_lookup(spark, sf_dir):
 
 @register("score_lookup_asof", _with(S.silver_sql(), S.history_sql()) + """
 SELECT s.id, s.sensor_id, s.is_valid, h.event_timestamp AS f_event_timestamp, h.id AS f_id,
-  round(h.value, 6) AS f_value, round(h.rolling_mean_5, 6) AS f_rolling_mean_5,
-  round(h.rolling_std_20, 6) AS f_rolling_std_20
+  round((h.value) + 1e-9, 6) AS f_value, round((h.rolling_mean_5) + 1e-9, 6) AS f_rolling_mean_5,
+  round((h.rolling_std_20) + 1e-9, 6) AS f_rolling_std_20
 FROM silver s ASOF JOIN hist h ON s.sensor_id = h.sensor_id AND s.event_timestamp >= h.event_timestamp""")
 def q_score_lookup_asof(spark, sf_dir):
     s = events_silver(spark, sf_dir).select("id", "sensor_id", "is_valid", "event_timestamp")
@@ -361,13 +377,13 @@ def q_standardized(spark, sf_dir):
 
 
 @register("threshold_percentile", _with(S.silver_sql(), S.expanding_sql(), _matrix_sql()) + """SELECT
-  CAST(0.1 AS DOUBLE) AS contamination, round(quantile_cont(change_rate, 0.1), 6) AS threshold,
-  round(quantile_cont(change_rate, 0.5), 6) AS median FROM mat""")
+  CAST(0.1 AS DOUBLE) AS contamination, round((quantile_cont(change_rate, 0.1)) + 1e-9, 6) AS threshold,
+  round((quantile_cont(change_rate, 0.5)) + 1e-9, 6) AS median FROM mat""")
 def q_threshold_percentile(spark, sf_dir):
     m = TR.training_matrix(events_silver(spark, sf_dir))
     q10, q50 = TR.exact_quantiles(m, "change_rate", [fixed.CONTAMINATION, 0.5])
-    return spark.createDataFrame([(fixed.CONTAMINATION, round(q10, 6), round(q50, 6))],
-                                 "contamination DOUBLE, threshold DOUBLE, median DOUBLE")
+    return round_doubles(spark.createDataFrame([(fixed.CONTAMINATION, q10, q50)],
+                                               "contamination DOUBLE, threshold DOUBLE, median DOUBLE"))
 
 
 # ---------------------------------------------------------------- sliding event-time windows
@@ -410,7 +426,7 @@ def q_recent_anomalies(spark, sf_dir):
 @register("anomaly_history", _with(S.silver_sql(), S.ANOMS_SQL) + """SELECT sensor_id,
   date_trunc('day', "timestamp") AS period, count(*) AS predictions,
   count(*) FILTER (WHERE is_anomaly) AS anomalies,
-  round(count(*) FILTER (WHERE is_anomaly) / count(*), 6) AS anomaly_rate
+  round((count(*) FILTER (WHERE is_anomaly) / count(*)) + 1e-9, 6) AS anomaly_rate
 FROM anoms GROUP BY sensor_id, date_trunc('day', "timestamp")""")
 def q_anomaly_history(spark, sf_dir):
     h = Q.anomaly_history(rule_anomalies(events_silver(spark, sf_dir)))
@@ -425,10 +441,10 @@ SELECT sensor_type, count(*) FILTER (WHERE predicted AND actual) AS tp,
   count(*) FILTER (WHERE predicted AND NOT actual) AS fp,
   count(*) FILTER (WHERE NOT predicted AND actual) AS fn,
   count(*) FILTER (WHERE NOT predicted AND NOT actual) AS tn,
-  round(CASE WHEN count(*) FILTER (WHERE predicted) > 0
-    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE predicted) END, 6) AS "precision",
-  round(CASE WHEN count(*) FILTER (WHERE actual) > 0
-    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE actual) END, 6) AS recall
+  round((CASE WHEN count(*) FILTER (WHERE predicted) > 0
+    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE predicted) END) + 1e-9, 6) AS "precision",
+  round((CASE WHEN count(*) FILTER (WHERE actual) > 0
+    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE actual) END) + 1e-9, 6) AS recall
 FROM lab GROUP BY sensor_type""")
 def q_confusion(spark, sf_dir):
     s = events_silver(spark, sf_dir)
@@ -468,8 +484,8 @@ def q_forward_fill(spark, sf_dir):
       OVER (PARTITION BY sensor_id ORDER BY event_timestamp, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv
   FROM gappy)
 SELECT id, sensor_id, event_timestamp, value,
-  round(CASE WHEN value IS NOT NULL THEN value WHEN nt - pt = 0 THEN pv
-        ELSE pv + (nv - pv) * (t - pt) / (nt - pt) END, 6) AS interpolated_value
+  round((CASE WHEN value IS NOT NULL THEN value WHEN nt - pt = 0 THEN pv
+        ELSE pv + (nv - pv) * (t - pt) / (nt - pt) END) + 1e-9, 6) AS interpolated_value
 FROM pts""")
 def q_interpolate(spark, sf_dir):
     out = Q.interpolate(_gappy(spark, sf_dir))
@@ -501,7 +517,7 @@ def q_clip_outliers(spark, sf_dir):
   FROM silver WHERE is_valid GROUP BY ALL),
 pg AS (SELECT sensor_type, date_trunc('hour', event_timestamp) AS bucket, avg(cleaned_value) AS y
   FROM silver WHERE is_valid GROUP BY ALL)
-SELECT sensor_id, sensor_type, round(corr(x, y), 6) AS corr_to_group, count(*) AS points
+SELECT sensor_id, sensor_type, round((corr(x, y)) + 1e-9, 6) AS corr_to_group, count(*) AS points
 FROM ps JOIN pg USING (sensor_type, bucket) GROUP BY sensor_id, sensor_type HAVING count(*) >= 3""")
 def q_sensor_correlation(spark, sf_dir):
     s = silv.valid_only(events_silver(spark, sf_dir))
@@ -518,8 +534,8 @@ def q_ingest_rate(spark, sf_dir):
 @register("latency_percentiles", """WITH lat AS (
   SELECT (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 3.6e9 AS latency_hours
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT count(*) AS pairs, round(quantile_cont(latency_hours, 0.5), 6) AS p50_hours,
-  round(quantile_cont(latency_hours, 0.95), 6) AS p95_hours FROM lat""")
+SELECT count(*) AS pairs, round((quantile_cont(latency_hours, 0.5)) + 1e-9, 6) AS p50_hours,
+  round((quantile_cont(latency_hours, 0.95)) + 1e-9, 6) AS p95_hours FROM lat""")
 def q_latency(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
@@ -529,8 +545,7 @@ def q_latency(spark, sf_dir):
     lat = lat.checkpoint(eager=True)  # reused by the count and both quantiles
     n = lat.count()
     p50, p95 = TR.exact_quantiles(lat, "latency_hours", [0.5, 0.95])
-    return spark.createDataFrame([(n, None if p50 is None else round(p50, 6), None if p95 is None else round(p95, 6))],
-                                 "pairs BIGINT, p50_hours DOUBLE, p95_hours DOUBLE")
+    return round_doubles(spark.createDataFrame([(n, p50, p95)], "pairs BIGINT, p50_hours DOUBLE, p95_hours DOUBLE"))
 
 
 @register("retention", _with(S.READINGS_SQL) + """SELECT id, sensor_id, event_timestamp FROM readings
@@ -599,7 +614,7 @@ d AS (SELECT f.sensor_id, f."timestamp", c.label,
         sqrt((mean_6h - cm) * (mean_6h - cm) + (std0 - cs) * (std0 - cs)
              + (range_6h - cr) * (range_6h - cr) + (count_6h - cc) * (count_6h - cc)) AS distance
       FROM f, c)
-SELECT sensor_id, "timestamp", label AS nearest, round(distance, 6) AS distance FROM d
+SELECT sensor_id, "timestamp", label AS nearest, round((distance) + 1e-9, 6) AS distance FROM d
 QUALIFY row_number() OVER (PARTITION BY sensor_id, "timestamp" ORDER BY distance, label) = 1"""
 
 

@@ -102,11 +102,16 @@ snap AS (
   FROM capped GROUP BY sensor_id HAVING count(v) >= {fixed.MIN_ROWS_FEATURES})"""
 
 
+def r6(expr: str, places: int = 6) -> str:
+    """SQL form of ``checked.r6``: ``round(x + 1e-9, places)`` (ties go up on both sides)."""
+    return f"round(({expr}) + 1e-9, {places})"
+
+
 def rounded_select(cols: list[str], doubles: set[str], places: int = 6) -> str:
     out = []
     for c in cols:
         q = f'"{c}"'
-        out.append(f"round({q}, {places}) AS {q}" if c in doubles else q)
+        out.append(f"{r6(q, places)} AS {q}" if c in doubles else q)
     return ", ".join(out)
 
 

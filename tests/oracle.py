@@ -29,13 +29,17 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+# ORACLE_EXACT=1 compares doubles bit for bit (queries already round to 6 places).
+PLACES = None if os.environ.get("ORACLE_EXACT") == "1" else 5
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 5)
+        return v if PLACES is None else round(v, PLACES)
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, pd.Timestamp):
