@@ -53,13 +53,17 @@ def latest_lookup(records: DataFrame, features: DataFrame, key: str = "sensor_id
 def asof_lookup(records: DataFrame, features: DataFrame, key: str, rec_time: str,
                 feat_time: str, feat_cols: list[str], rec_order: str = "id",
                 feat_order: str | None = None, bucket_unit: str = "hour",
-                pieces: str = "auto") -> DataFrame:
+                pieces: str = "auto", materialize_input: bool = False) -> DataFrame:
     """As-of join: each record gets the newest feature row with feat_time <= rec_time.
 
     Records and feature rows are unioned and ordered by (time, side, order key) with
     feature rows first at equal time; the newest feature struct is carried forward by the
     skew-safe scan over ordered pieces (no range join, no whole-key task; ``pieces`` as in
     ``scan.with_pieces``). Records with no earlier feature row are dropped.
+
+    The scan reads its input in two branches (running window, piece edges);
+    ``materialize_input`` writes the unioned input once to the shared checkpoint folder
+    first, for inputs that are expensive to recompute (e.g. features derived inline).
     """
     from gaugeflow.operators.scan import PIECE, carry, with_pieces
 
@@ -78,6 +82,9 @@ def asof_lookup(records: DataFrame, features: DataFrame, key: str, rec_time: str
         F.lit(None).cast(rec_struct).alias("_rec"),
         F.struct(*feat_cols).alias("_feat"))
     both = rec.unionByName(feat)
+    if materialize_input:
+        from gaugeflow.session import materialize
+        both = materialize(both, "asof-input")
     order = ["_t", "_side", "_o"]
     both = with_pieces(both, key, order, F.date_trunc(bucket_unit, F.col("_t")), pieces)
     both = carry(both, key, order, F.col("_feat"), "_cur", PIECE)

@@ -83,9 +83,11 @@ def test_asof_on_count_pieces_matches_time_pieces(spark):
     args = ("sensor_id", "event_timestamp", "ts", ["ts", "fid", "value"])
     a = J.asof_lookup(recs, feats, *args, rec_order="id", feat_order="fid", pieces="time")
     b = J.asof_lookup(recs, feats, *args, rec_order="id", feat_order="fid", pieces="rows")
+    c = J.asof_lookup(recs, feats, *args, rec_order="id", feat_order="fid", materialize_input=True)
     ka = sorted(tuple(r) for r in a.collect())
     kb = sorted(tuple(r) for r in b.collect())
-    assert ka == kb and len(ka) == df.count() - _leading_missing(df)
+    kc = sorted(tuple(r) for r in c.collect())
+    assert ka == kb == kc and len(ka) == df.count() - _leading_missing(df)
 
 
 def _leading_missing(df):
