@@ -10,23 +10,41 @@ from gaugeflow import fixed
 READING_FIELDS = ["id", "sensor_id", "sensor_type", "value", "unit", "timestamp", "location", "metadata"]
 
 
-def nest_batches(readings: DataFrame, batch_id: Column,
-                 ingestion_ts: Column | None = None) -> DataFrame:
+# Largest envelope array; a bigger batch is split over several envelope rows.
+MAX_ENVELOPE_READINGS = 100_000
+
+
+def nest_batches(readings: DataFrame, batch_id: Column, ingestion_ts: Column | None = None,
+                 max_readings: int = MAX_ENVELOPE_READINGS) -> DataFrame:
     """One envelope row per batch: id, sensor_readings ARRAY<STRUCT>, ingestion_timestamp,
-    source, batch_id. Batches are ingestion units of bounded size (the caller's batch key),
-    so ``collect_list`` never gathers an unbounded group; readings are sorted by id."""
+    source, batch_id, part. Readings are sorted by id inside an envelope.
+
+    No array holds an unbounded group: one partial count finds the batches with more than
+    ``max_readings`` readings (a small table, broadcast only behind a size check), and
+    only those are spread over ceil(n / max_readings) envelope rows by a hash of the
+    reading id (``part``; 0 for every ordinary batch)."""
+    from gaugeflow.operators.joins import lookup_join
     fields = [c for c in READING_FIELDS if c in readings.columns]
-    env = (readings.withColumn("batch_id", batch_id)
-           .groupBy("batch_id")
+    r = readings.withColumn("batch_id", batch_id)
+    big = (r.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
+           .where(F.col("_n") > max_readings)
+           .select("batch_id", F.ceil(F.col("_n") / F.lit(max_readings)).alias("_parts")))
+    r = lookup_join(r, big, "batch_id", "left")
+    part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(F.col("id")), F.col("_parts")).cast("int"))
+    env = (r.withColumn("part", part)
+           .groupBy("batch_id", "part")
            .agg(F.array_sort(F.collect_list(F.struct(*fields)),
                              lambda l, r: F.when(l["id"] < r["id"], -1).when(l["id"] > r["id"], 1)
                              .otherwise(0)).alias("sensor_readings")))
+    key = F.when(F.col("part") == 0, F.col("batch_id").cast("string")).otherwise(
+        F.concat(F.col("batch_id").cast("string"), F.lit("/"), F.col("part").cast("string")))
     return env.select(
-        F.sha2(F.col("batch_id").cast("string"), 256).substr(1, 32).alias("id"),
+        F.sha2(key, 256).substr(1, 32).alias("id"),
         "sensor_readings",
         (ingestion_ts if ingestion_ts is not None else F.current_timestamp()).alias("ingestion_timestamp"),
         F.lit(fixed.SOURCE_NAME).alias("source"),
-        "batch_id")
+        "batch_id", "part")
 
 
 def unnest_batches(envelopes: DataFrame) -> DataFrame:

@@ -54,3 +54,19 @@ def test_dimension_lookup_is_broadcast(spark):
     s = checked.events_silver(spark, SF_CHECK)
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_envelopes_split_oversized_batches(spark):
+    from pyspark.sql import functions as F
+    from gaugeflow.operators import bronze
+    rows = [(i, f"s{i % 3}", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id BIGINT, sensor_id STRING, value DOUBLE")
+    batch = F.when(F.col("id") < 25, F.lit(0)).otherwise(F.lit(1 + F.col("id") % 3))  # batch 0: 25 rows
+    env = bronze.nest_batches(df, batch, max_readings=10)
+    sizes = {(r.batch_id, r.part): r.n for r in env.select("batch_id", "part", F.size("sensor_readings").alias("n")).collect()}
+    assert sum(n for (b, _), n in sizes.items() if b == 0) == 25
+    assert {p for (b, p) in sizes if b == 0} <= {0, 1, 2} and len([1 for (b, _) in sizes if b == 0]) >= 2
+    assert all(p == 0 for (b, p) in sizes if b != 0)                  # ordinary batches stay whole
+    assert env.select("id").distinct().count() == env.count()
+    back = bronze.unnest_batches(env).select("id").collect()
+    assert sorted(r.id for r in back) == list(range(40))              # every reading exactly once
