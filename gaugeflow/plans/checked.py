@@ -449,7 +449,7 @@ FROM lab GROUP BY sensor_type""")
 def q_confusion(spark, sf_dir):
     s = events_silver(spark, sf_dir)
     r = type_ranges(spark)
-    lab = s.join(F.broadcast(r), s.sensor_type == r.type, "inner").select(
+    lab = J.lookup_join(s, r, s.sensor_type == r.type, "inner", dim_rows=len(fixed.EVENT_TYPE_RANGES)).select(
         "sensor_type", (~F.col("is_valid")).alias("predicted"),
         ((F.col("cleaned_value") < F.col("range_min")) | (F.col("cleaned_value") > F.col("range_max"))).alias("actual"))
     return round_doubles(Q.confusion(lab, "predicted", "actual", by=["sensor_type"]))

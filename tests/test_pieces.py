@@ -118,3 +118,25 @@ def test_blocked_expanding_on_count_pieces_matches_window_plan(spark):
                 assert g[k] == pytest.approx(v, rel=1e-9, abs=1e-9), k
             else:
                 assert g[k] == v, k
+
+
+@pytest.mark.parametrize("pieces", ["time", "rows"])
+def test_blocked_history_matches_window_plan(spark, pieces):
+    rng = np.random.default_rng(13)
+    base = dt.datetime(2024, 6, 1)
+    rows = []
+    for sid, n in (("a", 170), ("b", 40), ("c", 3)):
+        rows += [(len(rows) + i, sid, base + dt.timedelta(seconds=i), float(np.round(rng.normal(7, 2), 2)))
+                 for i in range(n)]
+    df = spark.createDataFrame(rows, "id BIGINT, sensor_id STRING, event_timestamp TIMESTAMP, cleaned_value DOUBLE")
+    want = sorted((r.asDict() for r in feat.history_features(df, method="window").collect()), key=lambda r: r["id"])
+    got = sorted((r.asDict() for r in feat.history_features(df, method="blocked", block_rows=64,
+                                                           pieces=pieces).collect()), key=lambda r: r["id"])
+    assert len(got) == len(want) == 213
+    for g, w in zip(got, want):
+        assert g.keys() == w.keys()
+        for k, v in w.items():
+            if isinstance(v, float):
+                assert g[k] == pytest.approx(v, rel=1e-12, abs=1e-12), k
+            else:
+                assert g[k] == v, k
