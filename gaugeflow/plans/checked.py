@@ -50,20 +50,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# Added before rounding on both sides (Spark and the oracle SQL).
-TIE_NUDGE = 1e-9
-
-
 def r6(c, places: int = 6):
-    """Round for comparison, the same way on both sides: ``round(x + 1e-9, places)``.
-
-    Exact ties at the next decimal are common here (two-decimal inputs averaged over
-    n = 2^a 5^b rows), and at a tie the last bit of accumulation noise would decide the
-    direction, differently per engine (Spark rounds the shortest decimal form, DuckDB the
-    binary value). The nudge moves every tie clearly above the boundary; other values
-    keep the straddle odds of plain rounding. Same form as ``sqlparts.r6``."""
+    """Round for comparison, the same way on both sides (``sqlparts.r6`` is the SQL form):
+    ``floor(x * 10^places + 0.501) / 10^places`` for |x| < 1e9, else x unchanged.
+
+    Plain IEEE steps (multiply, add, floor, divide), so Spark and DuckDB produce the same
+    bits from the same input, inside whole-stage codegen (``round`` on doubles goes through
+    BigDecimal per value). Exact ties at the next decimal are common here (two-decimal
+    inputs averaged over n = 2^a 5^b rows), and at a tie the last bit of accumulation noise
+    would decide the direction; the 0.001 (1e-9 at six places) sends every tie up."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c + F.lit(TIE_NUDGE), places)
+    scale = float(10 ** places)
+    return F.when(F.abs(c) < F.lit(1e9),
+                  F.floor(c * F.lit(scale) + F.lit(0.501)) / F.lit(scale)).otherwise(c)
 
 
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
@@ -167,7 +166,7 @@ def q_bronze_roundtrip(spark, sf_dir):
 @register("batch_union", """WITH u AS (
   SELECT event_type AS sensor_type, 'u' AS unit, CAST(value AS DOUBLE) AS value FROM events
   UNION ALL SELECT 'lineitem' AS sensor_type, 'units' AS unit, l_quantity AS value FROM lineitem)
-SELECT sensor_type, unit, count(*) AS readings, round((sum(value)) + 1e-9, 6) AS total_value,
+SELECT sensor_type, unit, count(*) AS readings, CASE WHEN abs(sum(value)) < 1e9 THEN floor((sum(value)) * 1e6 + 501e-3) / 1e6 ELSE (sum(value)) END AS total_value,
        min(value) AS min_value, max(value) AS max_value FROM u GROUP BY sensor_type, unit""")
 def q_batch_union(spark, sf_dir):
     cols = ["sensor_type", "unit", "value"]
@@ -277,8 +276,8 @@ LOOKUP_OUT = ["id", "sensor_id", "is_valid", "f_event_timestamp", "f_id", "f_val
 @register("score_lookup", _with(S.silver_sql(), S.history_sql()) + """, latest AS (
   SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY event_timestamp DESC, id DESC) = 1)
 SELECT s.id, s.sensor_id, s.is_valid, l.event_timestamp AS f_event_timestamp, l.id AS f_id,
-  round((l.value) + 1e-9, 6) AS f_value, round((l.rolling_mean_5) + 1e-9, 6) AS f_rolling_mean_5,
-  round((l.rolling_std_20) + 1e-9, 6) AS f_rolling_std_20
+  CASE WHEN abs(l.value) < 1e9 THEN floor((l.value) * 1e6 + 501e-3) / 1e6 ELSE (l.value) END AS f_value, CASE WHEN abs(l.rolling_mean_5) < 1e9 THEN floor((l.rolling_mean_5) * 1e6 + 501e-3) / 1e6 ELSE (l.rolling_mean_5) END AS f_rolling_mean_5,
+  CASE WHEN abs(l.rolling_std_20) < 1e9 THEN floor((l.rolling_std_20) * 1e6 + 501e-3) / 1e6 ELSE (l.rolling_std_20) END AS f_rolling_std_20
 FROM silver s JOIN latest l USING (sensor_id)""")
 def q_score_lookup(spark, sf_dir):
     s = events_silver(spark, sf_dir).select("id", "sensor_id", "is_valid")
@@ -290,8 +289,8 @@ def q_score_lookup(spark, sf_dir):
 
 @register("score_lookup_asof", _with(S.silver_sql(), S.history_sql()) + """
 SELECT s.id, s.sensor_id, s.is_valid, h.event_timestamp AS f_event_timestamp, h.id AS f_id,
-  round((h.value) + 1e-9, 6) AS f_value, round((h.rolling_mean_5) + 1e-9, 6) AS f_rolling_mean_5,
-  round((h.rolling_std_20) + 1e-9, 6) AS f_rolling_std_20
+  CASE WHEN abs(h.value) < 1e9 THEN floor((h.value) * 1e6 + 501e-3) / 1e6 ELSE (h.value) END AS f_value, CASE WHEN abs(h.rolling_mean_5) < 1e9 THEN floor((h.rolling_mean_5) * 1e6 + 501e-3) / 1e6 ELSE (h.rolling_mean_5) END AS f_rolling_mean_5,
+  CASE WHEN abs(h.rolling_std_20) < 1e9 THEN floor((h.rolling_std_20) * 1e6 + 501e-3) / 1e6 ELSE (h.rolling_std_20) END AS f_rolling_std_20
 FROM silver s ASOF JOIN hist h ON s.sensor_id = h.sensor_id AND s.event_timestamp >= h.event_timestamp""")
 def q_score_lookup_asof(spark, sf_dir):
     s = events_silver(spark, sf_dir).select("id", "sensor_id", "is_valid", "event_timestamp")
@@ -377,8 +376,8 @@ def q_standardized(spark, sf_dir):
 
 
 @register("threshold_percentile", _with(S.silver_sql(), S.expanding_sql(), _matrix_sql()) + """SELECT
-  CAST(0.1 AS DOUBLE) AS contamination, round((quantile_cont(change_rate, 0.1)) + 1e-9, 6) AS threshold,
-  round((quantile_cont(change_rate, 0.5)) + 1e-9, 6) AS median FROM mat""")
+  CAST(0.1 AS DOUBLE) AS contamination, CASE WHEN abs(quantile_cont(change_rate, 0.1)) < 1e9 THEN floor((quantile_cont(change_rate, 0.1)) * 1e6 + 501e-3) / 1e6 ELSE (quantile_cont(change_rate, 0.1)) END AS threshold,
+  CASE WHEN abs(quantile_cont(change_rate, 0.5)) < 1e9 THEN floor((quantile_cont(change_rate, 0.5)) * 1e6 + 501e-3) / 1e6 ELSE (quantile_cont(change_rate, 0.5)) END AS median FROM mat""")
 def q_threshold_percentile(spark, sf_dir):
     m = TR.training_matrix(events_silver(spark, sf_dir))
     q10, q50 = TR.exact_quantiles(m, "change_rate", [fixed.CONTAMINATION, 0.5])
@@ -426,7 +425,7 @@ def q_recent_anomalies(spark, sf_dir):
 @register("anomaly_history", _with(S.silver_sql(), S.ANOMS_SQL) + """SELECT sensor_id,
   date_trunc('day', "timestamp") AS period, count(*) AS predictions,
   count(*) FILTER (WHERE is_anomaly) AS anomalies,
-  round((count(*) FILTER (WHERE is_anomaly) / count(*)) + 1e-9, 6) AS anomaly_rate
+  CASE WHEN abs(count(*) FILTER (WHERE is_anomaly) / count(*)) < 1e9 THEN floor((count(*) FILTER (WHERE is_anomaly) / count(*)) * 1e6 + 501e-3) / 1e6 ELSE (count(*) FILTER (WHERE is_anomaly) / count(*)) END AS anomaly_rate
 FROM anoms GROUP BY sensor_id, date_trunc('day', "timestamp")""")
 def q_anomaly_history(spark, sf_dir):
     h = Q.anomaly_history(rule_anomalies(events_silver(spark, sf_dir)))
@@ -441,10 +440,14 @@ SELECT sensor_type, count(*) FILTER (WHERE predicted AND actual) AS tp,
   count(*) FILTER (WHERE predicted AND NOT actual) AS fp,
   count(*) FILTER (WHERE NOT predicted AND actual) AS fn,
   count(*) FILTER (WHERE NOT predicted AND NOT actual) AS tn,
-  round((CASE WHEN count(*) FILTER (WHERE predicted) > 0
-    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE predicted) END) + 1e-9, 6) AS "precision",
-  round((CASE WHEN count(*) FILTER (WHERE actual) > 0
-    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE actual) END) + 1e-9, 6) AS recall
+  CASE WHEN abs(CASE WHEN count(*) FILTER (WHERE predicted) > 0
+    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE predicted) END) < 1e9 THEN floor((CASE WHEN count(*) FILTER (WHERE predicted) > 0
+    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE predicted) END) * 1e6 + 501e-3) / 1e6 ELSE (CASE WHEN count(*) FILTER (WHERE predicted) > 0
+    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE predicted) END) END AS "precision",
+  CASE WHEN abs(CASE WHEN count(*) FILTER (WHERE actual) > 0
+    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE actual) END) < 1e9 THEN floor((CASE WHEN count(*) FILTER (WHERE actual) > 0
+    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE actual) END) * 1e6 + 501e-3) / 1e6 ELSE (CASE WHEN count(*) FILTER (WHERE actual) > 0
+    THEN count(*) FILTER (WHERE predicted AND actual) / count(*) FILTER (WHERE actual) END) END AS recall
 FROM lab GROUP BY sensor_type""")
 def q_confusion(spark, sf_dir):
     s = events_silver(spark, sf_dir)
@@ -484,8 +487,10 @@ def q_forward_fill(spark, sf_dir):
       OVER (PARTITION BY sensor_id ORDER BY event_timestamp, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv
   FROM gappy)
 SELECT id, sensor_id, event_timestamp, value,
-  round((CASE WHEN value IS NOT NULL THEN value WHEN nt - pt = 0 THEN pv
-        ELSE pv + (nv - pv) * (t - pt) / (nt - pt) END) + 1e-9, 6) AS interpolated_value
+  CASE WHEN abs(CASE WHEN value IS NOT NULL THEN value WHEN nt - pt = 0 THEN pv
+        ELSE pv + (nv - pv) * (t - pt) / (nt - pt) END) < 1e9 THEN floor((CASE WHEN value IS NOT NULL THEN value WHEN nt - pt = 0 THEN pv
+        ELSE pv + (nv - pv) * (t - pt) / (nt - pt) END) * 1e6 + 501e-3) / 1e6 ELSE (CASE WHEN value IS NOT NULL THEN value WHEN nt - pt = 0 THEN pv
+        ELSE pv + (nv - pv) * (t - pt) / (nt - pt) END) END AS interpolated_value
 FROM pts""")
 def q_interpolate(spark, sf_dir):
     out = Q.interpolate(_gappy(spark, sf_dir))
@@ -517,7 +522,7 @@ def q_clip_outliers(spark, sf_dir):
   FROM silver WHERE is_valid GROUP BY ALL),
 pg AS (SELECT sensor_type, date_trunc('hour', event_timestamp) AS bucket, avg(cleaned_value) AS y
   FROM silver WHERE is_valid GROUP BY ALL)
-SELECT sensor_id, sensor_type, round((corr(x, y)) + 1e-9, 6) AS corr_to_group, count(*) AS points
+SELECT sensor_id, sensor_type, CASE WHEN abs(corr(x, y)) < 1e9 THEN floor((corr(x, y)) * 1e6 + 501e-3) / 1e6 ELSE (corr(x, y)) END AS corr_to_group, count(*) AS points
 FROM ps JOIN pg USING (sensor_type, bucket) GROUP BY sensor_id, sensor_type HAVING count(*) >= 3""")
 def q_sensor_correlation(spark, sf_dir):
     s = silv.valid_only(events_silver(spark, sf_dir))
@@ -534,8 +539,8 @@ def q_ingest_rate(spark, sf_dir):
 @register("latency_percentiles", """WITH lat AS (
   SELECT (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 3.6e9 AS latency_hours
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT count(*) AS pairs, round((quantile_cont(latency_hours, 0.5)) + 1e-9, 6) AS p50_hours,
-  round((quantile_cont(latency_hours, 0.95)) + 1e-9, 6) AS p95_hours FROM lat""")
+SELECT count(*) AS pairs, CASE WHEN abs(quantile_cont(latency_hours, 0.5)) < 1e9 THEN floor((quantile_cont(latency_hours, 0.5)) * 1e6 + 501e-3) / 1e6 ELSE (quantile_cont(latency_hours, 0.5)) END AS p50_hours,
+  CASE WHEN abs(quantile_cont(latency_hours, 0.95)) < 1e9 THEN floor((quantile_cont(latency_hours, 0.95)) * 1e6 + 501e-3) / 1e6 ELSE (quantile_cont(latency_hours, 0.95)) END AS p95_hours FROM lat""")
 def q_latency(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
@@ -614,7 +619,7 @@ d AS (SELECT f.sensor_id, f."timestamp", c.label,
         sqrt((mean_6h - cm) * (mean_6h - cm) + (std0 - cs) * (std0 - cs)
              + (range_6h - cr) * (range_6h - cr) + (count_6h - cc) * (count_6h - cc)) AS distance
       FROM f, c)
-SELECT sensor_id, "timestamp", label AS nearest, round((distance) + 1e-9, 6) AS distance FROM d
+SELECT sensor_id, "timestamp", label AS nearest, CASE WHEN abs(distance) < 1e9 THEN floor((distance) * 1e6 + 501e-3) / 1e6 ELSE (distance) END AS distance FROM d
 QUALIFY row_number() OVER (PARTITION BY sensor_id, "timestamp" ORDER BY distance, label) = 1"""
 
 

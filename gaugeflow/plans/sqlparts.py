@@ -103,8 +103,9 @@ snap AS (
 
 
 def r6(expr: str, places: int = 6) -> str:
-    """SQL form of ``checked.r6``: ``round(x + 1e-9, places)`` (ties go up on both sides)."""
-    return f"round(({expr}) + 1e-9, {places})"
+    """SQL form of ``checked.r6``: floor(x * 10^places + 0.501) / 10^places for |x| < 1e9."""
+    scale = f"1e{places}"
+    return f"CASE WHEN abs({expr}) < 1e9 THEN floor(({expr}) * {scale} + 501e-3) / {scale} ELSE ({expr}) END"
 
 
 def rounded_select(cols: list[str], doubles: set[str], places: int = 6) -> str:
