@@ -83,7 +83,10 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
     stats = series.groupBy(key).agg(F.count(F.lit(1)).alias("_len"), F.avg("v").alias("_K"))
     stats = stats.where(F.col("_len") >= min_sensor_rows)
     from gaugeflow.operators.joins import lookup_join
-    df = lookup_join(series, stats, key, "inner")  # one row per sensor: broadcast if bounded
+    from gaugeflow.session import materialize
+    # one row per sensor, written once: the size check and the join both read it
+    stats = materialize(stats, "expanding-stats")
+    df = lookup_join(series, stats, key, "inner")  # broadcast if bounded
     df = global_positions(df, key, order_cols, time_col, bucket_unit, pieces)
     halo = max(max(windows) - 1, max(lags))
     df = _with_halo(df, block_rows, halo)

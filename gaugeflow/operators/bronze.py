@@ -29,6 +29,8 @@ def nest_batches(readings: DataFrame, batch_id: Column, ingestion_ts: Column | N
     big = (r.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
            .where(F.col("_n") > max_readings)
            .select("batch_id", F.ceil(F.col("_n") / F.lit(max_readings)).alias("_parts")))
+    from gaugeflow.session import materialize
+    big = materialize(big, "oversized-batches")  # usually empty; check and join read it
     r = lookup_join(r, big, "batch_id", "left")
     part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
         F.pmod(F.xxhash64(F.col("id")), F.col("_parts")).cast("int"))

@@ -62,9 +62,12 @@ def snapshot_features(silver: DataFrame, max_history: int | None = fixed.MAX_HIS
         # aggregation below is partial (map-side), so no task holds a whole sensor.
         from gaugeflow.operators.blocked import global_positions
         from gaugeflow.operators.joins import lookup_join
+        from gaugeflow.session import materialize
         pos = global_positions(df.select(key, *order_cols, "v"), key, list(order_cols), order_cols[0],
                                pieces=pieces)
-        counts = pos.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        # series lengths from the input (not from the position plan), written once: the
+        # size check and the join both read the small table
+        counts = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "snapshot-lengths")
         ranked = lookup_join(pos, counts, key, "inner").select(
             key, "v", (F.col("_n") - F.col("pos") + 1).alias("rn"))
     v, rn = F.col("v"), F.col("rn")
