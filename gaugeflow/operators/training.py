@@ -57,6 +57,11 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], n: int | None = No
     """
     x = F.col(col)
     base = df.select(x.cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    if n is None or n > EXACT_DIRECT_LIMIT:
+        # Several passes follow (count, or bracket + counts + bracket sort): write the one
+        # column once (shared folder) instead of recomputing the upstream plan per pass.
+        from gaugeflow.session import materialize
+        base = materialize(base, "quantile-input")
     if n is None:
         n = base.count()  # callers that know the (non-NULL) row count skip this pass
     if n == 0:
