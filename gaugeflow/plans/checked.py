@@ -709,6 +709,7 @@ def q_micro_batch(spark, sf_dir):
     replay = f"{root}/replay"
     r = event_readings(spark, sf_dir)
     r.repartitionByRange(8, "timestamp").write.parquet(replay)
+    SP.stamp_in_name_order(spark, replay)  # replay files oldest first = earliest times first
     model = IF.train(spark, TR.training_matrix(events_silver(spark, sf_dir)))
     stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 2).parquet(replay)
     dim, n = sensor_dimension(spark)
@@ -726,6 +727,7 @@ def q_micro_batch_stateful(spark, sf_dir):
     replay = f"{root}/replay"
     r = event_readings(spark, sf_dir)
     r.repartitionByRange(8, "timestamp").write.parquet(replay)
+    SP.stamp_in_name_order(spark, replay)  # replay files oldest first = earliest times first
     model = IF.train(spark, TR.training_matrix(events_silver(spark, sf_dir)))
     stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 2).parquet(replay)
     dim, n = sensor_dimension(spark)

@@ -62,6 +62,25 @@ def write_replay(readings: DataFrame, input_path: str, files: int = 8) -> None:
      .withColumn("timestamp", F.col("timestamp").cast("timestamp"))
      .repartitionByRange(files, "timestamp")
      .write.mode("overwrite").option("timestampFormat", JSON_TS_FORMAT).json(input_path))
+    stamp_in_name_order(readings.sparkSession, input_path)
+
+
+def stamp_in_name_order(spark: SparkSession, path: str, prefix: str = "part-") -> int:
+    """Give the data files under ``path`` increasing modification times in file-name order.
+
+    The file source replays files oldest first; files written by parallel tasks get
+    arbitrary times, while ``repartitionByRange(time)`` numbers them in time order. Uses
+    the Hadoop FileSystem API, so it works on any cluster file system that keeps times."""
+    import time as _time
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(st.getPath().toString() for st in fs.listStatus(root)
+                   if st.getPath().getName().startswith(prefix))
+    start = int(_time.time() * 1000) - 1000 * (len(names) + 10)
+    for i, name in enumerate(names):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(name), start + 1000 * i, -1)
+    return len(names)
 
 
 def ingest_to_bronze(spark: SparkSession, paths: PipelinePaths, trigger: dict | None = None,
