@@ -254,6 +254,8 @@ def _keep_recent(max_history: int):
             cur = pd.DataFrame({"ts_us": np.empty(0, "int64"), "id": np.empty(0, "int64"),
                                 "cleaned_value": np.empty(0, "float64")})
         for pdf in pdfs:
+            if not len(pdf):
+                continue
             # a record carries no value here (0.0 keeps the column non-null for Arrow)
             yield pd.DataFrame({"sensor_id": sid, "kind": 1, "ts_us": pdf["ts_us"].to_numpy(),
                                 "id": pdf["id"].to_numpy(), "cleaned_value": 0.0})
