@@ -112,6 +112,17 @@ def q_features_snapshot(spark, sf_dir):
     return round_doubles(feat.snapshot_features(events_silver(spark, sf_dir)).select(*SNAPSHOT_COLS))
 
 
+@register("features_snapshot_full_history",
+          _with(S.silver_sql(), S.snapshot_sql(max_history=None))
+          + f"SELECT {S.rounded_select(SNAPSHOT_COLS, SNAPSHOT_DOUBLES)} FROM snap")
+def q_features_snapshot_full_history(spark, sf_dir):
+    """The 30 snapshot features over each sensor's whole valid history (``max_history=None``,
+    the option that removes the train/serve skew of the 100-row cap): ranks come from
+    skew-proof global positions, and the aggregation is partial, so no task holds a sensor."""
+    f = feat.snapshot_features(events_silver(spark, sf_dir), max_history=None)
+    return round_doubles(f.select(*SNAPSHOT_COLS))
+
+
 def _ntz(c):
     return F.col(c).cast("timestamp_ntz") if isinstance(c, str) else c.cast("timestamp_ntz")
 
