@@ -70,11 +70,16 @@ def stamp_in_name_order(spark: SparkSession, path: str, prefix: str = "part-") -
 
     The file source replays files oldest first; files written by parallel tasks get
     arbitrary times, while ``repartitionByRange(time)`` numbers them in time order. Uses
-    the Hadoop FileSystem API, so it works on any cluster file system that keeps times."""
+    the Hadoop FileSystem API, so it works on any cluster file system that keeps times.
+    Returns the number of files stamped (0 without a JVM handle, e.g. Spark Connect)."""
     import time as _time
-    jvm = spark.sparkContext._jvm
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session has no JVM handle: keep the write order
+        return 0
+    jvm = sc._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
     names = sorted(st.getPath().toString() for st in fs.listStatus(root)
                    if st.getPath().getName().startswith(prefix))
     start = int(_time.time() * 1000) - 1000 * (len(names) + 10)

@@ -73,3 +73,14 @@ def test_window_stream_equals_batch(spark, tmp_path):
     batch = batch.where(F.col("timestamp") + F.expr("INTERVAL 5 MINUTES") <= F.lit(cutoff))
     cols = ["sensor_id", "timestamp", "mean_5min", "count_5min"]
     assert sorted(stream.select(*cols).collect()) == sorted(batch.select(*cols).collect())
+
+
+def test_replay_files_stamped_in_time_order(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id BIGINT, ts TIMESTAMP")
+    path = str(tmp_path / "replay")
+    df.repartitionByRange(5, "ts").write.parquet(path)
+    assert SP.stamp_in_name_order(spark, path) == 5
+    files = sorted((os.path.getmtime(os.path.join(path, f)), f) for f in os.listdir(path) if f.startswith("part-"))
+    firsts = [spark.read.parquet(os.path.join(path, f)).agg(F.min("ts")).first()[0] for _, f in files]
+    assert firsts == sorted(firsts)                     # oldest file = earliest times
