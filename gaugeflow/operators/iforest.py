@@ -181,13 +181,20 @@ def score_samples(spark: SparkSession, scaled: DataFrame, model: ForestModel,
                   out_col: str = "score_samples") -> DataFrame:
     """Append -2^(-E[h]/c(psi)) (higher = more normal) via Arrow batches."""
     arr = _forest_arrays(model.nodes, model.n_trees)
-    bc = spark.sparkContext.broadcast(arr)
+    try:  # the node arrays are bounded by the parameters (<= T * (2 psi - 1) nodes)
+        bc = spark.sparkContext.broadcast(arr)
+
+        def forest():
+            return bc.value
+    except Exception:  # a remote (Connect) session: ship the bounded arrays with the function
+        def forest():
+            return arr
     names = list(model.names)
     cpsi = float(average_path_length(np.array([model.psi]))[0]) or 1.0
     schema = T.StructType(scaled.schema.fields + [T.StructField(out_col, T.DoubleType())])
 
     def score(batches):
-        a = bc.value
+        a = forest()
         for pdf in batches:
             X = pdf[names].to_numpy(dtype=float)
             pdf[out_col] = -np.power(2.0, -mean_path_length(X, a) / cpsi) if len(pdf) else []
