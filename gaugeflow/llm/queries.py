@@ -97,9 +97,9 @@ ORACLES: dict[str, str] = {
     stop AS (
       SELECT min((b.nb // b.a) * s.w + s.t) AS e
       FROM (SELECT k, a, (n + 15) // 16 AS nb FROM sh) b JOIN sched s ON s.k = b.k AND b.nb % b.a = s.run),
-    numbered AS (SELECT doc_id, source, k, row_number() OVER (PARTITION BY k ORDER BY h, doc_id) - 1 AS at FROM docs)
-    SELECT doc_id, source, at // 16 AS block, (at // 16) // a * w + t AS slot,
-           ((at // 16) // a * w + t) * 16 + at % 16 AS pos,
-           (at // 16) // a * w + t < (SELECT e FROM stop) AS selected
-    FROM numbered n JOIN sched s ON s.k = n.k AND s.run = (at // 16) % a""",
+    numbered AS (SELECT doc_id, source, k, row_number() OVER (PARTITION BY k ORDER BY h, doc_id) - 1 AS place FROM docs)
+    SELECT doc_id, source, place // 16 AS block, (place // 16) // a * w + t AS slot,
+           ((place // 16) // a * w + t) * 16 + place % 16 AS pos,
+           (place // 16) // a * w + t < (SELECT e FROM stop) AS selected
+    FROM numbered n JOIN sched s ON s.k = n.k AND s.run = (place // 16) % a""",
 }
