@@ -39,6 +39,8 @@ from gaugeflow.llm.linking import connect
 
 COUNTED, RARE, CLASS_SIZE = 0.22, 12, 8
 SMALL_IDS = 1_000_000      # text hashes (8 MB) up to which the filter of candidate texts is broadcast
+BLOCK, WIDTH = 512, 4096    # sets of a block and tokens of a matrix in block comparisons
+PEELS = 2                  # rounds of leaving out sets that cannot link any more
 KNOWN = 300_000            # word hashes kept per worker
 FLUSH = 1_000_000          # tokens per batch that leaves a worker
 LOW = -(1 << 63) + int(COUNTED * (1 << 64))
@@ -97,7 +99,7 @@ def signatures(n: int, rank: np.ndarray, toks: np.ndarray, df: np.ndarray, num:
     keys = []
     for level in levels(n, num, den):
         b, p = classes(level, num, den), prefix(n, num, den)
-        salt = np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)
+        salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         near = rank < p
         if (df[near] > RARE).any():
             near = rank < p + b
@@ -112,29 +114,35 @@ def signatures(n: int, rank: np.ndarray, toks: np.ndarray, df: np.ndarray, num:
     return np.concatenate(keys).view(np.int64)
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-
-    def shingle(batches):
-        known = _Hashes()
-        for b in batches:
-            rows, held = [], 0
-            for doc, text, h in zip(b["doc_id"], b["text"], b["text_hash"]):
-                t = tokens(text, size, known)
-                n = len(t)
-                counted = int(np.searchsorted(t, LOW))
-                need = max((prefix(n, num, den) + classes(x, num, den) for x in levels(n, num, den)), default=0) if n else 0
-                rows.append((doc, h, n, set_hash(t), counted, t[:max(counted, need)]))
-                held += len(rows[-1][5])
-                if held > FLUSH:
-                    yield _sets(rows)
-                    rows, held = [], 0
-            yield _sets(rows)
-
-    sketch = materialize(texts.mapInPandas(
-        shingle, "doc_id long, text_hash long, n long, node long, counted int, toks array<long>"), "shingles")
-    one = sketch.where("node IS NOT NULL").select("node", "n", "counted", "toks").dropDuplicates(["node"])
+def block_links(left: list, right: list, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of linked sets of two blocks; overlaps by products of 0/1 matrices over shared tokens.
+
+    Of the links of a set i to many sets of the other block, one per chain would do, but none is left out."""
+    if not len(left) or not len(right):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sizes = [np.array([len(t) for t in side], np.int64) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    shared = np.intersect1d(*(np.unique(f) for f in flat))
+    common = np.zeros((len(left), len(right)), np.float32)
+    spot = [np.searchsorted(shared, f) for f in flat]
+    hit = [(shared[np.minimum(s, max(0, len(shared) - 1))] == f) if len(shared) else np.zeros(len(f), bool)
+           for s, f in zip(spot, flat)]
+    for at in range(0, len(shared), WIDTH):
+        sides = []
+        for s, h, o, n in zip(spot, hit, owner, (len(left), len(right))):
+            m = np.zeros((n, min(WIDTH, len(shared) - at)), np.float32)
+            use = h & (s >= at) & (s < at + WIDTH)
+            m[o[use], s[use] - at] = 1
+            sides.append(m)
+        common += sides[0] @ sides[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - common
+    return np.nonzero(den * common >= num * union)
+
+
+def index_of(one: DataFrame, num: int, den: int) -> DataFrame:
+    """Index rows (key, id, n) of distinct sets (node, n, counted, toks): the first ``counted`` tokens are
+    ranked by their frequency among these sets, the others by hash."""
     post = one.select("node", "n", "counted", F.posexplode("toks").alias("pos", "tok"))
     often = post.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     hits = post.join(often, "tok")
@@ -159,7 +167,33 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
                     rows, held = [], 0
             yield _index(rows)
 
-    members = materialize(hits.mapInPandas(index, "key long, id long, n long").distinct(), "signatures")
+    return materialize(hits.mapInPandas(index, "key long, id long, n long").distinct(), "signatures")
+
+
+def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+    def shingle(batches):
+        known = _Hashes()
+        for b in batches:
+            rows, held = [], 0
+            for doc, text, h in zip(b["doc_id"], b["text"], b["text_hash"]):
+                t = tokens(text, size, known)
+                n = len(t)
+                counted = int(np.searchsorted(t, LOW))
+                need = max((prefix(n, num, den) + classes(x, num, den) for x in levels(n, num, den)), default=0) if n else 0
+                rows.append((doc, h, n, set_hash(t), counted, t[:max(counted, need)]))
+                held += len(rows[-1][5])
+                if held > FLUSH:
+                    yield _sets(rows)
+                    rows, held = [], 0
+            yield _sets(rows)
+
+    sketch = materialize(texts.mapInPandas(
+        shingle, "doc_id long, text_hash long, n long, node long, counted int, toks array<long>"), "shingles")
+    one = sketch.where("node IS NOT NULL").select("node", "n", "counted", "toks").dropDuplicates(["node"])
+    members = index_of(one, num, den)
     crowded = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = materialize(members.join(crowded, "key"), "members")
     needed = members.select("id").distinct()
@@ -193,9 +227,46 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
         return linked.select("a", "b")
 
     def fits(left, right):
-        return (left("n") * den >= right("n") * num) & (right("n") * den >= left("n") * num)
-
-    _, comps = connect(members.withColumn("home", F.lit(True)), verify, fits)
+        return (left("n") * den >= right("n") * num) & (right("n") * den >= left("n") * num) & (
+            F.least(left("most"), right("most")) * (den + num) >= (left("n") + right("n")) * num)
+
+    def narrow(open_: DataFrame) -> DataFrame:
+        """Open sets that can still link to another one, indexed again among themselves on all their tokens.
+
+        A token that no other open set has cannot be shared, so it bounds the overlap (``most``)."""
+        ids = open_.select("id", "n").distinct()
+        for _ in range(PEELS):
+            held = sets.join(ids, sets["node"] == ids["id"]).select("id", F.explode("toks").alias("tok"))
+            own = (held.groupBy("tok").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+                   .groupBy("id").agg(F.count("*").alias("own")))
+            ids = ids.drop("most").join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+            ids = materialize(ids.where(F.col("most") * den >= F.col("n") * num), "open_ids")
+        whole = sets.join(ids.select(F.col("id").alias("node"), "n"), "node").select("node", "n", F.col("n").alias("counted"), "toks")
+        again = index_of(whole, num, den).drop("n").join(
+            ids.select("id", "n", "most", (F.col("most") / F.col("n")).alias("rank")), "id")
+        return materialize(again.withColumn("home", F.lit(True)), "narrowed")
+
+    def compare(clusters: DataFrame) -> DataFrame:
+        """All links inside clusters of sets, block against block, without listing their pairs."""
+        size_of = clusters.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        rows = clusters.join(size_of, "comp").join(sets, "node").withColumn(
+            "mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = materialize(rows, "cluster_sets")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        left = rows.select("comp", F.col("mine").alias("lb"), every.alias("rb"), "node", "toks").where("lb <= rb")
+        right = rows.select("comp", every.alias("lb"), F.col("mine").alias("rb"), "node", "toks").where("lb <= rb")
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            i, j = block_links(list(a["toks"]), list(b["toks"]), num, den)
+            out = pd.DataFrame({"a": a["node"].to_numpy()[i], "b": b["node"].to_numpy()[j]})
+            return out[out["a"] != out["b"]]
+
+        key = ["comp", "lb", "rb"]
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "a long, b long")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    members = members.withColumn("home", F.lit(True)).withColumn("most", F.col("n"))
+    _, comps = connect(members, verify, fits, narrow, compare)
     return named(sketch.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node"), comps)
 
 
