@@ -257,6 +257,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
         right = rows.select("comp", every.alias("lb"), F.col("mine").alias("rb"), "node", "toks").where("lb <= rb")
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"a": [], "b": []}, dtype="int64")
             i, j = block_links(list(a["toks"]), list(b["toks"]), num, den)
             out = pd.DataFrame({"a": a["node"].to_numpy()[i], "b": b["node"].to_numpy()[j]})
             return out[out["a"] != out["b"]]
