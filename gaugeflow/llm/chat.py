@@ -77,7 +77,7 @@ def format_turn(role: str, text: str) -> str:
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """One row per turn, in order: conv_id, pos, role, formatted, loss_from, loss_to.
+    """One row per turn, in order: conv_id (as text), pos, role, formatted, loss_from, loss_to.
 
     ``loss_from`` and ``loss_to`` are the span of the loss mask within ``formatted`` (null: none)."""
     def turns(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +85,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for c, role, text in zip(b["conv_id"], b["role"], b["text"]):
-                c = None if pd.isna(c) else int(c)
+                c = None if pd.isna(c) else c
                 pos = pos + 1 if begun and c == conv else 0
                 conv, begun = c, True
                 piece = format_turn(role or "", text or "")
@@ -93,14 +93,15 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                 span = got[2:4] if got[0] == "assistant" else (None, None)
                 out.append((c, pos, got[0], piece, *span))
             yield pd.DataFrame(out, columns=["conv_id", "pos", "role", "formatted", "loss_from", "loss_to"]).astype(
-                {"conv_id": "Int64", "loss_from": "Int64", "loss_to": "Int64"})
+                {"loss_from": "Int64", "loss_to": "Int64"})
 
     return sorted_turns(conversations).mapInPandas(
-        turns, "conv_id long, pos long, role string, formatted string, loss_from long, loss_to long")
+        turns, "conv_id string, pos long, role string, formatted string, loss_from long, loss_to long")
 
 
 def sorted_turns(conversations: DataFrame) -> DataFrame:
-    rows = conversations.select("conv_id", "turn", "role", "text")
+    # ids travel as text: beside nulls, pandas would turn them into floating point
+    rows = conversations.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "role", "text")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
@@ -111,7 +112,7 @@ def digest(formatted: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for c, piece in zip(b["conv_id"], b["formatted"]):
-                c = None if pd.isna(c) else int(c)
+                c = None if pd.isna(c) else c
                 if state is None or c != conv:
                     if state is not None:
                         out.append(_row(conv, state))
@@ -129,8 +130,9 @@ def digest(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield _frame([_row(conv, state)])
 
-    return formatted.select("conv_id", "formatted").mapInPandas(
-        read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = formatted.select("conv_id", "formatted").mapInPandas(
+        read, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def _row(conv, state):
@@ -139,4 +141,4 @@ def _row(conv, state):
 
 def _frame(rows) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
-                                       "formatted_chars"]).astype({"conv_id": "Int64"})
+                                       "formatted_chars"])

@@ -172,7 +172,7 @@ def index_of(one: DataFrame, num: int, den: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
     def shingle(batches):
         known = _Hashes()
@@ -190,8 +190,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
                     rows, held = [], 0
             yield _sets(rows)
 
-    sketch = materialize(texts.mapInPandas(
-        shingle, "doc_id long, text_hash long, n long, node long, counted int, toks array<long>"), "shingles")
+    sketch = texts.mapInPandas(shingle, "doc_id string, text_hash long, n long, node long, counted int, toks array<long>")
+    sketch = materialize(sketch.withColumn("doc_id", F.col("doc_id").cast("long")), "shingles")
     one = sketch.where("node IS NOT NULL").select("node", "n", "counted", "toks").dropDuplicates(["node"])
     members = index_of(one, num, den)
     crowded = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
@@ -254,13 +254,14 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
         rows = materialize(rows, "cluster_sets")
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         left = rows.select("comp", F.col("mine").alias("lb"), every.alias("rb"), "node", "toks").where("lb <= rb")
-        right = rows.select("comp", every.alias("lb"), F.col("mine").alias("rb"), "node", "toks").where("lb <= rb")
+        right = rows.select(F.col("comp").alias("comp"), every.alias("lb"), F.col("mine").alias("rb"),
+                            F.col("node").alias("r_node"), F.col("toks").alias("r_toks")).where("lb <= rb")
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-            i, j = block_links(list(a["toks"]), list(b["toks"]), num, den)
-            out = pd.DataFrame({"a": a["node"].to_numpy()[i], "b": b["node"].to_numpy()[j]})
+            i, j = block_links(list(a["toks"]), list(b["r_toks"]), num, den)
+            out = pd.DataFrame({"a": a["node"].to_numpy()[i], "b": b["r_node"].to_numpy()[j]})
             return out[out["a"] != out["b"]]
 
         key = ["comp", "lb", "rb"]
@@ -284,8 +285,9 @@ def named(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _sets(rows) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "n", "node", "counted", "toks"])
-    return out.astype({"doc_id": "Int64", "node": "Int64"})
+    out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "n", "node", "counted", "toks"], dtype=object)
+    # whole numbers beside nulls must not pass through floating point
+    return out.astype({"text_hash": "int64", "n": "int64", "node": "Int64", "counted": "int32"})
 
 
 def _index(rows) -> pd.DataFrame:
