@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
                       r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-KNOWN_WORDS = 120_000   # words kept merged per worker, in each of two generations
+KNOWN_WORDS = 60_000   # words kept merged per worker, in each of two generations
 SHIFT, SPOT = 20, 40    # bits of a token id and of a position in packed keys
 LONG_WORD = 200         # bytes: longer words are merged each time, not kept
 LONG_TEXT = 1 << 20     # characters: longer texts are split into words lazily

@@ -31,8 +31,8 @@ from gaugeflow.llm.common import fold, id_sample, materialize
 SAMPLE_ROWS = 20_000
 WORDS, GRAMS, ORDERS = 10_000, 5_000, (5, 4, 3, 2, 1)
 SMOOTH = 0.5
-KNOWN = 200_000   # scored words kept per worker
-PIECE = 50_000
+KNOWN = 100_000   # scored words kept per worker
+PIECE = 20_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 

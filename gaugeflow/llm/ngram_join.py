@@ -41,8 +41,8 @@ COUNTED, RARE, CLASS_SIZE = 0.22, 12, 8
 SMALL_IDS = 1_000_000      # text hashes (8 MB) up to which the filter of candidate texts is broadcast
 BLOCK, WIDTH = 512, 4096    # sets of a block and tokens of a matrix in block comparisons
 PEELS = 2                  # rounds of leaving out sets that cannot link any more
-KNOWN = 300_000            # word hashes kept per worker
-FLUSH = 1_000_000          # tokens per batch that leaves a worker
+KNOWN = 100_000            # word hashes kept per worker
+FLUSH = 250_000          # tokens per batch that leaves a worker
 LOW = -(1 << 63) + int(COUNTED * (1 << 64))
 
 

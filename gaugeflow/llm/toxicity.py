@@ -39,8 +39,8 @@ SAMPLE_ROWS, SIGNS, LIFT, WITNESS = 8_000, 20_000, 20, 0.7
 LANDMARKS, POSITIVES, NEGATIVES, HARD = 256, 600, 3_000, 600
 DECAY, SPAN, ALPHABET = 0.6, 24, 64
 THRESHOLD = 0.7
-KNOWN = 300_000       # scored words kept per worker
-BATCH_CHARS = 1 << 20
+KNOWN = 150_000       # scored words kept per worker
+BATCH_CHARS = 1 << 19
 LOWEST = -10.0        # margin of a text without units
 _OUT = re.compile(r"[\W_]+")
 
