@@ -27,15 +27,15 @@ def nan_to_num(c) -> Column:
 
 
 def sample_skewness(g1, n) -> Column:
-    """Bias-adjusted skewness G1 from Spark's biased g1; zero variance -> 0."""
+    """Bias-adjusted skewness G1 from Spark's biased g1; zero variance or too few rows -> 0."""
     n = col_(n).cast("double")
-    return F.coalesce(F.sqrt(n * (n - 1)) / (n - 2) * col_(g1), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.sqrt(n * (n - 1)), n - 2) * col_(g1), F.lit(0.0))
 
 
 def sample_kurtosis(g2, n) -> Column:
-    """Bias-adjusted excess kurtosis G2 from Spark's biased excess g2; zero variance -> 0."""
+    """Bias-adjusted excess kurtosis G2 from Spark's biased excess g2; zero variance or too few rows -> 0."""
     n = col_(n).cast("double")
-    return F.coalesce((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * col_(g2) + 6), F.lit(0.0))
+    return F.coalesce(F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * col_(g2) + 6), F.lit(0.0))
 
 
 def format_value(value, unit) -> Column:

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import math
+import re
 import sys
 from dataclasses import dataclass, field
 
@@ -284,11 +285,13 @@ def load(spark: SparkSession, path: str, version: str | None = None) -> ForestMo
 
 
 def list_versions(spark: SparkSession, path: str) -> list[str]:
-    """Model versions under ``path`` (any Hadoop-compatible file system), sorted."""
+    """Model versions under ``path`` (any Hadoop-compatible file system), oldest first: numbers
+    inside a version compare as numbers, so v10 follows v9."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return []
     names = [st.getPath().getName() for st in fs.listStatus(p)]
-    return sorted(n.split("=", 1)[1] for n in names if n.startswith("version="))
+    found = [n.split("=", 1)[1] for n in names if n.startswith("version=")]
+    return sorted(found, key=lambda v: [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", v)])

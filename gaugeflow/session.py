@@ -57,6 +57,8 @@ def ensure_shared_dir(spark: SparkSession) -> str:
         if current:
             sc.setCheckpointDir(current)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="gaugeflow-ckpt-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current

@@ -67,3 +67,18 @@ def test_retrain_writes_new_version_and_load_picks_newest(spark, tmp_path):
     latest = IF.load(spark, root)
     assert latest.version == "v2" and latest.n_trees == 7
     assert IF.load(spark, root, version="v1").n_trees == 5
+
+
+def test_versions_compare_by_number(spark, tmp_path):
+    from gaugeflow.operators import iforest as forest
+    for v in ("v1.0", "v9", "v10", "v1.2"):
+        (tmp_path / f"version={v}").mkdir()
+    assert forest.list_versions(spark, str(tmp_path)) == ["v1.0", "v1.2", "v9", "v10"]
+
+
+def test_moments_of_short_series(spark):
+    from gaugeflow.functions import scalar
+    from pyspark.sql import functions as F
+    row = spark.range(1).select(scalar.sample_skewness(F.lit(0.5), F.lit(2)).alias("s"),
+                                scalar.sample_kurtosis(F.lit(0.5), F.lit(3)).alias("k")).first()
+    assert (row["s"], row["k"]) == (0.0, 0.0)
