@@ -11,17 +11,21 @@ by (sensor, piece) with bounded pieces:
 2. Blocks: fixed-size position blocks of ``block_rows``; each block also receives the last
    ``halo`` rows of the previous block, so sliding frames (rolling windows, lags) near the
    block start see their full look-back.
-3. Expanding statistics: power sums of (v - K) (K = the sensor mean, for conditioning)
-   and of pos * (v - K) are additive, so a row's prefix sums are the running sums in its
-   block plus the totals of all earlier blocks (a running sum over the small block table).
-   Central moments, skewness, kurtosis and the OLS slope against position follow in
-   closed form; min/max/first combine the same way.
+3. Expanding statistics: central moments (count, means, M2, M3, M4, co-moment with the
+   position) are computed by Spark's running aggregates inside a block and merged with
+   those of all earlier blocks, in block order. Nothing is derived from raw power sums, so
+   a level shift does not cancel, and a NaN shows from its own row on, as in one window.
+   min/max/first combine the same way.
+
+Series carry no NULL key, time or value (``features`` drops such rows for both plans).
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeflow import fixed
 from gaugeflow.functions.scalar import sample_kurtosis, sample_skewness
@@ -74,13 +78,65 @@ def _rolling_cols(w_blk: Window, windows, lags, pos: Column) -> list[Column]:
     return cols
 
 
+MOMENTS = ("n", "mean", "x", "m2", "m3", "m4", "cxy")
+
+
+def merge_moments(a: dict, b: dict) -> dict:
+    """Moments of two disjoint sets of (position, value) together; Columns or numbers.
+
+    n, mean, x (mean position), m2..m4 (sums of powers of value - mean), cxy (co-moment)."""
+    na, nb = a["n"], b["n"]
+    n, d, dx = na + nb, b["mean"] - a["mean"], b["x"] - a["x"]
+    share, d2 = na * nb / n, d * d
+    return {
+        "n": n, "mean": a["mean"] + d * (nb / n), "x": a["x"] + dx * (nb / n),
+        "m2": a["m2"] + b["m2"] + d2 * share,
+        "m3": a["m3"] + b["m3"] + d2 * d * share * (na - nb) / n + 3 * d * (na * b["m2"] - nb * a["m2"]) / n,
+        "m4": (a["m4"] + b["m4"] + d2 * d2 * share * (na * na - na * nb + nb * nb) / (n * n)
+               + 6 * d2 * (na * na * b["m2"] + nb * nb * a["m2"]) / (n * n)
+               + 4 * d * (na * b["m3"] - nb * a["m3"]) / n),
+        "cxy": a["cxy"] + b["cxy"] + dx * d * share,
+    }
+
+
+def _moments(p: str) -> dict[str, Column]:
+    """Moments from Spark's count, mean, variance, skewness, kurtosis and covariance (``p`` + name)."""
+    c, var = F.col(f"{p}c").cast("double"), F.col(f"{p}var")
+    m2 = var * c
+    # skewness and kurtosis are NULL for a constant set: its third and fourth moments are 0
+    return {"n": c, "mean": F.col("_k") + F.col(f"{p}y"), "x": F.col(f"{p}x"), "m2": m2,
+            "m3": F.coalesce(F.col(f"{p}skew") * var * F.sqrt(var) * c, F.lit(0.0)),
+            "m4": F.coalesce((F.col(f"{p}kurt") + 3) * var * m2, F.lit(0.0)),
+            "cxy": F.col(f"{p}cov") * c}
+
+
+def _earlier_moments(blocks: DataFrame, key: str) -> DataFrame:
+    """Per (key, block) the merged moments of all earlier blocks. One row per ``block_rows``
+    rows of a sensor goes through a task: a millionth of its series."""
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk")
+        so_far, found = dict.fromkeys(MOMENTS, 0.0), []
+        for b in zip(*(pdf[f"_b_{m}"].tolist() for m in MOMENTS)):
+            found.append(tuple(so_far[m] for m in MOMENTS))
+            so_far = merge_moments(so_far, dict(zip(MOMENTS, b)))
+        kept = pdf[[key, "_blk", "_cmn", "_cmx", "_first"]].reset_index(drop=True)
+        return kept.join(pd.DataFrame(found, columns=[f"_c_{m}" for m in MOMENTS]))
+
+    fields = [T.StructField(f.name, f.dataType) for f in blocks.schema.fields if not f.name.startswith("_b_")]
+    schema = T.StructType(fields + [T.StructField(f"_c_{m}", T.DoubleType()) for m in MOMENTS])
+    # NaN comes back as NULL; only _cmn has NULLs of its own, which ``least`` passes over like NaN
+    nan = F.lit(float("nan"))
+    back = ["_cmx", "_first", *[f"_c_{m}" for m in MOMENTS]]
+    return blocks.groupBy(key).applyInPandas(fold, schema).withColumns({c: F.coalesce(c, nan) for c in back})
+
+
 def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str], time_col: str,
                                min_prefix: int, min_sensor_rows: int, windows, lags,
                                trend_min: int, block_rows: int = BLOCK_ROWS,
                                bucket_unit: str = POSITION_BUCKET,
                                materialize_blocks: bool = True, pieces: str = "auto") -> DataFrame:
     """Same output as ``features.expanding_features`` (series has key, order_cols, v)."""
-    stats = series.groupBy(key).agg(F.count(F.lit(1)).alias("_len"), F.avg("v").alias("_K"))
+    stats = series.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
     stats = stats.where(F.col("_len") >= min_sensor_rows)
     from gaugeflow.operators.joins import lookup_join
     from gaugeflow.session import materialize
@@ -95,54 +151,48 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
         # (shared checkpoint folder) instead of re-deriving positions twice; cuts lineage.
         from gaugeflow.session import materialize
         df = materialize(df, "expanding-blocks")
-    y = F.col("v") - F.col("_K")
     own = ~F.col("_halo")
     w_blk = Window.partitionBy(key, "_blk").orderBy("pos")
     run = w_blk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pos = F.col("pos")
-    local = [F.sum(F.when(own, y ** p)).over(run).alias(f"_s{p}") for p in (1, 2, 3, 4)]
-    local += [F.sum(F.when(own, pos.cast("double") * y)).over(run).alias("_sxy"),
-              F.min(F.when(own, F.col("v"))).over(run).alias("_mn"),
+    # values relative to the block's first one: a constant block has moments of exactly 0
+    df = df.withColumn("_k", F.first(F.when(own, F.col("v")), ignorenulls=True).over(run))
+    y, x = F.when(own, F.col("v") - F.col("_k")), F.when(own, pos.cast("double"))
+    stats_of = {"c": F.count(y), "y": F.avg(y), "x": F.avg(x), "var": F.var_pop(y),
+                "skew": F.skewness(y), "kurt": F.kurtosis(y), "cov": F.covar_pop(x, y)}
+    local = [c.over(run).alias(f"_l_{name}") for name, c in stats_of.items()]
+    local += [F.min(F.when(own, F.col("v"))).over(run).alias("_mn"),
               F.max(F.when(own, F.col("v"))).over(run).alias("_mx")]
-    rows = df.select(key, *order_cols, "pos", "v", "_K", "_blk", "_halo",
+    rows = df.select(key, *order_cols, "pos", "v", "_k", "_blk", "_halo",
                      *local, *_rolling_cols(w_blk, windows, lags, pos))
     rows = rows.where(own & (pos >= min_prefix))
-    # block totals over own rows, then carry-in from earlier blocks of the same sensor
+    rows = rows.select("*", *[c.alias(f"_b_{m}") for m, c in _moments("_l_").items()]).drop(
+        *[f"_l_{name}" for name in stats_of])
+    # moments of whole blocks, then of all earlier blocks of the same sensor
     blocks = df.where(own).groupBy(key, "_blk").agg(
-        *[F.sum(y ** p).alias(f"_b{p}") for p in (1, 2, 3, 4)],
-        F.sum(pos.cast("double") * y).alias("_bxy"), F.min("v").alias("_bmn"),
-        F.max("v").alias("_bmx"), F.min_by("v", "pos").alias("_bfirst"))
+        *[c.alias(f"_l_{name}") for name, c in stats_of.items()], F.min_by("_k", "pos").alias("_k"),
+        F.min("v").alias("_bmn"), F.max("v").alias("_bmx"), F.min_by("v", "pos").alias("_bfirst"))
     earlier = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
-    carry = blocks.select(
-        key, "_blk",
-        *[F.coalesce(F.sum(f"_b{p}").over(earlier), F.lit(0.0)).alias(f"_c{p}") for p in (1, 2, 3, 4)],
-        F.coalesce(F.sum("_bxy").over(earlier), F.lit(0.0)).alias("_cxy"),
-        F.min("_bmn").over(earlier).alias("_cmn"), F.max("_bmx").over(earlier).alias("_cmx"),
+    blocks = blocks.select(
+        F.col(key), "_blk", *[c.alias(f"_b_{m}") for m, c in _moments("_l_").items()],
+        F.min("_bmn").over(earlier).alias("_cmn"),
+        F.coalesce(F.max("_bmx").over(earlier), F.lit(float("-inf"))).alias("_cmx"),
         F.first("_bfirst").over(upto).alias("_first"))
+    carry = _earlier_moments(blocks, key)
     j = rows.join(carry, [key, "_blk"], "inner")
     n = pos.cast("double")
-    s1, s2, s3, s4 = [F.col(f"_c{p}") + F.col(f"_s{p}") for p in (1, 2, 3, 4)]
-    sxy = F.col("_cxy") + F.col("_sxy")
-    j = j.select("*", s1.alias("S1"), s2.alias("S2"), s3.alias("S3"), s4.alias("S4"), sxy.alias("SXY"))
-    S1, S2, S3, S4, SXY = (F.col(c) for c in ("S1", "S2", "S3", "S4", "SXY"))
-    m2 = S2 - S1 * S1 / n
-    m3 = S3 - 3 * S1 * S2 / n + 2 * S1 ** 3 / (n * n)
-    m4 = S4 - 4 * S1 * S3 / n + 6 * S1 * S1 * S2 / (n * n) - 3 * S1 ** 4 / (n * n * n)
-    # A constant prefix leaves only rounding noise in M2: treat it as exactly zero variance
-    # (std 0; skewness and kurtosis 0, as pandas reports for a constant series).
-    flat = m2 <= F.lit(1e-13) * S2
-    j = j.select("*", F.when(flat, F.lit(0.0)).otherwise(m2).alias("M2"), m3.alias("M3"), m4.alias("M4"),
-                 flat.alias("_flat"))
-    M2, M3, M4, flat = F.col("M2"), F.col("M3"), F.col("M4"), F.col("_flat")
+    total = merge_moments({m: F.col(f"_c_{m}") for m in MOMENTS}, {m: F.col(f"_b_{m}") for m in MOMENTS})
+    j = j.select("*", *[total[m].alias(f"_t_{m}") for m in MOMENTS])
+    M2, M3, M4 = F.col("_t_m2"), F.col("_t_m3"), F.col("_t_m4")
+    flat = M2 == 0
     g1 = F.when(flat, F.lit(None)).otherwise(F.sqrt(n) * M3 / F.pow(M2, 1.5))
     g2 = F.when(flat, F.lit(None)).otherwise(n * M4 / (M2 * M2) - 3)
-    sxx = n * (n * n - 1) / 12.0
-    slope = (SXY - (n + 1) / 2.0 * S1) / sxx
-    mn = F.least(F.coalesce(F.col("_cmn"), F.col("_mn")), F.col("_mn"))
-    mx = F.greatest(F.coalesce(F.col("_cmx"), F.col("_mx")), F.col("_mx"))
+    slope = F.col("_t_cxy") / (n * (n * n - 1) / 12.0)
+    mn = F.least(F.col("_cmn"), F.col("_mn"))
+    mx = F.greatest(F.col("_cmx"), F.col("_mx"))
     out = [F.col(key), *[F.col(c) for c in order_cols], pos.alias("n"),
-           (F.col("_K") + S1 / n).alias("mean"),
+           F.col("_t_mean").alias("mean"),
            F.sqrt(M2 / n).alias("std"), mn.alias("min"), mx.alias("max"), (mx - mn).alias("range"),
            sample_skewness(g1, pos).alias("skewness"), sample_kurtosis(g2, pos).alias("kurtosis")]
     out += [F.col(f"lag_{k}") for k in lags]

@@ -34,9 +34,11 @@ def _use_blocked(df: DataFrame, key: str, method: str) -> bool:
     return max_rows_per_key(df, key) > SINGLE_TASK_ROWS
 
 
-def _series(silver: DataFrame, value_col: str, valid_only: bool) -> DataFrame:
+def _series(silver: DataFrame, value_col: str, valid_only: bool, key: str, time_col: str) -> DataFrame:
+    """Rows of the series, as ``v``; a row without sensor, time or value is part of no series."""
     df = silver.where(F.col("is_valid")) if valid_only and "is_valid" in silver.columns else silver
-    return df.withColumn("v", F.col(value_col))
+    df = df.withColumn("v", F.col(value_col))
+    return df.where(F.col("v").isNotNull() & F.col(key).isNotNull() & F.col(time_col).isNotNull())
 
 
 def snapshot_features(silver: DataFrame, max_history: int | None = fixed.MAX_HISTORY,
@@ -52,7 +54,7 @@ def snapshot_features(silver: DataFrame, max_history: int | None = fixed.MAX_HIS
     ``max_history`` rows per sensor, so a hot sensor never lands whole in one task.
     ``max_history=None`` uses the whole history, ranked from skew-proof positions.
     """
-    df = _series(silver, value_col, valid_only)
+    df = _series(silver, value_col, valid_only, key, order_cols[0])
     if max_history:
         w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order_cols])
         ranked = df.select(key, "v", F.row_number().over(w).alias("rn"))
@@ -125,7 +127,7 @@ def history_features(silver: DataFrame, valid_only: bool = True,
     ``method``: "window" (one window per sensor), "blocked" (bounded pieces, see
     ``blocked``), or "auto" (blocked when some sensor exceeds SINGLE_TASK_ROWS);
     ``pieces``: how the blocked plan cuts a series for positions (``scan.with_pieces``)."""
-    df = _series(silver, value_col, valid_only)
+    df = _series(silver, value_col, valid_only, key, order_cols[0])
     if _use_blocked(df, key, method):
         from gaugeflow.operators import blocked as B
         return B.history_features_blocked(df.select(key, *order_cols, "v"), key, list(order_cols),
@@ -166,7 +168,7 @@ def expanding_features(series: DataFrame, min_prefix: int = fixed.MIN_ROWS_FEATU
     task (``method="auto"`` checks) the blocked plan computes the same columns from
     bounded (sensor, block) pieces.
     """
-    df = _series(series, value_col, valid_only)
+    df = _series(series, value_col, valid_only, key, order_cols[0])
     if _use_blocked(df, key, method):
         from gaugeflow.operators import blocked as B
         return B.expanding_features_blocked(

@@ -285,7 +285,7 @@ def load(spark: SparkSession, path: str, version: str | None = None) -> ForestMo
 
 
 def list_versions(spark: SparkSession, path: str) -> list[str]:
-    """Model versions under ``path`` (any Hadoop-compatible file system), oldest first: numbers
+    """Complete model versions under ``path`` (any Hadoop-compatible file system), oldest first: numbers
     inside a version compare as numbers, so v10 follows v9."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -293,5 +293,26 @@ def list_versions(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     names = [st.getPath().getName() for st in fs.listStatus(p)]
-    found = [n.split("=", 1)[1] for n in names if n.startswith("version=")]
+    # a version counts once its last table is complete, so no reader sees half a model
+    found = [n.split("=", 1)[1] for n in names if n.startswith("version=")
+             and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{n}/params/_SUCCESS"))]
     return sorted(found, key=lambda v: [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", v)])
+
+
+def next_version(versions: list[str]) -> str:
+    """The version after the newest: its leading number plus one ("v1.0" -> "v2.0")."""
+    found = re.match(r"\D*(\d+)", versions[-1]) if versions else None
+    return f"v{int(found.group(1)) + 1}.0" if found else fixed.MODEL_VERSION
+
+
+def retrain(spark: SparkSession, matrix: DataFrame, path: str, **options) -> dict:
+    """Train on ``matrix`` and publish the model as the next version under ``path``; readers
+    that ``load`` without a version get it from then on. With too few vectors nothing is
+    written and the served model stays."""
+    versions = list_versions(spark, path)
+    model = train(spark, matrix, version=next_version(versions), **options)
+    if model is None:
+        return {"trained": False, "model_version": versions[-1] if versions else None, "trained_rows": 0,
+                "model_ready": bool(versions)}
+    save(spark, model, path)
+    return {"trained": True, "model_version": model.version, "trained_rows": model.trained_rows, "model_ready": True}

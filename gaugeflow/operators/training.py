@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow import fixed
@@ -52,8 +52,8 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], n: int | None = No
 
     Small inputs: Spark's exact ``percentile``. Large inputs: a distributed selection —
     ``percentile_approx`` brackets each target rank, a count fixes the rank offset, and
-    the two order statistics are read from the (small) bracket with a distributed sort.
-    No step holds the whole column in one task or on the driver.
+    the two order statistics are found in the bracket by running counts over its distinct
+    values. No step holds the whole column, or all rows of a tie, in one task or on the driver.
     """
     x = F.col(col)
     base = df.select(x.cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
@@ -85,9 +85,30 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], n: int | None = No
             if below <= lo_rank and need < below + inside or (qlo == 0.0 and qhi == 1.0):
                 break
             width *= 4
-        pair = (base.where((F.col("x") >= lo) & (F.col("x") <= hi)).orderBy("x")
-                .offset(lo_rank - below).limit(2).collect())
-        a = pair[0]["x"]
-        b = pair[1]["x"] if len(pair) > 1 else a
+        if lo == hi:
+            out.append(float(lo))
+            continue
+        first = lo_rank - below
+        inside_rows = base.where((F.col("x") >= lo) & (F.col("x") <= hi))
+        a, b = values_at_ranks(inside_rows, [first, min(first + 1, inside - 1)])
         out.append(a + frac * (b - a))
     return out
+
+
+def values_at_ranks(rows: DataFrame, ranks: list[int]) -> list[float]:
+    """Values of ``rows`` (x) at 0-based ranks of their ascending order.
+
+    Ties are folded to (value, count) first; the distinct values are cut into ranges, and a
+    rank is found by running counts inside a range on top of the range's start, so neither
+    a long tie nor the whole bracket meets in one task."""
+    from gaugeflow.session import materialize
+    counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("c")).repartitionByRange("x")
+    counts = materialize(counts.withColumn("part", F.spark_partition_id()), "quantile-values")
+    # one row per range (shuffle partition), so this window and the broadcast are bounded
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy("part").agg(F.sum("c").alias("s")).select(
+        "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
+    running = F.sum("c").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    upto = counts.join(F.broadcast(starts), "part").select("x", (F.col("start") + running).alias("upto"))
+    row = upto.agg(*[F.min(F.when(F.col("upto") > r, F.col("x"))).alias(f"r{i}") for i, r in enumerate(ranks)]).first()
+    return [float(v) for v in row]

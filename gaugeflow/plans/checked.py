@@ -232,13 +232,14 @@ def q_sensor_card(spark, sf_dir):
     return SV.sensor_card(events_silver(spark, sf_dir))
 
 
-@register("list_sensors", _with(S.silver_sql()) + """SELECT s.sensor_id, s.readings, s.last_seen, d.type,
-  d.location, d.unit, d.lo AS range_min, d.hi AS range_max
-FROM (SELECT sensor_id, count(*) AS readings, max(event_timestamp) AS last_seen FROM silver GROUP BY sensor_id) s
-LEFT JOIN dim d USING (sensor_id)""")
+@register("list_sensors", _with(S.silver_sql()) + """SELECT d.sensor_id, coalesce(s.readings, 0) AS readings,
+  s.last_seen, d.type, d.location, d.unit, d.lo AS range_min, d.hi AS range_max
+FROM dim d LEFT JOIN
+(SELECT sensor_id, count(*) AS readings, max(event_timestamp) AS last_seen FROM silver GROUP BY sensor_id) s
+  ON s.sensor_id = d.sensor_id""")
 def q_list_sensors(spark, sf_dir):
-    dim, n = sensor_dimension(spark)
-    return SV.list_sensors(events_silver(spark, sf_dir), dim, n)
+    dim, _ = sensor_dimension(spark)
+    return SV.list_sensors(events_silver(spark, sf_dir), dim)
 
 
 @register("dashboard_stats", _with(S.silver_sql(), S.snapshot_sql()) + """SELECT
@@ -247,12 +248,13 @@ def q_list_sensors(spark, sf_dir):
   (SELECT count(*) FROM silver) AS total_processed,
   (SELECT count(*) FROM snap) AS total_features,
   (SELECT count(*) FILTER (WHERE NOT is_valid) FROM silver) AS total_anomalies,
-  (SELECT count(DISTINCT sensor_id) FROM silver) AS active_sensors,
+  (SELECT count(*) FROM dim) AS active_sensors,
   'healthy' AS pipeline_health""")
 def q_dashboard_stats(spark, sf_dir):
     s = events_silver(spark, sf_dir)
-    env = brz.nest_batches(event_readings(spark, sf_dir), F.floor(F.col("id") / 10))
-    return SV.dashboard_stats(env, s, feat.snapshot_features(s), rule_anomalies(s), model_ready=True)
+    bronze = event_readings(spark, sf_dir).select(F.floor(F.col("id") / 10).alias("batch_id"))
+    dim, _ = sensor_dimension(spark)
+    return SV.dashboard_stats(bronze, s, feat.snapshot_features(s), rule_anomalies(s), dim, model_ready=True)
 
 
 # ---------------------------------------------------------------- per-row history features

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import scalar as X
-from gaugeflow.operators.joins import latest_per_key, lookup_join
+from gaugeflow.operators.joins import latest_per_key
 
 
 def health(spark: SparkSession, model_ready: bool) -> dict:
@@ -17,38 +17,42 @@ def health(spark: SparkSession, model_ready: bool) -> dict:
             "timestamp": _dt.datetime.now(_dt.timezone.utc)}
 
 
-def dashboard_stats(bronze_envelopes: DataFrame, silver: DataFrame, features: DataFrame,
-                    anomalies: DataFrame, model_ready: bool = True) -> DataFrame:
-    """One row of pipeline counters. Each table contributes a one-row partial aggregate;
-    the parts are unioned and folded by one global aggregate (no cross join)."""
+def dashboard_stats(bronze: DataFrame, silver: DataFrame, features: DataFrame, anomalies: DataFrame,
+                    dimension: DataFrame, model_ready: bool = True) -> DataFrame:
+    """One row of pipeline counters: batches ingested (distinct ``batch_id``, however many
+    envelopes hold a batch), rows per stage, configured sensors, and health. Each table
+    contributes a one-row partial aggregate; one global aggregate folds them (no cross join).
+
+    ``bronze`` is either the envelope table or flat readings with their batch_id."""
     zero = F.lit(0).cast("long")
-    parts = [
-        bronze_envelopes.agg(F.count(F.lit(1)).alias("total_ingested"),
-                             F.sum(F.size("sensor_readings")).cast("long").alias("total_readings")),
-        silver.agg(F.count(F.lit(1)).alias("total_processed")),
-        features.agg(F.count(F.lit(1)).alias("total_features")),
-        anomalies.agg(F.count_if(F.col("is_anomaly")).alias("total_anomalies")),
-    ]
-    cols = ["total_ingested", "total_readings", "total_processed", "total_features", "total_anomalies"]
-    aligned = [p.select(*[F.col(c) if c in p.columns else zero.alias(c) for c in cols]) for p in parts]
-    u = aligned[0]
-    for p in aligned[1:]:
-        u = u.unionByName(p)
-    active = silver.select("sensor_id").distinct().agg(F.count(F.lit(1)).alias("active_sensors"))
-    u = u.withColumn("active_sensors", zero).unionByName(
-        active.select(*[zero.alias(c) for c in cols], "active_sensors"))
-    return u.agg(*[F.sum(c).alias(c) for c in cols + ["active_sensors"]]).withColumn(
+    readings = F.sum(F.size("sensor_readings")).cast("long") if "sensor_readings" in bronze.columns else F.count(F.lit(1))
+    parts = {
+        "total_ingested": bronze.select("batch_id").distinct().agg(F.count(F.lit(1))),
+        "total_readings": bronze.agg(readings),
+        "total_processed": silver.agg(F.count(F.lit(1))),
+        "total_features": features.agg(F.count(F.lit(1))),
+        "total_anomalies": anomalies.agg(F.count_if(F.col("is_anomaly"))),
+        "active_sensors": dimension.agg(F.count(F.lit(1))),
+    }
+    cols = list(parts)
+    rows = [df.toDF(name).select(*[F.col(c) if c == name else zero.alias(c) for c in cols])
+            for name, df in parts.items()]
+    u = rows[0]
+    for r in rows[1:]:
+        u = u.unionByName(r)
+    return u.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in cols]).withColumn(
         "pipeline_health", X.health_label(model_ready))
 
 
-def list_sensors(silver: DataFrame, dimension: DataFrame, dim_rows: int | None = None) -> DataFrame:
-    """Sensors seen in the data with their configuration (type, location, unit, range)."""
+def list_sensors(silver: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Every configured sensor with its type, location, unit and normal range, and how many
+    readings of it there are (0 and no last_seen without any). Unknown sensors are not listed."""
     seen = silver.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("readings"),
                                            F.max("event_timestamp").alias("last_seen"))
     dim = dimension.select("sensor_id", "type", "location", "unit",
                            F.col("normal_range.min").alias("range_min"),
                            F.col("normal_range.max").alias("range_max"))
-    return lookup_join(seen, dim, "sensor_id", "left", dim_rows=dim_rows)
+    return dim.join(seen, "sensor_id", "left").withColumn("readings", F.coalesce("readings", F.lit(0).cast("long")))
 
 
 def recent_readings(silver: DataFrame, sensor_id: str, limit: int = 50,

@@ -13,6 +13,8 @@ own output instead of duplicating it.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +74,6 @@ def stamp_in_name_order(spark: SparkSession, path: str, prefix: str = "part-") -
     arbitrary times, while ``repartitionByRange(time)`` numbers them in time order. Uses
     the Hadoop FileSystem API, so it works on any cluster file system that keeps times.
     Returns the number of files stamped (0 without a JVM handle, e.g. Spark Connect)."""
-    import time as _time
     try:
         sc = spark.sparkContext
     except Exception:  # a remote (Connect) session has no JVM handle: keep the write order
@@ -82,7 +83,7 @@ def stamp_in_name_order(spark: SparkSession, path: str, prefix: str = "part-") -
     fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
     names = sorted(st.getPath().toString() for st in fs.listStatus(root)
                    if st.getPath().getName().startswith(prefix))
-    start = int(_time.time() * 1000) - 1000 * (len(names) + 10)
+    start = int(time.time() * 1000) - 1000 * (len(names) + 10)
     for i, name in enumerate(names):
         fs.setTimes(jvm.org.apache.hadoop.fs.Path(name), start + 1000 * i, -1)
     return len(names)
@@ -145,7 +146,8 @@ def train_detector(spark: SparkSession, paths: PipelinePaths) -> KM.ClusterModel
 
 def detect_anomalies(spark: SparkSession, paths: PipelinePaths, model: KM.ClusterModel,
                      trigger: dict | None = None):
-    schema = spark.read.parquet(paths.features_path).schema
+    # the features table may still be empty: its schema is that of the stage that writes it
+    schema = window_features_stream(spark.readStream.schema(SILVER_FLAT).parquet(paths.silver_path)).schema
     stream = spark.readStream.schema(schema).parquet(paths.features_path)
     pred = KM.predict(stream, model).drop("features", "scaled_features")
     w = (pred.writeStream.format("parquet").outputMode("append")
@@ -153,36 +155,74 @@ def detect_anomalies(spark: SparkSession, paths: PipelinePaths, model: KM.Cluste
     return _trigger(w, trigger).start(paths.anomalies_path)
 
 
+class _Progress:
+    """Counters of one query. ``recentProgress`` keeps the last updates only, so it is
+    polled while the query runs, and every update is counted once."""
+
+    def __init__(self, query):
+        self.query, self.last = query, ("", -1)
+        self.counts = {"batches": 0, "rows": 0, "dropped_by_watermark": 0}
+
+    def poll(self) -> None:
+        for p in self.query.recentProgress:
+            at = (p["timestamp"], p["batchId"])
+            if at <= self.last:
+                continue
+            self.last = at
+            self.counts["batches"] += 1
+            self.counts["rows"] += p.get("numInputRows", 0) or 0
+            self.counts["dropped_by_watermark"] += sum(
+                op.get("numRowsDroppedByWatermark", 0) for op in p.get("stateOperators", []))
+
+
 def run_pipeline(spark: SparkSession, paths: PipelinePaths, trigger: dict | None = None,
-                 time_col: str = "timestamp", model: KM.ClusterModel | None = None) -> dict:
-    """Run the four stages. With ``availableNow`` the stages drain one after another
-    (each consumes what the previous one wrote); with a processing-time trigger all four
-    run together until one terminates. Returns per-stage progress counters."""
+                 time_col: str = "timestamp", model: KM.ClusterModel | None = None,
+                 stop: Callable[[], bool] | None = None, train_rows: int = fixed.MIN_TRAIN_VECTORS,
+                 poll_seconds: float = 1.0) -> dict:
+    """Run the four stages. With ``availableNow`` the stages drain one after another (each
+    consumes what the previous one wrote). With a processing-time trigger they run together
+    until ``stop()`` is true or one of them ends; the others are stopped then, and a failure
+    is raised. Without a given ``model`` a live run starts its last stage as soon as the
+    feature table has ``train_rows`` rows to train on. Returns per-stage progress counters."""
     live = trigger is not None and "availableNow" not in trigger
-    stats = {}
-    q1 = ingest_to_bronze(spark, paths, trigger)
-    if not live:
-        q1.awaitTermination()
-    q2 = process_to_silver(spark, paths, trigger)
-    if not live:
-        q2.awaitTermination()
-    q3 = generate_features(spark, paths, trigger, time_col=time_col)
-    if not live:
-        q3.awaitTermination()
-        model = model or train_detector(spark, paths)
-    q4 = detect_anomalies(spark, paths, model, trigger)
-    if live:
-        spark.streams.awaitAnyTermination()
-    else:
-        q4.awaitTermination()
-    for name, q in (("bronze", q1), ("silver", q2), ("features", q3), ("anomalies", q4)):
-        prog = q.recentProgress
-        stats[name] = {"batches": len(prog),
-                       "rows": sum(p.get("numInputRows", 0) for p in prog) if prog else 0,
-                       "dropped_by_watermark": sum(
-                           sum(op.get("numRowsDroppedByWatermark", 0) for op in p.get("stateOperators", []))
-                           for p in prog) if prog else 0}
-    return stats
+    running: dict[str, _Progress] = {}
+
+    def start(name: str, query) -> None:
+        running[name] = _Progress(query)
+        while not live and query.isActive:
+            query.awaitTermination(poll_seconds)
+            running[name].poll()
+
+    try:
+        start("bronze", ingest_to_bronze(spark, paths, trigger))
+        start("silver", process_to_silver(spark, paths, trigger))
+        start("features", generate_features(spark, paths, trigger, time_col=time_col))
+        if not live:
+            start("anomalies", detect_anomalies(spark, paths, model or train_detector(spark, paths), trigger))
+        while live and all(p.query.isActive for p in running.values()) and not (stop and stop()):
+            if "anomalies" not in running:
+                model = model or _train_when_ready(spark, paths, train_rows)
+                if model is not None:
+                    start("anomalies", detect_anomalies(spark, paths, model, trigger))
+            time.sleep(poll_seconds)
+            for p in running.values():
+                p.poll()
+    finally:
+        for p in running.values():
+            if p.query.isActive:
+                p.query.stop()
+    for p in running.values():
+        if p.query.exception() is not None:
+            raise p.query.exception()
+        p.poll()
+    return {name: p.counts for name, p in running.items()}
+
+
+def _train_when_ready(spark: SparkSession, paths: PipelinePaths, rows: int) -> KM.ClusterModel | None:
+    """The detector, once the feature table holds ``rows`` rows; None before."""
+    schema = window_features_stream(spark.readStream.schema(SILVER_FLAT).parquet(paths.silver_path)).schema
+    written = spark.read.schema(schema).parquet(paths.features_path)
+    return KM.fit(written) if written.limit(rows).count() >= rows else None
 
 
 # ---------------------------------------------------------------- micro-batch service form
@@ -196,36 +236,53 @@ def process_batches(spark: SparkSession, readings_stream: DataFrame, dimension:
     each record of the batch gets its sensor's prediction (records of sensors without a
     scorable feature row get none). ``lookback_batches`` bounds the Silver history read per
     batch (partition pruning on ``batch_id``); None reads the whole history."""
-    silver_path, features_path, anomalies_path = (f"{root}/silver", f"{root}/features", f"{root}/anomalies")
-
-    def _write(df: DataFrame, path: str, epoch: int) -> None:
-        (df.withColumn("batch_id", F.lit(epoch).cast("long")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
-
     def handle(batch: DataFrame, epoch: int) -> None:
-        silver = silv.silver_range(batch, dimension, dim_rows=dim_rows)
-        _write(silver, silver_path, epoch)
-        touched = batch.select("sensor_id").distinct()
-        history = spark.read.parquet(silver_path).where(F.col("batch_id") <= epoch)
-        if lookback_batches is not None:
-            history = history.where(F.col("batch_id") > epoch - lookback_batches)
-        history = history.join(touched, "sensor_id", "left_semi")
-        snap = feat.snapshot_features(history).withColumn("timestamp", F.current_timestamp())
-        _write(snap, features_path, epoch)
-        if scorer is not None:
-            feats = spark.read.parquet(features_path).where(F.col("batch_id") == epoch).drop("batch_id")
-            per_sensor = scorer(feats).select("sensor_id", "is_anomaly", "anomaly_score", "confidence",
-                                              "model_version")
-            records = spark.read.parquet(silver_path).where(F.col("batch_id") == epoch)
-            preds = records.select("id", "sensor_id", F.col("event_timestamp").alias("timestamp")).join(
-                per_sensor, "sensor_id", "inner")
-            _write(preds, anomalies_path, epoch)
+        process_batch(spark, batch, epoch, dimension, dim_rows, root, scorer, lookback_batches)
 
     w = (readings_stream.writeStream.foreachBatch(handle)
          .option("checkpointLocation", f"{root}/_checkpoints"))
     return _trigger(w, trigger).start()
 
 
+def _write_batch(df: DataFrame, path: str, epoch: int) -> DataFrame:
+    """Write one batch's rows and return them as written (none, if ``df`` has none)."""
+    out = df.withColumn("batch_id", F.lit(epoch).cast("long"))
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+    # an explicit schema: an empty first batch leaves no file to infer it from
+    return df.sparkSession.read.schema(out.schema).parquet(path).where(F.col("batch_id") == epoch).drop("batch_id")
+
+
+def _write_predictions(records: DataFrame, features: DataFrame, scorer, path: str, epoch: int) -> DataFrame:
+    """One prediction per record whose sensor has a scorable feature row, with that row's
+    ``feature_values`` (map of the features present)."""
+    per_sensor = scorer(features).select("sensor_id", "is_anomaly", "anomaly_score", "confidence", "model_version")
+    values = feat.features_to_map(features).withColumnRenamed("features", "feature_values")
+    return _write_batch(records.join(per_sensor.join(values, "sensor_id"), "sensor_id"), path, epoch)
+
+
+def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, dimension: DataFrame, dim_rows: int,
+                  root: str, scorer=None, lookback_batches: int | None = None) -> dict[str, int]:
+    """Process one batch of readings into the tables under ``root`` and count what came of it:
+    records, sensors with features, predictions and anomalies. Sensors with too short a
+    history get no feature row and no prediction; an empty batch gives four zeros."""
+    silver = silv.silver_range(batch, dimension, dim_rows=dim_rows)
+    history_schema = silver.withColumn("batch_id", F.lit(epoch).cast("long")).schema
+    records = _write_batch(silver, f"{root}/silver", epoch)
+    history = spark.read.schema(history_schema).parquet(f"{root}/silver").where(F.col("batch_id") <= epoch)
+    if lookback_batches is not None:
+        history = history.where(F.col("batch_id") > epoch - lookback_batches)
+    history = history.join(records.select("sensor_id").distinct(), "sensor_id", "left_semi")
+    snap = feat.snapshot_features(history).withColumn("timestamp", F.current_timestamp())
+    features = _write_batch(snap, f"{root}/features", epoch)
+    counts = {"records": records.count(), "features": features.count(), "predictions": 0, "anomalies": 0}
+    if scorer is not None:
+        records = records.select("id", "sensor_id", F.col("event_timestamp").alias("timestamp"))
+        preds = _write_predictions(records, features, scorer, f"{root}/anomalies", epoch)
+        found = preds.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("bad")).first()
+        counts |= {"predictions": found["n"], "anomalies": found["bad"]}
+    return counts
+
+
 # ---------------------------------------------------------------- stateful micro-batch form
 # Output of the per-sensor state step: kind 0 = one of the sensor's newest valid rows after
 # this batch, kind 1 = a record of this batch (to receive its sensor's prediction).
@@ -309,26 +366,18 @@ def process_batches_stateful(spark: SparkSession, readings_stream: DataFrame, di
         .outputMode("append").partitionBy("event_date")
         .option("checkpointLocation", f"{root}/_checkpoints/silver"), trigger).start(silver_path)
 
-    def _write(df: DataFrame, path: str, epoch: int) -> None:
-        (df.withColumn("batch_id", F.lit(epoch).cast("long")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
-
     def handle(batch: DataFrame, epoch: int) -> None:
         # the state step's output is written once; both uses below read that table
-        _write(batch, recent_path, epoch)
-        out = spark.read.parquet(recent_path).where(F.col("batch_id") == epoch)
+        out = _write_batch(batch, recent_path, epoch)
         when = F.timestamp_micros(F.col("ts_us")).cast(ts_type)
         window = out.where(F.col("kind") == 0).select(
             "sensor_id", when.alias("event_timestamp"), "id", "cleaned_value", F.lit(True).alias("is_valid"))
         snap = feat.snapshot_features(window, max_history=max_history).withColumn(
             "timestamp", F.current_timestamp())
-        _write(snap, features_path, epoch)
+        features = _write_batch(snap, features_path, epoch)
         if scorer is not None:
-            feats = spark.read.parquet(features_path).where(F.col("batch_id") == epoch).drop("batch_id")
-            per_sensor = scorer(feats).select("sensor_id", "is_anomaly", "anomaly_score", "confidence",
-                                              "model_version")
             records = out.where(F.col("kind") == 1).select("id", "sensor_id", when.alias("timestamp"))
-            _write(records.join(per_sensor, "sensor_id", "inner"), anomalies_path, epoch)
+            _write_predictions(records, features, scorer, anomalies_path, epoch)
 
     q_feat = _trigger(
         recent_rows_stream(silver, max_history).writeStream.outputMode("update").foreachBatch(handle)

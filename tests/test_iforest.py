@@ -72,7 +72,9 @@ def test_retrain_writes_new_version_and_load_picks_newest(spark, tmp_path):
 def test_versions_compare_by_number(spark, tmp_path):
     from gaugeflow.operators import iforest as forest
     for v in ("v1.0", "v9", "v10", "v1.2"):
-        (tmp_path / f"version={v}").mkdir()
+        (tmp_path / f"version={v}" / "params").mkdir(parents=True)
+        (tmp_path / f"version={v}" / "params" / "_SUCCESS").touch()
+    (tmp_path / "version=v11" / "nodes").mkdir(parents=True)      # still being written
     assert forest.list_versions(spark, str(tmp_path)) == ["v1.0", "v1.2", "v9", "v10"]
 
 
@@ -82,3 +84,15 @@ def test_moments_of_short_series(spark):
     row = spark.range(1).select(scalar.sample_skewness(F.lit(0.5), F.lit(2)).alias("s"),
                                 scalar.sample_kurtosis(F.lit(0.5), F.lit(3)).alias("k")).first()
     assert (row["s"], row["k"]) == (0.0, 0.0)
+
+
+def test_retrain_publishes_the_next_version(spark, tmp_path):
+    m, names = _matrix(spark, n=300)
+    root = str(tmp_path / "models")
+    first = IF.retrain(spark, m, root, names=names, n_trees=5)
+    second = IF.retrain(spark, m, root, names=names, n_trees=6)
+    assert first["trained"] and second["trained"] and IF.list_versions(spark, root) == [
+        first["model_version"], second["model_version"]]
+    assert IF.load(spark, root).version == second["model_version"] and IF.load(spark, root).n_trees == 6
+    few = IF.retrain(spark, m.limit(3), root, names=names)
+    assert few == {"trained": False, "model_version": second["model_version"], "trained_rows": 0, "model_ready": True}

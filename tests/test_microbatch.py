@@ -94,3 +94,24 @@ def test_stateful_restart_resumes_from_checkpointed_state(spark, tmp_path):
     pb = sorted(tuple(r) for r in spark.read.parquet(f"{twice}/anomalies").select(*pcols).collect())
     assert pa == pb
     assert spark.read.parquet(f"{twice}/silver").count() == spark.read.parquet(full).count()
+
+
+def test_small_first_batch_gives_no_predictions_and_no_failure(spark, tmp_path):
+    """Ten readings over six sensors: no sensor has enough history yet, in either form."""
+    r = event_readings(spark, SF_SMALL).where("id <= 10000")
+    six = [x.sensor_id for x in r.select("sensor_id").distinct().orderBy("sensor_id").limit(6).collect()]
+    few = [r.where(F.col("sensor_id") == s).orderBy("id").limit(2 if i < 4 else 1) for i, s in enumerate(six)]
+    batch = few[0]
+    for f in few[1:]:
+        batch = batch.unionByName(f)
+    replay = str(tmp_path / "replay")
+    batch.coalesce(1).write.parquet(replay)
+    dim, n = sensor_dimension(spark)
+    counts = SP.process_batch(spark, spark.read.parquet(replay), 0, dim, n, str(tmp_path / "one"), scorer=_scorer)
+    assert counts == {"records": 10, "features": 0, "predictions": 0, "anomalies": 0}
+    stream = spark.readStream.schema(r.schema).parquet(replay)
+    SP.process_batches(spark, stream, dim, n, str(tmp_path / "a"), scorer=_scorer).awaitTermination()
+    for q in SP.process_batches_stateful(spark, stream, dim, n, str(tmp_path / "b"), scorer=_scorer):
+        q.awaitTermination()
+        assert q.exception() is None
+    assert spark.read.parquet(str(tmp_path / "a" / "silver")).count() == 10

@@ -84,3 +84,18 @@ def test_replay_files_stamped_in_time_order(spark, tmp_path):
     files = sorted((os.path.getmtime(os.path.join(path, f)), f) for f in os.listdir(path) if f.startswith("part-"))
     firsts = [spark.read.parquet(os.path.join(path, f)).agg(F.min("ts")).first()[0] for _, f in files]
     assert firsts == sorted(firsts)                     # oldest file = earliest times
+
+
+def test_live_run_trains_reaches_the_last_stage_and_stops(spark, tmp_path):
+    paths = SP.PipelinePaths.under(str(tmp_path))
+    _write_json(paths.input_path, "a.json", _rows(dt.datetime(2024, 1, 1), 400), time.time() - 10)
+    began = time.time()
+
+    def stop():
+        done = os.path.isdir(paths.anomalies_path) and any(f.endswith(".parquet") for f in os.listdir(paths.anomalies_path))
+        return done or time.time() - began > 120
+
+    counts = SP.run_pipeline(spark, paths, trigger={"processingTime": "1 second"}, stop=stop, train_rows=20)
+    assert not spark.streams.active
+    assert counts["bronze"]["rows"] == 400 and counts["silver"]["rows"] == 400
+    assert spark.read.parquet(paths.anomalies_path).count() > 0

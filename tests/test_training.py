@@ -28,3 +28,11 @@ def test_scaler_zero_std_becomes_one(spark):
     assert sc == {"a": (2.0, 1.0), "b": (5.0, 1.0)}
     out = TR.apply_scaler(df, sc).collect()
     assert [(r.a, r.b) for r in out] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 0.99])
+def test_exact_quantile_of_few_distinct_values(spark, monkeypatch, q):
+    x = np.repeat([1.0, 2.0, 3.0, 4.0, 5.0], [700, 11, 900, 3, 400])
+    df = spark.createDataFrame([(float(v),) for v in x], "x DOUBLE")
+    monkeypatch.setattr(TR, "EXACT_DIRECT_LIMIT", 10)
+    assert TR.exact_quantiles(df, "x", [q])[0] == float(np.quantile(x, q))
