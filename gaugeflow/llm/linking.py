@@ -3,7 +3,8 @@
 ``members`` are rows (key, id, home): a bucket is a key; at least one side of a pair must be home
 in it. Each round compares the members of every bucket that is not yet within one component with one
 of its home members (another one each round), keeps the verified links and joins the components. What is still in
-different components after ``ROUNDS`` rounds is compared member by member across components (large
+different components after ``ROUNDS`` rounds, or after a round in which no member of an open bucket fits its
+head, is compared member by member across components (large
 buckets in blocks, where the caller can do that), so no candidate pair that could join two components is left out, while a bucket of many copies costs one
 comparison a member. No bucket is ever gathered in one task.
 """
@@ -36,7 +37,8 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits=N
     kind = members.schema["id"].dataType.simpleString()
     comps = spark.createDataFrame([], f"node {kind}, comp {kind}")
     links = spark.createDataFrame([], f"a {kind}, b {kind}")
-    for step in range(ROUNDS + 1):
+    step = 0
+    while step <= ROUNDS:
         now = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn(
             "comp", F.coalesce("comp", "id")) if step else members.withColumn("comp", F.col("id"))
         chance = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1000)) / 1000.0
@@ -66,12 +68,16 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits=N
             pairs = pairs.where(fits(left, right))
         pairs = pairs.select(F.least(left("id"), right("id")).alias("a"), F.greatest(left("id"), right("id")).alias("b"))
         pairs = materialize(pairs.distinct(), "pairs")
-        if pairs.isEmpty() and step < ROUNDS:
-            break
-        links = materialize(links.unionByName(verify(pairs)), "links")
-        comps = components(links)
+        fruitless = step < ROUNDS and pairs.isEmpty()
+        if fruitless:
+            if head.isEmpty():
+                break
+        else:
+            links = materialize(links.unionByName(verify(pairs)), "links")
+            comps = components(links)
         if step == 0 and narrow is not None:
             open_ = members.join(head.select("key"), "key").join(comps.withColumnRenamed("node", "id"), "id", "left")
             members = narrow(materialize(open_.withColumn("comp", F.coalesce("comp", "id")), "open"))
             extra = [c for c in members.columns if c not in ("key", "id", "home")]
+        step = ROUNDS if fruitless else step + 1
     return links, comps

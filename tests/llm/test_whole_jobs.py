@@ -31,3 +31,19 @@ def test_tiny_source_does_not_end_the_mix(spark, tmp_path):
     ran = np.cumsum(np.array(order) == "b")
     want = share["b"] / (share["a"] + share["b"]) * np.arange(1, len(order) + 1)
     assert np.abs(ran - want).max() < 3 * mixing.BLOCK
+
+
+def test_buckets_whose_head_fits_nobody_stay_open(spark):
+    size = {0: 20, 1: 26, 2: 27}  # passage, and two texts around it of which 25 of 28 shingles are common
+
+    def fits(left, right):
+        return (left("n") * 100 >= right("n") * 85) & (right("n") * 100 >= left("n") * 85)
+
+    def verify(pairs):
+        return pairs.where("a % 10 = 1 AND b % 10 = 2")
+
+    for start, narrow in ((0, None), (10, lambda open_: open_.select("key", "id", "home", "n")), (20, None)):
+        rows = [(key, start + i, True, n) for key in (1, 2) for i, n in size.items()]
+        members = spark.createDataFrame(rows, "key long, id long, home boolean, n long")
+        _, comps = linking.connect(members, verify, fits, narrow)
+        assert {tuple(r) for r in comps.collect()} == {(start + 1, start + 1), (start + 2, start + 1)}
