@@ -27,7 +27,6 @@ FEATURES, RIDGE, SEED = 300, 1e-3, 7
 THRESHOLD = 0.3
 PARTS = 8          # partitions of the (bounded) training features
 CALIBRATE = 4      # one training row in so many calibrates
-LONG_TEXT = 1 << 20
 
 _UPPER, _LOWER, _DIGIT, _SPACE = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = True
@@ -37,8 +36,16 @@ _MARK = ~(_UPPER | _LOWER | _DIGIT | _SPACE | _HIGH)
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".,;:'\"?-"])
 
 
+def distinct(codes: np.ndarray) -> int:
+    """Number of different values; sorts ``codes`` in place."""
+    codes.sort()
+    return len(codes[:1]) + int((codes[1:] != codes[:-1]).sum())
+
+
 def stats(text: str | None) -> list[float]:
-    """Statistics of a whole text; every byte, word and line counts."""
+    """Statistics of a whole text; every byte, word and line counts.
+
+    Adjacent word pairs are counted exactly at every length, over two whole numbers a word."""
     if not text:
         return [0.0] * STATS
     data = text.encode()
@@ -48,15 +55,14 @@ def stats(text: str | None) -> list[float]:
     n = max(1, len(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
     kinds: dict[bytes, int] = {}
-    for w in words:
-        kinds[w] = kinds.get(w, 0) + 1
-    same_next = sum(a == b for a, b in zip(words, words[1:]))
+    at = np.fromiter((kinds.setdefault(w, len(kinds)) for w in words), np.int64, len(words))  # word numbers
+    same_next = int((at[1:] == at[:-1]).sum())
     ends: dict[bytes, int] = {}
     for w in words:
         e = w[-3:]
         ends[e] = ends.get(e, 0) + 1
-    pairs = len(set(zip(words, words[1:]))) if n <= LONG_TEXT else len(kinds)
-    top = max(kinds.values(), default=0)
+    pairs = distinct(at[:-1] * len(kinds) + at[1:])  # two word numbers in one whole number
+    top = int(np.bincount(at).max()) if words else 0
     marked = sum(v for k, v in ends.items() if not k[-1:].isalnum() and k[-1] < 128 and k[-1:] not in b".,;:?'\"")
     return [
         np.log1p(size), np.log1p(n), byte[_UPPER].sum() / size, byte[_LOWER].sum() / size, byte[_DIGIT].sum() / size,

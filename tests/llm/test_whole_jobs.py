@@ -47,3 +47,13 @@ def test_buckets_whose_head_fits_nobody_stay_open(spark):
         members = spark.createDataFrame(rows, "key long, id long, home boolean, n long")
         _, comps = linking.connect(members, verify, fits, narrow)
         assert {tuple(r) for r in comps.collect()} == {(start + 1, start + 1), (start + 2, start + 1)}
+
+
+def test_word_pairs_at_every_length():
+    draw = np.random.default_rng(5)
+    for n in (0, 1, 2, 50, 3000, (1 << 20) + 1000):
+        words = draw.choice(["a", "b", "cc", "d", "é"], n).tolist()
+        got = quality.stats(" ".join(words) or " ")
+        assert got[17] == len(set(zip(words, words[1:]))) / max(1, n)
+        assert got[16] == sum(a == b for a, b in zip(words, words[1:])) / max(1, n)
+        assert got[13] == len(set(words)) / max(1, n)
