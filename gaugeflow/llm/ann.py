@@ -15,7 +15,8 @@ Each query block meets each vector block once; blocks hold at most about ``BLOCK
 no task grows with the table, and what leaves a block is at most k rows per query.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, neither as
-queries nor as candidates. Vectors of different lengths never meet. A query's own row (every row with its id) is
+queries nor as candidates. Queries with the same id and vector are one query; queries with the same id and
+different vectors are each searched and each have k rows and ranks of their own. Vectors of different lengths never meet. A query's own row (every row with its id) is
 no candidate; ties go to the smaller id; fewer than k candidates give fewer rows.
 """
 
@@ -34,7 +35,7 @@ CANDIDATES, BLOCK, WINDOWS, SEED = 0.1, 16_384, 64, 11
 
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, top: float, k: int,
                  candidates: float = CANDIDATES) -> list[tuple[int, int, float]]:
-    """(query_id, vec_id, score) of the k best rows of one block found for each query."""
+    """(row of the query, vec_id, score) of the k best rows of one block found for each query."""
     n, d = x.shape
     draw = np.random.default_rng(SEED).normal(size=(d + 1, PROJECTIONS))
     draw /= np.linalg.norm(draw, axis=0)
@@ -72,7 +73,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         own = ids[hit] == query_ids[i]
         hit, score = hit[~own], score[~own]
         best = np.lexsort((ids[hit], -score))[:k] if len(hit) <= 4 * k else _best(ids[hit], score, k)
-        rows += [(int(query_ids[i]), int(ids[hit[r]]), float(score[r])) for r in best]
+        rows += [(i, int(ids[hit[r]]), float(score[r])) for r in best]
     return rows
 
 
@@ -91,7 +92,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
         return df.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & valid_vector(F.col("v")))
 
     x = materialize(usable(vectors).withColumn("dim", F.size("v")), "ann_rows")
-    q = usable(queries).withColumn("dim", F.size("v"))
+    asks = usable(queries).withColumn("dim", F.size("v")).dropDuplicates(["vec_id", "v"])
+    # number of a query among those of its id
+    q = materialize(asks.withColumn("ask", F.row_number().over(Window.partitionBy("vec_id").orderBy("v"))), "ann_queries")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
     size = x.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
     asked = q.count()
@@ -105,12 +108,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left) and len(right):
-            left, right = left.sort_values("vec_id", kind="stable"), right.drop_duplicates("vec_id")
+            left = left.sort_values("vec_id", kind="stable")
             rows = search_block(left["vec_id"].to_numpy(), np.array(left["v"].tolist(), float),
                                 right["vec_id"].to_numpy(), np.array(right["v"].tolist(), float), top, k, candidates)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+            names = list(zip(right["vec_id"].tolist(), right["ask"].tolist()))
+            rows = [(*names[i], vec_id, score) for i, vec_id, score in rows]
+        return pd.DataFrame(rows, columns=["query_id", "ask", "vec_id", "score"])
 
     key = ["dim", "xb", "qb"]
-    found = xs.groupBy(*key).cogroup(qs.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = xs.groupBy(*key).cogroup(qs.groupBy(*key)).applyInPandas(
+        meet, "query_id long, ask int, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugeflow.llm import linking, mixing, quality
+from gaugeflow.llm import ann, linking, mixing, quality
 from gaugeflow.llm.common import workers_find_package
 
 
@@ -57,3 +57,17 @@ def test_word_pairs_at_every_length():
         assert got[17] == len(set(zip(words, words[1:]))) / max(1, n)
         assert got[16] == sum(a == b for a, b in zip(words, words[1:])) / max(1, n)
         assert got[13] == len(set(words)) / max(1, n)
+
+
+def test_queries_with_one_id_are_all_searched(spark):
+    schema = "vec_id long, embedding array<double>"
+    x = np.random.default_rng(6).normal(size=(120, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], schema)
+    asked = [(500, x[3].tolist()), (500, x[70].tolist()), (500, x[3].tolist()), (7, x[7].tolist())]
+    got = ann.nearest(vectors, spark.createDataFrame(asked, schema), k=4, block=50, candidates=1.0).collect()
+    want = []
+    for q, v, own in ((500, x[3], None), (500, x[70], None), (7, x[7], 7)):
+        score = x @ v
+        best = [int(i) for i in np.argsort(-score) if i != own][:4]
+        want += [(q, r + 1, i, round(float(score[i]), 9)) for r, i in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
