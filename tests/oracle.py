@@ -34,7 +34,7 @@ PLACES = None if os.environ.get("ORACLE_EXACT") == "1" else 5
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if isinstance(v, float):
         if math.isnan(v):
