@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from gaugeflow.session import materialize
 
-__all__ = ["components", "fold", "id_sample", "materialize", "read", "valid_vector",
+__all__ = ["components", "fold", "id_sample", "join_by_count", "materialize", "read", "valid_vector",
            "workers_find_package"]
 
+SHARE = 1024
+
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -46,6 +48,17 @@ def id_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(h <= F.lit(cut["m"]))
 
 
+def join_by_count(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` to ``table``, which has one row per key and in column ``n`` the number of its rows.
+
+    Keys of more than 1/``SHARE`` of all ``total`` rows are fewer than ``SHARE`` and are broadcast; the others
+    meet their rows in a shuffle join, in which no key has more than that share."""
+    hot = F.col(n) * SHARE > F.lit(total)
+    few = table.where(hot)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(few), keys).unionByName(rest.join(table.where(~hot), keys))
+
+
 def valid_vector(v: Column) -> Column:
     """True for a vector that is not null or empty, has no null or non-finite component and is not zero."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
