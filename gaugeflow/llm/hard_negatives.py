@@ -40,7 +40,11 @@ def whole_numbers(vector: Column, factor: int = 256) -> Column:
     """floor(factor * x) of every component; null for a vector that is null or holds null, NaN or infinite components."""
     v = vector.cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(v.isNotNull() & ~bad, F.transform(v, lambda x: F.floor(x * factor).cast("double")))
+
+    def whole(x: Column) -> Column:  # from 2^53 on a double is whole, and ``floor`` may not fit its bigint
+        return F.when(F.abs(x * factor) < 2.0 ** 53, F.floor(x * factor).cast("double")).otherwise(x * factor)
+
+    return F.when(v.isNotNull() & ~bad, F.transform(v, whole))
 
 
 def directions(sample: np.ndarray, count: int) -> np.ndarray:
@@ -161,8 +165,9 @@ class Negatives:
 
     def __init__(self, a: Anchors, positive: np.ndarray, known: np.ndarray, low: int, high: int, k: int, floor: np.ndarray):
         self.a, self.known, self.slots = a, known, positive.shape[1]
-        self.top = np.where(known, positive * high // 100, NEVER)  # 100 s <= high p
-        self.bottom = -(-positive * low // 100)  # 100 s >= low p
+        exact = positive.astype(object)  # Python's integers: a score may fill 64 bits
+        self.top = np.where(known, _long(exact * high // 100), NEVER)  # 100 s <= high p
+        self.bottom = _long(-(-exact * low // 100))  # 100 s >= low p
         self.best = Best(len(a.id) * self.slots, k, floor)
 
     def wanted(self, low, high, labels):
@@ -181,6 +186,11 @@ class Negatives:
             self.best.add(who[i] * self.slots + s, score[i, j], rows[j])
 
 
+def _long(x: np.ndarray) -> np.ndarray:
+    info = np.iinfo(np.int64)
+    return np.clip(x, info.min, info.max).astype(np.int64)
+
+
 def _no_floor(n: int) -> np.ndarray:
     return np.full(n, NEVER, np.int64)
 

@@ -97,6 +97,9 @@ class NodeSlots:
     """Minimal perfect hash of distinct 128-bit digests: slots 0 to n - 1, each holding its digest for verification."""
 
     def __init__(self, hi: np.ndarray, lo: np.ndarray):
+        order = np.lexsort((lo, hi))
+        if ((np.diff(hi[order]) == 0) & (np.diff(lo[order]) == 0)).any():
+            raise ValueError("digests are not distinct")
         self.levels, left, base = [], np.arange(len(hi)), 0
         while len(left):
             size = len(left)
@@ -109,7 +112,7 @@ class NodeSlots:
         slots = self._slots(hi, lo)
         self.hi[slots], self.lo[slots] = hi, lo
         if len(hi) and (np.bincount(slots, minlength=len(hi)) != 1).any():
-            raise ValueError("digests are not distinct")
+            raise ValueError("slots are not distinct")
 
     @staticmethod
     def _place(hi: np.ndarray, lo: np.ndarray, level: int, size: int) -> np.ndarray:
