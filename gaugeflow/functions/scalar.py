@@ -62,3 +62,10 @@ def health_label(model_ready: bool) -> Column:
 
 def rounded(c, places: int = 6) -> Column:
     return F.round(col_(c), places)
+
+
+def on_grid(c, places: int = 6) -> Column:
+    """The value on a grid of 10^-places (``floor(x * 10^places + 0.501) / 10^places`` below 1e9, else as it is): values
+    that differ only by the order of a summation become equal."""
+    c, scale = col_(c), float(10 ** places)
+    return F.when(F.abs(c) < F.lit(1e9), F.floor(c * F.lit(scale) + F.lit(0.501)) / F.lit(scale)).otherwise(c)

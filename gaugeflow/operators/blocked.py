@@ -12,25 +12,27 @@ by (sensor, piece) with bounded pieces:
    ``halo`` rows of the previous block, so sliding frames (rolling windows, lags) near the
    block start see their full look-back.
 3. Expanding statistics: central moments (count, means, M2, M3, M4, co-moment with the
-   position) are computed by Spark's running aggregates inside a block and merged with
-   those of all earlier blocks, in block order. Nothing is derived from raw power sums, so
-   a level shift does not cancel, and a NaN shows from its own row on, as in one window.
-   min/max/first combine the same way.
+   position) inside a block come from running sums of powers of the values' distance to the
+   block's first value. That value belongs to the set, so the subtraction that turns the sums into
+   central moments loses a factor of at most the rows of a block, and a constant block is exactly 0.
+4. Moments of whole blocks are merged, never subtracted, in block order: a block starts from
+   those of all earlier blocks of its sensor. The merge is a scan in levels of ``CHUNK``: within
+   (sensor, chunk of blocks), then over the chunks' totals, and so on; no group holds more
+   than ``CHUNK`` rows, whatever the length of the series. A NaN shows from its own row on, as in one
+   window. min/max/first go along.
 
 Series carry no NULL key, time or value (``features`` drops such rows for both plans).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gaugeflow import fixed
 from gaugeflow.functions.scalar import sample_kurtosis, sample_skewness
 
 BLOCK_ROWS = 1_000_000
+CHUNK = 1000
 POSITION_BUCKET = "hour"
 
 
@@ -110,24 +112,54 @@ def _moments(p: str) -> dict[str, Column]:
             "cxy": F.col(f"{p}cov") * c}
 
 
-def _earlier_moments(blocks: DataFrame, key: str) -> DataFrame:
-    """Per (key, block) the merged moments of all earlier blocks. One row per ``block_rows``
-    rows of a sensor goes through a task: a millionth of its series."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        so_far, found = dict.fromkeys(MOMENTS, 0.0), []
-        for b in zip(*(pdf[f"_b_{m}"].tolist() for m in MOMENTS)):
-            found.append(tuple(so_far[m] for m in MOMENTS))
-            so_far = merge_moments(so_far, dict(zip(MOMENTS, b)))
-        kept = pdf[[key, "_blk", "_cmn", "_cmx", "_first"]].reset_index(drop=True)
-        return kept.join(pd.DataFrame(found, columns=[f"_c_{m}" for m in MOMENTS]))
+SCANNED = (*MOMENTS, "mn", "mx", "first")
 
-    fields = [T.StructField(f.name, f.dataType) for f in blocks.schema.fields if not f.name.startswith("_b_")]
-    schema = T.StructType(fields + [T.StructField(f"_c_{m}", T.DoubleType()) for m in MOMENTS])
-    # NaN comes back as NULL; only _cmn has NULLs of its own, which ``least`` passes over like NaN
-    nan = F.lit(float("nan"))
-    back = ["_cmx", "_first", *[f"_c_{m}" for m in MOMENTS]]
-    return blocks.groupBy(key).applyInPandas(fold, schema).withColumns({c: F.coalesce(c, nan) for c in back})
+
+def _nothing() -> Column:
+    """Moments of no rows; ``first``, ``mn`` and ``mx`` are null."""
+    return F.struct(*[F.lit(0.0).alias(m) for m in MOMENTS],
+                    *[F.lit(None).cast("double").alias(c) for c in SCANNED if c not in MOMENTS])
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """Moments of ``a`` followed by ``b`` (structs; ``b`` is not empty)."""
+    both = merge_moments({m: a[m] for m in MOMENTS}, {m: b[m] for m in MOMENTS})
+    return F.struct(*[both[m].alias(m) for m in MOMENTS], F.least(a["mn"], b["mn"]).alias("mn"),
+                    F.greatest(a["mx"], b["mx"]).alias("mx"), F.when(a["n"] > 0, a["first"]).otherwise(b["first"]).alias("first"))
+
+
+def scan_moments(parts: DataFrame, key: str, last: int, chunk: int = CHUNK) -> DataFrame:
+    """(key, idx, before): for each part (key, idx, m) the merged moments of all parts of its key with a smaller idx.
+
+    ``last`` is the largest idx. Parts are folded in groups of ``chunk``; above one group the totals of the groups
+    are scanned in the same way, and each fold starts from what lies before its group."""
+    from gaugeflow.session import materialize
+    groups = parts.groupBy(key, F.floor(F.col("idx") / F.lit(chunk)).cast("long").alias("group")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", "m"))).alias("parts"))
+    if last < chunk:
+        groups = groups.withColumn("before", _nothing())
+    else:
+        groups = materialize(groups, "moment-groups")
+        total = F.aggregate("parts", _nothing(), lambda a, p: _plus(a, p["m"]))
+        above = scan_moments(groups.select(key, F.col("group").alias("idx"), total.alias("m")), key, last // chunk, chunk)
+        groups = groups.join(above.withColumnRenamed("idx", "group"), [key, "group"])
+    start = F.struct(F.col("before").alias("upto"), F.array(F.struct(F.lit(0).cast("long").alias("idx"), F.col("before").alias("before"))).alias("out"))
+    folded = F.aggregate("parts", start, lambda s, p: F.struct(
+        _plus(s["upto"], p["m"]).alias("upto"),
+        F.concat(s["out"], F.array(F.struct(p["idx"].alias("idx"), s["upto"].alias("before")))).alias("out")),
+        lambda s: F.slice(s["out"], 2, F.size(s["out"])))
+    return groups.select(key, F.inline(folded))
+
+
+def _running_moments(c: Column, start: Column) -> dict[str, Column]:
+    """Moments of a block's first ``c`` rows from running sums over y = v - (first value) and the position in the block."""
+    s1, s2, s3, s4, sxy = (F.col(f"_s{i}") for i in ("1", "2", "3", "4", "xy"))
+    mean = s1 / c
+    m2 = s2 - mean * s1
+    return {"n": c, "mean": F.col("_k") + mean, "x": start + (c + 1) / 2, "m2": F.greatest(m2, F.lit(0.0)),
+            "m3": s3 - 3 * mean * s2 + 2 * mean * mean * s1,
+            "m4": s4 - 4 * mean * s3 + 6 * mean * mean * s2 - 3 * mean * mean * mean * s1,
+            "cxy": sxy - s1 * (c + 1) / 2}
 
 
 def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str], time_col: str,
@@ -149,48 +181,46 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
     if materialize_blocks:
         # Both the block windows and the block totals read this table: write it once
         # (shared checkpoint folder) instead of re-deriving positions twice; cuts lineage.
-        from gaugeflow.session import materialize
         df = materialize(df, "expanding-blocks")
     own = ~F.col("_halo")
     w_blk = Window.partitionBy(key, "_blk").orderBy("pos")
     run = w_blk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pos = F.col("pos")
     # values relative to the block's first one: a constant block has moments of exactly 0
-    df = df.withColumn("_k", F.first(F.when(own, F.col("v")), ignorenulls=True).over(run))
-    y, x = F.when(own, F.col("v") - F.col("_k")), F.when(own, pos.cast("double"))
-    stats_of = {"c": F.count(y), "y": F.avg(y), "x": F.avg(x), "var": F.var_pop(y),
-                "skew": F.skewness(y), "kurt": F.kurtosis(y), "cov": F.covar_pop(x, y)}
-    local = [c.over(run).alias(f"_l_{name}") for name, c in stats_of.items()]
+    df0, df = df, df.withColumn("_k", F.first(F.when(own, F.col("v")), ignorenulls=True).over(run))
+    y, start = F.when(own, F.col("v") - F.col("_k")), (F.col("_blk") * F.lit(block_rows)).cast("double")
+    c = pos - start
+    sums = {"1": y, "2": y * y, "3": y * y * y, "4": y * y * y * y, "xy": y * c}
+    local = [F.sum(e).over(run).alias(f"_s{i}") for i, e in sums.items()]
     local += [F.min(F.when(own, F.col("v"))).over(run).alias("_mn"),
               F.max(F.when(own, F.col("v"))).over(run).alias("_mx")]
     rows = df.select(key, *order_cols, "pos", "v", "_k", "_blk", "_halo",
                      *local, *_rolling_cols(w_blk, windows, lags, pos))
     rows = rows.where(own & (pos >= min_prefix))
-    rows = rows.select("*", *[c.alias(f"_b_{m}") for m, c in _moments("_l_").items()]).drop(
-        *[f"_l_{name}" for name in stats_of])
     # moments of whole blocks, then of all earlier blocks of the same sensor
-    blocks = df.where(own).groupBy(key, "_blk").agg(
-        *[c.alias(f"_l_{name}") for name, c in stats_of.items()], F.min_by("_k", "pos").alias("_k"),
-        F.min("v").alias("_bmn"), F.max("v").alias("_bmx"), F.min_by("v", "pos").alias("_bfirst"))
-    earlier = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.select(
-        F.col(key), "_blk", *[c.alias(f"_b_{m}") for m, c in _moments("_l_").items()],
-        F.min("_bmn").over(earlier).alias("_cmn"),
-        F.coalesce(F.max("_bmx").over(earlier), F.lit(float("-inf"))).alias("_cmx"),
-        F.first("_bfirst").over(upto).alias("_first"))
-    carry = _earlier_moments(blocks, key)
+    yb, x = F.col("v") - F.col("_k"), pos.cast("double")
+    stats_of = {"c": F.count(yb), "y": F.avg(yb), "x": F.avg(x), "var": F.var_pop(yb),
+                "skew": F.skewness(yb), "kurt": F.kurtosis(yb), "cov": F.covar_pop(x, yb)}
+    # the first row of a block gives its shift: one row per block, and no window for the totals
+    firsts = materialize(df0.where(own & ((pos - 1) % F.lit(block_rows) == 0)).select(key, "_blk", F.col("v").alias("_k")), "block-firsts")
+    blocks = lookup_join(df0.where(own), firsts, [key, "_blk"], "inner").groupBy(key, "_blk").agg(
+        *[e.alias(f"_l_{name}") for name, e in stats_of.items()], F.max("_k").alias("_k"),
+        F.min("v").alias("mn"), F.max("v").alias("mx"))
+    moments = [e.alias(m) for m, e in _moments("_l_").items()]
+    parts = blocks.select(key, F.col("_blk").alias("idx"), F.struct(*moments, "mn", "mx", F.col("_k").alias("first")).alias("m"))
+    longest = stats.agg(F.max("_len")).first()[0] or 0
+    carry = scan_moments(parts, key, max(0, longest - 1) // block_rows).select(key, F.col("idx").alias("_blk"), F.col("before").alias("_c"))
     j = rows.join(carry, [key, "_blk"], "inner")
     n = pos.cast("double")
-    total = merge_moments({m: F.col(f"_c_{m}") for m in MOMENTS}, {m: F.col(f"_b_{m}") for m in MOMENTS})
+    total = merge_moments({m: F.col(f"_c.{m}") for m in MOMENTS}, _running_moments(pos - start, start))
     j = j.select("*", *[total[m].alias(f"_t_{m}") for m in MOMENTS])
     M2, M3, M4 = F.col("_t_m2"), F.col("_t_m3"), F.col("_t_m4")
     flat = M2 == 0
     g1 = F.when(flat, F.lit(None)).otherwise(F.sqrt(n) * M3 / F.pow(M2, 1.5))
     g2 = F.when(flat, F.lit(None)).otherwise(n * M4 / (M2 * M2) - 3)
     slope = F.col("_t_cxy") / (n * (n * n - 1) / 12.0)
-    mn = F.least(F.col("_cmn"), F.col("_mn"))
-    mx = F.greatest(F.col("_cmx"), F.col("_mx"))
+    mn = F.least(F.col("_c.mn"), F.col("_mn"))
+    mx = F.greatest(F.col("_c.mx"), F.col("_mx"))
     out = [F.col(key), *[F.col(c) for c in order_cols], pos.alias("n"),
            F.col("_t_mean").alias("mean"),
            F.sqrt(M2 / n).alias("std"), mn.alias("min"), mx.alias("max"), (mx - mn).alias("range"),
@@ -200,7 +230,7 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
         out += [F.col(f"rolling_{s}_{win}") for s in ("mean", "std", "max", "min")]
     out += [F.when(pos >= trend_min, slope).alias("trend_slope"),
             F.when(pos > 1, F.col("v") - F.col("lag_1")).alias("last_change"),
-            F.when(pos > 1, (F.col("v") - F.col("_first")) / n).alias("change_rate")]
+            F.when(pos > 1, (F.col("v") - F.when(F.col("_c.n") > 0, F.col("_c.first")).otherwise(F.col("_k"))) / n).alias("change_rate")]
     return j.select(*out)
 
 

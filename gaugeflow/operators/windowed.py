@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow import fixed
 
 
+def _micros(interval: str) -> int:
+    """Length of an interval of fixed length ("5 minutes") in microseconds."""
+    spark = SparkSession.active()
+    return spark.sql(f"SELECT unix_micros(TIMESTAMP_MICROS(0) + INTERVAL {interval}) AS us").first()["us"]
+
+
+def _merged(parts: Column) -> Column:
+    """Count, mean and sum of squared deviations of several panes together (structs n, mean, m2)."""
+    def add(a: Column, b: Column) -> Column:
+        n, d = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + d * (b["n"] / n)).alias("mean"),
+                        (a["m2"] + b["m2"] + d * d * (a["n"] * b["n"] / n)).alias("m2"))
+
+    full = F.filter(parts, lambda p: p["n"] > 0)
+    return F.when(F.size(full) > 0, F.aggregate(F.slice(full, 2, F.size(full)), full[0], add))
+
+
 def window_aggregate(silver: DataFrame, time_col: str = "event_timestamp",
                      duration: str = fixed.WINDOW_DURATION, slide: str = fixed.WINDOW_SLIDE,
                      value_col: str = "cleaned_value", key: str = "sensor_id",
@@ -16,26 +35,43 @@ def window_aggregate(silver: DataFrame, time_col: str = "event_timestamp",
     """mean, sample std, min, max, count, range per (sensor, sliding window); the window
     start becomes ``timestamp``.
 
-    Each row is expanded into duration/slide windows and aggregated with a partial
-    (map-side) hash aggregate, so a hot sensor is pre-combined before the shuffle.
+    In batch, rows are aggregated once, per pane (the common divisor of duration and slide), with a
+    partial (map-side) aggregate, so a hot sensor is pre-combined before the shuffle and no row is copied; the panes
+    are then dealt to their windows and merged there as counts, means and sums of squared deviations (at most
+    duration / pane of them a window). A stream keeps one aggregate per window, which the watermark
+    bounds: each row is expanded into its duration/slide windows.
     """
     df = silver.where(F.col("is_valid")) if valid_only else silver
     if watermark:
         df = df.withWatermark(time_col, watermark)
-    v = F.col(value_col)
-    g = df.groupBy(F.col(key), *[F.col(c) for c in extra_keys],
-                   F.window(F.col(time_col), duration, slide)).agg(
-        F.avg(v).alias(f"mean_{suffix}"),
-        F.stddev_samp(v).alias(f"std_{suffix}"),
-        F.min(v).alias(f"min_{suffix}"),
-        F.max(v).alias(f"max_{suffix}"),
-        F.count(v).alias(f"count_{suffix}"),
-    )
+    keys, v = [key, *extra_keys], F.col(value_col)
+    if df.isStreaming:
+        g = df.groupBy(*keys, F.window(F.col(time_col), duration, slide)).agg(
+            F.avg(v).alias(f"mean_{suffix}"), F.stddev_samp(v).alias(f"std_{suffix}"), F.min(v).alias(f"min_{suffix}"),
+            F.max(v).alias(f"max_{suffix}"), F.count(v).alias(f"count_{suffix}"))
+    else:
+        g = _from_panes(df, keys, time_col, duration, slide, v, suffix)
     return (g.withColumn(f"range_{suffix}", F.col(f"max_{suffix}") - F.col(f"min_{suffix}"))
             .withColumn("timestamp", F.col("window.start"))
             .drop("window"))
 
 
+def _from_panes(df: DataFrame, keys: list[str], time_col: str, duration: str, slide: str, v: Column, suffix: str) -> DataFrame:
+    pane = math.gcd(_micros(duration), _micros(slide))
+    n = F.count(v)
+    panes = df.groupBy(*keys, F.window(F.col(time_col), f"{pane} microseconds").alias("_pane")).agg(
+        n.alias("_n"), F.struct(n.cast("double").alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * n).alias("m2")).alias("_part"),
+        F.min(v).alias("_min"), F.max(v).alias("_max"))
+    # a window holds a pane exactly if it holds the pane's start
+    panes = panes.withColumn("_at", F.col("_pane.start")).drop("_pane")
+    g = panes.groupBy(*keys, F.window("_at", duration, slide)).agg(
+        F.sum("_n").alias(f"count_{suffix}"), _merged(F.sort_array(F.collect_list("_part"))).alias("_all"),
+        F.min("_min").alias(f"min_{suffix}"), F.max("_max").alias(f"max_{suffix}"))
+    std = F.when(F.col("_all.n") > 1, F.sqrt(F.col("_all.m2") / (F.col("_all.n") - 1)))
+    return g.select(*keys, "window", F.col("_all.mean").alias(f"mean_{suffix}"), std.alias(f"std_{suffix}"),
+                    f"min_{suffix}", f"max_{suffix}", f"count_{suffix}")
+
+
 def tumbling_counts(df: DataFrame, time_col: str, every: str = "1 hour",
                     by: list[str] | None = None) -> DataFrame:
     """Rows per tumbling interval (ingestion rate)."""

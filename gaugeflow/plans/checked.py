@@ -254,7 +254,9 @@ def q_dashboard_stats(spark, sf_dir):
     s = events_silver(spark, sf_dir)
     bronze = event_readings(spark, sf_dir).select(F.floor(F.col("id") / 10).alias("batch_id"))
     dim, _ = sensor_dimension(spark)
-    return SV.dashboard_stats(bronze, s, feat.snapshot_features(s), rule_anomalies(s), dim, model_ready=True)
+    models = scratch_path(spark, "models")
+    IF.retrain(spark, TR.training_matrix(s), models, n_trees=5)  # health follows from what is published there
+    return SV.dashboard_stats(bronze, s, feat.snapshot_features(s), rule_anomalies(s), dim, model_path=models)
 
 
 # ---------------------------------------------------------------- per-row history features
@@ -608,10 +610,16 @@ def forest_predictions(spark, sf_dir):
                                F.col("f_model_version").alias("model_version"))
 
 
-@register("iforest_scores")
+SCORED_COLS = f"""decision < 0 AS is_anomaly, {S.r6('decision')} AS anomaly_score,
+  {S.r6('least(1.0, greatest(0.0, (abs(decision) + 0.5) / 1.5))')} AS confidence, '{fixed.MODEL_VERSION}' AS model_version"""
+
+
+@register("iforest_scores", _with(S.silver_sql(), S.expanding_sql(), _matrix_sql(), S.snapshot_sql(),
+                                  S.forest_sql(NAMES, "(SELECT sensor_id AS vid, * FROM snap)")).replace("WITH", "WITH RECURSIVE", 1)
+          + f"""SELECT id, sensor_id, event_timestamp AS "timestamp", {SCORED_COLS} FROM silver JOIN fscored ON vid = sensor_id""")
 def q_iforest_scores(spark, sf_dir):
     _model, preds = forest_predictions(spark, sf_dir)
-    return preds
+    return round_doubles(preds)
 
 
 @register("kmeans_anomalies")

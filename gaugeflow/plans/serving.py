@@ -9,21 +9,30 @@ from gaugeflow.functions import scalar as X
 from gaugeflow.operators.joins import latest_per_key
 
 
-def health(spark: SparkSession, model_ready: bool) -> dict:
-    """status, pipeline_initialized, streaming (active queries), timestamp."""
+def health(spark: SparkSession, model_path: str | None = None, model_ready: bool | None = None) -> dict:
+    """status, pipeline_initialized, pipeline_health, model_version, streaming (active queries), timestamp.
+
+    The pipeline is initialized once a model is published under ``model_path`` (``iforest.current``); without a folder the
+    caller says so by ``model_ready``."""
     import datetime as _dt
-    return {"status": "healthy", "pipeline_initialized": bool(model_ready),
-            "streaming": len(spark.streams.active) > 0,
+    from gaugeflow.operators import iforest
+    served = iforest.current(spark, model_path) if model_path else None
+    ready = served is not None if model_path else bool(model_ready)
+    return {"status": "healthy", "pipeline_initialized": ready, "pipeline_health": "healthy" if ready else "initializing",
+            "model_version": served and served["model_version"], "streaming": len(spark.streams.active) > 0,
             "timestamp": _dt.datetime.now(_dt.timezone.utc)}
 
 
 def dashboard_stats(bronze: DataFrame, silver: DataFrame, features: DataFrame, anomalies: DataFrame,
-                    dimension: DataFrame, model_ready: bool = True) -> DataFrame:
+                    dimension: DataFrame, model_ready: bool = True, model_path: str | None = None) -> DataFrame:
     """One row of pipeline counters: batches ingested (distinct ``batch_id``, however many
     envelopes hold a batch), rows per stage, configured sensors, and health. Each table
     contributes a one-row partial aggregate; one global aggregate folds them (no cross join).
 
-    ``bronze`` is either the envelope table or flat readings with their batch_id."""
+    ``bronze`` is either the envelope table or flat readings with their batch_id; health follows from the
+    models published under ``model_path``, or from ``model_ready`` where there is no folder."""
+    if model_path:
+        model_ready = health(silver.sparkSession, model_path)["pipeline_initialized"]
     zero = F.lit(0).cast("long")
     readings = F.sum(F.size("sensor_readings")).cast("long") if "sensor_readings" in bronze.columns else F.count(F.lit(1))
     parts = {

@@ -193,3 +193,75 @@ ANOMS_SQL = """anoms AS (
          quality_score - 1.0 AS anomaly_score,
          least(1.0, greatest(0.0, (abs(quality_score - 1.0) + 0.5) / 1.5)) AS confidence
   FROM silver)"""
+
+
+def _fraction(text: str, part: int = 0) -> str:
+    return f"CAST(CAST('0x' || substr(md5({text}), {1 + part * 13}, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0"
+
+
+def _draw_cols(n_dims: int, seed: int) -> str:
+    """f (1-based feature, NULL for a leaf) and thr of a node from tree, node, size, depth, lo, hi."""
+    name = f"'{seed}/' || tree || '/' || node"
+    return f"""vary[1 + CAST(floor({_fraction(name)} * len(vary)) AS INT)] AS f,
+      lo[f] + {_fraction(name, 1)} * (hi[f] - lo[f]) AS thr
+    FROM (SELECT *, CASE WHEN size > 1 AND depth < (SELECT levels FROM fpar)
+                 THEN list_filter(range(1, {n_dims + 1}), lambda i: hi[i] > lo[i]) ELSE [] END AS vary"""
+
+
+def forest_sql(names: list[str], to_score: str, matrix: str = "mat", trees: int = fixed.FOREST_TREES,
+               psi: int = fixed.FOREST_SAMPLE, seed: int = fixed.FOREST_SEED, share: float = fixed.CONTAMINATION) -> str:
+    """CTEs up to ``fscored`` (vid, decision): a hash-drawn isolation forest trained on ``matrix`` scores the complete
+    rows of ``to_score`` (vid and the features). Needs WITH RECURSIVE."""
+    dims = range(1, len(names) + 1)
+    grid = "[" + ", ".join(r6(f'"{c}"') for c in names) + "]"
+    complete = " AND ".join(f'"{c}" IS NOT NULL' for c in names)
+    scaled = "[" + ", ".join(f"(x[{i}] - mu[{i}]) / sd[{i}]" for i in dims) + "]"
+
+    def spans(over_clause: str) -> str:
+        return ", ".join(f"[{', '.join(f'{fn}(x[{i}]){over_clause}' for i in dims)}] AS {nm}"
+                         for fn, nm in (("min", "lo"), ("max", "hi")))
+
+    return f"""frows AS (SELECT md5('{seed}/' || sensor_id || '/' || id) AS k, {grid} AS x FROM {matrix}),
+fstat AS (SELECT count(*) AS n, least({psi}, count(*)) AS psi, [{', '.join(f'avg(x[{i}])' for i in dims)}] AS mu,
+    [{', '.join(f'coalesce(nullif(stddev_pop(x[{i}]), 0), 1)' for i in dims)}] AS sd FROM frows),
+fpar0 AS (SELECT *, 15e-1 * psi + 32e0 AS wanted, CAST(ceil(log2(greatest(psi, 2))) AS INT) AS levels FROM fstat),
+fpar AS (SELECT *, greatest(1, least({trees}, CAST(floor(n / wanted) AS BIGINT))) AS team,
+    least(1e0, wanted * team / greatest(n, 1)) AS share FROM fpar0),
+fmat AS MATERIALIZED (SELECT k, {scaled} AS x FROM frows, fstat),
+fbags AS MATERIALIZED (
+  SELECT CAST(range * team + floor(spot) AS BIGINT) AS tree, x, spot - floor(spot) AS draw
+  FROM (SELECT k, x, range, team, share, {_fraction("range || '/' || k")} * team AS spot
+        FROM fmat, fpar, range({trees}) WHERE range * team < {trees})
+  WHERE spot - floor(spot) < share AND tree < {trees}
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY draw, k) <= (SELECT psi FROM fpar)),
+fgrow AS (
+  SELECT tree, CAST(1 AS BIGINT) AS node, 0 AS depth, x FROM fbags
+  UNION ALL
+  SELECT tree, CASE WHEN x[f] <= thr THEN 2 * node ELSE 2 * node + 1 END, depth + 1, x FROM (
+    SELECT *, {_draw_cols(len(names), seed)} FROM (
+      SELECT tree, node, depth, x, count(*) OVER w AS size, {spans(' OVER w')}
+      FROM fgrow WINDOW w AS (PARTITION BY tree, node)))) WHERE f IS NOT NULL),
+fnodes AS MATERIALIZED (
+  SELECT tree, node, depth, size, f, thr,
+    depth + CASE WHEN size > 2 THEN 2 * (ln(size - 1) + 0.5772156649015329e0) - 2e0 * (size - 1) / size
+                 WHEN size = 2 THEN 1 ELSE 0 END AS path
+  FROM (SELECT *, {_draw_cols(len(names), seed)} FROM (
+    SELECT tree, node, any_value(depth) AS depth, count(*) AS size, {spans('')} FROM fgrow GROUP BY tree, node)))),
+fsnap AS (SELECT CAST(vid AS VARCHAR) AS vid, {grid} AS x FROM {to_score} WHERE {complete}),
+fvec AS MATERIALIZED (
+  SELECT 't' || k AS vid, x FROM fmat UNION ALL SELECT 's' || vid, {scaled} FROM fsnap, fstat),
+fwalk AS (
+  SELECT vid, x, CAST(range AS BIGINT) AS tree, CAST(1 AS BIGINT) AS node FROM fvec, range({trees})
+  UNION ALL
+  SELECT w.vid, w.x, w.tree, CASE WHEN w.x[n.f] <= n.thr THEN 2 * w.node ELSE 2 * w.node + 1 END
+  FROM fwalk w JOIN fnodes n ON n.tree = w.tree AND n.node = w.node WHERE n.f IS NOT NULL),
+fscore AS MATERIALIZED (
+  SELECT vid, -pow(2e0, -(sum(path) / {trees}) / coalesce(nullif(any_value(c), 0), 1)) AS s0,
+         {r6('s0', 9)} AS s
+  FROM fwalk w JOIN fnodes n ON n.tree = w.tree AND n.node = w.node AND n.f IS NULL,
+    (SELECT CASE WHEN psi > 2 THEN 2 * (ln(psi - 1) + 0.5772156649015329e0) - 2e0 * (psi - 1) / psi
+                 WHEN psi = 2 THEN 1 ELSE 0 END AS c FROM fpar)
+  GROUP BY vid),
+fscored AS (
+  SELECT substr(vid, 2) AS vid, s - (SELECT quantile_cont(s, {share}) FROM fscore WHERE vid[1] = 't') AS decision
+  FROM fscore WHERE vid[1] = 's')"""
