@@ -21,12 +21,14 @@ from gaugeflow.operators import iforest as IF
 from gaugeflow.operators import kmeans as KM
 from gaugeflow.operators import joins as J
 from gaugeflow.operators import quality as Q
+from gaugeflow.operators import retention as RT
 from gaugeflow.operators import silver as silv
 from gaugeflow.operators import training as TR
 from gaugeflow.operators import windowed as WF
 from gaugeflow.plans import serving as SV
 from gaugeflow.plans import sqlparts as S
 from gaugeflow.session import scratch_path, utc
+from gaugeflow.streaming import deadletters as DL
 from gaugeflow.streaming import pipeline as SP
 from gaugeflow.sources.adapters import (event_readings, events_sensor_filter, lineitem_readings,
                                         readings_from_events)
@@ -575,6 +577,18 @@ def q_retention(spark, sf_dir):
     return Q.retain_recent(r, "event_timestamp", 7).select("id", "sensor_id", "event_timestamp")
 
 
+@register("retention_rewrite", ORACLES["retention"])
+def q_retention_rewrite(spark, sf_dir):
+    """``retention`` carried out on a table of date partitions: old ones dropped, the one at the limit rewritten."""
+    r = event_readings(spark, sf_dir).select("id", "sensor_id", F.col("timestamp").cast("timestamp").alias("event_timestamp"))
+    path = scratch_path(spark, "retained")
+    dated = r.withColumn("event_date", F.to_date("event_timestamp"))
+    dated.repartition("event_date").write.partitionBy("event_date").parquet(path)
+    RT.apply_retention(spark, path, "event_timestamp", 7)
+    kept = RT.read_table(spark, path, dated.schema)
+    return kept.select("id", "sensor_id", _ntz("event_timestamp").alias("event_timestamp"))
+
+
 CUSTOM_WINDOWS, CUSTOM_LAGS, CUSTOM_HISTORY = (3, 7, 15), (1, 4), 30
 CUSTOM_COLS = ["sensor_id", "n", "mean", "std", "min", "max", "range", "skewness", "kurtosis",
                *[f"lag_{k}" for k in CUSTOM_LAGS],
@@ -722,41 +736,110 @@ def q_stream_pipeline(spark, sf_dir):
     return prog.join(counts, "stage")
 
 
-@register("micro_batch")
+# Replays are cut into time slots, one micro-batch each; the same rows are in a batch in every run.
+SLOT, SLOT_US = "7 days", 7 * 86_400_000_000
+
+
+def _slots_sql(source: str, time: str) -> str:
+    return f"SELECT *, dense_rank() OVER (ORDER BY epoch_us({time}) // {SLOT_US}) - 1 AS batch FROM {source}"
+
+
+MICRO_SQL = _with(
+    S.silver_sql(), S.expanding_sql(), _matrix_sql(), f"sb AS ({_slots_sql('silver', 'event_timestamp')})",
+    """bhist AS (
+  SELECT b.batch || '|' || s.sensor_id AS sensor_id, cleaned_value, is_valid, event_timestamp, id
+  FROM (SELECT DISTINCT batch, sensor_id FROM sb) b JOIN sb s ON s.sensor_id = b.sensor_id AND s.batch <= b.batch)""",
+    S.snapshot_sql("bhist"), S.forest_sql(NAMES, "(SELECT sensor_id AS vid, * FROM snap)")).replace("WITH", "WITH RECURSIVE", 1) + f"""
+SELECT CAST(batch AS BIGINT) AS batch_id, id, sensor_id, event_timestamp AS "timestamp", {SCORED_COLS}
+FROM sb JOIN fscored ON vid = batch || '|' || sensor_id"""
+MICRO_OUT = ["batch_id", "id", "sensor_id", "timestamp", "is_anomaly", "anomaly_score", "confidence", "model_version"]
+
+
+def _slot_replay(spark, sf_dir, name: str):
+    """The readings as time slots, the forest of the full Silver table, and a folder for the outputs."""
+    root, r = scratch_path(spark, name), event_readings(spark, sf_dir)
+    SP.write_slots(r, f"{root}/replay", SLOT)
+    model = IF.train(spark, TR.training_matrix(events_silver(spark, sf_dir)))
+    return root, SP.slot_stream(spark, f"{root}/replay", r.schema), model
+
+
+@register("micro_batch", MICRO_SQL)
 def q_micro_batch(spark, sf_dir):
-    """Replay the readings as 4 micro-batches through the foreachBatch service form with a
+    """Replay the readings as weekly micro-batches through the foreachBatch service form with a
     forest trained on the full Silver table; returns one prediction per scored record."""
-    root = scratch_path(spark, "micro_batch")
-    replay = f"{root}/replay"
-    r = event_readings(spark, sf_dir)
-    r.repartitionByRange(8, "timestamp").write.parquet(replay)
-    SP.stamp_in_name_order(spark, replay)  # replay files oldest first = earliest times first
-    model = IF.train(spark, TR.training_matrix(events_silver(spark, sf_dir)))
-    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 2).parquet(replay)
+    root, stream, model = _slot_replay(spark, sf_dir, "micro_batch")
     dim, n = sensor_dimension(spark)
     SP.process_batches(spark, stream, dim, n, root,
                        scorer=lambda f: IF.predict(spark, f, model)).awaitTermination()
-    return spark.read.parquet(f"{root}/anomalies").select(
-        "batch_id", "id", "sensor_id", "timestamp", "is_anomaly", "anomaly_score", "confidence", "model_version")
+    return round_doubles(spark.read.parquet(f"{root}/anomalies").select(_long("batch_id"), *MICRO_OUT[1:]))
 
 
-@register("micro_batch_stateful")
+@register("micro_batch_stateful", MICRO_SQL)
 def q_micro_batch_stateful(spark, sf_dir):
     """``micro_batch`` on bounded per-sensor state (applyInPandasWithState keeps the newest
     100 valid rows of each sensor) instead of re-reading the Silver history every batch."""
-    root = scratch_path(spark, "micro_batch_stateful")
-    replay = f"{root}/replay"
-    r = event_readings(spark, sf_dir)
-    r.repartitionByRange(8, "timestamp").write.parquet(replay)
-    SP.stamp_in_name_order(spark, replay)  # replay files oldest first = earliest times first
-    model = IF.train(spark, TR.training_matrix(events_silver(spark, sf_dir)))
-    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 2).parquet(replay)
+    root, stream, model = _slot_replay(spark, sf_dir, "micro_batch_stateful")
     dim, n = sensor_dimension(spark)
     for q in SP.process_batches_stateful(spark, stream, dim, n, root,
                                          scorer=lambda f: IF.predict(spark, f, model)):
         q.awaitTermination()
-    return spark.read.parquet(f"{root}/anomalies").select(
-        "batch_id", "id", "sensor_id", "timestamp", "is_anomaly", "anomaly_score", "confidence", "model_version")
+    return round_doubles(spark.read.parquet(f"{root}/anomalies").select(_long("batch_id"), *MICRO_OUT[1:]))
+
+
+# ---------------------------------------------------------------- late rows: dead letters and the windows of the rest
+def _late_arrivals(spark, sf_dir):
+    """Readings of the zones 3 and 7 reach the service twelve hours after their time."""
+    r = event_readings(spark, sf_dir).select("sensor_id", "sensor_type", "value", "unit", F.col("timestamp").cast("timestamp").alias("timestamp"), "location")
+    wait = F.when(F.col("location").isin("zone_3", "zone_7"), F.expr("INTERVAL 12 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    return r.withColumn("arrival", F.col("timestamp") + wait)
+
+
+LATE_SQL = _with(S.READINGS_SQL, f"""arrivals AS (
+  SELECT *, event_timestamp + CASE WHEN location IN ('zone_3', 'zone_7') THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END AS arrival
+  FROM readings),
+ab AS ({_slots_sql('arrivals', 'arrival')}),
+newest AS (SELECT batch, max(max(event_timestamp)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t
+  FROM ab GROUP BY batch),
+judged AS (
+  SELECT a.*, value AS cleaned_value, CASE WHEN NOT coalesce(value > -999.0 AND value < 999.0, false) THEN 'invalid'
+    WHEN event_timestamp < n.t - INTERVAL 10 MINUTE THEN 'late' END AS reason,
+    true AS is_valid FROM ab a JOIN newest n USING (batch))""")
+
+
+def _split_late(spark, sf_dir, name: str):
+    root, rows = scratch_path(spark, name), _late_arrivals(spark, sf_dir)
+    SP.write_slots(rows, f"{root}/replay", SLOT, by="arrival")
+    bronze = silv.add_ingestion_metadata(SP.slot_stream(spark, f"{root}/replay", rows.drop("arrival").schema))
+    silver = silv.silver_sentinel(bronze).withColumn("event_date", F.to_date("timestamp"))
+    DL.split_dead_letters(spark, silver, f"{root}/split").awaitTermination()
+    return root
+
+
+@register("stream_dead_letters", LATE_SQL + """
+SELECT CAST(batch AS BIGINT) AS batch_id, sensor_id, event_timestamp AS "timestamp", value, reason FROM judged WHERE reason IS NOT NULL""")
+def q_stream_dead_letters(spark, sf_dir):
+    root = _split_late(spark, sf_dir, "dead_letters")
+    out = DL.dead_letters(spark, f"{root}/split", SP.SILVER_FLAT)
+    return out.select(F.col("epoch").alias("batch_id"), "sensor_id", _ntz("timestamp").alias("timestamp"), "value", "reason")
+
+
+@register("stream_batch_counts", LATE_SQL + """
+SELECT CAST(batch AS BIGINT) AS batch_id, count(*) AS "input", count(*) FILTER (reason IS NULL) AS accepted,
+  count(*) FILTER (reason = 'invalid') AS invalid, count(*) FILTER (reason = 'late') AS late FROM judged GROUP BY batch""")
+def q_stream_batch_counts(spark, sf_dir):
+    root = _split_late(spark, sf_dir, "batch_counts")
+    return DL.batch_counts(spark, f"{root}/split").select(F.col("epoch").alias("batch_id"), "input", "accepted", "invalid", "late")
+
+
+@register("stream_accepted_windows", LATE_SQL + ", " + S.sliding_sql("(SELECT * FROM judged WHERE reason IS NULL)", 5, "minute", "5min") + f"""
+SELECT {S.rounded_select(WIN_COLS, set(WIN_COLS) - {'sensor_id', 'timestamp', 'count_5min'})} FROM slid
+WHERE "timestamp" + INTERVAL 5 MINUTE <= (SELECT max(event_timestamp) FROM judged WHERE reason IS NULL) - INTERVAL 10 MINUTE""")
+def q_stream_accepted_windows(spark, sf_dir):
+    root = _split_late(spark, sf_dir, "accepted_windows")
+    paths = SP.PipelinePaths.under(f"{root}/stages")
+    SP.generate_features(spark, paths, accepted_root=f"{root}/split").awaitTermination()
+    out = spark.read.parquet(paths.features_path)
+    return round_doubles(out.withColumn("timestamp", _ntz("timestamp")).select(*WIN_COLS))
 
 
 # ---------------------------------------------------------------- lineitem series (timing scale)

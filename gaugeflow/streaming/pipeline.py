@@ -26,7 +26,9 @@ from gaugeflow.operators import features as feat
 from gaugeflow.operators import kmeans as KM
 from gaugeflow.operators import silver as silv
 from gaugeflow.operators import windowed as WF
+from gaugeflow.sources.published import Files
 from gaugeflow.sources.tables import readings_schema
+from gaugeflow.streaming import deadletters as DL
 
 # Lossless event times in JSON (the default format stops at milliseconds).
 JSON_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -55,37 +57,55 @@ def _trigger(writer, trigger: dict | None):
     return writer.trigger(**(trigger or {"availableNow": True}))
 
 
-def write_replay(readings: DataFrame, input_path: str, files: int = 8) -> None:
+def write_replay(readings: DataFrame, input_path: str, files: int | None = None) -> None:
     """Write readings as JSON files ordered by event time (file i holds the i-th time range).
 
-    One Spark job; the file source then replays them. ``files`` bounds each file's size."""
+    One Spark job; the file source then replays them. Without ``files`` their number is that of the session's
+    shuffle partitions, which adaptive execution fits to the size of the data."""
     cols = [f.name for f in readings_schema(with_metadata=False).fields]
-    (readings.select(*[F.col(c) for c in cols])
-     .withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-     .repartitionByRange(files, "timestamp")
-     .write.mode("overwrite").option("timestampFormat", JSON_TS_FORMAT).json(input_path))
+    rows = readings.select(*[F.col(c) for c in cols]).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    cut = rows.repartitionByRange(files, "timestamp") if files else rows.repartitionByRange("timestamp")
+    cut.write.mode("overwrite").option("timestampFormat", JSON_TS_FORMAT).json(input_path)
     stamp_in_name_order(readings.sparkSession, input_path)
 
 
+def write_slots(readings: DataFrame, path: str, every: str = "1 day", by: str = "timestamp") -> int:
+    """Write readings as Parquet, one file per time slot of ``by`` that has rows, and return the number of slots.
+
+    The slots are fixed intervals since 1970, so the cut depends on the rows alone. Replayed with one file per trigger
+    (``slot_stream``), every slot is a micro-batch of its own, the same one in each run. Slots are the unit
+    of work of a batch: choose them by the size a batch should have. Rows without ``by`` are in the last slot."""
+    spark = readings.sparkSession
+    start = F.unix_micros(F.window(F.col(by).cast("timestamp"), every)["start"])
+    slot = F.coalesce(F.format_string("%020d", start), F.lit("9" * 20))
+    readings.withColumn("slot", slot).repartition("slot").write.mode("overwrite").partitionBy("slot").parquet(path)
+    return stamp_in_name_order(spark, path)
+
+
+def slot_stream(spark: SparkSession, path: str, schema, slots: int = 1) -> DataFrame:
+    """The stream over ``write_slots``: ``slots`` slots a micro-batch, oldest first."""
+    return (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+            .option("maxFilesPerTrigger", slots).parquet(path))
+
+
 def stamp_in_name_order(spark: SparkSession, path: str, prefix: str = "part-") -> int:
-    """Give the data files under ``path`` increasing modification times in file-name order.
+    """Give the data files below ``path`` increasing modification times in the order of their paths.
 
     The file source replays files oldest first; files written by parallel tasks get
-    arbitrary times, while ``repartitionByRange(time)`` numbers them in time order. Uses
+    arbitrary times, while their names follow the time order. Uses
     the Hadoop FileSystem API, so it works on any cluster file system that keeps times.
     Returns the number of files stamped (0 without a JVM handle, e.g. Spark Connect)."""
     try:
         sc = spark.sparkContext
     except Exception:  # a remote (Connect) session has no JVM handle: keep the write order
         return 0
+    files = Files(spark, path)
+    names = [n for n in files.files() if n.rsplit("/", 1)[-1].startswith(prefix)]
     jvm = sc._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
-    names = sorted(st.getPath().toString() for st in fs.listStatus(root)
-                   if st.getPath().getName().startswith(prefix))
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(sc._jsc.hadoopConfiguration())
     start = int(time.time() * 1000) - 1000 * (len(names) + 10)
     for i, name in enumerate(names):
-        fs.setTimes(jvm.org.apache.hadoop.fs.Path(name), start + 1000 * i, -1)
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(files.path(name)), start + 1000 * i, -1)
     return len(names)
 
 
@@ -131,8 +151,14 @@ def window_features_stream(silver_stream: DataFrame, time_col: str = "timestamp"
 
 def generate_features(spark: SparkSession, paths: PipelinePaths, trigger: dict | None = None,
                       time_col: str = "timestamp", duration: str = fixed.WINDOW_DURATION,
-                      slide: str = fixed.WINDOW_SLIDE, watermark: str = fixed.WATERMARK_DELAY):
-    silver = spark.readStream.schema(SILVER_FLAT).parquet(paths.silver_path)
+                      slide: str = fixed.WINDOW_SLIDE, watermark: str = fixed.WATERMARK_DELAY,
+                      accepted_root: str | None = None):
+    """Window features of the Silver stream, or of the rows that ``deadletters.split_dead_letters`` accepted
+    under ``accepted_root``."""
+    if accepted_root:
+        silver = DL.accepted_stream(spark, accepted_root, SILVER_FLAT)
+    else:
+        silver = spark.readStream.schema(SILVER_FLAT).parquet(paths.silver_path)
     out = window_features_stream(silver, time_col, duration, slide, watermark)
     w = (out.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", f"{paths.features_path}/_checkpoints"))
