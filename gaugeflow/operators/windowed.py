@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugeflow import fixed
 
 
-def _micros(interval: str) -> int:
+def interval_micros(interval: str) -> int:
     """Length of an interval of fixed length ("5 minutes") in microseconds."""
     spark = SparkSession.active()
     return spark.sql(f"SELECT unix_micros(TIMESTAMP_MICROS(0) + INTERVAL {interval}) AS us").first()["us"]
@@ -57,7 +57,7 @@ def window_aggregate(silver: DataFrame, time_col: str = "event_timestamp",
 
 
 def _from_panes(df: DataFrame, keys: list[str], time_col: str, duration: str, slide: str, v: Column, suffix: str) -> DataFrame:
-    pane = math.gcd(_micros(duration), _micros(slide))
+    pane = math.gcd(interval_micros(duration), interval_micros(slide))
     n = F.count(v)
     panes = df.groupBy(*keys, F.window(F.col(time_col), f"{pane} microseconds").alias("_pane")).agg(
         n.alias("_n"), F.struct(n.cast("double").alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * n).alias("m2")).alias("_part"),

@@ -11,6 +11,7 @@ import json
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
@@ -59,17 +60,28 @@ class Files:
         finally:
             stream.close()
 
-    def _write(self, name: str, record: dict) -> None:
-        out = self._fs.create(self._hadoop(name), True)
-        try:
-            out.write(json.dumps(record, sort_keys=True).encode())
-        finally:
-            out.close()
+    def _local(self, name: str) -> str | None:
+        """The path on a local disk, whose Hadoop client creates and replaces files in two steps; None elsewhere."""
+        uri = self._fs.makeQualified(self._hadoop(name)).toUri()
+        if uri.getScheme() != "file":
+            return None
+        os.makedirs(os.path.dirname(uri.getPath()), exist_ok=True)
+        return uri.getPath()
 
     def write(self, name: str, record: dict) -> None:
         """Put a record in place, in one step instead of any earlier one."""
-        part = f"{name}.{uuid.uuid4().hex}.part"
-        self._write(part, record)
+        data, part = json.dumps(record, sort_keys=True).encode(), f"{name}.{uuid.uuid4().hex}.part"
+        local = self._local(part)
+        if local:
+            with open(local, "wb") as out:
+                out.write(data)
+            os.replace(local, self._local(name))
+            return
+        out = self._fs.create(self._hadoop(part), True)
+        try:
+            out.write(data)
+        finally:
+            out.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
         kind = self._jvm.org.apache.hadoop.fs.Options.Rename
         how = SparkContext._gateway.new_array(kind, 1)
@@ -78,21 +90,19 @@ class Files:
 
     def claim(self, name: str) -> bool:
         """Create an empty record; False if another writer did so before."""
-        target = self._fs.makeQualified(self._hadoop(name))
-        if target.toUri().getScheme() == "file":  # its ``create`` looks and creates in two steps
-            local = target.toUri().getPath()
-            os.makedirs(os.path.dirname(local), exist_ok=True)
+        local = self._local(name)
+        if local:
             try:
                 os.close(os.open(local, os.O_CREAT | os.O_EXCL))
             except FileExistsError:
                 return False
             return True
         try:
-            self._fs.create(target, False).close()
-        except Exception as e:
-            if self._fs.exists(target):
+            self._fs.create(self._hadoop(name), False).close()
+        except Py4JJavaError:
+            if self.exists(name):
                 return False
-            raise e
+            raise
         return True
 
     def publish(self, staged: str, name: str) -> bool:

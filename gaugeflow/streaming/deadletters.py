@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow import fixed
+from gaugeflow.operators.windowed import interval_micros
 from gaugeflow.sources.published import Files
 
 REASONS = ("no_time", "no_sensor", "invalid", "late")
@@ -63,7 +64,7 @@ def split_batch(spark: SparkSession, batch: DataFrame, epoch: int, root: str, de
 def split_dead_letters(spark: SparkSession, silver_stream: DataFrame, root: str, watermark: str = fixed.WATERMARK_DELAY,
                        time_col: str = "timestamp", trigger: dict | None = None):
     """Start the stage on a Silver stream. Tables under ``root``: accepted, dead_letters, epochs."""
-    delay = spark.sql(f"SELECT unix_micros(TIMESTAMP_MICROS(0) + INTERVAL {watermark}) AS us").first()["us"]
+    delay = interval_micros(watermark)
 
     def handle(batch: DataFrame, epoch: int) -> None:
         split_batch(spark, batch, epoch, root, delay, time_col)

@@ -76,8 +76,9 @@ def write_slots(readings: DataFrame, path: str, every: str = "1 day", by: str =
     (``slot_stream``), every slot is a micro-batch of its own, the same one in each run. Slots are the unit
     of work of a batch: choose them by the size a batch should have. Rows without ``by`` are in the last slot."""
     spark = readings.sparkSession
-    start = F.unix_micros(F.window(F.col(by).cast("timestamp"), every)["start"])
-    slot = F.coalesce(F.format_string("%020d", start), F.lit("9" * 20))
+    at, width = F.unix_micros(F.col(by).cast("timestamp")), F.lit(WF.interval_micros(every))
+    start = at - F.pmod(at, width)
+    slot = F.when(start.isNull(), "9" * 20).otherwise(F.format_string("%020d", start))
     readings.withColumn("slot", slot).repartition("slot").write.mode("overwrite").partitionBy("slot").parquet(path)
     return stamp_in_name_order(spark, path)
 
