@@ -43,9 +43,19 @@ def global_positions(df: DataFrame, key: str, order_cols: list[str], time_col: s
     Rows are ranked inside bounded, ordered pieces (``scan.with_pieces``: time slots, or
     count-balanced range pieces when a slot is hot); a piece's offset is the running sum
     of the sizes of the key's earlier pieces, over the small piece table."""
-    from gaugeflow.operators.scan import PIECE, with_pieces
+    from gaugeflow.operators.scan import with_pieces
+    return _positions(with_pieces(df, key, order_cols, F.date_trunc(bucket_unit, F.col(time_col)), pieces), key, order_cols)
+
+
+def ordered_positions(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
+    """``global_positions`` for an order without time: pieces are count-balanced ranges."""
+    from gaugeflow.operators.scan import with_pieces
+    return _positions(with_pieces(df, key, order_cols, F.lit(0), "rows"), key, order_cols)
+
+
+def _positions(cut: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
+    from gaugeflow.operators.scan import PIECE
     order = [F.col(c) for c in order_cols]
-    cut = with_pieces(df, key, order_cols, F.date_trunc(bucket_unit, F.col(time_col)), pieces)
     ranked = cut.withColumn("_lp", F.row_number().over(Window.partitionBy(key, PIECE).orderBy(*order)))
     sizes = cut.groupBy(key, PIECE).agg(F.count(F.lit(1)).alias("_sz"))
     before = Window.partitionBy(key).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
@@ -54,6 +64,32 @@ def global_positions(df: DataFrame, key: str, order_cols: list[str], time_col: s
     return out.withColumn("pos", (F.col("_off") + F.col("_lp")).cast("long")).drop(PIECE, "_lp", "_off")
 
 
+def newest_per_key(df: DataFrame, key: str, order_cols: list[str], time_col: str, n: int, out: str = "rn",
+                   bucket_unit: str = POSITION_BUCKET, pieces: str = "auto") -> DataFrame:
+    """The newest ``n`` rows of each key with their rank from the newest (1) in ``out``, for any ``n``.
+
+    Spark's own group limit ends at ``spark.sql.optimizer.windowGroupLimitThreshold`` rows; above it a window by key would
+    sort a whole key in one task. Here the pieces of a key are counted, those behind its newest ``n`` rows
+    are left out before any sorting, and the others are ranked piece by piece."""
+    from gaugeflow.operators.joins import lookup_join
+    from gaugeflow.operators.scan import PIECE, with_pieces
+    from gaugeflow.session import materialize
+    order = [F.col(c).desc() for c in order_cols]
+    cut = with_pieces(df, key, order_cols, F.date_trunc(bucket_unit, F.col(time_col)), pieces)
+    sizes = cut.groupBy(key, PIECE).agg(F.count(F.lit(1)).alias("_sz"))
+    later = Window.partitionBy(key).orderBy(F.col(PIECE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(key, PIECE, F.coalesce(F.sum("_sz").over(later), F.lit(0)).alias("_off")).where(F.col("_off") < n)
+    kept = lookup_join(cut, materialize(offsets, "newest-pieces"), [key, PIECE], "inner")
+    place = F.row_number().over(Window.partitionBy(key, PIECE).orderBy(*order))
+    ranked = kept.withColumn(out, (F.col("_off") + place).cast("int"))
+    return ranked.where(F.col(out) <= n).drop(PIECE, "_off")
+
+
+def group_limit(df: DataFrame) -> int:
+    """Largest rank that Spark keeps per key on both sides of the shuffle."""
+    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+
+
 def _with_halo(df: DataFrame, block_rows: int, halo: int) -> DataFrame:
     """Assign blocks; each of a block's last ``halo`` rows also goes to the next block as a
     halo copy. One pass (``explode`` of one or two block ids), no second scan of the input."""

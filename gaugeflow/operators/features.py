@@ -21,7 +21,8 @@ from gaugeflow import fixed
 from gaugeflow.functions.scalar import sample_kurtosis, sample_skewness
 
 # Above this many rows in one sensor, per-sensor windows switch to the blocked plan
-# (bounded pieces per task). Checked with one partial aggregation over the series.
+# (bounded pieces per task). Checked with one partial aggregation over the series. Both plans
+# give the same rows; sums are taken in another order, so values agree within about 1e-9.
 SINGLE_TASK_ROWS = 2_000_000
 
 
@@ -52,10 +53,15 @@ def snapshot_features(silver: DataFrame, max_history: int | None = fixed.MAX_HIS
     The ranking window is ``row_number() <= max_history`` which Spark plans as a
     WindowGroupLimit on both sides of the shuffle: each map task keeps at most
     ``max_history`` rows per sensor, so a hot sensor never lands whole in one task.
+    A ``max_history`` above that operator's threshold is ranked piece by piece (``blocked.newest_per_key``), and
     ``max_history=None`` uses the whole history, ranked from skew-proof positions.
     """
+    from gaugeflow.operators.blocked import group_limit, newest_per_key
     df = _series(silver, value_col, valid_only, key, order_cols[0])
-    if max_history:
+    if max_history and max_history > group_limit(df):
+        newest = newest_per_key(df.select(key, *order_cols, "v"), key, list(order_cols), order_cols[0], max_history, pieces=pieces)
+        ranked = newest.select(key, "v", "rn")
+    elif max_history:
         w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order_cols])
         ranked = df.select(key, "v", F.row_number().over(w).alias("rn"))
         ranked = ranked.where(F.col("rn") <= max_history)
@@ -125,7 +131,8 @@ def history_features(silver: DataFrame, valid_only: bool = True,
     exist), last_change and position in the series.
 
     ``method``: "window" (one window per sensor), "blocked" (bounded pieces, see
-    ``blocked``), or "auto" (blocked when some sensor exceeds SINGLE_TASK_ROWS);
+    ``blocked``), or "auto" (blocked when some sensor exceeds SINGLE_TASK_ROWS, with values that agree
+    within about 1e-9, not bit for bit);
     ``pieces``: how the blocked plan cuts a series for positions (``scan.with_pieces``)."""
     df = _series(silver, value_col, valid_only, key, order_cols[0])
     if _use_blocked(df, key, method):
@@ -165,8 +172,8 @@ def expanding_features(series: DataFrame, min_prefix: int = fixed.MIN_ROWS_FEATU
     All features are window aggregates over ``rowsBetween(unboundedPreceding, 0)``
     (incremental running frames) or ``rowsBetween(-(w-1), 0)``: one shuffle by sensor
     and one sort, instead of recomputing each prefix. When a sensor is too large for one
-    task (``method="auto"`` checks) the blocked plan computes the same columns from
-    bounded (sensor, block) pieces.
+    task (``method="auto"`` checks, one more pass over the input) the blocked plan computes the same columns from
+    bounded (sensor, block) pieces; the two agree within about 1e-9, not bit for bit.
     """
     df = _series(series, value_col, valid_only, key, order_cols[0])
     if _use_blocked(df, key, method):
@@ -219,6 +226,15 @@ def expanding_features(series: DataFrame, min_prefix: int = fixed.MIN_ROWS_FEATU
     return wide.select(*final)
 
 
+def feature_rows(wide: DataFrame, timestamp: Column | None = None, key: str = "sensor_id") -> DataFrame:
+    """Feature table rows: id, sensor_id, timestamp, features (map of those present), feature_version."""
+    at = timestamp if timestamp is not None else F.current_timestamp()
+    packed = features_to_map(wide, keep=(key,)).withColumn("timestamp", at)
+    name = F.sha2(F.concat_ws("/", F.col(key), F.col("timestamp").cast("string"), F.lit(fixed.FEATURE_VERSION)), 256).substr(1, 32)
+    return packed.select(name.alias("id"), F.col(key).alias("sensor_id"), "timestamp", "features",
+                         F.lit(fixed.FEATURE_VERSION).alias("feature_version"))
+
+
 def features_to_map(wide: DataFrame, names: list[str] | None = None,
                     keep: tuple[str, ...] = ("sensor_id",)) -> DataFrame:
     """Pack present (non-NULL) features into MAP<STRING,DOUBLE> (absent = not computable)."""

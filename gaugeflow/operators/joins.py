@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows of a dimension we are willing to ship to every executor.
 BROADCAST_ROW_LIMIT = 1_000_000
+BROADCAST_BYTE_LIMIT = 256 * 1024 * 1024
 
 
-def bounded_rows(df: DataFrame, limit: int) -> int | None:
-    """Row count if it is at most ``limit``, else None (scans at most limit+1 rows)."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
+def bounded_rows(df: DataFrame, limit: int, max_bytes: int = BROADCAST_BYTE_LIMIT) -> int | None:
+    """Row count if there are at most ``limit`` rows of together at most ``max_bytes`` (as text), else None.
+
+    Reads at most limit + 1 rows."""
+    # nothing to convert for a row of plain numbers: 16 bytes a column are above what it takes
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))]
+    plain = 16 * (len(df.columns) - len(wide))
+    text = F.octet_length(F.to_json(F.struct(*wide))) if wide else F.lit(0)
+    found = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(text + F.lit(plain)).alias("bytes")).first()
+    return found["n"] if found["n"] <= limit and (found["bytes"] or 0) <= max_bytes else None
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, on, how: str = "left",

@@ -51,9 +51,9 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], n: int | None = No
     """Exact quantiles with linear interpolation (numpy 'linear', SQL percentile_cont).
 
     Small inputs: Spark's exact ``percentile``. Large inputs: a distributed selection —
-    ``percentile_approx`` brackets each target rank, a count fixes the rank offset, and
-    the two order statistics are found in the bracket by running counts over its distinct
-    values. No step holds the whole column, or all rows of a tie, in one task or on the driver.
+    ``percentile_approx`` brackets all target ranks in one pass, one count fixes their offsets, and
+    the order statistics are found in the brackets by running counts over distinct values, in one pass
+    for all of them. No step holds the whole column, or all rows of a tie, in one task or on the driver.
     """
     x = F.col(col)
     base = df.select(x.cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
@@ -69,46 +69,88 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], n: int | None = No
     if n <= EXACT_DIRECT_LIMIT:
         row = base.agg(F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("p")).first()
         return [float(v) for v in row["p"]]
+    # (rank of the lower order statistic, weight of the next one) per quantile
+    wanted = [(int(q * (n - 1)), q * (n - 1) - int(q * (n - 1))) for q in qs]
+    width = [4.0 / APPROX_ACCURACY] * len(qs)
+    while True:  # one pass for all brackets, one for their counts
+        ends = [(max(0.0, q - w), min(1.0, q + w)) for q, w in zip(qs, width)]
+        found = base.agg(F.percentile_approx("x", F.array(*[F.lit(e) for pair in ends for e in pair]), APPROX_ACCURACY).alias("b")).first()["b"]
+        brackets = list(zip(found[::2], found[1::2]))
+        stats = base.agg(*[c for i, (lo, hi) in enumerate(brackets) for c in (
+            F.count_if(F.col("x") < lo).alias(f"below{i}"),
+            F.count_if((F.col("x") >= lo) & (F.col("x") <= hi)).alias(f"inside{i}"))]).first()
+        # both order statistics must lie in the bracket
+        missed = [i for i, (rank, _) in enumerate(wanted) if ends[i] != (0.0, 1.0) and not (
+            stats[f"below{i}"] <= rank and min(rank + 1, n - 1) < stats[f"below{i}"] + stats[f"inside{i}"])]
+        if not missed:
+            break
+        for i in missed:
+            width[i] *= 4
+    # rows of all brackets, each tagged with those it lies in; a bracket of one value needs none
+    open_ = [i for i, (lo, hi) in enumerate(brackets) if lo != hi]
+    values = {}
+    if open_:
+        tags = F.array_compact(F.array(*[F.when((F.col("x") >= brackets[i][0]) & (F.col("x") <= brackets[i][1]), F.lit(i)) for i in open_]))
+        tagged = base.select("x", F.explode(tags).alias("b"))
+        first = {i: wanted[i][0] - stats[f"below{i}"] for i in open_}
+        ranks = [(i, r) for i in open_ for r in (first[i], min(first[i] + 1, stats[f"inside{i}"] - 1))]
+        values = dict(zip(ranks, values_at_ranks(tagged, ranks)))
     out = []
-    for q in qs:
-        h = q * (n - 1)
-        lo_rank, frac = int(h), h - int(h)
-        width = 4.0 / APPROX_ACCURACY
-        while True:
-            qlo, qhi = max(0.0, q - width), min(1.0, q + width)
-            lo, hi = base.agg(F.percentile_approx("x", F.array(F.lit(qlo), F.lit(qhi)),
-                                                  APPROX_ACCURACY).alias("b")).first()["b"]
-            stats = base.agg(F.count_if(F.col("x") < lo).alias("below"),
-                             F.count_if((F.col("x") >= lo) & (F.col("x") <= hi)).alias("inside")).first()
-            below, inside = stats["below"], stats["inside"]
-            need = min(lo_rank + 1, n - 1)  # both order statistics must lie in the bracket
-            if below <= lo_rank and need < below + inside or (qlo == 0.0 and qhi == 1.0):
-                break
-            width *= 4
-        if lo == hi:
-            out.append(float(lo))
+    for i, (_, share) in enumerate(wanted):
+        if i not in open_:
+            out.append(float(brackets[i][0]))
             continue
-        first = lo_rank - below
-        inside_rows = base.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        a, b = values_at_ranks(inside_rows, [first, min(first + 1, inside - 1)])
-        out.append(a + frac * (b - a))
+        lower, upper = (values[(i, r)] for r in (first[i], min(first[i] + 1, stats[f"inside{i}"] - 1)))
+        out.append(lower + share * (upper - lower))
     return out
 
 
-def values_at_ranks(rows: DataFrame, ranks: list[int]) -> list[float]:
-    """Values of ``rows`` (x) at 0-based ranks of their ascending order.
+def _running_counts(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``counts`` (keys, x, c) with ``upto``: the rows of a key whose value is at most x.
 
-    Ties are folded to (value, count) first; the distinct values are cut into ranges, and a
-    rank is found by running counts inside a range on top of the range's start, so neither
-    a long tie nor the whole bracket meets in one task."""
+    The distinct values are cut into ranges over (keys, x); counts run inside a range, on top of the sums of the
+    key's earlier ranges, so no key meets in one task."""
     from gaugeflow.session import materialize
-    counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("c")).repartitionByRange("x")
-    counts = materialize(counts.withColumn("part", F.spark_partition_id()), "quantile-values")
-    # one row per range (shuffle partition), so this window and the broadcast are bounded
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.groupBy("part").agg(F.sum("c").alias("s")).select(
-        "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
-    running = F.sum("c").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    upto = counts.join(F.broadcast(starts), "part").select("x", (F.col("start") + running).alias("upto"))
-    row = upto.agg(*[F.min(F.when(F.col("upto") > r, F.col("x"))).alias(f"r{i}") for i, r in enumerate(ranks)]).first()
+    counts = materialize(counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()), name)
+    # one row per key and range (shuffle partition)
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy(*keys, "part").agg(F.sum("c").alias("s")).select(
+        *keys, "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
+    running = F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("run", running).join(starts, [*keys, "part"]).select(
+        *keys, "x", "c", (F.col("start") + F.col("run")).alias("upto"))
+
+
+def values_at_ranks(rows: DataFrame, ranks: list[tuple[int, int]]) -> list[float]:
+    """Values of ``rows`` (b, x) at the given (b, 0-based rank) of each b's ascending order, in one pass for all.
+
+    Ties are folded to (value, count) first, so neither a long tie nor a whole bracket meets in one task."""
+    counts = rows.groupBy("b", "x").agg(F.count(F.lit(1)).alias("c"))
+    upto = _running_counts(counts, ["b"], "quantile-values")
+    row = upto.agg(*[F.min(F.when((F.col("b") == b) & (F.col("upto") > r), F.col("x"))).alias(f"r{i}")
+                     for i, (b, r) in enumerate(ranks)]).first()
     return [float(v) for v in row]
+
+
+def exact_quantiles_by(df: DataFrame, keys: list[str], col: str, qs: list[float]) -> DataFrame:
+    """Exact quantiles (linear interpolation) of ``col`` per key: keys, n, q0, q1, ... in the order of ``qs``.
+
+    Rows without a value (NULL or NaN) do not count; a key without values has no row; rows with a NULL key form a key. All quantiles
+    of all keys come from one fold to (key, value, count) and one running count, however large a key is."""
+    from gaugeflow.session import materialize
+    x = F.col(col).cast("double")
+    named = [F.struct(F.col(k).alias("k")).alias(f"_k{i}") for i, k in enumerate(keys)]  # structs: a NULL key joins too
+    tags = [f"_k{i}" for i in range(len(keys))]
+    counts = df.select(*named, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy(*tags, "x").agg(
+        F.count(F.lit(1)).alias("c"))
+    upto = materialize(_running_counts(counts, tags, "quantile-key-values"), "quantile-key-counts")
+    sizes = upto.groupBy(*tags).agg(F.max("upto").alias("n"))
+    ranked = upto.join(sizes, tags)
+    at = [F.lit(q) * (F.col("n") - 1) for q in qs]
+    picks = []
+    for i, h in enumerate(at):
+        picks += [F.min(F.when(F.col("upto") > F.floor(h), F.col("x"))).alias(f"lo{i}"),
+                  F.min(F.when(F.col("upto") > F.least(F.floor(h) + 1, F.col("n") - 1), F.col("x"))).alias(f"hi{i}")]
+    found = ranked.groupBy(*tags, "n").agg(*picks)
+    return found.select(*[F.col(f"_k{i}.k").alias(k) for i, k in enumerate(keys)], "n", *[
+        (F.col(f"lo{i}") + (h - F.floor(h)) * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(f"q{i}") for i, h in enumerate(at)])

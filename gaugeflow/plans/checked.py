@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from gaugeflow import fixed
 from gaugeflow.functions import scalar as X
 from gaugeflow.operators import bronze as brz
+from gaugeflow.operators import correlation as CR
 from gaugeflow.operators import features as feat
 from gaugeflow.operators import iforest as IF
 from gaugeflow.operators import kmeans as KM
@@ -175,6 +176,15 @@ def q_bronze_roundtrip(spark, sf_dir):
                        F.col("r.metadata")["k"].alias("meta_k"))
 
 
+@register("bronze_envelope_split", _with(S.READINGS_SQL) + """SELECT id // 1000 AS batch_id,
+  row_number() OVER (PARTITION BY id // 1000 ORDER BY id) - 1 AS pos, id, sensor_id, value
+FROM readings""")
+def q_bronze_split(spark, sf_dir):
+    """Batches of 1,000 readings in envelopes of 64: positions run over the whole batch."""
+    env = brz.nest_batches(event_readings(spark, sf_dir), F.floor(F.col("id") / 1000), max_readings=64)
+    return brz.unnest_batches(env).select(_long("batch_id"), _long("pos"), "id", "sensor_id", "value")
+
+
 # ---------------------------------------------------------------- union of batches
 @register("batch_union", """WITH u AS (
   SELECT event_type AS sensor_type, 'u' AS unit, CAST(value AS DOUBLE) AS value FROM events
@@ -261,6 +271,18 @@ def q_dashboard_stats(spark, sf_dir):
     return SV.dashboard_stats(bronze, s, feat.snapshot_features(s), rule_anomalies(s), dim, model_path=models)
 
 
+FEATURE_ROWS_SQL = _with(S.silver_sql(), S.snapshot_sql()) + " UNION ALL ".join(
+    f"""SELECT sensor_id, '{c}' AS feature, {S.r6(f'"{c}"')} AS value, '{fixed.FEATURE_VERSION}' AS feature_version
+FROM snap WHERE "{c}" IS NOT NULL""" for c in fixed.feature_names())
+
+
+@register("feature_rows", FEATURE_ROWS_SQL)
+def q_feature_rows(spark, sf_dir):
+    """The feature table's rows (map of the features present, with their version), one row per entry."""
+    rows = feat.feature_rows(feat.snapshot_features(events_silver(spark, sf_dir)))
+    return round_doubles(rows.select("sensor_id", F.explode("features").alias("feature", "value"), "feature_version"))
+
+
 # ---------------------------------------------------------------- per-row history features
 HIST_COLS = (["sensor_id", "event_timestamp", "id", "pos", "value"] + [f"lag_{k}" for k in fixed.LAGS]
              + [f"rolling_{s}_{w}" for w in fixed.ROLLING_WINDOWS for s in ("mean", "std", "max", "min")]
@@ -546,6 +568,31 @@ def q_sensor_correlation(spark, sf_dir):
     return round_doubles(Q.correlation_to_group(s))
 
 
+MIN_CORR = 0.5
+
+
+@register("correlated_sensors", _with(S.silver_sql(S.LINEITEM_READINGS_SQL)) + f""", pts AS (
+  SELECT sensor_id AS sensor, date_trunc('quarter', event_timestamp) AS bucket, avg(cleaned_value) AS x FROM silver GROUP BY ALL),
+cls AS (SELECT sensor, min(sensor) OVER (PARTITION BY s) AS class
+  FROM (SELECT sensor, list((bucket, x) ORDER BY bucket) AS s FROM pts GROUP BY sensor)),
+own AS (SELECT pts.* FROM pts JOIN cls USING (sensor) WHERE sensor = class),
+found AS (
+  SELECT a.sensor AS sensor_a, b.sensor AS sensor_b, corr(a.x, b.x) AS corr, count(*) AS points
+  FROM own a JOIN own b ON a.bucket = b.bucket AND a.sensor < b.sensor GROUP BY ALL HAVING count(*) >= 3
+  UNION ALL
+  SELECT class, sensor, 1.0, count(*) FROM cls JOIN pts USING (sensor) WHERE sensor <> class GROUP BY ALL HAVING count(*) >= 3)
+SELECT sensor_a, sensor_b, {S.r6('corr')} AS corr, points FROM found WHERE isfinite(corr) AND corr >= {MIN_CORR}""")
+def q_correlated_sensors(spark, sf_dir):
+    """Suppliers whose quarterly mean quantities correlate, from all pairs (the exact route)."""
+    return round_doubles(CR.correlated_pairs(lineitem_silver(spark, sf_dir), MIN_CORR, "exact", bucket_unit="quarter"))
+
+
+@register("correlated_sensors_sketch")
+def q_correlated_sensors_sketch(spark, sf_dir):
+    """The same pairs from sign sketches, without comparing all pairs."""
+    return round_doubles(CR.correlated_pairs(lineitem_silver(spark, sf_dir), MIN_CORR, "sketch", bucket_unit="quarter"))
+
+
 @register("ingest_rate", """SELECT date_trunc('hour', ts) AS interval_start, count(*) AS readings
 FROM events GROUP BY 1""")
 def q_ingest_rate(spark, sf_dir):
@@ -570,6 +617,25 @@ def q_latency(spark, sf_dir):
     return round_doubles(spark.createDataFrame([(n, p50, p95)], "pairs BIGINT, p50_hours DOUBLE, p95_hours DOUBLE"))
 
 
+QUARTILES = [0.1, 0.5, 0.95]
+
+
+def _percentiles_sql(group: str, value: str, source: str) -> str:
+    cols = ", ".join(f"{S.r6(f'quantile_cont({value}, {q})')} AS q{i}" for i, q in enumerate(QUARTILES))
+    return f"SELECT {group}, count(*) AS n, {cols} FROM {source} GROUP BY {group}"
+
+
+@register("sensor_percentiles", _with(S.silver_sql()) + _percentiles_sql("sensor_id", "cleaned_value", "silver"))
+def q_sensor_percentiles(spark, sf_dir):
+    return round_doubles(TR.exact_quantiles_by(events_silver(spark, sf_dir), ["sensor_id"], "cleaned_value", QUARTILES))
+
+
+@register("price_percentiles_hot", _percentiles_sql("l_returnflag", "l_extendedprice", "lineitem"))
+def q_price_percentiles_hot(spark, sf_dir):
+    """Exact percentiles where each key holds a third of the table."""
+    return round_doubles(TR.exact_quantiles_by(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", QUARTILES))
+
+
 @register("retention", _with(S.READINGS_SQL) + """SELECT id, sensor_id, event_timestamp FROM readings
 WHERE event_timestamp >= (SELECT max(event_timestamp) FROM readings) - INTERVAL 7 DAY""")
 def q_retention(spark, sf_dir):
@@ -912,3 +978,25 @@ def q_features_expanding_hot(spark, sf_dir):
 def q_features_snapshot_hot(spark, sf_dir):
     f = feat.snapshot_features(lineitem_by_flag_silver(spark, sf_dir), order_cols=LI_ORDER)
     return round_doubles(f.select(*SNAPSHOT_COLS))
+
+
+DEEP_READINGS, DEEP_HISTORY = 2000, 5000
+
+
+@register("recent_readings_hot", _with(S.silver_sql(S.lineitem_readings_sql("'flag_' || l_returnflag"))) + f"""SELECT
+  sensor_id, event_timestamp, ord1, ord2, cleaned_value,
+  row_number() OVER (PARTITION BY sensor_id ORDER BY event_timestamp DESC, ord1 DESC, ord2 DESC, cleaned_value DESC) AS position
+FROM silver QUALIFY position <= {DEEP_READINGS}""")
+def q_recent_hot(spark, sf_dir):
+    """Newest 2,000 rows of keys that hold a third of the table each: beyond Spark's group limit."""
+    r = SV.recent_per_sensor(lineitem_by_flag_silver(spark, sf_dir), DEEP_READINGS, order_cols=LI_ORDER)
+    return r.select("sensor_id", "event_timestamp", "ord1", "ord2", "cleaned_value", _long("position"))
+
+
+@register("features_snapshot_deep",
+          _with(S.silver_sql(S.lineitem_readings_sql("'flag_' || l_returnflag")),
+                S.snapshot_sql(max_history=DEEP_HISTORY, order_desc="event_timestamp DESC, ord1 DESC, ord2 DESC, cleaned_value DESC"))
+          + f"SELECT {S.rounded_select(SNAPSHOT_COLS, SNAPSHOT_DOUBLES)} FROM snap")
+def q_features_snapshot_deep(spark, sf_dir):
+    f = feat.snapshot_features(lineitem_by_flag_silver(spark, sf_dir), max_history=DEEP_HISTORY, order_cols=LI_ORDER)
+    return round_doubles(f.select(*SNAPSHOT_COLS))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import scalar as X
+from gaugeflow.operators.blocked import group_limit, newest_per_key
 from gaugeflow.operators.joins import latest_per_key
 
 
@@ -74,7 +75,10 @@ def recent_readings(silver: DataFrame, sensor_id: str, limit: int = 50,
 
 def recent_per_sensor(silver: DataFrame, limit: int = 50,
                       order_cols: tuple[str, ...] = ("event_timestamp", "id")) -> DataFrame:
-    """Newest ``limit`` rows of every sensor with their position (WindowGroupLimit)."""
+    """Newest ``limit`` rows of every sensor with their position (WindowGroupLimit; beyond its threshold piece by
+    piece, see ``blocked.newest_per_key``)."""
+    if limit > group_limit(silver):
+        return newest_per_key(silver, "sensor_id", list(order_cols), order_cols[0], limit, out="position")
     w = Window.partitionBy("sensor_id").orderBy(*[F.col(c).desc() for c in order_cols])
     return silver.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
 

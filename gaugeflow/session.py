@@ -48,9 +48,11 @@ def ensure_shared_dir(spark: SparkSession) -> str:
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # a remote (Connect) session: use the configured folder or a fresh one
+    except Exception:  # a remote (Connect) session: its executors cannot see a folder of this machine
         current = spark.conf.get("spark.checkpoint.dir", None)
-        return current or tempfile.mkdtemp(prefix="gaugeflow-ckpt-")
+        if not current:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share") from None
+        return current
     current = sc.getCheckpointDir()
     if not current:
         current = sc.getConf().get("spark.checkpoint.dir", None)

@@ -299,7 +299,8 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, dimension:
     if lookback_batches is not None:
         history = history.where(F.col("batch_id") > epoch - lookback_batches)
     history = history.join(records.select("sensor_id").distinct(), "sensor_id", "left_semi")
-    snap = feat.snapshot_features(history).withColumn("timestamp", F.current_timestamp())
+    snap = feat.snapshot_features(history).withColumns(
+        {"timestamp": F.current_timestamp(), "feature_version": F.lit(fixed.FEATURE_VERSION)})
     features = _write_batch(snap, f"{root}/features", epoch)
     counts = {"records": records.count(), "features": features.count(), "predictions": 0, "anomalies": 0}
     if scorer is not None:
@@ -399,8 +400,8 @@ def process_batches_stateful(spark: SparkSession, readings_stream: DataFrame, di
         when = F.timestamp_micros(F.col("ts_us")).cast(ts_type)
         window = out.where(F.col("kind") == 0).select(
             "sensor_id", when.alias("event_timestamp"), "id", "cleaned_value", F.lit(True).alias("is_valid"))
-        snap = feat.snapshot_features(window, max_history=max_history).withColumn(
-            "timestamp", F.current_timestamp())
+        snap = feat.snapshot_features(window, max_history=max_history).withColumns(
+            {"timestamp": F.current_timestamp(), "feature_version": F.lit(fixed.FEATURE_VERSION)})
         features = _write_batch(snap, features_path, epoch)
         if scorer is not None:
             records = out.where(F.col("kind") == 1).select("id", "sensor_id", when.alias("timestamp"))
