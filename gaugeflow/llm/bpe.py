@@ -4,7 +4,7 @@ A text is split at added tokens, then into words by the byte-level pattern; the
 word are merged with a priority queue of merge ranks over a doubly linked symbol list, and
 entries whose symbols have changed meanwhile are skipped when they come up. Words repeat, so
 each worker keeps a bounded table of words already merged. Decoding concatenates vocabulary
-strings.
+strings. An empty table gives an empty result.
 
 Null and empty texts encode to no token and decode to the empty text. Repeated rows give
 repeated results; a column of any name may stand beside the text, as only the text column is read.
@@ -17,16 +17,21 @@ import hashlib
 import heapq
 import itertools
 import json
+import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
                       r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-KNOWN_WORDS = 60_000   # words kept merged per worker, in each of two generations
+KNOWN_WORDS = 200_000  # words kept merged per worker, in each of two generations (about 250 bytes a word)
+FEW_WORDS = 40_000      # the same for jobs whose workers have little memory
+FLUSH = 250_000         # token ids of a batch that leaves ``encode_rows``
 SHIFT, SPOT = 20, 40    # bits of a token id and of a position in packed keys
 LONG_WORD = 200         # bytes: longer words are merged each time, not kept
 LONG_TEXT = 1 << 20     # characters: longer texts are split into words lazily
@@ -44,7 +49,7 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one vocabulary file (the JSON form with ranked merges)."""
 
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, words: int | None = None):
         spec = json.loads(file)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         self.byte_id = [0] * 256
@@ -66,7 +71,7 @@ class Codec:
                 self.strings[i] = bytes(letters[c] for c in token)
             else:
                 self.strings[i] = token.encode()
-        self.known = _Known(self)
+        self.known = _Known(self, words or KNOWN_WORDS)
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word. Queue entries are packed (rank, position), so equal ranks go left to right."""
@@ -122,36 +127,41 @@ class Codec:
         return b"".join(map(self.strings.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Known(dict):
     """Words merged so far, in two generations: when the young one is full, it becomes the old one."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, codec: Codec, most: int):
         super().__init__()
-        self.codec, self.old = codec, {}
+        self.codec, self.most, self.old = codec, most, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             data = word.encode()
-            ids = np.array(self.codec.merge(data), "<u4").tobytes()
+            ids = _packed(self.codec.merge(data))
             if len(data) > LONG_WORD:
                 return ids
-        if len(self) >= KNOWN_WORDS:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
 
-_loaded: dict[int, Codec] = {}
+_loaded: dict[tuple[int, int], Codec] = {}
 
 
-def _codec(shared) -> Codec:
-    """One codec per worker process and vocabulary."""
-    key = hash(shared.value)
+def _codec(shared, words: int | None = None) -> Codec:
+    """One codec per worker process, for the last vocabulary and table size used."""
+    key = (hash(shared.value), words or KNOWN_WORDS)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Codec(shared.value)
+        _loaded[key] = Codec(shared.value, words)
     return _loaded[key]
 
 
@@ -195,12 +205,35 @@ def round_trip(text: Column, vocabulary) -> Column:
     return digest(text)
 
 
-def encode_checked(text: Column, vocabulary) -> Column:
-    """struct<n_tokens, ids, same>: the token ids, decoded again and compared with the text (null: empty)."""
-    @F.pandas_udf("n_tokens long, ids array<int>, same boolean")
-    def coded(texts: pd.Series) -> pd.DataFrame:
-        codec = _codec(vocabulary)
-        ids = [codec.encode(t) for t in texts]
-        return pd.DataFrame({"n_tokens": [len(i) for i in ids], "ids": [i.astype(np.int32) for i in ids],
-                             "same": [codec.decode(i) == (t or "") for i, t in zip(ids, texts)]})
-    return coded(text)
+def encode_rows(rows: DataFrame, vocabulary, text: str = "text", words: int = FEW_WORDS, flush: int = FLUSH) -> DataFrame:
+    """``rows`` without their text, with n_tokens, ids (array<int>) and same: whether the ids, decoded again, give the
+    text (null: empty).
+
+    Texts are taken out of an Arrow batch one by one, and a batch leaves as soon as it holds ``flush`` ids, so a worker
+    holds one batch of input, one text and a few MB of output, whatever the sizes of texts and batches."""
+    keep = [f for f in rows.schema.fields if f.name != text]
+    schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("same", T.BooleanType())])
+    names = [f.name for f in schema.fields]
+
+    def coded(batches):
+        codec = _codec(vocabulary, words)
+        for b in batches:
+            texts, kept = b.column(len(keep)), [b.column(i) for i in range(len(keep))]
+            start, held, ids, sizes, same = 0, 0, [], [], []
+            for i in range(b.num_rows):
+                t = texts[i].as_py()
+                found = codec.encode(t)
+                ids.append(found)
+                sizes.append(len(found))
+                held += len(found)
+                same.append(codec.decode(found) == (t or ""))
+                if held >= flush or i + 1 == b.num_rows:
+                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    flat = pa.array(np.concatenate(ids).astype("<u4").view(np.int32))
+                    lists = pa.ListArray.from_arrays(pa.array(ends), flat)
+                    part = [c.slice(start, len(sizes)) for c in kept]
+                    yield pa.RecordBatch.from_arrays([*part, pa.array(sizes, pa.int64()), lists, pa.array(same, pa.bool_())], names=names)
+                    start, held, ids, sizes, same = i + 1, 0, [], [], []
+
+    return rows.select(*[f.name for f in keep], text).mapInArrow(coded, schema)
