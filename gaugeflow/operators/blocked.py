@@ -104,18 +104,6 @@ def _with_halo(df: DataFrame, block_rows: int, halo: int) -> DataFrame:
     return out.withColumn("_blk", F.col("_t.b")).withColumn("_halo", F.col("_t.h")).drop("_t")
 
 
-def _rolling_cols(w_blk: Window, windows, lags, pos: Column) -> list[Column]:
-    cols = [F.lag("v", k).over(w_blk).alias(f"lag_{k}") for k in lags]
-    for win in windows:
-        frame = w_blk.rowsBetween(-(win - 1), Window.currentRow)
-        gate = pos >= win
-        cols += [F.when(gate, F.avg("v").over(frame)).alias(f"rolling_mean_{win}"),
-                 F.when(gate, F.stddev_pop("v").over(frame)).alias(f"rolling_std_{win}"),
-                 F.when(gate, F.max("v").over(frame)).alias(f"rolling_max_{win}"),
-                 F.when(gate, F.min("v").over(frame)).alias(f"rolling_min_{win}")]
-    return cols
-
-
 MOMENTS = ("n", "mean", "x", "m2", "m3", "m4", "cxy")
 
 
@@ -204,6 +192,7 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
                                bucket_unit: str = POSITION_BUCKET,
                                materialize_blocks: bool = True, pieces: str = "auto") -> DataFrame:
     """Same output as ``features.expanding_features`` (series has key, order_cols, v)."""
+    from gaugeflow.operators.features import with_rolling
     stats = series.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
     stats = stats.where(F.col("_len") >= min_sensor_rows)
     from gaugeflow.operators.joins import lookup_join
@@ -218,6 +207,11 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
         # Both the block windows and the block totals read this table: write it once
         # (shared checkpoint folder) instead of re-deriving positions twice; cuts lineage.
         df = materialize(df, "expanding-blocks")
+    sizes = stats.agg(F.max("_len").alias("longest"), F.sum(F.ceil(F.col("_len") / F.lit(block_rows))).alias("blocks")).first()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    if 0 < (sizes["blocks"] or 0) < 8 * parts:
+        # few blocks for the partitions: dealt out more finely, so that no task has several of them while others have none
+        df = df.repartition(max(parts, 2 * int(sizes["blocks"])), key, "_blk")
     own = ~F.col("_halo")
     w_blk = Window.partitionBy(key, "_blk").orderBy("pos")
     run = w_blk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -230,8 +224,9 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
     local = [F.sum(e).over(run).alias(f"_s{i}") for i, e in sums.items()]
     local += [F.min(F.when(own, F.col("v"))).over(run).alias("_mn"),
               F.max(F.when(own, F.col("v"))).over(run).alias("_mx")]
-    rows = df.select(key, *order_cols, "pos", "v", "_k", "_blk", "_halo",
-                     *local, *_rolling_cols(w_blk, windows, lags, pos))
+    looks = [F.lag("v", k).over(w_blk).alias(f"lag_{k}") for k in lags]
+    rows = df.select(key, *order_cols, "pos", "v", "_k", "_blk", "_halo", *local, *looks)
+    rows = with_rolling(rows, w_blk, windows, pos)
     rows = rows.where(own & (pos >= min_prefix))
     # moments of whole blocks, then of all earlier blocks of the same sensor
     yb, x = F.col("v") - F.col("_k"), pos.cast("double")
@@ -243,9 +238,8 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
         *[e.alias(f"_l_{name}") for name, e in stats_of.items()], F.max("_k").alias("_k"),
         F.min("v").alias("mn"), F.max("v").alias("mx"))
     moments = [e.alias(m) for m, e in _moments("_l_").items()]
-    parts = blocks.select(key, F.col("_blk").alias("idx"), F.struct(*moments, "mn", "mx", F.col("_k").alias("first")).alias("m"))
-    longest = stats.agg(F.max("_len")).first()[0] or 0
-    carry = scan_moments(parts, key, max(0, longest - 1) // block_rows).select(key, F.col("idx").alias("_blk"), F.col("before").alias("_c"))
+    totals = blocks.select(key, F.col("_blk").alias("idx"), F.struct(*moments, "mn", "mx", F.col("_k").alias("first")).alias("m"))
+    carry = scan_moments(totals, key, max(0, (sizes["longest"] or 0) - 1) // block_rows).select(key, F.col("idx").alias("_blk"), F.col("before").alias("_c"))
     j = rows.join(carry, [key, "_blk"], "inner")
     n = pos.cast("double")
     total = merge_moments({m: F.col(f"_c.{m}") for m in MOMENTS}, _running_moments(pos - start, start))
@@ -274,13 +268,16 @@ def history_features_blocked(series: DataFrame, key: str, order_cols: list[str],
                              windows, lags, block_rows: int = BLOCK_ROWS,
                              bucket_unit: str = POSITION_BUCKET, pieces: str = "auto") -> DataFrame:
     """Same output as ``features.history_features`` (series has key, order_cols, v)."""
+    from gaugeflow.operators.features import with_rolling
     df = global_positions(series, key, order_cols, time_col, bucket_unit, pieces)
     halo = max(max(windows) - 1, max(lags))
     df = _with_halo(df, block_rows, halo)
     w_blk = Window.partitionBy(key, "_blk").orderBy("pos")
     pos = F.col("pos")
+    df = with_rolling(df.select(key, *order_cols, "pos", "v", "_blk", "_halo"), w_blk, windows, pos)
     cols = [F.col(key), *[F.col(c) for c in order_cols], pos, F.col("v").alias("value"),
-            *_rolling_cols(w_blk, windows, lags, pos),
+            *[F.lag("v", k).over(w_blk).alias(f"lag_{k}") for k in lags],
+            *[F.col(f"rolling_{stat}_{win}") for win in windows for stat in ("mean", "std", "max", "min")],
             (F.col("v") - F.lag("v", 1).over(w_blk)).alias("last_change")]
     return df.select(*cols, "_halo").where(~F.col("_halo")).drop("_halo")
 

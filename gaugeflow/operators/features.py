@@ -42,6 +42,52 @@ def _series(silver: DataFrame, value_col: str, valid_only: bool, key: str, time_
     return df.where(F.col("v").isNotNull() & F.col(key).isNotNull() & F.col(time_col).isNotNull())
 
 
+# Below this size a rolling window is computed from its rows; larger ones are put together from smaller ones.
+BASE_WINDOW = 10
+
+
+def with_rolling(df: DataFrame, w, windows, pos: Column, v: str = "v") -> DataFrame:
+    """``df`` with rolling_mean/std/max/min_<n> of ``v`` over the last n rows for each n of ``windows``, null before
+    position n.
+
+    Only the smallest window goes over its rows for every row. A larger one is made of smaller ones further back
+    (50 = 20 + 20 behind 20 + 10 behind 40), as means and sums of squared deviations, so a row costs a few
+    look-backs instead of all rows of all windows. ``w`` is the ordered window of the series; no further exchange or sort."""
+    sizes = sorted(set(windows))
+    if sizes[0] > BASE_WINDOW:
+        sizes = [BASE_WINDOW, *sizes]
+    keep = df.columns
+    frame = w.rowsBetween(-(sizes[0] - 1), Window.currentRow)
+    out = df.select("*", F.avg(v).over(frame).alias(f"_mean{sizes[0]}"), (F.var_pop(v).over(frame) * sizes[0]).alias(f"_dev{sizes[0]}"),
+                    F.max(v).over(frame).alias(f"_max{sizes[0]}"), F.min(v).over(frame).alias(f"_min{sizes[0]}"))
+    for i, size in enumerate(sizes[1:], 1):
+        parts, rest = [], size
+        for smaller in [*reversed(sizes[:i]), 1]:
+            while rest >= smaller:
+                parts.append((smaller, size - rest))
+                rest -= smaller
+
+        def back(stat: str, n: int, by: int) -> Column:
+            c = F.col(f"_{stat}{n}") if n > 1 or sizes[0] == 1 else F.lit(0.0) if stat == "dev" else F.col(v)
+            return F.lag(c, by).over(w) if by and not (stat == "dev" and n == 1 and sizes[0] > 1) else c
+
+        means = [(n, back("mean", n, by)) for n, by in parts]
+        first = means[0][1]
+        mean = first + sum((n * (m - first) for n, m in means[1:]), F.lit(0.0)) / size
+        out = out.select("*", mean.alias(f"_mean{size}"), *[
+            f(*[back(stat, n, by) for n, by in parts]).alias(f"_{stat}{size}") for stat, f in (("max", F.greatest), ("min", F.least))])
+        dev = sum((back("dev", n, by) + n * (back("mean", n, by) - F.col(f"_mean{size}")) * (back("mean", n, by) - F.col(f"_mean{size}"))
+                   for n, by in parts), F.lit(0.0))
+        out = out.withColumn(f"_dev{size}", dev)
+    cols = []
+    for n in windows:
+        gate = pos >= n
+        cols += [F.when(gate, F.col(f"_mean{n}")).alias(f"rolling_mean_{n}"),
+                 F.when(gate, F.sqrt(F.col(f"_dev{n}") / n)).alias(f"rolling_std_{n}"),
+                 F.when(gate, F.col(f"_max{n}")).alias(f"rolling_max_{n}"), F.when(gate, F.col(f"_min{n}")).alias(f"rolling_min_{n}")]
+    return out.select(*keep, *cols)
+
+
 def snapshot_features(silver: DataFrame, max_history: int | None = fixed.MAX_HISTORY,
                       min_rows: int = fixed.MIN_ROWS_FEATURES, valid_only: bool = True,
                       order_cols: tuple[str, ...] = ("event_timestamp", "id"),
@@ -147,13 +193,8 @@ def history_features(silver: DataFrame, valid_only: bool = True,
     cols = [F.col(key), *[F.col(c) for c in order_cols], F.col("pos"), F.col("v").alias("value")]
     for k in lags:
         cols.append(F.lag("v", k).over(w).alias(f"lag_{k}"))
-    for win in windows:
-        frame = w.rowsBetween(-(win - 1), Window.currentRow)
-        gate = F.col("pos") >= win
-        cols += [F.when(gate, F.avg("v").over(frame)).alias(f"rolling_mean_{win}"),
-                 F.when(gate, F.stddev_pop("v").over(frame)).alias(f"rolling_std_{win}"),
-                 F.when(gate, F.max("v").over(frame)).alias(f"rolling_max_{win}"),
-                 F.when(gate, F.min("v").over(frame)).alias(f"rolling_min_{win}")]
+    out = with_rolling(out, w, windows, F.col("pos"))
+    cols += [F.col(f"rolling_{stat}_{win}") for win in windows for stat in ("mean", "std", "max", "min")]
     cols.append((F.col("v") - F.lag("v", 1).over(w)).alias("last_change"))
     return out.select(*cols)
 
@@ -203,13 +244,8 @@ def expanding_features(series: DataFrame, min_prefix: int = fixed.MIN_ROWS_FEATU
             F.col("v").alias("_last")]
     for k in lags:
         cols.append(F.lag("v", k).over(w).alias(f"lag_{k}"))
-    for win in windows:
-        frame = w.rowsBetween(-(win - 1), Window.currentRow)
-        gate = n >= win
-        cols += [F.when(gate, F.avg("v").over(frame)).alias(f"rolling_mean_{win}"),
-                 F.when(gate, F.stddev_pop("v").over(frame)).alias(f"rolling_std_{win}"),
-                 F.when(gate, F.max("v").over(frame)).alias(f"rolling_max_{win}"),
-                 F.when(gate, F.min("v").over(frame)).alias(f"rolling_min_{win}")]
+    base = with_rolling(base, w, windows, n)
+    cols += [F.col(f"rolling_{stat}_{win}") for win in windows for stat in ("mean", "std", "max", "min")]
     wide = base.select(*cols).where(n >= min_prefix)
     nn = F.col("n")
     final = [F.col(key), *[F.col(c) for c in order_cols], nn,
