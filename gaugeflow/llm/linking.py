@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits=N
     ``fits(left, right)`` with column getters. ``narrow`` is applied to the members of open buckets after
     the first round and may leave out those that cannot link to any other of them, change the columns
     that ``fits`` reads and set ``rank`` (a member of high rank is compared with first). ``compare`` takes
-    clusters (node, comp) of members connected by buckets of more than ``CROWD`` and returns all their links, so
+    clusters (node, comp, label) of members connected by buckets of more than ``CROWD``, label being the component a
+    member is in so far, and returns links enough to join what is linked in a cluster (``spanning``), so
     that the last step lists no pairs of large buckets."""
     extra = [c for c in members.columns if c not in ("key", "id", "home")]
     spark = members.sparkSession
@@ -46,20 +48,23 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits=N
         sides = F.struct(order, "id", "comp", *extra)
         head = now.groupBy("key").agg(
             F.min(F.when(F.col("home"), sides)).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.sum(F.xxhash64("id", "home") / 1024).alias("print"), F.count("*").alias("size"))
+            F.bit_xor(F.xxhash64("id", "home")).alias("print"), F.bit_xor(F.xxhash64("home", "id", F.lit(1))).alias("print2"),
+            F.count("*").alias("size"))
         head = head.where("head IS NOT NULL AND lo <> hi")
         if step < ROUNDS:
             pairs = now.join(head.select("key", "head"), "key").where("comp <> head.comp")
             left, right = (lambda c: F.col(c)), (lambda c: F.col(f"head.{c}"))
         else:
             # buckets with the same members say the same: one of them is enough
-            once = materialize(head.groupBy("print", "size", "lo", "hi").agg(F.min("key").alias("key")).select("key"), "buckets")
+            once = materialize(head.groupBy("print", "print2", "size", "lo", "hi").agg(F.min("key").alias("key")).select("key"), "buckets")
             now = materialize(now.join(once, "key"), "open")
             if compare is not None:
                 crowd = materialize(now.join(head.where(F.col("size") > CROWD).select("key"), "key"), "crowd")
                 if not crowd.isEmpty():
                     spokes = crowd.join(crowd.groupBy("key").agg(F.min("id").alias("a")), "key")
-                    links = materialize(links.unionByName(compare(components(spokes.select("a", F.col("id").alias("b"))))), "links")
+                    clusters = components(spokes.select("a", F.col("id").alias("b")))
+                    labels = crowd.select(F.col("id").alias("node"), F.col("comp").alias("label")).distinct()
+                    links = materialize(links.unionByName(compare(clusters.join(labels, "node"))), "links")
                     now = materialize(now.join(head.where(F.col("size") <= CROWD).select("key"), "key"), "open")
             other = now.where("home").select("key", *[F.col(c).alias(f"r_{c}") for c in ("id", "comp", *extra)])
             pairs = now.join(other, "key").where("comp <> r_comp AND (id < r_id OR NOT home)")
@@ -81,3 +86,25 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits=N
             extra = [c for c in members.columns if c not in ("key", "id", "home")]
         step = ROUNDS if fruitless else step + 1
     return links, comps
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links between labels ``a`` and ``b`` that join all that the links join: at most one fewer than
+    there are labels."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.minimum(at[:len(a)], at[len(a):]), np.maximum(at[:len(a)], at[len(a):])
+    _, first = np.unique(x * len(names) + y, return_index=True)
+    root = list(range(len(names)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    kept = []
+    for at_link, i, j in zip(first.tolist(), x[first].tolist(), y[first].tolist()):
+        i, j = top(i), top(j)
+        if i != j:
+            root[i] = j
+            kept.append(at_link)
+    return np.array(kept, np.int64)

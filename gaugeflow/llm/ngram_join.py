@@ -22,6 +22,7 @@ listing all their pairs (``linking``).
 
 Words: text with A-Z lower-cased, split at space, tab, line feed, vertical tab, form feed and carriage return. Fewer words than a shingle: the whole
 sequence is the one token. Null, empty and blank texts: no token, linked with nothing, component = own doc_id.
+Texts of any length are taken whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 Repeated rows are equal sets. Null doc_ids take part, but never name a component; a component without any id has null.
 Equality of tokens and of sets is equality of 64-bit hashes.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import materialize
-from gaugeflow.llm.linking import connect
+from gaugeflow.llm.linking import connect, spanning
 
 COUNTED, RARE, CLASS_SIZE = 0.22, 12, 8
 SMALL_IDS = 1_000_000      # text hashes (8 MB) up to which the filter of candidate texts is broadcast
@@ -115,9 +116,7 @@ def signatures(n: int, rank: np.ndarray, toks: np.ndarray, df: np.ndarray, num:
 
 
 def block_links(left: list, right: list, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of linked sets of two blocks; overlaps by products of 0/1 matrices over shared tokens.
-
-    Of the links of a set i to many sets of the other block, one per chain would do, but none is left out."""
+    """Indices (i, j) of linked sets of two blocks; overlaps by products of 0/1 matrices over shared tokens."""
     if not len(left) or not len(right):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     sizes = [np.array([len(t) for t in side], np.int64) for side in (left, right)]
@@ -247,22 +246,27 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
         return materialize(again.withColumn("home", F.lit(True)), "narrowed")
 
     def compare(clusters: DataFrame) -> DataFrame:
-        """All links inside clusters of sets, block against block, without listing their pairs."""
+        """Links that join what is linked inside clusters of sets, block against block: of all links between two blocks
+        a spanning forest of the components so far (``spanning``), so what leaves a pair of blocks is
+        bounded by its rows. A pair of blocks that lies in one component is not compared at all."""
         size_of = clusters.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         rows = clusters.join(size_of, "comp").join(sets, "node").withColumn(
             "mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         rows = materialize(rows, "cluster_sets")
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = rows.select("comp", F.col("mine").alias("lb"), every.alias("rb"), "node", "toks").where("lb <= rb")
+        left = rows.select("comp", F.col("mine").alias("lb"), every.alias("rb"), "node", "label", "toks").where("lb <= rb")
         right = rows.select(F.col("comp").alias("comp"), every.alias("lb"), F.col("mine").alias("rb"),
-                            F.col("node").alias("r_node"), F.col("toks").alias("r_toks")).where("lb <= rb")
+                            F.col("node").alias("r_node"), F.col("label").alias("r_label"), F.col("toks").alias("r_toks")).where("lb <= rb")
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
+            la, lb = a["label"].to_numpy(), b["r_label"].to_numpy()
+            if len(np.unique(np.concatenate([la, lb]))) < 2:
                 return pd.DataFrame({"a": [], "b": []}, dtype="int64")
             i, j = block_links(list(a["toks"]), list(b["r_toks"]), num, den)
-            out = pd.DataFrame({"a": a["node"].to_numpy()[i], "b": b["r_node"].to_numpy()[j]})
-            return out[out["a"] != out["b"]]
+            apart = la[i] != lb[j]
+            i, j = i[apart], j[apart]
+            few = spanning(la[i], lb[j])
+            return pd.DataFrame({"a": a["node"].to_numpy()[i[few]], "b": b["r_node"].to_numpy()[j[few]]})
 
         key = ["comp", "lb", "rb"]
         found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "a long, b long")
