@@ -818,6 +818,8 @@ MICRO_SQL = _with(
     S.snapshot_sql("bhist"), S.forest_sql(NAMES, "(SELECT sensor_id AS vid, * FROM snap)")).replace("WITH", "WITH RECURSIVE", 1) + f"""
 SELECT CAST(batch AS BIGINT) AS batch_id, id, sensor_id, event_timestamp AS "timestamp", {SCORED_COLS}
 FROM sb JOIN fscored ON vid = batch || '|' || sensor_id"""
+PREDICTIONS = ("id BIGINT, sensor_id STRING, timestamp TIMESTAMP_NTZ, is_anomaly BOOLEAN, anomaly_score DOUBLE, confidence DOUBLE, "
+               "model_version STRING, batch_id BIGINT")
 MICRO_OUT = ["batch_id", "id", "sensor_id", "timestamp", "is_anomaly", "anomaly_score", "confidence", "model_version"]
 
 
@@ -837,7 +839,7 @@ def q_micro_batch(spark, sf_dir):
     dim, n = sensor_dimension(spark)
     SP.process_batches(spark, stream, dim, n, root,
                        scorer=lambda f: IF.predict(spark, f, model)).awaitTermination()
-    return round_doubles(spark.read.parquet(f"{root}/anomalies").select(_long("batch_id"), *MICRO_OUT[1:]))
+    return round_doubles(spark.read.schema(PREDICTIONS).parquet(f"{root}/anomalies").select(_long("batch_id"), *MICRO_OUT[1:]))
 
 
 @register("micro_batch_stateful", MICRO_SQL)
@@ -849,7 +851,7 @@ def q_micro_batch_stateful(spark, sf_dir):
     for q in SP.process_batches_stateful(spark, stream, dim, n, root,
                                          scorer=lambda f: IF.predict(spark, f, model)):
         q.awaitTermination()
-    return round_doubles(spark.read.parquet(f"{root}/anomalies").select(_long("batch_id"), *MICRO_OUT[1:]))
+    return round_doubles(spark.read.schema(PREDICTIONS).parquet(f"{root}/anomalies").select(_long("batch_id"), *MICRO_OUT[1:]))
 
 
 # ---------------------------------------------------------------- late rows: dead letters and the windows of the rest
