@@ -7,13 +7,14 @@ character says nothing. A document's languages are weighed by the sum over its w
 score is the posterior of the best one under equal priors. Ties go to the smaller name.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS`` documents chosen by a
-hash of doc_id, whole texts) and keeps the most frequent ``WORDS`` words and ``GRAMS`` n-grams
-of each length per language, so its size does not grow with the corpus.
+hash of doc_id, whole texts), so its size does not grow with the corpus. Every word and n-gram of the
+sample is kept, as a 64-bit hash in a sorted array beside its row of log frequencies (8 bytes and 4 per language
+each); equality of words is equality of these hashes.
 
 Null and empty texts and texts without a letter: ``und``, score 0. No labelled row at all: every
 text is ``und``. Rows with a null lang are not learned from; repeated rows count as often as they
 occur. Very long texts are scored in pieces of ``PIECE`` words, all of them. Other columns are never
-read.
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import fold, id_sample, materialize
 
-SAMPLE_ROWS = 20_000
-WORDS, GRAMS, ORDERS = 10_000, 5_000, (5, 4, 3, 2, 1)
+SAMPLE_ROWS = 10_000
+ORDERS = (5, 4, 3, 2, 1)
+HASH_SEED = 42    # of Spark's xxhash64
 SMOOTH = 0.5
 KNOWN = 100_000   # scored words kept per worker
 PIECE = 20_000
@@ -77,71 +80,125 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
              .groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n")))
     every = words.select("lang", F.lit(0).alias("ord"), "gram", "n").unionByName(grams)
     every = materialize(every, "lang_grams")
-    top = Window.partitionBy("lang", "ord").orderBy(F.desc("n"), "gram")
-    kept = (every.withColumn("r", F.row_number().over(top))
-            .where(F.col("r") <= F.when(F.col("ord") == 0, WORDS).otherwise(GRAMS)).select("lang", "ord", "gram", "n"))
     sums = {(r["lang"], r["ord"]): (r["s"], r["c"]) for r in every.groupBy("lang", "ord")
             .agg(F.sum("n").alias("s"), F.count("*").alias("c")).collect()}
     langs = sorted({lang for lang, _ in sums})
-    at, tables = {x: i for i, x in enumerate(langs)}, {o: {} for o in (0, *ORDERS)}
-    floor = {o: [np.log(SMOOTH / (s + SMOOTH * c)) for s, c in (sums.get((x, o), (1, 1)) for x in langs)] for o in tables}
-    for r in kept.collect():  # at most languages x (WORDS + 5 x GRAMS) rows
-        s, c = sums[r["lang"], r["ord"]]
-        row = tables[r["ord"]].setdefault(r["gram"], list(floor[r["ord"]]))
-        row[at[r["lang"]]] = float(np.log((r["n"] + SMOOTH) / (s + SMOOTH * c)))
-    return {"langs": langs, "tables": {o: {g: tuple(map(float, v)) for g, v in t.items()} for o, t in tables.items()}}
+    place = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) if langs else F.lit(0)
+    counts = every.select("ord", (place - 1).cast("int").alias("at"), F.xxhash64("gram").alias("h"), "n")
+    arrow = counts.toArrow()  # the grams of the bounded sample
+    found = {name: arrow.column(name).to_numpy() for name in arrow.column_names}
+    tables = {}
+    for o in (0, *ORDERS):
+        mine = found["ord"] == o
+        keys, spot = np.unique(found["h"][mine], return_inverse=True)
+        floor = [np.log(SMOOTH / (s + SMOOTH * c)) for s, c in (sums.get((x, o), (1, 1)) for x in langs)]
+        logs = np.tile(np.array(floor, np.float32), (len(keys), 1))
+        total = np.array([s + SMOOTH * c for s, c in (sums.get((x, o), (1, 1)) for x in langs)])
+        at = found["at"][mine]
+        logs[spot, at] = np.log((found["n"][mine] + SMOOTH) / total[at]) if langs else 0
+        tables[o] = (keys, logs)
+    return {"langs": langs, "tables": tables}
 
 
 def _frame(total: Counter) -> pd.DataFrame:
     return pd.DataFrame([(lang, w, n) for (lang, w), n in total.items()], columns=["lang", "gram", "n"])
 
 
-def word_scores(model: dict, word: str) -> tuple[float, ...]:
-    """Log frequency of a word per language, with backoff."""
-    tables = model["tables"]
-    known = tables[0].get(word)
-    if known is not None:
-        return known
+def hash_of(gram: str) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass"), HASH_SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def places(keys: np.ndarray, grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``grams`` are in a table with sorted ``keys``, and where."""
+    if not len(keys):
+        return np.zeros(len(grams), bool), np.zeros(len(grams), np.int64)
+    h = np.fromiter(map(hash_of, grams), np.int64, len(grams))
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return keys[at] == h, at
+
+
+def word_scores(model: dict, words: list[str]) -> np.ndarray:
+    """Log frequencies (words, languages), with backoff: all words still unseen go down one order together."""
+    out = np.zeros((len(words), len(model["langs"])), np.float32)
+    keys, rows = model["tables"][0]
+    known, at = places(keys, words)
+    out[known] = rows[at[known]]
+    left = np.flatnonzero(~known)
     for order in ORDERS:
-        rows = [v for g in grams_of(word, order) if (v := tables[order].get(g)) is not None]
-        if rows:  # a handful of short rows: plain sums are quicker than an array
-            return tuple(sum(column) / len(rows) for column in zip(*rows))
-    return (0.0,) * len(model["langs"])
+        keys, rows = model["tables"][order]
+        grams = [grams_of(words[i], order) for i in left]
+        known, at = places(keys, [g for gs in grams for g in gs])
+        owner = np.repeat(np.arange(len(left)), [len(gs) for gs in grams])[known]
+        n, found = np.bincount(owner, minlength=len(left)), rows[at[known]]
+        has = n > 0
+        for k in range(out.shape[1]):
+            sums = np.bincount(owner, weights=found[:, k], minlength=len(left))
+            out[left[has], k] = sums[has] / n[has]
+        left = left[~has]
+        if not len(left):
+            break
+    return out
 
 
 class Scorer:
+    """Scores texts in groups of about ``PIECE`` words; rows of up to ``KNOWN`` words are kept."""
+
     def __init__(self, model: dict):
         self.model, self.langs = model, model["langs"]
-        self.rows = np.zeros((KNOWN + PIECE, max(1, len(self.langs))), np.float32)
-        self.at: dict[str, int] = _Rows(self)
+        self.rows = np.zeros((KNOWN + 2 * PIECE, max(1, len(self.langs))), np.float32)
+        self.at: dict[str, int] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.at) >= KNOWN:
+            self.at.clear()
+        new = list(words.difference(self.at))
+        if new:
+            start = len(self.at)
+            self.rows[start:start + len(new)] = word_scores(self.model, new)
+            self.at.update(zip(new, range(start, start + len(new))))
 
     def sums(self, words: list[str]) -> np.ndarray:
+        return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=float)
+
+    def long_sums(self, words: list[str]) -> np.ndarray:
         total = np.zeros(self.rows.shape[1])
         for i in range(0, len(words), PIECE):
-            if len(self.at) >= KNOWN:
-                self.at.clear()
-            piece = words[i:i + PIECE]
-            total += self.rows[np.fromiter(map(self.at.__getitem__, piece), np.int64, len(piece))].sum(axis=0, dtype=float)
+            self.learn(set(words[i:i + PIECE]))
+            total += self.sums(words[i:i + PIECE])
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not self.langs or not (any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)):
-            return UNDETERMINED, 0.0
-        total = self.sums(words)
+    def _answer(self, total: np.ndarray) -> tuple[str, float]:
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
-
-class _Rows(dict):
-    def __init__(self, scorer: Scorer):
-        super().__init__()
-        self.scorer = scorer
-
-    def __missing__(self, word: str) -> int:
-        i = self[word] = len(self)
-        self.scorer.rows[i] = word_scores(self.scorer.model, word)
-        return i
+    def predict(self, texts) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        group: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush():
+            self.learn(set().union(*(words for _, words in group)))
+            for i, words in group:
+                out[i] = self._answer(self.sums(words))
+            group.clear()
+
+        for text in texts:
+            words = words_of(text)
+            out.append((UNDETERMINED, 0.0))
+            if not self.langs or not (any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)):
+                continue
+            if len(words) >= PIECE:
+                out[-1] = self._answer(self.long_sums(words))
+                continue
+            group.append((len(out) - 1, words))
+            size += len(words)
+            if size >= PIECE:
+                flush()
+                size = 0
+        flush()
+        return out
 
 
 def predictor(spark: SparkSession, model: dict):
@@ -153,7 +210,7 @@ def predictor(spark: SparkSession, model: dict):
     def predict(texts: pd.Series) -> pd.DataFrame:
         if not held:
             held.append(Scorer(shared.value))
-        return pd.DataFrame([held[0].predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(held[0].predict(texts), columns=["lang_pred", "score"])
 
     def apply(text: Column) -> Column:
         return predict(text)
