@@ -16,7 +16,8 @@ no task grows with the table, and what leaves a block is at most k rows per quer
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, neither as
 queries nor as candidates. Queries with the same id and vector are one query; queries with the same id and
-different vectors are each searched and each have k rows and ranks of their own. Vectors of different lengths never meet. A query's own row (every row with its id) is
+different vectors are each searched and each have k rows and ranks of their own. Vectors of different lengths never meet. Equal vectors have equal scores. An empty table gives an empty
+result; other columns are ignored. A query's own row (every row with its id) is
 no candidate; ties go to the smaller id; fewer than k candidates give fewer rows.
 """
 
@@ -69,7 +70,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
             hit = np.flatnonzero(count >= need)
             if len(hit) >= enough:
                 break
-        score = x[hit] @ q[i]
+        score = products(x[hit], q[i])
         own = ids[hit] == query_ids[i]
         hit, score = hit[~own], score[~own]
         best = np.lexsort((ids[hit], -score))[:k] if len(hit) <= 4 * k else _best(ids[hit], score, k)
@@ -77,6 +78,12 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     return rows
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with a vector. Every row is summed by itself, so equal rows have equal products wherever
+    they stand (those of a matrix product may differ in the last bit)."""
+    return np.einsum("ij,j->i", x, q)
+
+
 def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     bar = np.partition(score, len(score) - k)[len(score) - k]
     few = np.flatnonzero(score >= bar)  # with all ties
