@@ -14,13 +14,15 @@ longest added token). At a boundary common to both, the right chunk is therefore
 If two neighbours have no common boundary, that text is encoded again with a wider overlap
 until they do; an overlap as wide as the chunk encodes the text whole.
 
-Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted row by row: rows are
+Null and empty texts have 0 bytes and 0 tokens. An empty table gives an empty result; other columns are ignored, whatever
+their names. Repeated rows are counted row by row: rows are
 told apart by a key built here, not by doc_id, which may be null or repeated.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, processors
@@ -32,6 +34,7 @@ CHUNK = 1 << 15    # characters
 OVERLAP = 256      # characters, first attempt
 LOOK = 16          # characters before a cut end that are never used for a splice
 LIMIT = 1024
+FLUSH = 4_000_000  # characters of pieces that leave a worker together
 PART = ("n_tokens long, head array<struct<at:long,before:long>>, tail array<struct<at:long,before:long>>")
 
 _loaded: dict[int, Tokenizer] = {}
@@ -97,16 +100,38 @@ def splice(parts: list[tuple[int, list, list]]) -> int | None:
     return total + parts[-1][0] - begun
 
 
+def pieces(long: DataFrame, chunk: int, overlap: int, flush: int = FLUSH) -> DataFrame:
+    """(key, part, last, start, piece): the chunks of the texts (key, text), each with its overlap before it; an overlap
+    as wide as a chunk gives the whole text.
+
+    A text is taken out of its Arrow batch once and sliced in one pass, so cutting is linear in its length; pieces leave
+    in batches of about ``flush`` characters."""
+    def cut(batches):
+        for b in batches:
+            rows, held = [], 0
+            for i in range(b.num_rows):
+                key, text = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                for part, at in enumerate(range(0, len(text), chunk) if overlap < chunk else [0]):
+                    start, end = max(at - overlap, 0), at + chunk if overlap < chunk else len(text)
+                    rows.append((key, part, end >= len(text), start, text[start:end]))
+                    held += end - start
+                    if held > flush:
+                        yield _batch(rows)
+                        rows, held = [], 0
+            yield _batch(rows)
+
+    return long.select("key", "text").mapInArrow(cut, "key string, part int, last boolean, start long, piece string")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.string())
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "part", "last", "start", "piece"])
+
+
 def _long_counts(long: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
     """(key, n_tokens or null) of long texts with one overlap width."""
-    starts = F.when(F.lit(overlap >= chunk), F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(0), F.col("n_chars") - 1, F.lit(chunk)))
-    cut = long.select("key", "n_chars", "text", F.posexplode(starts).alias("part", "at"))
-    cut = cut.withColumn("last", (F.lit(overlap >= chunk)) | (F.col("at") + chunk >= F.col("n_chars")))
-    cut = cut.select("key", "part", "last", F.greatest(F.col("at") - overlap, F.lit(0)).cast("long").alias("start"),
-                     F.when(F.lit(overlap >= chunk), F.col("text")).otherwise(
-                         F.expr(f"substring(text, greatest(at - {overlap}, 0) + 1, "
-                                f"at + {chunk} - greatest(at - {overlap}, 0))")).alias("piece"))
+    cut = pieces(long, chunk, overlap)
     cut = cut.repartition("key", "part")  # the chunks of one text go to many tasks
 
     @F.pandas_udf(PART)
