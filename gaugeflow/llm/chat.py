@@ -13,7 +13,8 @@ Loss mask: the text of assistant turns, as spans of the formatted conversation.
 Rows of a conversation go by turn, then role, then text (null first), so ties and repeated rows
 have one order. Null text is empty text; null conv_id is a conversation of its own. Conversations
 are read as sorted streams: a conversation with very many turns never sits in memory as a whole,
-and a text is held one turn at a time. An empty table gives an empty result.
+and a text, however long, is held one turn at a time. An empty table gives an empty result; columns other than conv_id,
+turn, role and text are not read. The digest casts conv_id to long: other kinds of ids need ``format_turns`` alone.
 """
 
 from __future__ import annotations

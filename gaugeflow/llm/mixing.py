@@ -16,7 +16,11 @@ Documents are numbered within a source piece by piece (a hash cuts every source
 about ``PIECE`` rows, whose offsets come from their counts), so a source with most of the rows is not ordered in
 one task. A null source is a source of its own, sorted first; a source without a given weight does not take part.
 Repeated rows each take a place; a null doc_id counts as one more value. An empty table gives an empty mix.
-The number of sources is bounded by the number of shares, which the plan holds as a literal-sized table.
+Columns other than doc_id, text and source are not read.
+
+The fold over a period takes (shares) x (sources) steps in one task. It is bounded: above ``MOST_STEPS`` (about 7,000 sources of one share
+each) ``mix`` ends with an error that asks for fewer sources or shares; so the schedule that is broadcast has at
+most that many rows divided by the sources.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from gaugeflow.llm.common import materialize
 
 BLOCK, GRAIN, PIECE = 16, 1000, 20_000
+MOST_STEPS = 50_000_000
 
 
 def shares(counts: DataFrame, grain: int = GRAIN) -> DataFrame:
@@ -77,6 +82,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, p
     offsets = sized.select("key", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     counts = sized.groupBy("source").agg(F.sum("n").alias("n"))
     given = shares(counts) if weights is None else weights.select("source", F.col("share").cast("long").alias("share"))
+    size = given.where("share > 0").agg(F.count("*").alias("sources"), F.sum("share").alias("shares")).first()
+    if size["sources"] * (size["shares"] or 0) > MOST_STEPS:
+        raise ValueError(f"{size['sources']} sources with {size['shares']} shares: join small sources or give fewer shares")
     plan = materialize(period(given.where("share > 0")), "mix_period")
     within = F.row_number().over(Window.partitionBy("key", "piece").orderBy("h", "doc_id", "text_hash")) - 1
     placed = rows.withColumn("nth_row", within).join(offsets, ["key", "piece"]).select(

@@ -9,7 +9,8 @@ hash) calibrate it: pool-adjacent-violators, with linear steps between the pools
 
 Training reads labels.quality of rows whose crc32(doc_id) mod 5 is not 0, a bounded sample of
 ``SAMPLE_ROWS`` labelled documents. Null and empty texts have all statistics 0 and are scored
-like any other. Without labelled rows every score is 0.5. Repeated rows score alike; labels, lang,
+like any other; a very long text is taken whole, its distinct words and word pairs as sorted arrays of hashes. An empty table
+gives an empty result. Without labelled rows every score is 0.5. Repeated rows score alike; labels, lang,
 source and doc_id are never inputs of a score; other columns are never read.
 """
 

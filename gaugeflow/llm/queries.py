@@ -184,7 +184,7 @@ ORACLES: dict[str, str] = {
       SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
       QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
     SELECT p.anchor_id, positive_id,
-           row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
            vec_id AS negative_id, positive_score, score AS negative_score
     FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT same
       AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score

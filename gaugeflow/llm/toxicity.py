@@ -17,7 +17,12 @@ features, so it folds into one weight per character triple, and a word is scored
 triples alone. A document has the score of its highest unit, mapped to 0..1 by a logistic fit on
 the training sample.
 
-Null and empty texts have no unit: the lowest score, never toxic. No labelled toxic row: every
+Bounds of the fit beside its sample of labelled documents: at most ``SIGNS`` telling units and parts, ``POSITIVES`` and
+``NEGATIVES`` example units, ``HARD`` further clean ones and ``LANDMARKS`` landmarks; units over ``SPAN`` characters are not
+learned from. All units of all texts are scored.
+
+Null and empty texts have no unit: the lowest score, never toxic. Very long texts are scored whole. An empty table gives an empty
+result; other columns are never read, whatever their names. No labelled toxic row: every
 score is 0. Repeated rows score alike. labels, lang, source and doc_id are never inputs of a score.
 """
 

@@ -229,3 +229,31 @@ def test_pipeline_stages(spark, odd, none):
     assert at.groupBy("doc_id", "text").count().where("count > 1").count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, at, sf)
     assert last.where("NOT same").count() == 0 and last.count() == at.count()
+
+
+def test_odd_rows_through_trained_models(spark, odd):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    tox = toxicity.scorer(spark, toxicity.train(docs.select("doc_id", "text"), labels))
+    stats = docs.select("doc_id", quality.statistics(F.col("text")).alias("stats"))
+    good = quality.scorer(spark, quality.train(stats, labels))
+    rows = odd.select("doc_id", "text", tox(F.col("text")).alias("t"), quality.statistics(F.col("text")).alias("s"))
+    got = rows.select("doc_id", "text", "t", good(F.col("s")).alias("q")).collect()
+    assert len(got) == len(TEXTS) + 2 and all(0 <= r["t"] <= 1 and 0 <= r["q"] <= 1 for r in got)
+    for column in ("t", "q"):
+        by_text = defaultdict(set)
+        for r in got:
+            by_text[r["text"] or ""].add(r[column])
+        # repeated rows, null and empty score alike, up to the last bits of a product over a batch
+        assert all(max(v) - min(v) < 1e-6 for v in by_text.values()), column
+    empty = {r["t"] for r in got if not (r["text"] or "").strip()}
+    assert max(empty) < toxicity.THRESHOLD and max(empty) <= min(r["t"] for r in got) + 1e-6
+    assert {r["t"] >= toxicity.THRESHOLD for r in got if r["text"] == TEXTS[0]} == {True}
+    assert odd.limit(0).select(tox(F.col("text"))).count() == 0
+
+
+def test_very_long_conversation_turns(spark):
+    text = "</turn> \\ ### User: " * 20_000
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    row = chat.digest(chat.format_turns(df)).first()
+    assert row["loss_chars"] == len(text) and row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()

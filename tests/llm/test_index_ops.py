@@ -237,3 +237,188 @@ def test_bounds_hold_for_every_pair():
     exact = hard_negatives.scores(q, q[order])
     assert (np.minimum.reduceat(exact, starts, axis=1) >= low).all() and (np.maximum.reduceat(exact, starts, axis=1) <= high).all()
     assert (high < np.outer(norm, np.maximum.reduceat(norm[order], starts))).mean() > 0.5  # they do cut something off
+
+
+# ---------------------------------------------------------------- spanning forests, equal scores, whole tables
+def test_spanning_forest_joins_what_the_links_join():
+    from gaugeflow.llm.linking import spanning
+    draw = np.random.default_rng(10)
+    for n, links in ((30, 20), (50, 400), (5, 0), (300, 260)):
+        a, b = draw.integers(0, n, links), draw.integers(0, n, links)
+
+        def groups(pairs):
+            root = list(range(n))
+            for i, j in pairs:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+            return {frozenset(k for k in range(n) if root[k] == r) for r in root}
+
+        kept = spanning(a, b)
+        assert groups(zip(a[kept], b[kept])) == groups(zip(a, b)) and len(kept) == n - len(groups(zip(a, b)))
+
+
+def test_a_large_group_of_near_copies_is_one_component(spark):
+    from gaugeflow.llm import ngram_join
+    workers_find_package(spark)
+    draw = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(2000):  # each differs from the base in one word: 8 of 117 shingles with 4 words each
+        words = list(base)
+        words[int(draw.integers(0, 120))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(5000 + i, " ".join(f"y{i}_{j}" for j in range(60))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df, size=4, num=85, den=100).collect()}
+    sets = [{tuple(t.split()[k:k + 4]) for k in range(len(t.split()) - 3)} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    by_gram = defaultdict(set)
+    for i, s in enumerate(sets):
+        for g in s:
+            by_gram[g].add(i)
+    for i, s in enumerate(sets):
+        if len({top(j) for j in range(2000)}) == 1 and i > 0:
+            break
+        for j in set().union(*(by_gram[g] for g in list(s)[:20])):
+            if j > i and top(i) != top(j):
+                both = len(s & sets[j])
+                if 100 * both >= 85 * (len(s) + len(sets[j]) - both):
+                    root[top(j)] = top(i)
+    want = {}
+    for i in range(len(rows)):
+        want.setdefault(top(i), []).append(rows[i][0])
+    assert got == {d: min(g) for g in want.values() for d in g}
+
+
+def test_equal_vectors_have_equal_scores_in_every_block(spark):
+    from gaugeflow.llm import ann
+    workers_find_package(spark)
+    draw = np.random.default_rng(12)
+    base = draw.normal(size=(100, 37))
+    rows = [(int(k), [float(x) for x in base[k % 100]]) for k in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (100_000, 150):
+        got = ann.nearest(df, df.where("vec_id % 50 = 0"), k=25, block=block, candidates=1.0).toPandas()
+        for q, g in got.groupby("query_id"):
+            exact = np.array([math.fsum(base[k % 100] * base[q % 100]) for k in range(1000)])
+            exact[q] = -np.inf
+            order = np.lexsort((np.arange(1000), -exact))[:25]
+            g = g.sort_values("rank")
+            assert g["vec_id"].tolist() == order.tolist() and np.allclose(g["score"], exact[order], rtol=1e-13)
+            assert g.groupby(g["vec_id"] % 100)["score"].nunique().max() == 1
+    assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_links_and_counts_use_one_measure(spark):
+    from gaugeflow.llm import embedding_dedup
+    workers_find_package(spark)
+    draw = np.random.default_rng(13)
+    base = draw.normal(size=(4, 24))
+    rows = []
+    for i in range(600):
+        v = base[i % 4] + draw.normal(size=24) * 0.11
+        rows.append((i, [float(x) for x in v * (1e-3 if i % 2 else 1e155)], int(i % 2)))
+    rows += [(900, [1e200] * 24, 5), (901, [-1e200] * 24, 5), (902, [2e-200] * 24, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, tables=16).collect()}
+    ids = [r[0] for r in rows]
+    x = np.array([np.array(r[1]) / np.abs(r[1]).max() for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None, :])
+    np.fill_diagonal(near, False)
+    comp = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            low = min([comp[i], *(comp[j] for j in np.flatnonzero(near[i]))])
+            if low < comp[i]:
+                comp[i], changed = low, True
+    assert near.sum() > 1000 and got[902]["component_id"] == 900 and got[901]["n_links"] == 0
+    for i, v in enumerate(ids):
+        assert got[v]["n_links"] == near[i].sum() and got[v]["component_id"] == ids[comp[i]]
+
+
+# ---------------------------------------------------------------- language tables, long texts
+def test_language_tables_keep_every_unit(spark, monkeypatch):
+    from gaugeflow.llm import lang_id
+    from gaugeflow.llm.common import fold, read
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    words = ["Ärger", "x", "longer word", "", "日本"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    assert all(lang_id.hash_of(r["w"]) == r["h"] for r in got)
+    model = lang_id.train(docs)
+    train = docs.where((fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull()).select("text", "lang").collect()
+    count, grams = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int))
+    for r in train:
+        for w in lang_id.words_of(r["text"]):
+            count[r["lang"]][w] += 1
+    for lang, ws in count.items():
+        for w, n in ws.items():
+            for o in lang_id.ORDERS:
+                for g in lang_id.grams_of(w, o):
+                    grams[lang, o][g] += n
+
+    def log(table, g):
+        return np.log((table.get(g, 0) + lang_id.SMOOTH) / (sum(table.values()) + lang_id.SMOOTH * len(table)))
+
+    def brute(word):
+        if any(word in count[x] for x in model["langs"]):
+            return [log(count[x], word) for x in model["langs"]]
+        for o in lang_id.ORDERS:
+            known = [g for g in lang_id.grams_of(word, o) if any(g in grams[x, o] for x in model["langs"])]
+            if known:
+                return [np.mean([log(grams[x, o], g) for g in known]) for x in model["langs"]]
+        return [0.0] * len(model["langs"])
+
+    assert model["langs"] == sorted(count)
+    rare = [w for ws in count.values() for w, n in ws.items() if n == 1][:40]
+    held = [w for r in docs.where(fold(F.col("doc_id"), 5) == 0).limit(5).collect() for w in lang_id.words_of(r["text"])][:60]
+    words = [*rare, *held, "zzqqx", "ß", "ж", "zzqqx"]
+    assert np.allclose(lang_id.word_scores(model, words), [brute(w) for w in words], atol=1e-4)
+    monkeypatch.setattr(lang_id, "KNOWN", 50)
+    monkeypatch.setattr(lang_id, "PIECE", 40)  # texts above and below a piece, and a table that fills up
+    texts = [None, "", "1 2", *[r["text"] for r in docs.limit(40).collect()]]
+    for text, (lang, score) in zip(texts, lang_id.Scorer(model).predict(texts)):
+        said = lang_id.words_of(text)
+        total = np.sum([brute(w) for w in said], axis=0) if said else None
+        assert (lang, score) == (lang_id.UNDETERMINED, 0.0) if not said else (
+            lang == model["langs"][int(total.argmax())] and math.isclose(score, 1 / np.exp(total - total.max()).sum(), rel_tol=1e-2))
+    monkeypatch.undo()
+    predict = lang_id.predictor(spark, model)
+    out = docs.where((fold(F.col("doc_id"), 5) == 0) & F.col("lang").isNotNull()).select("lang", predict(F.col("text")).alias("p")).toPandas()
+    assert (out["p"].map(lambda p: p["lang_pred"]) == out["lang"]).mean() >= 0.98
+
+
+def test_pieces_are_plain_slices_with_overlap(spark):
+    from gaugeflow.llm import token_counts
+    workers_find_package(spark)
+    text = "".join(chr(97 + i % 26) if i % 7 else "é漢😀"[i % 3] for i in range(10_000))
+    df = spark.createDataFrame([("a", text), ("b", "short")], "key string, text string")
+    for chunk, overlap, flush in ((1000, 64, 4_000_000), (999, 100, 1), (1000, 1000, 10)):
+        got = sorted(tuple(r) for r in token_counts.pieces(df, chunk, overlap, flush).collect())
+        want = []
+        for key, t in (("a", text), ("b", "short")):
+            if overlap >= chunk:
+                want.append((key, 0, True, 0, t))
+            else:
+                want += [(key, p, at + chunk >= len(t), max(0, at - overlap), t[max(0, at - overlap):at + chunk])
+                         for p, at in enumerate(range(0, len(t), chunk))]
+        assert got == sorted(want)
+    assert token_counts.pieces(df.limit(0), 10, 2).count() == 0
+
+
+def test_mix_refuses_more_steps_than_its_bound(spark, monkeypatch):
+    from gaugeflow.llm import mixing
+    workers_find_package(spark)
+    df = spark.createDataFrame([(i, "t", f"s{i % 30}") for i in range(300)], "doc_id long, text string, source string")
+    assert mixing.mix(df).count() == 300
+    monkeypatch.setattr(mixing, "MOST_STEPS", 100)
+    with pytest.raises(ValueError, match="30 sources"):
+        mixing.mix(df)
