@@ -396,24 +396,6 @@ def test_language_tables_keep_every_unit(spark, monkeypatch):
     assert (out["p"].map(lambda p: p["lang_pred"]) == out["lang"]).mean() >= 0.98
 
 
-def test_pieces_are_plain_slices_with_overlap(spark):
-    from gaugeflow.llm import token_counts
-    workers_find_package(spark)
-    text = "".join(chr(97 + i % 26) if i % 7 else "é漢😀"[i % 3] for i in range(10_000))
-    df = spark.createDataFrame([("a", text), ("b", "short")], "key string, text string")
-    for chunk, overlap, flush in ((1000, 64, 4_000_000), (999, 100, 1), (1000, 1000, 10)):
-        got = sorted(tuple(r) for r in token_counts.pieces(df, chunk, overlap, flush).collect())
-        want = []
-        for key, t in (("a", text), ("b", "short")):
-            if overlap >= chunk:
-                want.append((key, 0, True, 0, t))
-            else:
-                want += [(key, p, at + chunk >= len(t), max(0, at - overlap), t[max(0, at - overlap):at + chunk])
-                         for p, at in enumerate(range(0, len(t), chunk))]
-        assert got == sorted(want)
-    assert token_counts.pieces(df.limit(0), 10, 2).count() == 0
-
-
 def test_mix_refuses_more_steps_than_its_bound(spark, monkeypatch):
     from gaugeflow.llm import mixing
     workers_find_package(spark)
