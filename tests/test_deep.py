@@ -135,6 +135,42 @@ def test_correlated_pairs(spark):
     assert sketch <= set(want) and len(sketch) >= 0.95 * len(want)
 
 
+def test_blocks_of_series_are_shuffled_as_one_row_each(spark):
+    draw = np.random.default_rng(6)
+    table = {f"s{i:02d}": list(draw.normal(size=40)) for i in range(30)}
+    points = CR.resample(_series(spark, table), bucket_unit="day")
+    series, blocks = CR.packed(points, 10)
+    assert (series.count(), blocks) == (30, 3) and {len(r.xs) for r in series.collect()} == {40}
+    assert CR.packed(points, 10_000)[1] == 1
+    # points and sketches of points are not copied for every pair of blocks, band or candidate
+    for method in ("exact", "sketch"):
+        plan = _plan(CR.correlated_pairs(_series(spark, table), 0.8, method, bucket_unit="day"))
+        assert "xs#" in plan and "band#" not in plan and "xa#" not in plan
+
+
+def test_signs_are_bits_of_sparks_hash(spark):
+    draw = np.random.default_rng(7)
+    buckets, z = np.array([-5, 0, 7, 86_400_000_000 * 19_000]), draw.normal(size=(6, 4))
+    rows = spark.createDataFrame([(int(b),) for b in buckets], "bucket long").selectExpr(
+        "bucket", "explode(sequence(0, 8)) AS band").selectExpr("bucket", "band", "xxhash64(bucket, band) AS h").collect()
+    h = {(r.bucket, r.band): r.h for r in rows}
+    got = CR.sign_codes(z, buckets, np.arange(3, 9), 33)
+    for k, band in enumerate(range(3, 9)):
+        for i in range(6):
+            want = sum(1 << j for j in range(33) if sum(z[i, b] * (1 if h[int(t), band] >> j & 1 else -1) for b, t in enumerate(buckets)) >= 0)
+            assert int(got[k, i]) == want
+
+
+def test_blocks_do_not_change_the_sketch(spark):
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(4, 50))
+    table = {f"s{i:02d}": [x if draw.random() > 0.1 else None for x in base[i % 4] + draw.normal(size=50) * 0.4] for i in range(40)}
+    got = [{(r[0], r[1], round(r[2], 9), r[3]) for r in CR.correlated_pairs(_series(spark, table), 0.7, "sketch", bucket_unit="day", block=b).collect()}
+           for b in (2048, 4)]
+    want = _brute_pairs(table, 0.7)
+    assert got[0] == got[1] and {(a, b, round(want[a, b][0], 9), n) for a, b, _, n in got[0]} == got[0] and len(got[0]) >= 0.95 * len(want)
+
+
 def test_copies_of_a_series_are_one_class(spark):
     draw = np.random.default_rng(5)
     one, two = list(draw.normal(size=30)), list(draw.normal(size=30))
