@@ -33,6 +33,7 @@ from gaugeflow.functions.scalar import sample_kurtosis, sample_skewness
 
 BLOCK_ROWS = 1_000_000
 CHUNK = 1000
+TASK_ROWS = 250_000
 POSITION_BUCKET = "hour"
 
 
@@ -186,6 +187,11 @@ def _running_moments(c: Column, start: Column) -> dict[str, Column]:
             "cxy": sxy - s1 * (c + 1) / 2}
 
 
+def block_partitions(rows: int, blocks: int, parts: int) -> int:
+    """Partitions for ``blocks`` blocks: enough to spread few of them, and so many that the rows of one stay bounded."""
+    return max(parts, min(2 * blocks, 8 * parts), -(-rows // TASK_ROWS))
+
+
 def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str], time_col: str,
                                min_prefix: int, min_sensor_rows: int, windows, lags,
                                trend_min: int, block_rows: int = BLOCK_ROWS,
@@ -207,11 +213,12 @@ def expanding_features_blocked(series: DataFrame, key: str, order_cols: list[str
         # Both the block windows and the block totals read this table: write it once
         # (shared checkpoint folder) instead of re-deriving positions twice; cuts lineage.
         df = materialize(df, "expanding-blocks")
-    sizes = stats.agg(F.max("_len").alias("longest"), F.sum(F.ceil(F.col("_len") / F.lit(block_rows))).alias("blocks")).first()
+    sizes = stats.agg(F.max("_len").alias("longest"), F.sum("_len").alias("rows"),
+                      F.sum(F.ceil(F.col("_len") / F.lit(block_rows))).alias("blocks")).first()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    if 0 < (sizes["blocks"] or 0) < 8 * parts:
-        # few blocks for the partitions: dealt out more finely, so that no task has several of them while others have none
-        df = df.repartition(max(parts, 2 * int(sizes["blocks"])), key, "_blk")
+    if sizes["blocks"]:
+        # dealt out by number: fitted to its bytes, a partition would hold millions of rows, as these are few bytes but much work
+        df = df.repartition(block_partitions(int(sizes["rows"]), int(sizes["blocks"]), parts), key, "_blk")
     own = ~F.col("_halo")
     w_blk = Window.partitionBy(key, "_blk").orderBy("pos")
     run = w_blk.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow import fixed
 from gaugeflow.functions.scalar import sample_kurtosis, sample_skewness
+from gaugeflow.session import compiled_methods
 
 # Above this many rows in one sensor, per-sensor windows switch to the blocked plan
 # (bounded pieces per task). Checked with one partial aggregation over the series. Both plans
@@ -216,6 +217,7 @@ def expanding_features(series: DataFrame, min_prefix: int = fixed.MIN_ROWS_FEATU
     task (``method="auto"`` checks, one more pass over the input) the blocked plan computes the same columns from
     bounded (sensor, block) pieces; the two agree within about 1e-9, not bit for bit.
     """
+    compiled_methods(series.sparkSession)
     df = _series(series, value_col, valid_only, key, order_cols[0])
     if _use_blocked(df, key, method):
         from gaugeflow.operators import blocked as B

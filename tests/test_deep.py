@@ -273,3 +273,24 @@ def test_feature_rows_carry_their_version(spark):
     row = feat.feature_rows(feat.snapshot_features(df), F.lit(T0)).first()
     assert row["feature_version"] == fixed.FEATURE_VERSION and row["sensor_id"] == "s" and len(row["id"]) == 32
     assert row["features"]["mean"] == 5.5 and "rolling_mean_50" not in row["features"]
+
+
+# ---------------------------------------------------------------- tasks of bounded rows, methods the JVM compiles
+def test_blocks_are_dealt_out_by_rows():
+    assert B.block_partitions(216_000_000, 13_200, 12) >= 864 and B.block_partitions(216_000_000, 13_200, 200) >= 864
+    assert B.block_partitions(100, 3, 8) == 8 and B.block_partitions(100_000, 50, 8) == 64
+
+
+def test_expanding_features_keep_methods_compilable(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        s = _series(spark, {"a": [float(i % 7) for i in range(30)]}).withColumn("id", F.monotonically_increasing_id())
+        feat.expanding_features(s, valid_only=False)
+        assert spark.conf.get(key) == "8000"
+        spark.conf.set(key, "20000")  # the caller's choice stays
+        feat.expanding_features(s, valid_only=False)
+        assert spark.conf.get(key) == "20000"
+    finally:
+        spark.conf.set(key, before)
