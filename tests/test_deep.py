@@ -294,3 +294,20 @@ def test_expanding_features_keep_methods_compilable(spark):
         assert spark.conf.get(key) == "20000"
     finally:
         spark.conf.set(key, before)
+
+
+def test_windows_are_not_shuffled(spark):
+    draw = np.random.default_rng(9)
+    rows = [(f"s{draw.integers(3)}", T0 + dt.timedelta(minutes=int(m)), float(draw.normal(1e4, 2)) if m % 7 else None)
+            for m in draw.integers(0, 6000, 400)]
+    df = spark.createDataFrame(rows, "sensor_id string, event_timestamp timestamp, cleaned_value double")
+    got = WF.window_aggregate(df, duration="6 hours", slide="1 hour", suffix="w", valid_only=False)
+    top = next(x for x in _plan(got).splitlines() if "Exchange hashpartitioning" in x)
+    assert "hashpartitioning(sensor_id#" in top and "window" not in top
+    want = (df.groupBy("sensor_id", F.window("event_timestamp", "6 hours", "1 hour")).agg(
+        F.avg("cleaned_value"), F.stddev_samp("cleaned_value"), F.min("cleaned_value"), F.max("cleaned_value"), F.count("cleaned_value")))
+    want = {(r[0], r[1].start): r[2:] for r in want.collect()}
+    found = {(r.sensor_id, r.timestamp): (r.mean_w, r.std_w, r.min_w, r.max_w, r.count_w) for r in got.collect()}
+    assert set(found) == set(want)
+    for k, v in want.items():
+        assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-7)) for a, b in zip(found[k], v)), (k, found[k], v)
