@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on every row its
 predecessor kept, and its decisions take effect: rejected documents are gone from its result, and the
-mix stage, which rejects none, sorts its result by place in the mix.
+mix stage, which rejects none, gives each document its place in the mix (``mix_place``), in whose order the last stage
+encodes and returns them.
 All stages but the last return the columns of ``docs`` as they came, whatever other columns there are.
 Models are fitted on the labelled tables in ``sf_dir``. Between stages ``run`` writes Parquet to the
 shared folder and reads it again.
@@ -22,6 +23,7 @@ from gaugeflow.llm.common import materialize, read, workers_find_package
 
 LEAST_LANGUAGE_SCORE = 0.5
 VOCABULARY = "byte_bpe_50k.json"
+PLACE = "mix_place"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +60,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the documents in the order of the Pfair mix; all of them stay.
 
     A source that has run out leaves the schedule: its slots fall away, and the others keep their weights among
-    themselves. The result is sorted by place in the mix, so every part file is a stretch of it. Copies of one row
-    stand at the place of the first."""
+    themselves. The result has the place in the mix as ``mix_place`` and is sorted by it, so every part file is a stretch of
+    the mix. Copies of one row stand at the place of the first."""
+    docs = docs.drop(PLACE)
     plan = mixing.mix(docs.select("doc_id", "text", "source"))
     places = plan.groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"),
                           F.col("source").alias("mix_source")).agg(F.min("pos").alias("pos"))
@@ -67,14 +70,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         F.coalesce(F.xxhash64("text"), F.lit(0)).alias("own_hash"))
     same = (F.col("own_hash").eqNullSafe(F.col("mix_hash")) & F.col("own_id").eqNullSafe(F.col("mix_id"))
             & F.col("own_source").eqNullSafe(F.col("mix_source")))
-    return whole.join(places, same).orderBy("pos").select("row.*")
+    return whole.join(places, same).orderBy("pos").select("row.*", F.col("pos").alias(PLACE))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (token ids) and same (they decode to the text) of every document."""
+    """doc_id, n_tokens, ids (token ids) and same (they decode to the text) of every document; after the mix
+    stage also ``mix_place``, and sorted by it: part files read again are not in their order."""
     workers_find_package(spark)
+    mixed = [PLACE] if PLACE in docs.columns else []
     vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path(VOCABULARY))
-    return bpe.encode_rows(docs.select("doc_id", "text"), vocabulary)
+    rows = docs.select("doc_id", *mixed, "text")
+    return bpe.encode_rows(rows.orderBy(PLACE) if mixed else rows, vocabulary)
 
 
 STAGES = [

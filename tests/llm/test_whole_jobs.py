@@ -33,6 +33,17 @@ def test_tiny_source_does_not_end_the_mix(spark, tmp_path):
     assert np.abs(ran - want).max() < 3 * mixing.BLOCK
 
 
+def test_the_mix_decides_the_order_of_the_encoded_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "ab"[i % 3 == 0]) for i in range(600)], "doc_id long, text string, source string")
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(str(tmp_path / "mix"))
+    mixed = spark.read.parquet(str(tmp_path / "mix")).repartition(5, "doc_id")  # as read again: in no order
+    corpus_pipeline.encode(spark, mixed, "").write.parquet(str(tmp_path / "ids"))
+    got = [r for p in sorted((tmp_path / "ids").glob("part-*")) for r in spark.read.parquet(str(p)).collect()]
+    plan = {r["doc_id"]: r["pos"] for r in mixing.mix(docs).collect()}
+    assert [r["doc_id"] for r in got] == sorted(plan, key=plan.get) and all(r["mix_place"] == plan[r["doc_id"]] and r["same"] for r in got)
+    assert "mix_place" not in corpus_pipeline.encode(spark, docs, "").columns
+
+
 def test_buckets_whose_head_fits_nobody_stay_open(spark):
     size = {0: 20, 1: 26, 2: 27}  # passage, and two texts around it of which 25 of 28 shingles are common
 
