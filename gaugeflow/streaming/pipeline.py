@@ -6,7 +6,7 @@ own checkpoint (restartable, exactly-once file sinks). Triggers are a parameter:
 
 ``process_batches`` is the micro-batch form of the service pipeline (``foreachBatch``):
 each batch appends Silver rows, recomputes snapshot features for the sensors it touched
-from the Silver table, optionally scores them, and writes every output into a
+from their newest Silver rows (kept for every batch), optionally scores them, and writes every output into a
 ``batch_id=<epoch>`` partition with dynamic overwrite, so a replayed epoch replaces its
 own output instead of duplicating it.
 """
@@ -17,7 +17,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -287,6 +287,28 @@ def _write_predictions(records: DataFrame, features: DataFrame, scorer, path: st
     return _write_batch(records.join(per_sensor.join(values, "sensor_id"), "sensor_id"), path, epoch)
 
 
+def _history(spark: SparkSession, records: DataFrame, schema, root: str, epoch: int, lookback_batches: int | None) -> DataFrame:
+    """Silver rows that hold the newest ``MAX_HISTORY`` valid rows of every sensor up to ``epoch``.
+
+    Of every batch the newest valid rows of each sensor are kept in a table of their own: the newest of several
+    batches are among the newest of each, so a batch reads some rows a sensor and batch, not all of Silver. Batches that
+    are in Silver only (written before there was that table) are read from there."""
+    newest = Window.partitionBy("sensor_id").orderBy(F.col("event_timestamp").desc(), F.col("id").desc())
+    usable = records.where("is_valid AND sensor_id IS NOT NULL AND event_timestamp IS NOT NULL AND cleaned_value IS NOT NULL")
+    own = usable.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= fixed.MAX_HISTORY).drop("rn")
+    _write_batch(own, f"{root}/newest", epoch)
+    files = Files(spark, root)
+    kept = set(files.names("newest"))
+    older = [int(n.split("=")[1]) for n in files.names("silver") if n.startswith("batch_id=") and n not in kept]
+
+    def upto(name: str) -> DataFrame:
+        rows = spark.read.schema(schema).parquet(f"{root}/{name}").where(F.col("batch_id") <= epoch)
+        return rows if lookback_batches is None else rows.where(F.col("batch_id") > epoch - lookback_batches)
+
+    history = upto("newest")
+    return history.unionByName(upto("silver").where(F.col("batch_id").isin(older))) if older else history
+
+
 def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, dimension: DataFrame, dim_rows: int,
                   root: str, scorer=None, lookback_batches: int | None = None) -> dict[str, int]:
     """Process one batch of readings into the tables under ``root`` and count what came of it:
@@ -295,9 +317,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, dimension:
     silver = silv.silver_range(batch, dimension, dim_rows=dim_rows)
     history_schema = silver.withColumn("batch_id", F.lit(epoch).cast("long")).schema
     records = _write_batch(silver, f"{root}/silver", epoch)
-    history = spark.read.schema(history_schema).parquet(f"{root}/silver").where(F.col("batch_id") <= epoch)
-    if lookback_batches is not None:
-        history = history.where(F.col("batch_id") > epoch - lookback_batches)
+    history = _history(spark, records, history_schema, root, epoch, lookback_batches)
     history = history.join(records.select("sensor_id").distinct(), "sensor_id", "left_semi")
     snap = feat.snapshot_features(history).withColumns(
         {"timestamp": F.current_timestamp(), "feature_version": F.lit(fixed.FEATURE_VERSION)})

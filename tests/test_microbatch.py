@@ -115,3 +115,28 @@ def test_small_first_batch_gives_no_predictions_and_no_failure(spark, tmp_path):
         q.awaitTermination()
         assert q.exception() is None
     assert spark.read.parquet(str(tmp_path / "a" / "silver")).count() == 10
+
+
+def test_batches_read_the_newest_rows_of_earlier_batches_only(spark, tmp_path):
+    dim, n = sensor_dimension(spark)
+    r = event_readings(spark, SF_SMALL).orderBy("timestamp", "id").limit(900).localCheckpoint()
+    cut = r.selectExpr("percentile(unix_micros(CAST(timestamp AS timestamp)), array(0.34, 0.67)) AS c").first()["c"]
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    batches = [r.where(at <= cut[0]), r.where((at > cut[0]) & (at <= cut[1])), r.where(at > cut[1])]
+    roots = [str(tmp_path / x) for x in ("new", "old")]
+    whole = None
+    for epoch, rows in enumerate(batches):
+        for root in roots:
+            SP.process_batch(spark, rows, epoch, dim, n, root)
+        whole = rows if whole is None else whole.unionByName(rows)
+        # a root whose first batches were written before there was a table of newest rows
+        if epoch == 0:
+            os.rename(f"{roots[1]}/newest/batch_id=0", str(tmp_path / "moved"))
+        want = SP.feat.snapshot_features(SP.silv.silver_range(whole, dim, dim_rows=n).join(
+            rows.select("sensor_id").distinct(), "sensor_id", "left_semi"))
+        want = {x["sensor_id"]: (x["n"], x["lag_5"], round(x["mean"], 9)) for x in want.collect()}
+        for root in roots:
+            got = spark.read.parquet(f"{root}/features").where(F.col("batch_id") == epoch)
+            assert {x["sensor_id"]: (x["n"], x["lag_5"], round(x["mean"], 9)) for x in got.collect()} == want
+    kept = spark.read.parquet(f"{roots[0]}/newest").groupBy("batch_id", "sensor_id").count().agg(F.max("count")).first()[0]
+    assert kept <= 100
