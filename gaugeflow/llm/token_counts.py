@@ -21,18 +21,21 @@ told apart by a key built here, not by doc_id, which may be null or repeated.
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, processors
 
 from gaugeflow.llm.bpe import load_vocabulary
-from gaugeflow.llm.common import materialize
+from gaugeflow.llm.common import materialize, small_batches
 
 CHUNK = 1 << 15    # characters
 OVERLAP = 256      # characters, first attempt
 LOOK = 16          # characters before a cut end that are never used for a splice
 LIMIT = 1024
+FLUSH = 1 << 18    # characters encoded at once
 PART = ("n_tokens long, head array<struct<at:long,before:long>>, tail array<struct<at:long,before:long>>")
 
 _loaded: dict[int, Tokenizer] = {}
@@ -41,6 +44,8 @@ _loaded: dict[int, Tokenizer] = {}
 def _tokenizer(shared) -> Tokenizer:
     key = hash(shared.value)
     if key not in _loaded:
+        # a task has one core; threads of its own would each keep freed memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tok = Tokenizer.from_buffer(shared.value)
         tok.no_truncation()
         tok.no_padding()
@@ -60,7 +65,7 @@ def _count(texts: pd.Series, shared) -> pd.Series:
     for t in texts:
         batch.append(t or "")
         size += len(batch[-1])
-        if size > 1 << 20:  # bounded memory for the encodings
+        if size > FLUSH:  # bounded memory for the encodings
             flush()
             size = 0
     flush()
@@ -133,6 +138,7 @@ def _long_counts(long: DataFrame, shared, chunk: int, overlap: int) -> DataFrame
 def count_tokens(spark: SparkSession, docs: DataFrame, path: str, text: str = "text", chunk: int = CHUNK,
                  overlap: int = OVERLAP, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of ``docs``."""
+    small_batches(spark)
     shared = load_vocabulary(spark, path)
     base = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.withColumn("n_chars", F.char_length("text"))
