@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import bpe, lang_id, mixing, ngram_join, toxicity
-from gaugeflow.llm.common import materialize, read, workers_find_package
+from gaugeflow.llm.common import materialize, read, small_batches, workers_find_package
 
 LEAST_LANGUAGE_SCORE = 0.5
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +28,7 @@ PLACE = "mix_place"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose best language is less than even."""
+    small_batches(spark)
     predict = lang_id.predictor(spark, lang_id.train(read(spark, sf_dir, "documents")))
     p = predict(F.col("text"))
     return docs.where((p["lang_pred"] != lang_id.UNDETERMINED) & (p["score"] >= LEAST_LANGUAGE_SCORE))
@@ -35,6 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity machine scores at its threshold or above."""
+    small_batches(spark)
     model = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return docs.where(toxicity.scorer(spark, model)(F.col("text")) < toxicity.THRESHOLD)
 
@@ -43,6 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one document of each component of five-word shingle sets with a Jaccard similarity of 0.8
     or more: the smallest doc_id (of equal ids one row). Documents without a word are kept."""
     workers_find_package(spark)
+    small_batches(spark)
     found = ngram_join.jaccard_components(docs.select("doc_id", "text"), size=5, num=80, den=100)
     alone, linked = found.where("n_shingles = 0"), found.where("n_shingles > 0")
     first = linked.groupBy("component_id").agg(F.min(F.struct(
@@ -77,6 +80,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (token ids) and same (they decode to the text) of every document; after the mix
     stage also ``mix_place``, and sorted by it: part files read again are not in their order."""
     workers_find_package(spark)
+    small_batches(spark)
     mixed = [PLACE] if PLACE in docs.columns else []
     vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path(VOCABULARY))
     rows = docs.select("doc_id", *mixed, "text")

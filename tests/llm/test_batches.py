@@ -6,6 +6,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 
+import corpus_pipeline
 from gaugeflow.llm import token_counts
 from gaugeflow.llm.common import BATCHES, small_batches, workers_find_package
 
@@ -49,6 +50,20 @@ def test_token_counts_hold_small_batches(usual):
     assert got.count() == 9
 
 
+def test_every_stage_with_texts_in_python_holds_small_batches(usual, tmp_path):
+    sf = str(tmp_path)
+    rows = [(i, f"text number {i}", "en", "a") for i in range(20)]
+    usual.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+    usual.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = usual.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        if name.startswith("mixing"):  # no Python
+            continue
+        usual.conf.unset(ROWS)
+        stage(usual, docs, sf)
+        assert usual.conf.get(ROWS) == "1000", name
+
+
 def test_encodings_of_a_group_of_texts_are_bounded(monkeypatch):
     sizes = []
 
