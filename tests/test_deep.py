@@ -171,6 +171,79 @@ def test_blocks_do_not_change_the_sketch(spark):
     assert got[0] == got[1] and {(a, b, round(want[a, b][0], 9), n) for a, b, _, n in got[0]} == got[0] and len(got[0]) >= 0.95 * len(want)
 
 
+def _found(spark, monkeypatch, min_corr, bits):
+    """What the sketch does with two blocks of series, as a function of this process."""
+    monkeypatch.setattr(CR, "_block_pairs", lambda series, blocks, found: found)
+    return CR._sketch_pairs(CR.resample(_series(spark, {"a": [1.0, 2.0, 4.0]}), bucket_unit="day"), min_corr, 3, 0.99, bits, 4)
+
+
+def test_only_series_of_likely_pairs_are_sketched(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    x, y = draw.normal(size=(2, 1000, 40))
+    y[5] = 3 * x[7] + draw.normal(size=40) * 0.05
+    sketched = []
+    for name in ("sign_codes", "sign_planes"):
+        real = getattr(CR, name, None)
+        monkeypatch.setattr(CR, name, lambda z, *rest, real=real: sketched.append(len(z)) or real(z, *rest), raising=False)
+    one, two = (x, np.ones(x.shape)), (y, np.ones(y.shape))
+    got = list(_found(spark, monkeypatch, 0.9, 10)(False, np.arange(40), one, two))
+    assert sum(sketched) <= 10  # 2,000 and more when every series is sketched for each pair of blocks
+    assert [(*i, *j, *n) for i, j, r, n in got] == [(7, 5, 40)]
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_either_order_of_the_tests_gives_the_same_pairs(spark, monkeypatch, same):
+    draw = np.random.default_rng(10)
+
+    def block(n):
+        x, known = draw.normal(size=(n, 12)) + 1e4, np.ones((n, 12))
+        known[::7] = draw.random((len(known[::7]), 12)) > 0.3
+        x[3] = 5.0  # constant
+        x[14, 4:], known[14, 4:], known[14, :4] = 0, 0, 1  # four points
+        x[21] = [1e9, *draw.normal(size=11)]  # a variance that is one point's
+        x[28], known[28], known[35] = x[21] + 1e-3 * draw.normal(size=12), 1, 1
+        known[28, 0] = 0
+        return x * known, known
+
+    monkeypatch.setattr(CR, "TILE", 64)
+    one = block(160)
+    two = one if same else block(160)
+    bits, buckets = 7, np.arange(12) * 86_400_000_000
+    want, exact = set(), 0
+    with np.errstate(invalid="ignore", divide="ignore"):
+        (ra, za, _), (rb, zb, _) = CR._standard(*one), CR._standard(*two)
+    at = np.arange(CR.bands_for(0.6, bits, 0.99))
+    code_a, code_b = np.zeros((2, len(at), 160), np.int64)
+    code_a[:, ra], code_b[:, rb] = CR.sign_codes(za, buckets, at, bits), CR.sign_codes(zb, buckets, at, bits)
+    for i in ra:
+        for j in rb:
+            both = (one[1][i] * two[1][j]) > 0
+            a, b = one[0][i][both], two[0][j][both]
+            if (not same or i < j) and both.sum() >= 3 and np.ptp(a) > 0 and np.ptp(b) > 0:
+                a, b = a - a.mean(), b - b.mean()
+                if (a @ b) / math.sqrt((a @ a) * (b @ b)) >= 0.6:
+                    exact += 1
+                    if (code_a[:, i] == code_b[:, j]).any():
+                        want.add((i, j, int(both.sum())))
+    assert 300 < len(want) < exact and len(want) > 0.9 * exact
+    for open_pairs in (CR.OPEN_PAIRS, 100):
+        monkeypatch.setattr(CR, "OPEN_PAIRS", open_pairs)
+        for bands_first in (False, True):
+            monkeypatch.setattr(CR, "_bands_are_cheaper", lambda *a: bands_first)
+            got = [(min(i, j), max(i, j), n) if same else (i, j, n) for f in _found(spark, monkeypatch, 0.6, bits)(same, buckets, one, two)
+                   for i, j, r, n in zip(*f)]
+            assert len(got) == len(want) and set(got) == want
+
+
+def test_signs_of_long_series_and_many_bands(monkeypatch):
+    draw = np.random.default_rng(11)
+    z, buckets, bands = draw.normal(size=(300, 50)), np.arange(50) * 3_600_000_000, np.arange(2, 203)
+    want = CR.sign_codes(z, buckets, bands, 9)
+    assert want.shape == (201, 300) and (want == np.concatenate([CR.sign_codes(z, buckets, b, 9) for b in np.array_split(bands, 5)])).all()
+    monkeypatch.setattr(CR, "CELLS", 20_000)  # signs of seven buckets at once
+    assert (CR.sign_codes(z, buckets, bands, 9) == want).all()
+
+
 def test_copies_of_a_series_are_one_class(spark):
     draw = np.random.default_rng(5)
     one, two = list(draw.normal(size=30)), list(draw.normal(size=30))
