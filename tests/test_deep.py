@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from gaugeflow import fixed
@@ -235,6 +236,18 @@ def test_either_order_of_the_tests_gives_the_same_pairs(spark, monkeypatch, same
             assert len(got) == len(want) and set(got) == want
 
 
+def test_each_pair_of_blocks_is_one_task(spark):
+    series = spark.createDataFrame([(f"s{i}", i % 4, [0], [1.0]) for i in range(8)], "sensor string, mine int, buckets array<long>, xs array<double>")
+
+    def found(same, buckets, one, two):
+        yield np.array([0]), np.array([0]), np.array([float(TaskContext.get().partitionId())]), np.array([len(one[0]) + len(two[0])])
+
+    got = CR._block_pairs(series, 4, found).collect()
+    assert sorted(r["corr"] for r in got) == list(range(10)) and {r["points"] for r in got} == {4}
+    assert {(r["sensor_a"], r["sensor_b"]) for r in got} == {(f"s{i}", f"s{j}") for j in range(4) for i in range(j + 1)}
+    assert {r["corr"] for r in got if r["sensor_a"] == r["sensor_b"]} == {6, 7, 8, 9}  # half the work, so the last
+
+
 def test_signs_of_long_series_and_many_bands(monkeypatch):
     draw = np.random.default_rng(11)
     z, buckets, bands = draw.normal(size=(300, 50)), np.arange(50) * 3_600_000_000, np.arange(2, 203)
